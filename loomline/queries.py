@@ -1,0 +1,5 @@
+"""Queries of the library's own operators."""
+
+QUERIES: dict = {}
+SQL: dict = {}
+FLAGSHIP = ""
