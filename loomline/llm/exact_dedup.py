@@ -110,8 +110,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).select("level", "name", "group_size", F.expr("~best.low").alias("keep_id"), F.col("best.points").alias("most"))
     out = rows.join(groups, ["level", "name"])
     first = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("points") == F.col("most"))
-    # Only rows that may stay are numbered: those of one id in each group.
-    stay = out.filter(first).withColumn("nth", F.row_number().over(W.partitionBy("level", "name", "doc_id").orderBy("points")))
+    # Only rows that may stay are numbered, by keys of their own, so that the join above
+    # is free to split a large group.
+    stay = out.filter(first).withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("points")))
     go = out.filter(~first).withColumn("nth", F.lit(0))
     return stay.unionByName(go).select(
         "doc_id", "keep_id", "group_size", (F.col("nth") == 1).alias("kept"),

@@ -26,7 +26,7 @@ MIN_ROWS = 50
 RULES = {
     "sym_pm": (6, 20, True, False),
     "dup_pm": (6, 500, True, False),
-    "rep_pm": (6, 200, True, False),
+    "adj_pm": (6, 100, True, False),
     "len_pc": (6, 200, True, True),
 }
 #: Bins of the mean word length end here; what lies beyond counts in the last one.
@@ -54,6 +54,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.expr(f"aggregate({starts}, struct(0L as n, -{WINDOW} as last), (a, x) -> struct(a.n + least({WINDOW}, x - a.last) as n, x as last), a -> a.n)").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
+        F.size(F.expr(f"filter({words}, (w, i) -> i > 0 and w = {words}[greatest(i - 1, 0)])")).cast("long").alias("n_adjacent"),
     )
     step = step.withColumn(m, counts).drop(words, lines, grams, starts)
     return step.withColumn(m, F.struct(
@@ -61,7 +62,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
         F.expr(f"{m}.n_words < {MIN_WORDS} or 100 * {m}.n_repeat_words > 30 * {m}.n_words").alias("base_failed"),
         F.expr(f"1000 * {m}.n_symbols div greatest({m}.word_chars, 1L)").alias("sym_pm"),
         F.expr(f"1000 * {m}.n_dup_lines div greatest({m}.n_lines, 1L)").alias("dup_pm"),
-        F.expr(f"1000 * {m}.n_repeat_words div greatest({m}.n_words, 1L)").alias("rep_pm"),
+        F.expr(f"1000 * {m}.n_adjacent div greatest({m}.n_words, 1L)").alias("adj_pm"),
         F.expr(f"100 * {m}.word_chars div greatest({m}.n_words, 1L)").alias("len_pc"),
     )), m
 
@@ -179,10 +180,11 @@ again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
 m AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
+    len(list_filter(w, lambda x, k: k > 1 AND x = w[k - 1])) AS n_adjacent
   FROM t LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS sym_pm,
-    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_pm, 1000 * n_repeat_words // greatest(n_words, 1) AS rep_pm, 100 * word_chars // greatest(n_words, 1) AS len_pc FROM m),
+    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_pm, 1000 * n_adjacent // greatest(n_words, 1) AS adj_pm, 100 * word_chars // greatest(n_words, 1) AS len_pc FROM m),
 h AS (SELECT lang, source, p.measure AS measure, p.bin AS bin, count(*) AS n FROM (SELECT lang, source, unnest([{every}]) AS p FROM b WHERE NOT base_failed) GROUP BY ALL),
 {fences('o1', 'lang, source', 'h')},
 {fences('l1', 'lang', 'h')},
