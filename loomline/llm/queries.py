@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomline.llm import exact_dedup, quality_rules
+from loomline.llm import bpe, exact_dedup, quality_rules
 
 QUERIES = {
+    "op1_bpe_automaton": bpe.op1_bpe_automaton,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op9_block_naming": exact_dedup.op9_block_naming,
 }
