@@ -23,13 +23,14 @@ BLOCK_CHARS = 2048
 NOTHING = -1
 
 
-def _normal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, text_col: str, block_chars: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.length(text).cast("long").alias("points"),
-        F.regexp_replace(text, WS + "+", "").alias("norm"),
-    ).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    norm = docs.withColumn("norm", F.regexp_replace(text, WS + "+", "")).withColumn("points", F.length(text).cast("long"))
+    return norm.withColumn("blocks", F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
+
+
+def _route(block, hash_bits: int):
+    return F.shiftright(F.xxhash64(block), 64 - hash_bits)
 
 
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
@@ -38,11 +39,9 @@ def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
     return durable(ranked.withColumn("name", F.monotonically_increasing_id()))
 
 
-def _named_blocks(normal: DataFrame, block_chars: int, hash_bits: int) -> DataFrame:
+def _named_blocks(cut: DataFrame, light: DataFrame, hash_bits: int) -> DataFrame:
     """(doc_id, sha, n, i, name): the blocks of each document under integer names."""
-    cut = normal.withColumn("blocks", F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
-    rows = cut.select("doc_id", "sha", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("i", "block"))
-    rows = rows.withColumn("h", F.shiftright(F.xxhash64("block"), 64 - hash_bits))
+    rows = cut.select("doc_id", "norm", F.explode("blocks").alias("block")).withColumn("h", _route("block", hash_bits))
     # One row for each hash; its set has one block unless the hash collides.
     sets = rows.groupBy("h").agg(F.sort_array(F.collect_set("block")).alias("set"))
     names = _numbered(
@@ -51,27 +50,30 @@ def _named_blocks(normal: DataFrame, block_chars: int, hash_bits: int) -> DataFr
         "h", "tie",
     )
     alone = names.filter("shared = 1").select("h", "name")
-    light = rows.select("doc_id", "sha", "n", F.col("i").cast("long").alias("i"), "h")
-    named = light.join(alone, "h")
+    placed = light.select("doc_id", "sha", F.size("hs").cast("long").alias("n"), F.posexplode("hs").alias("i", "h"))
+    named = placed.join(alone, "h")
     clashing = names.filter("shared > 1").select("h", "block", "name")
     if not clashing.isEmpty():
-        named = named.unionByName(rows.join(clashing, ["h", "block"]).drop("block"))
+        full = cut.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("i", "block"))
+        named = named.unionByName(full.withColumn("h", _route("block", hash_bits)).join(clashing, ["h", "block"]).drop("block"))
     return named.select("doc_id", "sha", "n", F.col("i").cast("long").alias("i"), "name")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               block_chars: int = BLOCK_CHARS, hash_bits: int = 64) -> DataFrame:
-    """(doc_id, sha, level, name): one row for each pair of id and normalised text."""
-    normal = _normal(docs, id_col, text_col)
-    seq = durable(_named_blocks(normal, block_chars, hash_bits).distinct())
-    empty = normal.filter("norm = ''").select("doc_id", "sha").distinct()
-    ended = [empty.select("doc_id", "sha", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))]
+def _identities(docs: DataFrame, id_col: str, text_col: str, block_chars: int, hash_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, points, sha, hs) for each row, and (doc_id, sha, level, name) for each id and normalised text."""
+    cut = _blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", block_chars)
+    light = durable(cut.select(
+        "doc_id", "points", F.unhex(F.sha2("norm", 256)).alias("sha"),
+        F.transform("blocks", lambda b: _route(b, hash_bits)).alias("hs")))
+    seq = durable(_named_blocks(cut, light.dropDuplicates(["doc_id", "sha"]), hash_bits).distinct())
+    empty = light.filter("size(hs) = 0").select("doc_id", "sha").distinct()
+    ended = empty.select("doc_id", "sha", F.lit(-1).alias("level"), F.lit(0).cast("long").alias("name"))
     level = 0
     while True:
-        ended.append(seq.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name"))
+        ended = ended.unionByName(seq.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name"))
         rest = seq.filter("n > 1")
         if rest.isEmpty():
-            break
+            return light, ended
         pairs = (
             rest.groupBy("doc_id", "sha", "n", F.expr("i div 2").alias("i"))
             .agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("l"),
@@ -82,10 +84,6 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs.join(names, ["l", "r"]).select("doc_id", "sha", F.expr("(n + 1) div 2").alias("n"), "i", "name")
         )
         level += 1
-    out = ended[0]
-    for df in ended[1:]:
-        out = out.unionByName(df)
-    return out
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -97,11 +95,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last. If the same doc_id comes with the same text more than once, one such row stays
     (`nth` numbers rows of equal id and normalised text). Other columns are not read.
     """
-    named = identities(docs, id_col, text_col, block_chars, hash_bits)
-    rows = _normal(docs, id_col, text_col).drop("norm")
+    rows, named = _identities(docs, id_col, text_col, block_chars, hash_bits)
     same = (F.col("doc_id").eqNullSafe(F.col("id2"))) & (F.col("sha") == F.col("sha2"))
     rows = durable(
-        rows.join(named.select(F.col("doc_id").alias("id2"), F.col("sha").alias("sha2"), "level", "name"), same)
+        rows.drop("hs").join(named.select(F.col("doc_id").alias("id2"), F.col("sha").alias("sha2"), "level", "name"), same)
         .select("doc_id", "points", "sha", "level", "name")
     )
     groups = rows.groupBy("level", "name").agg(
