@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.common import mapped, schema_with
+
 END = "</w>"
 #: Bound of a worker's memory of words; past it the worker starts again.
 WORDS_KEPT = 400_000
@@ -201,7 +203,7 @@ def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
         for batch in batches:
             yield make(batch)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -219,7 +221,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
         ids = [auto.encode(t.as_py()) for t in batch.column(k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, ids_col])
 
-    schema = docs.schema.add(ids_col, "array<int>")
+    schema = schema_with(docs, ids_col, "array<int>")
     return _mapped(docs, schema, make)
 
 
@@ -235,7 +237,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "decoded", p
         texts = [auto.decode(x.as_py() or ()) for x in batch.column(k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return _mapped(tokens, tokens.schema.add(text_col, "string"), make)
+    return _mapped(tokens, schema_with(tokens, text_col, "string"), make)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the operators know, as a character class of Java, RE2 and Python.
 WS = r"[\x20\x09-\x0D]"
@@ -83,3 +86,36 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The frame's schema and one more column; the frame's own is left as it is."""
+    return T.StructType(list(df.schema.fields)).add(name, kind)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent.parent
+        out = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(out))
+        _SHIPPED.add(sc.applicationId)
+
+
+def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def grouped(groups, run, schema: T.StructType | str, spark: SparkSession) -> DataFrame:
+    """applyInArrow of grouped data with this package at hand on the executors."""
+    ship(spark)
+    return groups.applyInArrow(run, schema)
