@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomline.llm import bpe, exact_dedup, mixing, quality_rules, simhash, token_counts
+from loomline.llm import bpe, exact_dedup, mixing, pu_quality, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_bpe_automaton": bpe.op1_bpe_automaton,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_pu_quality": pu_quality.op4_pu_quality,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_block_naming": exact_dedup.op9_block_naming,
