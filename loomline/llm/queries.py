@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import bpe, exact_dedup, mixing, pu_quality, quality_rules, simhash, token_counts
+from loomline.llm import bpe, exact_dedup, html_text, mixing, pu_quality, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_bpe_automaton": bpe.op1_bpe_automaton,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_pu_quality": pu_quality.op4_pu_quality,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.op9_block_naming,
 }
 
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.OP9_SQL,
 }
