@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import bpe, exact_dedup, html_text, mixing, pu_quality, quality_rules, simhash, token_counts
+from loomline.llm import bpe, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, simhash, suffix_levels, token_counts
 
 QUERIES = {
     "op1_bpe_automaton": bpe.op1_bpe_automaton,
@@ -11,12 +11,15 @@ QUERIES = {
     "op4_pu_quality": pu_quality.op4_pu_quality,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_prefix_trees": prefix_trees.op7_prefix_trees,
     "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.op9_block_naming,
+    "op10_suffix_levels": suffix_levels.op10_suffix_levels,
 }
 
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op7_prefix_trees": prefix_trees.op7_prefix_trees,
     "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.OP9_SQL,
 }
