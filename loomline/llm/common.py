@@ -90,7 +90,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The frame's schema and one more column; the frame's own is left as it is."""
-    return T.StructType(list(df.schema.fields)).add(name, kind)
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
 _SHIPPED: set[str] = set()

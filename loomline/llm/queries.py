@@ -19,7 +19,6 @@ QUERIES = {
 
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
-    "op7_prefix_trees": prefix_trees.op7_prefix_trees,
-    "op8_html_text": html_text.op8_html_text,
+    "op7_prefix_trees": prefix_trees.OP7_SQL,
     "op9_block_naming": exact_dedup.OP9_SQL,
 }
