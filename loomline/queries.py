@@ -1,5 +1,399 @@
-"""Queries of the library's own operators."""
+"""Queries of the library's own operators over projections of the driver's tables, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from loomline.functions import scalars as S
+from loomline.operators import graph, hashing, listing, pairing, redact, segments as seg, sequences as seq
+from loomline.plans import projections as P
+from loomline.sources import jsonl
+
+FLAGSHIP = "unmatched_tool_calls"
 QUERIES: dict = {}
 SQL: dict = {}
-FLAGSHIP = ""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pair_sql(session: str, source: str = "ev2") -> str:
+    on = " AND ".join(f"a.{c} = b.{c}" for c in session.split(", "))
+    return f"""
+calls AS (SELECT * FROM {source} WHERE kind = 'tool_call'),
+results AS (SELECT * FROM {source} WHERE kind = 'tool_result'),
+named AS (SELECT a.* FROM calls a WHERE EXISTS (SELECT 1 FROM results b WHERE {on} AND b.for_id = a.id)),
+free_calls AS (SELECT a.* FROM calls a WHERE NOT EXISTS (SELECT 1 FROM results b WHERE {on} AND b.for_id = a.id)),
+free_results AS (SELECT a.* FROM results a WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE {on} AND a.for_id = b.id)),
+nc AS (SELECT *, row_number() OVER (PARTITION BY {session}, call_id ORDER BY ord) AS rn FROM free_calls),
+nr AS (SELECT *, row_number() OVER (PARTITION BY {session}, call_id ORDER BY ord) AS rn FROM free_results),
+by_call AS (SELECT a.*, b.id AS r_id FROM nc a JOIN nr b ON {on} AND a.call_id = b.call_id AND a.rn = b.rn),
+rest AS (SELECT {session}, ord, id, 1 AS step FROM nc WHERE id NOT IN (SELECT id FROM by_call)
+  UNION ALL SELECT {session}, ord, id, -1 FROM nr WHERE id NOT IN (SELECT r_id FROM by_call)),
+raw AS (SELECT *, sum(step) OVER (PARTITION BY {session} ORDER BY ord) AS raw FROM rest),
+depth AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY {session} ORDER BY ord)) AS d FROM raw),
+low AS (SELECT *, min(d) OVER (PARTITION BY {session} ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS low FROM depth),
+paired AS (SELECT {session}, ord, id, 'by_id' AS method FROM named UNION ALL SELECT {session}, ord, id, 'by_call_id' FROM by_call
+  UNION ALL SELECT {session}, ord, id, CASE WHEN low IS NULL OR low >= d THEN NULL ELSE 'nearest' END FROM low WHERE step = 1)"""
+
+
+@query(f"""WITH {P.TOOL_STREAM},
+ev2 AS (SELECT *, CAST(NULL AS BIGINT) AS for_id FROM ev WHERE (user_id, day) NOT IN (SELECT (user_id, day) FROM ev WHERE kind = 'session_end')),{_pair_sql('user_id, day')}
+SELECT user_id, day, id AS event_id, 'unmatched_tool_call_at_eof' AS code FROM paired WHERE method IS NULL""")
+def unmatched_tool_calls(spark, sf_dir):
+    """Calls that never got a result, by user and day."""
+    entries = P.tool_stream(spark, sf_dir).withColumn("for_id", F.lit(None).cast("long"))
+    return pairing.unmatched_calls(entries, ["user_id", "day"]).select("user_id", "day", F.col("id").alias("event_id"), "code")
+
+
+@query(f"""WITH {P.TOOL_STREAM},
+ev2 AS (SELECT *, CASE WHEN kind = 'tool_result' AND call_id % 5 = 0 THEN max(CASE WHEN kind = 'tool_call' THEN id END)
+  OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS for_id FROM ev),{_pair_sql('user_id')}
+SELECT user_id, id AS event_id, method FROM paired""")
+def pairing_methods(spark, sf_dir):
+    entries = P.with_for_id(P.tool_stream(spark, sf_dir), ["user_id"])
+    return pairing.pair_calls(entries, ["user_id"]).select("user_id", F.col("id").alias("event_id"), "method")
+
+
+@query(f"""WITH {P.TOOL_STREAM}
+SELECT r.user_id, r.id AS event_id, r.call_id, (SELECT max(c.id) FROM ev c WHERE c.kind = 'tool_call' AND c.user_id = r.user_id AND c.call_id = r.call_id AND c.ord < r.ord) AS for_id
+FROM ev r WHERE r.kind = 'tool_result'""")
+def result_links(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir)
+    out = pairing.link_calls(e.filter("kind = 'tool_result'"), e.filter("kind = 'tool_call'"), ["user_id"])
+    return out.select("user_id", F.col("r_id").cast("long").alias("event_id"), "call_id", "for_id")
+
+
+@query("""SELECT file, line, id, first_line FROM (
+  SELECT o_custkey // 10 AS file, o_orderkey AS line, o_custkey % 10 AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_line FROM orders) WHERE line > first_line""")
+def duplicate_ids(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.expr("o_custkey div 10").alias("file"), F.col("o_orderkey").alias("line"), (F.col("o_custkey") % 10).alias("id"))
+    return graph.duplicate_ids(o, ["file"])
+
+
+@query("""WITH r AS (SELECT o_custkey AS file, o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - o_orderkey % 11 END AS parent_id FROM orders)
+SELECT file, id, parent_id FROM r WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r s WHERE s.file = r.file AND s.id = r.parent_id)""")
+def unknown_parents(spark, sf_dir):
+    parent = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") - F.col("o_orderkey") % 11)
+    r = P.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("id"), parent.alias("parent_id"))
+    return graph.unknown_parents(r, ["file"]).select("file", "id", "parent_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey // 50 AS file, c_custkey % 50 AS id, (c_custkey % 50 * 7919 + 13 + c_custkey // 50) % 53 AS parent_id FROM customer),
+walk AS (SELECT file, id, parent_id AS up, 1 AS n FROM e UNION ALL SELECT w.file, w.id, e.parent_id, n + 1 FROM walk w JOIN e ON w.file = e.file AND w.up = e.id WHERE n < 60 AND w.up <> w.id)
+SELECT DISTINCT file, id FROM walk WHERE up = id""")
+def parent_cycles(spark, sf_dir):
+    c = P.read(spark, sf_dir, "customer")
+    file, ident = F.expr("c_custkey div 50"), F.col("c_custkey") % 50
+    e = c.select(file.alias("file"), ident.alias("id"), ((ident * 7919 + 13 + file) % 53).alias("parent_id"))
+    return graph.cyclic_ids(e, ["file"], 50)
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey // 2 > 0 THEN p_partkey // 2 END AS parent_id, p_size % 3 = 0 AS mapped FROM part),
+walk AS (SELECT id, parent_id AS at FROM n UNION ALL SELECT w.id, n.parent_id FROM walk w JOIN n ON w.at = n.id WHERE NOT n.mapped)
+SELECT w.id, max(CASE WHEN n.mapped THEN n.id END) AS ancestor FROM walk w LEFT JOIN n ON w.at = n.id GROUP BY w.id""")
+def nearest_ancestors(spark, sf_dir):
+    half = F.expr("p_partkey div 2")
+    n = P.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(half > 0, half).alias("parent_id"), (F.col("p_size") % 3 == 0).alias("mapped"))
+    return graph.nearest_ancestors(n)
+
+
+@query("""WITH RECURSIVE n AS (SELECT s_suppkey AS id, s_suppkey // 3 AS parent_id FROM supplier WHERE s_suppkey // 3 > 0),
+c AS (SELECT parent_id AS ancestor, id, 1 AS depth FROM n UNION ALL SELECT n.parent_id, c.id, depth + 1 FROM c JOIN n ON c.ancestor = n.id) SELECT ancestor, id, CAST(depth AS INTEGER) AS depth FROM c""")
+def lineage_closure(spark, sf_dir):
+    third = F.expr("s_suppkey div 3")
+    e = P.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(third > 0, third).alias("parent_id"))
+    return graph.closure(e)
+
+
+@query(f"""WITH {P.MESSAGES}, g AS (SELECT *, sum(CASE WHEN type = 'session' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS group_idx FROM msg)
+SELECT file, line, type, CAST(group_idx AS BIGINT) AS group_idx, group_idx = 0 AS orphan FROM g""")
+def session_groups(spark, sf_dir):
+    return seq.session_groups(P.messages(spark, sf_dir), ["file"]).select("file", F.col("line").cast("long").alias("line"), "type", "group_idx", "orphan")
+
+
+@query(f"""WITH {P.SEGMENTS}, l AS (SELECT *, max(ts) OVER (PARTITION BY session_uid ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM seg)
+SELECT session_uid, source, ts, latest FROM l WHERE ts < latest""")
+def out_of_order_headers(spark, sf_dir):
+    return seq.out_of_order(P.segments(spark, sf_dir), ["session_uid"], "source").select("session_uid", "source", "ts", "latest")
+
+
+@query(f"""WITH {P.SEGMENTS}, l AS (SELECT *, first_value(revision IGNORE NULLS) OVER (PARTITION BY session_uid ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_value FROM seg)
+SELECT session_uid, source, revision, first_value FROM l WHERE revision <> first_value""")
+def vcs_divergence(spark, sf_dir):
+    return seq.diverging(P.segments(spark, sf_dir), ["session_uid"], "revision", "source").select("session_uid", "source", "revision", "first_value")
+
+
+@query(f"""WITH {P.SEGMENTS}, f AS (SELECT source, source - source % 4 AS forked_from, content_hash AS claimed FROM seg WHERE source % 4 <> 0)
+SELECT f.source, f.forked_from FROM f JOIN seg s ON s.source = f.forked_from WHERE f.claimed <> s.content_hash""")
+def fork_hash_mismatch(spark, sf_dir):
+    s = P.segments(spark, sf_dir)
+    f = s.filter("source % 4 <> 0").select("source", F.expr("source - source % 4").alias("forked_from"), F.col("content_hash").alias("claimed"))
+    return f.join(s.select(F.col("source").alias("forked_from"), "content_hash"), "forked_from").filter("claimed <> content_hash").select("source", "forked_from")
+
+
+@query(f"""WITH {P.SEGMENTS}, a AS (SELECT session_uid, source % 5 AS agent, row_number() OVER (PARTITION BY session_uid ORDER BY source) AS place FROM seg),
+m AS (SELECT session_uid, source % 3 AS agent, row_number() OVER (PARTITION BY session_uid ORDER BY source DESC) AS place FROM seg)
+SELECT a.session_uid, a.place, a.agent, m.agent AS listed FROM a JOIN m USING (session_uid, place) WHERE a.agent <> m.agent""")
+def manifest_drift(spark, sf_dir):
+    s = P.segments(spark, sf_dir)
+    listed = s.groupBy("session_uid").agg(F.transform(F.reverse(F.array_sort(F.collect_list("source"))), lambda x: x % 3).alias("m")).select("session_uid", F.posexplode("m").alias("at", "listed"))
+    have = s.withColumn("place", F.row_number().over(W.partitionBy("session_uid").orderBy("source"))).select("session_uid", "place", (F.col("source") % 5).alias("agent"))
+    return have.join(listed.select("session_uid", (F.col("at") + 1).alias("place"), "listed"), ["session_uid", "place"]).filter("agent <> listed").select("session_uid", F.col("place").cast("long").alias("place"), "agent", "listed")
+
+
+@query(f"""WITH {P.SEGMENTS}, e AS (SELECT *, greatest(1, coalesce(1 + max(seq) OVER (PARTITION BY session_uid ORDER BY seq, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS expected FROM seg)
+SELECT session_uid, source, seq, expected, CASE WHEN seq > expected THEN 'segment_seq_gap' ELSE 'segment_seq_duplicate' END AS code FROM e WHERE seq <> expected""")
+def segment_seq_warnings(spark, sf_dir):
+    return seg.seq_warnings(P.segments(spark, sf_dir))
+
+
+@query(f"""WITH {P.SEGMENTS}, l AS (SELECT *, row_number() OVER w AS place, lag(content_hash) OVER w AS prior FROM seg WINDOW w AS (PARTITION BY session_uid ORDER BY seq, source)),
+c AS (SELECT session_uid, source, seq, CASE WHEN NOT has_prev THEN NULL WHEN prev_content_hash IS NULL OR prior IS NULL THEN 'segment_chain_unverifiable' WHEN prev_content_hash <> prior THEN 'segment_chain_mismatch' END AS code FROM l WHERE place > 1)
+SELECT * FROM c WHERE code IS NOT NULL""")
+def segment_chain_warnings(spark, sf_dir):
+    return seg.chain_warnings(P.segments(spark, sf_dir))
+
+
+@query(f"""WITH {P.SEGMENTS}, l AS (SELECT *, first_value(agent) OVER (PARTITION BY session_uid ORDER BY seq, source) AS f FROM seg) SELECT session_uid, source, 'agent' AS field FROM l WHERE agent <> f""")
+def stable_field_divergence(spark, sf_dir):
+    return seg.stable_field_warnings(P.segments(spark, sf_dir), ("agent",))
+
+
+@query("""WITH e AS (SELECT l_partkey AS session_uid, l_orderkey % 3 AS seq, l_orderkey AS source, l_linenumber * 100000 + l_suppkey AS line, CASE WHEN l_linenumber < 6 THEN l_suppkey END AS id,
+    CASE WHEN l_returnflag = 'R' THEN 'session_terminated' ELSE 'user_message' END AS type, CASE WHEN l_linestatus = 'F' THEN 'process_terminated' END AS reason FROM lineitem),
+b AS (SELECT *, max(seq * 100000000 + source) OVER (PARTITION BY session_uid) AS last FROM e),
+k AS (SELECT * FROM b WHERE seq * 100000000 + source = last OR NOT (type = 'session_terminated' AND coalesce(reason, '') = 'process_terminated')),
+d AS (SELECT *, row_number() OVER (PARTITION BY session_uid, id ORDER BY seq, source, line) AS nth FROM k)
+SELECT session_uid, source, line, id, row_number() OVER (PARTITION BY session_uid ORDER BY seq, source, line) AS ord FROM d WHERE nth = 1 OR id IS NULL""")
+def merge_dedup(spark, sf_dir):
+    e = P.read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("session_uid"), (F.col("l_orderkey") % 3).alias("seq"), F.col("l_orderkey").alias("source"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("line"),
+        F.when(F.col("l_linenumber") < 6, F.col("l_suppkey")).alias("id"), F.when(F.col("l_returnflag") == "R", "session_terminated").otherwise("user_message").alias("type"),
+        F.when(F.col("l_linestatus") == "F", "process_terminated").alias("reason"))
+    return seg.merge_events(e).select("session_uid", "source", "line", "id", F.col("ord").cast("long").alias("ord"))
+
+
+@query(f"""WITH {P.SEGMENTS} SELECT session_uid, count(*) AS segments, arg_min(ts, seq * 100000000 + source) AS ts, arg_max(revision, seq * 100000000 + source) FILTER (revision IS NOT NULL) AS revision FROM seg GROUP BY session_uid""")
+def merged_headers(spark, sf_dir):
+    return seg.merged_headers(P.segments(spark, sf_dir), ["ts"], ["revision"])
+
+
+_TURNS = f"""{P.TOOL_STREAM}, t AS (SELECT user_id, ord, CASE WHEN call_id % 4 <> 0 THEN CAST(floor(value) AS BIGINT) END AS input_tokens, CASE WHEN call_id % 6 <> 0 THEN call_id END AS output_tokens,
+  CASE WHEN call_id % 17 = 0 THEN call_id * 1000 END AS i_c, CASE WHEN call_id % 19 = 0 THEN call_id * 500 END AS o_c FROM ev WHERE kind = 'agent_message')"""
+
+
+@query(f"""WITH {_TURNS}, g AS (SELECT *, count(i_c) OVER (PARTITION BY user_id ORDER BY ord) AS ie, count(o_c) OVER (PARTITION BY user_id ORDER BY ord) AS oe FROM t),
+r AS (SELECT *, sum(coalesce(i_c, input_tokens, 0)) OVER (PARTITION BY user_id, ie ORDER BY ord) AS i, sum(coalesce(o_c, output_tokens, 0)) OVER (PARTITION BY user_id, oe ORDER BY ord) AS o FROM g)
+SELECT user_id, ord, input_tokens, output_tokens,
+  CAST(CASE WHEN i_c IS NOT NULL OR o_c IS NOT NULL THEN i_c WHEN input_tokens IS NOT NULL OR output_tokens IS NOT NULL THEN i END AS BIGINT) AS input_tokens_cumulative,
+  CAST(CASE WHEN i_c IS NOT NULL OR o_c IS NOT NULL THEN o_c WHEN input_tokens IS NOT NULL OR output_tokens IS NOT NULL THEN o END AS BIGINT) AS output_tokens_cumulative FROM r""")
+def cumulative_tokens(spark, sf_dir):
+    k = F.col("call_id")
+    t = P.tool_stream(spark, sf_dir).filter("kind = 'agent_message'").select(
+        "user_id", "ord", F.when(k % 4 != 0, F.floor("value").cast("long")).alias("input_tokens"), F.when(k % 6 != 0, k).alias("output_tokens"),
+        F.when(k % 17 == 0, k * 1000).alias("input_tokens_cumulative"), F.when(k % 19 == 0, k * 500).alias("output_tokens_cumulative"))
+    return seq.cumulative_tokens(t, ["user_id"])
+
+
+@query(f"""WITH {P.TOOL_STREAM}, e AS (SELECT user_id, ord, CASE kind WHEN 'session_end' THEN 'user_message' WHEN 'agent_message' THEN 'agent_message' ELSE 'token_count' END AS kind, call_id FROM ev),
+t AS (SELECT *, sum(CASE WHEN kind = 'user_message' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ord) AS turn FROM e),
+g AS (SELECT *, max(CASE WHEN kind = 'agent_message' THEN ord END) OVER (PARTITION BY user_id, turn ORDER BY ord) AS target FROM t),
+u AS (SELECT user_id, target, arg_max(call_id, ord) AS usage FROM g WHERE kind = 'token_count' AND target IS NOT NULL GROUP BY ALL)
+SELECT e.user_id, e.ord, u.usage FROM e LEFT JOIN u ON e.user_id = u.user_id AND e.ord = u.target WHERE e.kind = 'agent_message'""")
+def token_rollup(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir)
+    kind = F.when(F.col("kind") == "session_end", "user_message").when(F.col("kind") == "agent_message", "agent_message").otherwise("token_count")
+    return seq.rollup_usage(e.select("user_id", "ord", kind.alias("kind"), F.col("call_id").alias("usage")), ["user_id"]).select("user_id", "ord", "usage")
+
+
+@query(f"""WITH {P.TOOL_STREAM}, m AS (SELECT user_id, ord, CASE WHEN call_id % 3 <> 0 THEN 'm' || (call_id % 4) END AS model FROM ev),
+p AS (SELECT *, last_value(model IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM m)
+SELECT user_id, ord, model, previous FROM p WHERE previous IS NOT NULL AND model <> previous""")
+def model_changes(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir).select("user_id", "ord", F.when(F.col("call_id") % 3 != 0, F.concat(F.lit("m"), F.col("call_id") % 4)).alias("model"))
+    return seq.changes(e, ["user_id"], "model")
+
+
+@query(f"""WITH {P.TOOL_STREAM}, m AS (SELECT user_id, ord, CASE WHEN call_id % 3 <> 0 THEN CAST(day AS VARCHAR) END AS ts FROM ev)
+SELECT user_id, ord, coalesce(last_value(ts IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '1970-01-01') AS ts FROM m""")
+def carried_timestamps(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir).select("user_id", "ord", F.when(F.col("call_id") % 3 != 0, F.col("day").cast("string")).alias("ts"))
+    return seq.carried_forward(e, ["user_id"], "ts", F.lit("1970-01-01"))
+
+
+@query(f"""WITH {P.TOOL_STREAM}, l AS (SELECT user_id, ord, kind, call_id % 3 AS turn, lag(kind) OVER (PARTITION BY user_id ORDER BY ord) AS p FROM ev),
+e AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> kind THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ord) AS epoch FROM l)
+SELECT user_id, ord, CAST(epoch AS BIGINT) AS epoch, turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch, turn ORDER BY ord) AS n FROM e) WHERE n = 1""")
+def reasoning_dedupe(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir).select("user_id", "ord", "kind", (F.col("call_id") % 3).alias("turn"))
+    return seq.first_in_epoch(e, ["user_id"], "kind", F.col("turn")).select("user_id", "ord", F.col("epoch").cast("long").alias("epoch"), "turn")
+
+
+@query(f"""WITH {P.TOOL_STREAM} SELECT user_id, id, CASE WHEN call_id % 4 = 0 THEN call_id WHEN call_id % 4 = 1 THEN NULL ELSE lag(id) OVER (PARTITION BY user_id ORDER BY ord) END AS parent_id FROM ev""")
+def parent_chain(spark, sf_dir):
+    e = P.tool_stream(spark, sf_dir).withColumn("has_parent", F.col("call_id") % 4 < 2).withColumn("parent_id", F.when(F.col("call_id") % 4 == 0, F.col("call_id")))
+    return seq.parent_chain(e, ["user_id"]).select("user_id", "id", "parent_id")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, '{"id":' || (conv_id * 100 + turn) || ',"role":"' || role || '","turn":' || turn || '}' AS canon FROM conversations)
+SELECT conv_id, sha256(string_agg(canon, chr(10) ORDER BY turn) || chr(10)) AS content_hash FROM c GROUP BY conv_id""")
+def content_hashes(spark, sf_dir):
+    c = P.read(spark, sf_dir, "conversations")
+    raw = F.to_json(F.struct("role", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id")))
+    return hashing.content_hash(hashing.with_canonical(c.select("conv_id", "turn", raw.alias("raw")), "raw"), ["conv_id"], order="turn")
+
+
+@query(f"""WITH {P.SEGMENTS}, v AS (SELECT source, CASE source % 5 WHEN 0 THEN NULL WHEN 1 THEN '<pending>' WHEN 2 THEN 'xyz' WHEN 3 THEN content_hash ELSE sha256('x') END AS expected, sha256(CAST(source AS VARCHAR)) AS actual FROM seg)
+SELECT source, CASE WHEN expected IS NULL THEN 'missing' WHEN expected = '<pending>' THEN 'pending' WHEN NOT regexp_matches(expected, '^[a-f0-9]{{64}}$') THEN 'invalid' WHEN expected = actual THEN 'match' ELSE 'mismatch' END AS verdict FROM v""")
+def hash_verdicts(spark, sf_dir):
+    s = P.segments(spark, sf_dir)
+    k = F.col("source") % 5
+    expected = F.when(k == 0, None).when(k == 1, "<pending>").when(k == 2, "xyz").when(k == 3, F.col("content_hash")).otherwise(F.sha2(F.lit("x"), 256))
+    return s.select("source", hashing.verdict(expected, F.sha2(F.col("source").cast("string"), 256)).alias("verdict"))
+
+
+_NS = S.NAMESPACES["codex/entry"]
+
+
+@query(f"""WITH d AS (SELECT conv_id, turn, sha1(unhex('{_NS.replace('-', '')}') || encode(conv_id || chr(31) || turn || chr(31) || role)) AS h FROM conversations)
+SELECT conv_id, turn, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM d""")
+def uuid5_ids(spark, sf_dir):
+    return P.read(spark, sf_dir, "conversations").select("conv_id", "turn", S.entry_id(_NS, "conv_id", "turn", "role").alias("id"))
+
+
+@query("""WITH u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '{"inputTokens":' || o_orderkey || ',"output_tokens":-4}' WHEN o_orderkey % 3 = 1 THEN '{"input_tokens":' || o_custkey || ',"cacheReadTokens":7}' ELSE '{"service_tier":"x"}' END AS j, o_custkey FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey WHEN 1 THEN o_custkey END AS input_tokens, CASE WHEN o_orderkey % 3 = 1 THEN 7 END AS cache_read_tokens, o_orderkey % 3 < 2 AS has_usage FROM u""")
+def usage_pick(spark, sf_dir):
+    k = F.col("o_orderkey")
+    j = F.when(k % 3 == 0, F.concat(F.lit('{"inputTokens":'), k, F.lit(',"output_tokens":-4}'))).when(k % 3 == 1, F.concat(F.lit('{"input_tokens":'), F.col("o_custkey"), F.lit(',"cacheReadTokens":7}'))).otherwise('{"service_tier":"x"}')
+    u = P.read(spark, sf_dir, "orders").select("o_orderkey", S.usage(j).alias("u"))
+    return u.select("o_orderkey", "u.input_tokens", F.col("u.cache_read_tokens").cast("int").alias("cache_read_tokens"), F.col("u").isNotNull().alias("has_usage"))
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'git@' || regexp_extract(url, '//([^/]*)', 1) || ':a/b.git' WHEN 2 THEN regexp_replace(url, '^https?://', 'ssh://me@') ELSE regexp_replace(url, '://', '://u:p@') || '.git' END AS raw,
+  regexp_extract(url, '//([^/]*)', 1) AS host, url FROM pages)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://' || host || '/a/b' WHEN 2 THEN regexp_replace(regexp_replace(url, '^https?://', 'https://'), '[?#].*$', '') ELSE CASE WHEN contains(url, '?') OR contains(url, '#') THEN url || '.git' ELSE url END END AS url, page_id % 4 = 3 AS credentials FROM u""")
+def url_normalize(spark, sf_dir):
+    u, k = F.col("url"), F.col("page_id") % 4
+    host = F.regexp_extract(u, "//([^/]*)", 1)
+    raw = F.when(k == 0, u).when(k == 1, F.concat(F.lit("git@"), host, F.lit(":a/b.git"))).when(k == 2, F.regexp_replace(u, "^https?://", "ssh://me@")).otherwise(F.concat(F.regexp_replace(u, "://", "://u:p@"), F.lit(".git")))
+    return P.read(spark, sf_dir, "pages").select("page_id", S.normalize_remote_url(raw).alias("url"), S.has_embedded_credentials(raw).alias("credentials"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[A-Za-z0-9_./@:+=-]+$') THEN text ELSE chr(39) || replace(text, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END AS quoted FROM conversations""")
+def shell_quote(spark, sf_dir):
+    return P.read(spark, sf_dir, "conversations").select("conv_id", "turn", S.shell_quote("text").alias("quoted"))
+
+
+@query("""SELECT event_id, strftime(epoch_ms(event_id * 86400123), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(event_id * 86400123 % 1000 AS VARCHAR), 3, '0') || 'Z' AS ts FROM events""")
+def iso_timestamps(spark, sf_dir):
+    return P.read(spark, sf_dir, "events").select("event_id", S.iso_from_millis(F.col("event_id") * 86400123).alias("ts"))
+
+
+@query("""SELECT conv_id, turn, trim(text, ' ·' || chr(10)) AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '· ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || '· ' END AS text FROM conversations)""".replace("\\\\", "\\"))
+def spinner_strip(spark, sf_dir):
+    plain = S.squeeze("text")
+    noisy = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("· "), plain)).otherwise(F.concat(plain, F.lit("\n· ")))
+    return P.read(spark, sf_dir, "conversations").select("conv_id", "turn", S.strip_spinner(noisy).alias("text"))
+
+
+def _redact_sql(expr: str) -> str:
+    for _, pattern, put in redact.ALL:
+        expr = f"regexp_replace({expr}, '{pattern}', '{put}', 'g')"
+    return expr
+
+
+def _count_sql() -> str:
+    expr, parts = "coalesce(text, '')", []
+    for name, pattern, put in redact.ALL:
+        parts.append(f"SELECT '{name}' AS pattern, len(regexp_extract_all({expr}, '{pattern}')) AS n FROM documents")
+        expr = f"regexp_replace({expr}, '{pattern}', '{put}', 'g')"
+    return f"SELECT pattern, CAST(sum(n) AS BIGINT) AS n_matches, count(*) AS n_rows FROM ({' UNION ALL '.join(parts)}) WHERE n > 0 GROUP BY pattern"
+
+
+@query(f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
+def redact_text(spark, sf_dir):
+    return P.read(spark, sf_dir, "documents").select("doc_id", redact.redact("text").alias("text"))
+
+
+@query(_count_sql())
+def redact_counts(spark, sf_dir):
+    return redact.count_by_pattern(P.read(spark, sf_dir, "documents"), "text")
+
+
+@query()
+def redact_samples(spark, sf_dir):
+    """The first samples by document, as a report shows them."""
+    return redact.samples(P.read(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN length(lang || source) < 7 THEN '<' || length(lang || source || 'x') || ' chars>' ELSE left(lang || source || 'xyz', 4) || '…' || right(lang || source || 'xyz', 4) END AS masked FROM documents""")
+def mask_samples(spark, sf_dir):
+    both = F.concat("lang", "source")
+    value = F.when(F.length(both) < 7, F.concat(both, F.lit("x"))).otherwise(F.concat(both, F.lit("xyz")))
+    return P.read(spark, sf_dir, "documents").select("doc_id", S.mask(value).alias("masked"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, strlen(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 500 THEN text ELSE (SELECT max_by(left(text, k), k) FROM (SELECT unnest(range(200, 501)) AS k) WHERE strlen(left(text, k)) <= 500 - 15) || chr(10) || '…[truncated]' END AS text FROM d""")
+def truncate_output(spark, sf_dir):
+    return P.read(spark, sf_dir, "documents").select("doc_id", S.truncate_bytes("text", 500).alias("text"))
+
+
+@query("""SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""")
+def list_sessions(spark, sf_dir):
+    e = P.read(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
+    found = listing.bounded(listing.select_sessions(e, kind="click"), "ts", "2024-01-05", "2024-01-20")
+    return listing.latest_first(found, "ts", "event_id").select("event_id", "user_id", "ts")
+
+
+@query("""SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash, o_orderkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)""")
+def prefix_lookup(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("content_hash"), "o_orderkey")
+    wanted = o.orderBy("o_orderkey").first()["content_hash"]
+    return listing.by_prefix(o, "content_hash", wanted[:16])
+
+
+@query("""WITH i AS (SELECT sha256(CAST(o_custkey AS VARCHAR)) AS content_hash, o_orderkey AS registered_at, CAST(o_orderkey AS VARCHAR) AS source_path, o_orderstatus AS session_uid, CASE WHEN o_orderkey % 2 = 0 THEN 'trail' END AS kind FROM orders)
+SELECT content_hash, max(registered_at) AS registered_at, arg_max(source_path, registered_at) AS source_path, arg_max(session_uid, registered_at) AS session_uid, CASE WHEN max(registered_at) % 2 = 0 THEN 'trail' ELSE 'session' END AS kind FROM i GROUP BY content_hash""")
+def store_index(spark, sf_dir):
+    o = P.read(spark, sf_dir, "orders").select(F.sha2(F.col("o_custkey").cast("string"), 256).alias("content_hash"), F.col("o_orderkey").alias("registered_at"), F.col("o_orderkey").cast("string").alias("source_path"),
+                                               F.col("o_orderstatus").alias("session_uid"), F.when(F.col("o_orderkey") % 2 == 0, "trail").alias("kind"))
+    return listing.latest_index(o)
+
+
+@query("""WITH a AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS a FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS b FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL),
+j AS (SELECT coalesce(a.f, b.f) AS f, coalesce(a.n, b.n) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.f = b.f AND a.n = b.n)
+SELECT f, n AS k, verdict, CAST(c AS BIGINT) AS n FROM (SELECT f, n, 'preserved' AS verdict, least(a, b) AS c FROM j UNION ALL SELECT f, n, 'regression', a - least(a, b) FROM j UNION ALL SELECT f, n, 'addition', b - least(a, b) FROM j) WHERE c > 0""")
+def bag_diff(spark, sf_dir):
+    x = P.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("k"), "l_orderkey")
+    return graph.bag_diff(x.filter("l_orderkey % 2 = 0").drop("l_orderkey"), x.filter("l_orderkey % 3 = 0").drop("l_orderkey"), ["f", "k"])
+
+
+@query("""WITH u AS (SELECT event_id AS line, CAST(user_id AS VARCHAR) AS ts, 0 AS reader FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, 1 FROM events WHERE event_type = 'view')
+SELECT line, ts, CAST(reader AS INTEGER) AS reader, row_number() OVER (ORDER BY coalesce(CAST(ts AS DOUBLE), -1), reader, line) AS place FROM u""")
+def merge_by_timestamp(spark, sf_dir):
+    e = P.read(spark, sf_dir, "events")
+    a = e.filter("event_type = 'click'").select(F.col("event_id").alias("line"), F.col("user_id").cast("string").alias("ts"))
+    b = e.filter("event_type = 'view'").select(F.col("event_id").alias("line"), F.lit(None).cast("string").alias("ts"))
+    merged = jsonl.merge_by_timestamp([a, b])
+    # A place in a total order: numbered within ranges of the sorted rows, then shifted by what came before.
+    inner = W.partitionBy("ts").orderBy("reader", "line")
+    n = merged.groupBy("ts").agg(F.count("*").alias("n")).withColumn("at", F.coalesce(F.col("ts").cast("double"), F.lit(-1.0)))
+    start = n.select(F.col("ts").alias("t"), F.coalesce(F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    out = merged.withColumn("nth", F.row_number().over(inner)).join(start, F.col("ts").eqNullSafe(F.col("t")))
+    return out.select("line", "ts", "reader", (F.col("start") + F.col("nth")).alias("place"))
+
+
+@query(f"""WITH {P.TOOL_STREAM} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN call_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS even, count(DISTINCT user_id) AS users FROM ev GROUP BY kind""")
+def usage_by_kind(spark, sf_dir):
+    return P.tool_stream(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("call_id") % 2 == 0).alias("even"), F.count_distinct("user_id").alias("users"))

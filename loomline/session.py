@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "loomline", memory: str = "8g") -> SparkSession:
@@ -17,3 +21,27 @@ def local_session(cpus: int = 8, app: str = "loomline", memory: str = "8g") -> S
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder; a folder of our own only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(out))
+        _SHIPPED.add(sc.applicationId)
