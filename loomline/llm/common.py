@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.session import durable, ship
+
 #: The white space that the operators know, as a character class of Java, RE2 and Python.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -19,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
-
-    A folder of our own is set only where the session names none, as in local tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}
@@ -93,22 +80,6 @@ def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parent.parent
-        out = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(str(out))
-        _SHIPPED.add(sc.applicationId)
-
-
 def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)

@@ -101,7 +101,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
         for batch in batches:
             counts, cuts, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, at, left, spans = unit.cut(text), 0, [], merged(found)
+                words, at, left, spans = text.encode().split(), 0, [], merged(found)
                 for lo, hi in spans:
                     left += words[at:lo]
                     at = hi

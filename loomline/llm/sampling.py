@@ -21,21 +21,103 @@ from loomline.llm.common import mapped
 
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
 AT_ONCE = 1 << 20
+#: Texts whose contexts are cut at once.
+TEXTS_AT_ONCE = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LAST_ID = (1 << 63) - 1
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it gets large."""
+#: Bytes of text whose words are hashed at once.
+CHUNK = 1 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS:
+        for base in (int(_ODD), pow(int(_ODD), -1, 1 << 64)):
+            p = np.full(CHUNK + 2, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS[0], _POWERS[1]
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _hash_words(raw: np.ndarray):
+    """(hash, start, end) of the words of at most CHUNK + 1 bytes that end in white space.
+
+    A word's hash is a polynomial in its bytes, read off prefix sums.
+    """
+    up, down = _powers()
+    space = _SPACE[raw]
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(raw) and not space[0]:
+        turn = np.concatenate([[0], turn])
+    starts, ends = turn[::2], turn[1::2]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h, starts, ends
+
+
+def _segments(raw: bytes):
+    """(position, bytes) of pieces of at most CHUNK bytes, cut at white space; a longer word is a piece of its own."""
+    at = 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        if end < len(raw):
+            back = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if back < 0:
+                found = [k for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (k := raw.find(c, end)) >= 0]
+                end = min(found, default=len(raw))
+            else:
+                end = back + 1
+        yield at, raw[at:end]
+        at = end
+
+
+def word_arrays(raws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, hash, start, end) of the words of each text, in order."""
+    import xxhash
+
+    held: list[int] = []
+    size = 0
+
+    def flush():
+        if held:
+            joined = np.frombuffer(b"\n".join(raws[i] for i in held) + b"\n", np.uint8)
+            h, starts, ends = _hash_words(joined)
+            at = np.cumsum([0, *(len(raws[i]) + 1 for i in held)])
+            cut = np.searchsorted(starts, at)
+            for k, i in enumerate(held):
+                part = slice(cut[k], cut[k + 1])
+                yield i, h[part], starts[part] - at[k], ends[part] - at[k]
+            held.clear()
+
+    for i, raw in enumerate(raws):
+        if len(raw) > CHUNK:
+            yield from flush()
+            size = 0
+            parts = []
+            for at, piece in _segments(raw):
+                if len(piece) > CHUNK:
+                    parts.append((np.array([xxhash.xxh64_intdigest(piece)], np.uint64), np.array([at]), np.array([at + len(piece)])))
+                else:
+                    h, starts, ends = _hash_words(np.frombuffer(piece + b"\n", np.uint8))
+                    parts.append((h, starts + at, ends + at))
+            yield i, *(np.concatenate(x) for x in zip(*parts))
+            continue
+        if size + len(raw) + 1 > CHUNK:
+            yield from flush()
+            size = 0
+        held.append(i)
+        size += len(raw) + 1
+    yield from flush()
 
 
 @dataclass(frozen=True)
@@ -47,14 +129,12 @@ class Words:
     longest: int = 64
     sep: bytes = b" "
 
-    def cut(self, text: str | None) -> list[bytes]:
-        return (text or "").encode().split()
-
-    def symbols(self, cut: list[bytes], known: WordHashes) -> np.ndarray:
-        return np.fromiter(map(known.__getitem__, cut), np.uint64, len(cut))
+    def symbols(self, raws: list[bytes]):
+        """(index, symbols, where each starts, where each ends) of each text."""
+        return word_arrays(raws)
 
-    def part(self, cut: list[bytes], lo: int, hi: int) -> bytes:
-        return b" ".join(cut[lo:hi])
+    def part(self, raw: bytes, starts, ends, lo: int, hi: int) -> bytes:
+        return b" ".join(raw[starts[lo]:ends[hi - 1]].split())
 
 
 @dataclass(frozen=True)
@@ -66,14 +146,11 @@ class Bytes:
     longest: int = 512
     sep: bytes = b""
 
-    def cut(self, text: str | None) -> bytes:
-        return (text or "").encode()
-
-    def symbols(self, cut: bytes, known) -> np.ndarray:
-        return np.frombuffer(cut, np.uint8)
+    def symbols(self, raws: list[bytes]):
+        return ((i, np.frombuffer(raw, np.uint8), None, None) for i, raw in enumerate(raws))
 
-    def part(self, cut: bytes, lo: int, hi: int) -> bytes:
-        return cut[lo:hi]
+    def part(self, raw: bytes, starts, ends, lo: int, hi: int) -> bytes:
+        return raw[lo:hi]
 
 
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * _ODD) ^ ((np.arange(1, 257, dtype=np.uint64) * _MIX) >> np.uint64(17))
@@ -150,9 +227,9 @@ def runs(pieces: list[np.ndarray], window: int, gram: int, longest: int, alone:
     return piece[first], lo - offsets[piece[first]], count, value, more
 
 
-def text_runs(unit, texts: list, known, alone: bool = False):
-    """(row, start, windows, hash, more) of whole texts. A text is cut at multiples of AT_ONCE windows,
-    whatever else is in the batch, so a text always has the same runs."""
+def text_runs(unit, symbols, alone: bool = False):
+    """(row, start, windows, hash, more) of whole texts from unit.symbols(). A text is cut at multiples of
+    AT_ONCE windows, whatever else is in the batch, so a text always has the same runs."""
     pieces, rows, shifts, held = [], [], [], 0
     out = []
 
@@ -164,8 +241,7 @@ def text_runs(unit, texts: list, known, alone: bool = False):
         pieces.clear(), rows.clear(), shifts.clear()
         held = 0
 
-    for i, text in enumerate(texts):
-        a = unit.symbols(text, known)
+    for i, a, *_ in symbols:
         for lo in range(0, max(1, len(a) - unit.window + 1), AT_ONCE):
             piece = a[lo:lo + AT_ONCE + unit.window - 1]
             if len(piece) < unit.window:
@@ -191,9 +267,9 @@ def entries(docs: DataFrame, unit, alone: bool = False) -> DataFrame:
     """(did, h, start, gram, more): a row for each run of each text of keyed(docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            row, start, _, value, more = text_runs(unit, [unit.cut(t) for t in batch.column(2).to_pylist()], known, alone)
+            raws = [t.encode() for t in batch.column(2).to_pylist()]
+            row, start, _, value, more = text_runs(unit, unit.symbols(raws), alone)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(more if alone else np.zeros(len(row), np.int64), pa.int32())],
@@ -207,18 +283,20 @@ def contexts(docs: DataFrame, hits: DataFrame, unit) -> DataFrame:
     found = docs.join(hits, ["did", "h"]).select("did", "h", "text", F.col("at.start").alias("starts"), F.col("at.heavy").alias("heavy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            cut = [unit.cut(t) for t in batch.column(2).to_pylist()]
-            wanted = [dict(zip(s, h)) for s, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            row, start, n, value, _ = text_runs(unit, cut, known)
-            keep = [(k, i, s, m) for k, (i, s, m) in enumerate(zip(row.tolist(), start.tolist(), n.tolist())) if s in wanted[i]]
-            index = pa.array([i for _, i, _, _ in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(index), batch.column(1).take(index), pa.array([s for _, _, s, _ in keep], pa.int32()),
-                 pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)), pa.array([wanted[i][s] for _, i, s, _ in keep], pa.bool_()),
-                 pa.array([unit.part(cut[i], s, s + m + unit.window - 1) for _, i, s, m in keep], pa.binary())],
-                ["did", "h", "start", "gram", "heavy", "ctx"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                raws = [t.encode() for t in batch.column(2).to_pylist()]
+                cut = list(unit.symbols(raws))
+                wanted = [dict(zip(s, h)) for s, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+                row, start, n, value, _ = text_runs(unit, cut)
+                keep = [(k, i, s, m) for k, (i, s, m) in enumerate(zip(row.tolist(), start.tolist(), n.tolist())) if s in wanted[i]]
+                index = pa.array([i for _, i, _, _ in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(index), batch.column(1).take(index), pa.array([s for _, _, s, _ in keep], pa.int32()),
+                     pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)), pa.array([wanted[i][s] for _, i, s, _ in keep], pa.bool_()),
+                     pa.array([unit.part(raws[i], cut[i][2], cut[i][3], s, s + m + unit.window - 1) for _, i, s, m in keep], pa.binary())],
+                    ["did", "h", "start", "gram", "heavy", "ctx"])
 
     return mapped(found, run, "did long, h long, start int, gram long, heavy boolean, ctx binary")
 
@@ -262,7 +340,8 @@ def window_digests(rows: DataFrame, unit) -> DataFrame:
             for i, (s, ctx) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 cut = ctx.split(unit.sep) if unit.sep else ctx
                 for k in range(len(cut) - unit.window + 1):
-                    index.append(i), pos.append(s + k), digests.append(xxhash.xxh3_128_digest(unit.part(cut, k, k + unit.window)))
+                    window = cut[k:k + unit.window]
+                    index.append(i), pos.append(s + k), digests.append(xxhash.xxh3_128_digest(unit.sep.join(window) if unit.sep else window))
             take = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int64()), pa.array(digests, pa.binary())], ["did", "h", "pos", "digest"])
 
