@@ -1,0 +1,55 @@
+"""The queries of the subpackage, the pipeline, and life without them."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from loomline.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    a, b = Q.QUERIES[name](spark, SF).toPandas(), con.execute(Q.SQL[name]).df()
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns)
+    assert sorted(map(str, a[cols].itertuples(index=False, name=None))) == sorted(map(str, b[cols].itertuples(index=False, name=None)))
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns
+        if k < 3:
+            assert docs.count() == docs.select("doc_id").distinct().count() <= before
+            before = docs.count()
+    assert docs.select("doc_id").distinct().count() == before and docs.filter("n_tokens is null").count() == 0
+
+
+def test_entry_works_without_the_subpackage(tmp_path):
+    top = Path(__file__).resolve().parents[2]
+    code = f"""
+import shutil, sys
+shutil.copytree({str(top / 'loomline')!r}, {str(tmp_path / 'loomline')!r}, ignore=shutil.ignore_patterns('llm', '__pycache__'))
+shutil.copy({str(top / '__spark_entry__.py')!r}, {str(tmp_path)!r})
+sys.path.insert(0, {str(tmp_path)!r})
+import __spark_entry__ as e
+assert e.queries() and not any(n.startswith('op') for n in e.queries()) and e.oracle_sql()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
