@@ -1,0 +1,150 @@
+"""From the dialects of agents to one vocabulary: ordered rules, one pass, deterministic ids.
+
+A rule is a pair of columns over the source record `v` (a variant): when it applies, and
+the drafts (an array of structs) that it emits. Records take the first rule that
+applies; what no rule knows is quarantined without loss.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomline.functions import scalars as S
+
+DRAFT = "struct<type: string, ts: string, payload: string, call_id: string, tool_kind: string>"
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    match: Column
+    drafts: Column
+
+
+def get(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("v", path, kind)
+
+
+def json(path: str) -> Column:
+    return F.to_json(F.try_variant_get("v", path, "variant"))
+
+
+def draft(kind: str, payload: Column, ts: Column, call_id: Column | None = None, tool_kind: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.array(F.struct(F.lit(kind).alias("type"), ts.alias("ts"), payload.alias("payload"), (none if call_id is None else call_id).alias("call_id"), (none if tool_kind is None else tool_kind).alias("tool_kind")))
+
+
+def obj(**fields: Column) -> Column:
+    """JSON text of an object; null fields are absent."""
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
+def adapt(records: DataFrame, rules: list[Rule], namespace: str, vendor: str, known: Column | None = None) -> DataFrame:
+    """Entries of source records(session_uid, record_idx, v).
+
+    Columns: session_uid, record_idx, ordinal, rule, id, type, ts, payload (JSON text),
+    call_id, tool_kind. Times are carried forward from earlier records of the session.
+    Records for which `known` is false are quarantined before any rule.
+    """
+    lost = draft("system_event", F.to_json(F.struct(F.lit(f"x-{vendor}/unknown_record").alias("kind"), F.struct(F.to_json("v").alias("raw")).alias("data"))), get("$.timestamp"))
+    if known is not None:
+        rules = [Rule("quarantine", ~F.coalesce(known, F.lit(False)), lost), *rules]
+    name, drafts = F.lit("quarantine"), lost
+    for r in reversed(rules):
+        name = F.when(r.match, F.lit(r.name)).otherwise(name)
+        drafts = F.when(r.match, r.drafts).otherwise(drafts)
+    out = records.select("session_uid", "record_idx", name.alias("rule"), F.posexplode(drafts).alias("ordinal", "d"))
+    out = out.select("session_uid", "record_idx", "ordinal", "rule", "d.*").filter("payload is not null")
+    return out.withColumn("id", S.entry_id(namespace, "session_uid", "record_idx", "type", "ordinal"))
+
+
+_P = "$.payload"
+
+
+def _ts() -> Column:
+    return get("$.timestamp")
+
+
+def _event(kind: str) -> Column:
+    return (get("$.type") == "event_msg") & (get(f"{_P}.type") == kind)
+
+
+def _item(kind: str) -> Column:
+    return (get("$.type") == "response_item") & (get(f"{_P}.type") == kind)
+
+
+def _text(*paths: str) -> Column:
+    text = F.coalesce(*[get(p) for p in paths])
+    return F.when(text != "", obj(text=text))
+
+
+def codex_rules() -> list[Rule]:
+    """Rules for rollout records of the Codex dialect."""
+    tool = get(f"{_P}.name")
+    shell = tool.isin("exec_command", "shell", "container.exec")
+    kind = F.when(shell, "shell_command").when(tool == "read", "file_read").otherwise("other")
+    args = F.try_parse_json(get(f"{_P}.arguments"))
+    arg = lambda p, k="string": F.try_variant_get(args, p, k)
+    word = lambda p: F.when(F.schema_of_variant(arg(p, "variant")) == "STRING", arg(p))
+    command = S.shell_command(word("$.cmd"), word("$.command"), F.coalesce(arg("$.cmd", "array<string>"), arg("$.command", "array<string>")))
+    call_args = F.when(shell & command.isNotNull(), obj(command=command, cwd=arg("$.workdir"))).when(tool == "read", obj(path=F.coalesce(arg("$.file_path"), arg("$.path")))).otherwise(F.coalesce(F.to_json(args), F.lit("{}")))
+    call = F.to_json(F.struct(tool.alias("tool"), F.try_parse_json(call_args).alias("args")))
+    output = S.strip_spinner(F.coalesce(get(f"{_P}.output"), json(f"{_P}.output")))
+    ok = F.coalesce(get(f"{_P}.success", "boolean"), F.lit(True))
+    summary = F.array_join(F.transform(get(f"{_P}.summary", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")), "\n")
+    system = lambda name, **f: draft("system_event", obj(kind=F.lit(name), data=F.struct(*[c.alias(k) for k, c in f.items()])), _ts(), get(f"{_P}.call_id"))
+    return [
+        Rule("user_message", _event("user_message"), draft("user_message", _text(f"{_P}.message", f"{_P}.text"), _ts())),
+        Rule("agent_message", _event("agent_message"), draft("agent_message", _text(f"{_P}.message", f"{_P}.text"), _ts())),
+        Rule("function_call", _item("function_call"), draft("tool_call", call, _ts(), get(f"{_P}.call_id"), kind)),
+        Rule("custom_tool_call", _item("custom_tool_call"), draft("tool_call", obj(tool=F.regexp_replace(tool, "^tools\\.", ""), args=F.struct(get(f"{_P}.input").alias("input"))), _ts(), get(f"{_P}.call_id"), F.when(tool.endswith("apply_patch"), "file_edit").otherwise("other"))),
+        Rule("call_output", _item("function_call_output") | _item("custom_tool_call_output"), draft("tool_result", obj(ok=ok, output=output), _ts(), get(f"{_P}.call_id"))),
+        Rule("web_search_call", _item("web_search_call"), draft("tool_call", obj(tool=F.lit("web_search"), args=F.struct(get(f"{_P}.action.query").alias("query"))), _ts(), None, F.when(get(f"{_P}.action.query").isNotNull(), "web_search").otherwise("other"))),
+        Rule("reasoning", _item("reasoning"), draft("agent_thinking", F.when(summary != "", obj(text=summary)), _ts())),
+        Rule("agent_reasoning", _event("agent_reasoning") | _event("agent_reasoning_raw_content"), draft("agent_thinking", _text(f"{_P}.text", f"{_P}.message"), _ts())),
+        Rule("compacted", get("$.type") == "compacted", draft("context_compact", obj(summary=F.coalesce(get(f"{_P}.message"), get(f"{_P}.summary")), trigger=F.lit("auto")), _ts())),
+        Rule("task_started", _event("task_started"), system("task_started", turn_id=get(f"{_P}.turn_id"))),
+        Rule("task_complete", _event("task_complete"), system("task_completed", turn_id=get(f"{_P}.turn_id"), duration_ms=get(f"{_P}.duration_ms", "long"))),
+        Rule("exec_command_end", _event("exec_command_end"), system("x-codex/exec_command_end", exit_code=get(f"{_P}.exit_code", "long"), stdout_excerpt=S.excerpt(get(f"{_P}.stdout")), stderr_excerpt=S.excerpt(get(f"{_P}.stderr")))),
+        Rule("patch_apply_end", _event("patch_apply_end"), system("x-codex/patch_apply_end", success=get(f"{_P}.success", "boolean"))),
+        Rule("token_count", _event("token_count"), draft("token_count", json(f"{_P}.info"), _ts())),
+        Rule("silent", get("$.type").isin("session_meta", "turn_context") | _item("message"), draft("none", F.lit(None).cast("string"), _ts())),
+    ]
+
+
+def codex_known() -> Column:
+    return get("$.type").isin("session_meta", "turn_context", "event_msg", "response_item", "compacted")
+
+
+def pi_rules() -> list[Rule]:
+    """Rules for records of the Pi dialect; a message's blocks become one entry each."""
+    role = get("$.message.role")
+    is_message = get("$.type") == "message"
+    text = F.coalesce(get("$.message.content"), F.array_join(F.transform(get("$.message.content", "array<variant>"), lambda b: F.try_variant_get(b, "$.text", "string")), "\n"))
+    none = F.lit(None).cast("string")
+
+    def block(b: Column) -> Column:
+        kind = F.try_variant_get(b, "$.type", "string")
+        part = lambda p: F.try_variant_get(b, p, "string")
+        call = F.to_json(F.struct(part("$.name").alias("tool"), F.coalesce(F.try_variant_get(b, "$.arguments", "variant"), F.parse_json(F.lit("{}"))).alias("args")))
+        return F.struct(
+            F.when(kind == "thinking", "agent_thinking").when(kind == "toolCall", "tool_call").otherwise("agent_message").alias("type"), _ts().alias("ts"),
+            F.when(kind == "toolCall", call).when(kind == "thinking", obj(text=part("$.thinking"))).otherwise(obj(text=part("$.text"), model=get("$.message.model"))).alias("payload"),
+            F.when(kind == "toolCall", part("$.id")).alias("call_id"), none.alias("tool_kind"))
+
+    blocks = F.transform(get("$.message.content", "array<variant>"), block)
+    whole = draft("agent_message", obj(text=get("$.message.content"), model=get("$.message.model"), stop_reason=get("$.message.stopReason")), _ts())
+    stopped = F.when(get("$.message.stopReason") == "aborted", draft("user_interrupt", obj(reason=F.lit("stop_reason_aborted")), _ts())).otherwise(F.array().cast(f"array<{DRAFT}>"))
+    ok = ~F.coalesce(get("$.message.isError", "boolean"), F.lit(False))
+    return [
+        Rule("user", is_message & (role == "user"), draft("user_message", obj(text=text), _ts())),
+        Rule("assistant", is_message & (role == "assistant"), F.concat(F.coalesce(blocks, whole), stopped)),
+        Rule("tool_result", is_message & (role == "toolResult"), draft("tool_result", obj(ok=ok, output=text, error=F.when(~ok, text)), _ts(), get("$.message.toolCallId"))),
+        Rule("branch_summary", get("$.type") == "branch_summary", draft("branch_summary", obj(abandoned_branch_id=get("$.fromId"), summary=get("$.summary")), _ts())),
+        Rule("compaction", get("$.type") == "compaction", draft("context_compact", obj(summary=get("$.summary")), _ts())),
+        Rule("model_change", get("$.type") == "model_change", draft("model_change", obj(to_model=F.coalesce(get("$.modelId"), get("$.model"))), _ts())),
+        Rule("silent", get("$.type") == "session", draft("none", none, _ts())),
+    ]

@@ -36,7 +36,7 @@ def cyclic_ids(edges: DataFrame, scope: list[str], most: int) -> DataFrame:
     return hops.select(*scope, F.col("up").alias("id")).distinct()
 
 
-def nearest_ancestors(nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def nearest_ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor): the nearest proper ancestor with `mapped`, null if there is none.
 
     nodes(id, parent_id, mapped). Paths double each round, so the number of rounds is
@@ -46,7 +46,7 @@ def nearest_ancestors(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     state = durable(nodes.select("id", F.col("parent_id").alias("at")).join(at, F.col("at") == F.col("p"), "left").select(
         "id", "at", F.coalesce("mapped", F.lit(True)).alias("done")))
     jump = durable(nodes.select(F.col("id").alias("p"), F.when(~F.col("mapped"), F.col("parent_id")).alias("to"), F.col("mapped")))
-    for _ in range(rounds):
+    for _ in range(nodes.count().bit_length() + 1):
         if state.filter("not done").isEmpty():
             break
         state = durable(state.join(jump.withColumnRenamed("mapped", "m"), F.col("at") == F.col("p"), "left").select(

@@ -20,7 +20,7 @@ def _number(x) -> str:
     x = float(x)
     if not math.isfinite(x):
         raise ValueError("not a JSON number")
-    if x == int(x) and abs(x) < 1e21:
+    if x == int(x) and abs(x) < 1e15:
         return str(int(x))
     digits, _, exp = repr(x).partition("e")
     sign, digits = ("-", digits[1:]) if digits.startswith("-") else ("", digits)
@@ -31,7 +31,7 @@ def _number(x) -> str:
     if not exp and whole == "0":
         e = -1 - (len(frac) - len(frac.lstrip("0")))
     body = body.rstrip("0") or "0"
-    if 0 > e >= -7:
+    if 0 > e >= -6:
         return f"{sign}0.{'0' * (-e - 1)}{body}"
     if 0 <= e < 21:
         return sign + (body.ljust(e + 1, "0") if len(body) <= e + 1 else f"{body[:e + 1]}.{body[e + 1:]}")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
-from loomline.operators import graph, hashing, listing, pairing, redact, segments as seg, sequences as seq
+from loomline.operators import adapters, graph, hashing, listing, pairing, redact, rules, segments as seg, sequences as seq
 from loomline.plans import projections as P
 from loomline.sources import jsonl
 
@@ -397,3 +399,54 @@ def merge_by_timestamp(spark, sf_dir):
 @query(f"""WITH {P.TOOL_STREAM} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN call_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS even, count(DISTINCT user_id) AS users FROM ev GROUP BY kind""")
 def usage_by_kind(spark, sf_dir):
     return P.tool_stream(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("call_id") % 2 == 0).alias("even"), F.count_distinct("user_id").alias("users"))
+
+
+def _codex_records(spark, sf_dir):
+    """events as rollout records of one dialect, a sixth of them of no known type."""
+    e = P.read(spark, sf_dir, "events")
+    k = F.col("event_id") % 6
+    payload = (F.when(k == 0, F.to_json(F.struct(F.lit("user_message").alias("type"), F.concat(F.lit("m"), F.col("event_id")).alias("message"))))
+               .when(k == 1, F.to_json(F.struct(F.lit("agent_message").alias("type"), F.lit("").alias("message"))))
+               .when(k == 2, F.to_json(F.struct(F.lit("function_call").alias("type"), F.lit("read").alias("name"), F.lit('{"path":"/a"}').alias("arguments"), F.col("event_id").cast("string").alias("call_id"))))
+               .when(k == 3, F.to_json(F.struct(F.lit("function_call_output").alias("type"), F.lit("ok\n· ").alias("output"), F.col("event_id").cast("string").alias("call_id"))))
+               .otherwise('{"type":"other"}'))
+    kind = F.when(k.isin(0, 1), "event_msg").when(k.isin(2, 3), "response_item").when(k == 4, "compacted").otherwise("mystery")
+    raw = F.concat(F.lit('{"type":"'), kind, F.lit('","timestamp":"t","payload":'), payload, F.lit("}"))
+    return e.select(F.col("user_id").cast("string").alias("session_uid"), F.col("event_id").alias("record_idx"), F.try_parse_json(raw).alias("v"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS session_uid, event_id AS record_idx,
+  CASE event_id % 6 WHEN 0 THEN 'user_message' WHEN 2 THEN 'tool_call' WHEN 3 THEN 'tool_result' WHEN 4 THEN 'context_compact' ELSE 'system_event' END AS type,
+  CASE event_id % 6 WHEN 0 THEN 'user_message' WHEN 2 THEN 'function_call' WHEN 3 THEN 'call_output' WHEN 4 THEN 'compacted' ELSE 'quarantine' END AS rule,
+  CASE event_id % 6 WHEN 2 THEN 'file_read' END AS tool_kind, CASE WHEN event_id % 6 IN (2, 3) THEN CAST(event_id AS VARCHAR) END AS call_id,
+  CASE event_id % 6 WHEN 0 THEN '{"text":"m' || event_id || '"}' WHEN 2 THEN '{"tool":"read","args":{"path":"/a"}}' WHEN 3 THEN '{"ok":true,"output":"ok"}' WHEN 4 THEN '{"trigger":"auto"}' END AS payload
+FROM events WHERE event_id % 6 <> 1""")
+def dispatch_first_match(spark, sf_dir):
+    out = adapters.adapt(_codex_records(spark, sf_dir), adapters.codex_rules(), _NS, "codex", adapters.codex_known())
+    known = F.when(F.col("rule") != "quarantine", F.col("payload"))
+    return out.select("session_uid", "record_idx", "type", "rule", "tool_kind", "call_id", known.alias("payload"))
+
+
+@query("""WITH r AS (SELECT conv_id AS file, turn + 1 AS line, CASE turn % 4 WHEN 0 THEN '{"type":"session","id":"' || md5(CAST(conv_id AS VARCHAR)) || '","ts":"2024-01-01T00:00:00.000Z"}' WHEN 1 THEN '[1]' WHEN 2 THEN '' ELSE '{"a":' END AS raw, turn FROM conversations)
+SELECT file, line, CASE turn % 4 WHEN 1 THEN 'non_object' WHEN 2 THEN 'empty_line' WHEN 3 THEN 'invalid_json' END AS code FROM r WHERE turn = 1 OR turn = 0""")
+def strict_scan(spark, sf_dir):
+    """Lines up to the first faulty one of each file."""
+    c = P.read(spark, sf_dir, "conversations")
+    k = F.col("turn") % 4
+    raw = F.when(k == 0, F.concat(F.lit('{"type":"session","id":"'), F.md5(F.col("conv_id").cast("string").cast("binary")), F.lit('","ts":"2024-01-01T00:00:00.000Z"}'))).when(k == 1, "[1]").when(k == 2, "").otherwise('{"a":')
+    rows = c.select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.encode(raw, "UTF-8").alias("raw"))
+    return jsonl.strict(rows).select("file", "line", "code")
+
+
+@query("""WITH r AS (SELECT conv_id AS file, turn + 1 AS line, role, text, turn FROM conversations), t AS (SELECT *, CASE WHEN turn = 0 THEN 'session' WHEN role = 'user' THEN 'user_message' ELSE 'agent_message' END AS type FROM r)
+SELECT file, line, 'required' AS code FROM t WHERE turn > 0 AND line % 3 = 0 UNION ALL SELECT file, line, 'pattern' FROM t WHERE line % 4 = 0""")
+def record_rules(spark, sf_dir):
+    """Rules of single lines over conversations as session files, with missing texts and bad times."""
+    c = P.read(spark, sf_dir, "conversations").withColumn("line", F.col("turn") + 1)
+    kind = F.when(F.col("turn") == 0, "session").when(F.col("role") == "user", "user_message").otherwise("agent_message")
+    ident = F.md5(F.concat_ws("/", F.col("conv_id"), F.col("turn")).cast("binary"))
+    ts = F.when(F.col("line") % 4 == 0, "yesterday").otherwise("2024-01-01T00:00:00.000Z")
+    payload = F.struct(F.when(F.col("line") % 3 != 0, F.col("text")).alias("text"))
+    value = F.parse_json(F.to_json(F.struct(kind.alias("type"), ident.alias("id"), ts.alias("ts"), payload.alias("payload"))))
+    found = rules.record_rules(rules.promoted(c.select(F.col("conv_id").alias("file"), "line", value.alias("value"))))
+    return reduce(lambda a, b: a.unionByName(b), found).select("file", "line", "code")
