@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
 
@@ -148,3 +149,57 @@ def pi_rules() -> list[Rule]:
         Rule("model_change", get("$.type") == "model_change", draft("model_change", obj(to_model=F.coalesce(get("$.modelId"), get("$.model"))), _ts())),
         Rule("silent", get("$.type") == "session", draft("none", none, _ts())),
     ]
+
+
+def claude_rules() -> list[Rule]:
+    """Rules for transcript records of the Claude Code dialect; blocks become one entry each."""
+    blocks = get("$.message.content", "array<variant>")
+    plain = F.when(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING", get("$.message.content"))
+    none = F.lit(None).cast("string")
+    part = lambda b, p: F.try_variant_get(b, p, "string")
+    joined = lambda b: F.coalesce(F.array_join(F.transform(F.try_variant_get(b, "$.content", "array<variant>"), lambda x: part(x, "$.text")), "\n"), part(b, "$.content"))
+
+    def entry(b: Column, kind: Column, payload: Column, call_id: Column) -> Column:
+        return F.struct(kind.alias("type"), _ts().alias("ts"), payload.alias("payload"), call_id.alias("call_id"), none.alias("tool_kind"))
+
+    def assistant(b: Column) -> Column:
+        kind = part(b, "$.type")
+        call = F.to_json(F.struct(part(b, "$.name").alias("tool"), F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.parse_json(F.lit("{}"))).alias("args")))
+        return entry(b, F.when(kind == "thinking", "agent_thinking").when(kind == "tool_use", "tool_call").otherwise("agent_message"),
+                     F.when(kind == "tool_use", call).when(kind == "thinking", obj(text=part(b, "$.thinking"))).when(kind == "text", obj(text=part(b, "$.text"), model=get("$.message.model"))),
+                     F.when(kind == "tool_use", part(b, "$.id")))
+
+    def user(b: Column) -> Column:
+        result = part(b, "$.type") == "tool_result"
+        bad = F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))
+        return entry(b, F.when(result, "tool_result").otherwise("user_message"), F.when(result, obj(ok=~bad, output=joined(b), error=F.when(bad, joined(b)))).otherwise(obj(text=part(b, "$.text"))), F.when(result, part(b, "$.tool_use_id")))
+
+    kind = get("$.type")
+    hidden = F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)) | F.coalesce(get("$.isMeta", "boolean"), F.lit(False))
+    interrupt = plain.rlike(r"^\s*\[Request interrupted by user")
+    first = part(blocks[0], "$.text")
+    return [
+        Rule("hidden", hidden | kind.isin("attachment", "file-history-snapshot"), draft("none", none, _ts())),
+        Rule("interrupt", (kind == "user") & (interrupt | F.coalesce(first.rlike(r"^\s*\[Request interrupted by user"), F.lit(False))), draft("user_interrupt", obj(reason=F.lit("user_interrupt")), _ts())),
+        Rule("user_text", (kind == "user") & plain.isNotNull(), draft("user_message", obj(text=plain), _ts())),
+        Rule("user_blocks", (kind == "user") & blocks.isNotNull(), F.transform(blocks, user)),
+        Rule("assistant", (kind == "assistant") & blocks.isNotNull(), F.transform(blocks, assistant)),
+        Rule("summary", kind == "summary", draft("session_summary", obj(scope=F.lit("session"), text=get("$.summary")), _ts())),
+        Rule("compact", (kind == "system") & (get("$.subtype") == "compact_boundary"), draft("context_compact", obj(summary=F.coalesce(get("$.content"), F.lit("")), trigger=get("$.compactMetadata.trigger")), _ts())),
+        Rule("system", kind.isin("system", "progress", "queue-operation", "pr-link", "permission-mode"), draft("system_event", obj(kind=F.concat(F.lit("x-claudecode/"), F.regexp_replace(kind, "[^a-z0-9]+", "_")), text=get("$.content")), _ts())),
+    ]
+
+
+def link_results(entries: DataFrame) -> DataFrame:
+    """Entries with for_id: the id of the latest call with the same call_id before a result."""
+    before = W.partitionBy("session_uid", "call_id").orderBy("record_idx", "ordinal").rowsBetween(W.unboundedPreceding, -1)
+    call = F.last(F.when(F.col("type") == "tool_call", F.col("id")), True).over(before)
+    return entries.withColumn("for_id", F.when((F.col("type") == "tool_result") & F.col("call_id").isNotNull(), call))
+
+
+def terminated(entries: DataFrame) -> DataFrame:
+    """(session_uid, open_call_ids): sessions that end with calls that no result was linked to."""
+    results = entries.filter("for_id is not null").select("session_uid", F.col("for_id").alias("id")).distinct()
+    loose = entries.filter("type = 'tool_call'").join(results, ["session_uid", "id"], "left_anti")
+    ids = F.array_sort(F.collect_list(F.struct("record_idx", "ordinal", "id")))
+    return loose.groupBy("session_uid").agg(F.transform(ids, lambda x: x["id"]).alias("open_call_ids"))

@@ -1,0 +1,82 @@
+"""Finding session files, and reading sessions kept in SQLite files."""
+
+from __future__ import annotations
+
+import json
+import sqlite3
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+#: Bytes at the start of a file in which its header is looked for.
+HEAD_BYTES = 16_384
+UUID = r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+
+
+def _first(lines: Column, path: str) -> Column:
+    """The first value of a field in the lines of a head."""
+    values = F.transform(lines, lambda x: F.try_variant_get(F.try_parse_json(x), path, "string"))
+    return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+
+
+def sessions(spark: SparkSession, root: str, agent: str) -> DataFrame:
+    """(agent, id, path, cwd, version, modified_at, header_status) of the JSONL files below a folder.
+
+    id is the header's, else the one in the file's name; a file without either has the
+    status no_header. Only the head of a file is parsed.
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root))
+    head = F.split(F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1"), "\n")
+    rows = files.select("path", F.col("modificationTime").alias("modified_at"), head.alias("head"))
+    inner = F.coalesce(_first(F.col("head"), "$.payload.id"), _first(F.col("head"), "$.sessionId"), F.when(_first(F.slice("head", 1, 1), "$.type") == "session", _first(F.slice("head", 1, 1), "$.id")))
+    named = F.regexp_extract("path", UUID + r"\.jsonl$", 1)
+    out = rows.select(
+        F.lit(agent).alias("agent"), F.coalesce(inner, F.when(named != "", named)).alias("id"), "path",
+        F.coalesce(_first(F.col("head"), "$.payload.cwd"), _first(F.col("head"), "$.cwd")).alias("cwd"),
+        F.coalesce(_first(F.col("head"), "$.payload.cli_version"), _first(F.col("head"), "$.version")).alias("version"), "modified_at", inner.isNotNull().alias("found"))
+    return out.withColumn("header_status", F.when(F.col("found"), "ok").otherwise("no_header")).drop("found")
+
+
+def newest_version(found: DataFrame) -> DataFrame:
+    """(agent, version) of the file changed last; ties go to the greatest path."""
+    return found.groupBy("agent").agg(F.max_by("version", F.struct("modified_at", "path")).alias("version"))
+
+
+class _Query(InputPartition):
+    def __init__(self, nth: int, name: str, sql: str):
+        self.nth, self.name, self.sql = nth, name, sql
+
+
+class _SqliteReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.queries = options["path"], json.loads(options["queries"])
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Query(i, name, sql) for i, (name, sql) in enumerate(self.queries.items())]
+
+    def read(self, partition: _Query) -> Iterator[tuple]:
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+            con.row_factory = sqlite3.Row
+            version = str(con.execute("PRAGMA user_version").fetchone()[0])
+            for line, row in enumerate(con.execute(partition.sql), 1):
+                yield partition.nth, partition.name, line, version, json.dumps(dict(row), ensure_ascii=False)
+
+
+class SqliteSource(DataSource):
+    """spark.read.format("sqlite_rows").option("path", file).option("queries", JSON object of name to SQL).
+
+    Queries keep the order they have in the object and rows the order of their query:
+    sort by (reader, line). The file must be visible to the executors.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_rows"
+
+    def schema(self) -> str:
+        return "reader int, query string, line int, version string, raw string"
+
+    def reader(self, schema) -> _SqliteReader:
+        return _SqliteReader(self.options)

@@ -110,3 +110,44 @@ def test_open_calls_stream(spark, tmp_path):
     q = live.open_calls(stream).writeStream.format("memory").queryName("open_calls").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["session"], r["id"]) for r in spark.table("open_calls").collect()] == [("s", "b")]
+
+
+def test_claude_rules_links_and_open_calls(spark):
+    a = lambda *blocks, **kw: {"type": "assistant", "timestamp": "t", "message": {"role": "assistant", "model": "m", "content": list(blocks)}} | kw
+    u = lambda content, **kw: {"type": "user", "timestamp": "t", "message": {"role": "user", "content": content}} | kw
+    records = [
+        u("hello"), a({"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}, {"type": "tool_use", "id": "c1", "name": "Bash", "input": {"command": "ls"}}),
+        u([{"type": "tool_result", "tool_use_id": "c1", "content": [{"type": "text", "text": "x"}]}]), u("hidden", isMeta=True), u("[Request interrupted by user]"),
+        a({"type": "tool_use", "id": "c2", "name": "Bash", "input": {}}), {"type": "summary", "summary": "s"}, {"type": "odd"},
+    ]
+    df = spark.createDataFrame([("s", i, json.dumps(r)) for i, r in enumerate(records)], "session_uid string, record_idx int, raw string").select("session_uid", "record_idx", F.try_parse_json("raw").alias("v"))
+    out = adapters.link_results(adapters.adapt(df, adapters.claude_rules(), "0a16dbc7-c189-4def-f378-95ab1c2d3e45", "claudecode"))
+    got = out.orderBy("record_idx", "ordinal").collect()
+    assert [r["type"] for r in got] == ["user_message", "agent_thinking", "agent_message", "tool_call", "tool_result", "user_interrupt", "tool_call", "session_summary", "system_event"]
+    assert json.loads(got[3]["payload"]) == {"tool": "Bash", "args": {"command": "ls"}} and json.loads(got[4]["payload"]) == {"ok": True, "output": "x"}
+    assert got[4]["for_id"] == got[3]["id"] and adapters.terminated(out).first()["open_call_ids"] == [got[6]["id"]]
+
+
+def test_discovery_and_sqlite(spark, tmp_path):
+    import sqlite3
+
+    from loomline.session import ship
+    from loomline.sources import discovery
+
+    ident = "0a16dbc7-c189-4def-a378-95ab1c2d3e45"
+    folder = tmp_path / "2024" / "01"
+    folder.mkdir(parents=True)
+    (folder / "rollout-a.jsonl").write_text(json.dumps({"type": "session_meta", "payload": {"id": "x1", "cwd": "/w", "cli_version": "0.128.0"}}) + "\n")
+    (folder / f"rollout-{ident}.jsonl").write_text("{}\n")
+    found = discovery.sessions(spark, str(tmp_path), "codex-cli")
+    assert {(r["id"], r["cwd"], r["header_status"]) for r in found.collect()} == {("x1", "/w", "ok"), (ident, None, "no_header")}
+    assert discovery.newest_version(found.filter("version is not null")).first()["version"] == "0.128.0"
+    file = tmp_path / "s.db"
+    con = sqlite3.connect(file)
+    con.executescript("PRAGMA user_version = 7; CREATE TABLE t (a INTEGER); INSERT INTO t VALUES (2), (1);")
+    con.commit()
+    con.close()
+    ship(spark)
+    spark.dataSource.register(discovery.SqliteSource)
+    rows = spark.read.format("sqlite_rows").option("path", str(file)).option("queries", json.dumps({"up": "SELECT a FROM t ORDER BY a", "all": "SELECT a FROM t"})).load().orderBy("reader", "line").collect()
+    assert [(r["query"], json.loads(r["raw"])["a"], r["version"]) for r in rows] == [("up", 1, "7"), ("up", 2, "7"), ("all", 2, "7"), ("all", 1, "7")]
