@@ -82,3 +82,22 @@ def bag_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     verdicts = F.array(F.struct(F.lit("preserved").alias("verdict"), F.least("a", "b").alias("n")), F.struct(F.lit("regression").alias("verdict"), (F.col("a") - F.least("a", "b")).alias("n")),
                        F.struct(F.lit("addition").alias("verdict"), (F.col("b") - F.least("a", "b")).alias("n")))
     return both.select(*keys, F.explode(verdicts).alias("v")).select(*keys, "v.verdict", "v.n").filter("n > 0")
+
+
+def paths(edges: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): the path of every node up to its root, itself at depth 0."""
+    up = closure(edges).select("id", "ancestor", "depth")
+    return edges.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(up)
+
+
+def divergence_roots(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(abandoned, active, root): the node where an abandoned branch leaves the path of the active one.
+
+    It is the topmost node of the abandoned path that is not on the active path; null if
+    the whole abandoned path is on it. pairs(abandoned, active) are leaves.
+    """
+    p = durable(paths(edges))
+    mine = pairs.join(p.select(F.col("id").alias("abandoned"), F.col("ancestor").alias("node"), "depth"), "abandoned")
+    theirs = p.select(F.col("id").alias("active"), F.col("ancestor").alias("node"))
+    own = mine.join(theirs, ["active", "node"], "left_anti").groupBy("abandoned", "active").agg(F.max_by("node", "depth").alias("root"))
+    return pairs.join(own, ["abandoned", "active"], "left").select("abandoned", "active", "root")

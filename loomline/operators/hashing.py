@@ -83,3 +83,39 @@ def verdict(expected: Column, actual: Column) -> Column:
     """match, mismatch, pending, missing or invalid."""
     return (F.when(expected.isNull(), "missing").when(expected == PENDING, "pending")
             .when(~expected.rlike("^[a-f0-9]{64}$"), "invalid").when(expected == actual, "match").otherwise("mismatch"))
+
+
+def _elided(value, most: int) -> str:
+    size = lambda v: len(json.dumps(v, ensure_ascii=False, separators=(",", ":")).encode())
+    left = size(value)
+    leaves: list[tuple[int, list]] = []
+
+    def visit(v, path) -> None:
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+            if isinstance(x, (dict, list)) and x:
+                visit(x, [*path, k])
+            else:
+                leaves.append((size(x), [*path, k]))
+
+    if isinstance(value, (dict, list)):
+        visit(value, [])
+    for n, path in sorted(leaves, key=lambda x: -x[0]):
+        if left <= most:
+            break
+        at = value
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = {"elided": True, "size_bytes": n}
+        left = size(value)
+    return json.dumps(value if left <= most else {"elided": True, "size_bytes": left}, ensure_ascii=False, separators=(",", ":"))
+
+
+def with_elided(records: DataFrame, raw: str, out: str, most: int = 32_768) -> DataFrame:
+    """`records` with JSON text of at most `most` bytes: the largest leaves give way to markers, at last the whole value.
+
+    Texts within the limit stay in the JVM and as they are.
+    """
+    ship(records.sparkSession)
+    shrink = F.pandas_udf(lambda s: s.map(lambda x: _elided(json.loads(x), most) if x is not None else None), T.StringType())
+    large = F.octet_length(raw) > most
+    return records.withColumn(out, F.when(large, shrink(F.when(large, F.col(raw)))).otherwise(F.col(raw)))

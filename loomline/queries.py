@@ -450,3 +450,15 @@ def record_rules(spark, sf_dir):
     value = F.parse_json(F.to_json(F.struct(kind.alias("type"), ident.alias("id"), ts.alias("ts"), payload.alias("payload"))))
     found = rules.record_rules(rules.promoted(c.select(F.col("conv_id").alias("file"), "line", value.alias("value"))))
     return reduce(lambda a, b: a.unionByName(b), found).select("file", "line", "code")
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_partkey // 3 AS parent_id FROM part),
+walk AS (SELECT id, id AS node, 0 AS depth FROM n UNION ALL SELECT w.id, n.parent_id, depth + 1 FROM walk w JOIN n ON w.node = n.id WHERE n.parent_id > 0),
+pairs AS (SELECT p_partkey AS abandoned, p_partkey + 7 AS active FROM part WHERE p_partkey + 7 IN (SELECT p_partkey FROM part)),
+own AS (SELECT abandoned, active, arg_max(node, depth) AS root FROM pairs JOIN walk ON abandoned = walk.id WHERE NOT EXISTS (SELECT 1 FROM walk o WHERE o.id = active AND o.node = walk.node) GROUP BY ALL)
+SELECT abandoned, active, root FROM pairs LEFT JOIN own USING (abandoned, active)""")
+def branch_divergence(spark, sf_dir):
+    third = F.expr("p_partkey div 3")
+    e = P.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(third > 0, third).alias("parent_id"))
+    pairs = e.select(F.col("id").alias("abandoned"), (F.col("id") + 7).alias("active")).join(e.select(F.col("id").alias("active")), "active", "left_semi")
+    return graph.divergence_roots(e, pairs)

@@ -157,3 +157,11 @@ def test_short_last_segment_keeps_all_events(spark):
 def test_recent_window(spark):
     df = spark.createDataFrame([("s", i) for i in range(5)], "s string, ord int")
     assert [r["recent"] for r in sequences.recent(df, ["s"], "ord", 2).orderBy("ord").collect()] == [[], [0], [0, 1], [1, 2], [2, 3]]
+
+
+def test_elision_shrinks_the_largest_leaves_first(spark):
+    value = {"a": "x" * 300, "b": ["y" * 100, 1], "c": "z"}
+    df = spark.createDataFrame([(json.dumps(value, separators=(",", ":")),), ('{"k":1}',), (None,), (json.dumps({f"k{i}": i for i in range(99)}),)], "raw string")
+    got = [r["out"] for r in hashing.with_elided(df, "raw", "out", 200).collect()]
+    assert json.loads(got[0]) == value | {"a": {"elided": True, "size_bytes": 302}} and got[1] == '{"k":1}' and got[2] is None
+    assert set(json.loads(got[3])) == {"elided", "size_bytes"} and max(len(x) for x in got if x) <= 200
