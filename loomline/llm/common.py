@@ -13,10 +13,6 @@ WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}
@@ -25,11 +21,10 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    on = F.lit(True)
-    for name in names:
-        on = on & left[name].eqNullSafe(right[name])
-    return on
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` under column names that clash with nothing, and the new name of each old one."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import WS, durable, free_name
+from loomline.llm.common import WS, durable, numbered_columns
 
 BLOCK_CHARS = 2048
 #: The second half of a pair where a document has an odd number of names.
@@ -124,15 +124,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by id, normalised text and length; rows that agree in all three
     are interchangeable copies, of which one stays. Empty tables give empty results.
     """
-    sha, points, nth = (free_name(docs, c) for c in ("keep_sha", "keep_points", "keep_nth"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn(sha, F.sha2(F.regexp_replace(text, WS + "+", ""), 256)).withColumn(points, F.length(text).cast("long"))
-    stay = decisions(docs, id_col, text_col, block_chars).filter("kept").select(
+    plain, at = numbered_columns(docs)
+    ident, body = at[id_col], at[text_col]
+    text = F.coalesce(F.col(body), F.lit(""))
+    marked = plain.withColumn("sha", F.sha2(F.regexp_replace(text, WS + "+", ""), 256)).withColumn("points", F.length(text).cast("long"))
+    stay = decisions(plain, ident, body, block_chars).filter("kept").select(
         F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("points").alias("k_points"))
-    on = marked[id_col].cast("long").eqNullSafe(F.col("k_id")) & (marked[sha] == F.col("k_sha")) & (marked[points] == F.col("k_points"))
+    on = F.col(ident).cast("long").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")) & (F.col("points") == F.col("k_points"))
     found = marked.join(stay, on, "left_semi")
-    one = W.partitionBy(id_col, sha, points).orderBy(F.lit(0))
-    return found.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).drop(sha, points, nth)
+    one = W.partitionBy(ident, "sha", "points").orderBy(F.lit(0))
+    return found.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_block_naming(spark, sf_dir):

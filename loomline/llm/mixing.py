@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import WS, durable, free_name
+from loomline.llm.common import WS, durable, free_name, numbered_columns
 
 #: Documents in a block, on average.
 BLOCK_DOCS = 256
@@ -153,8 +153,7 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """Each row of `docs` as often as it is drawn, with the columns it had."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain, at = numbered_columns(docs)
     cols = {k: at[kw.pop(k, v)] for k, v in (("source_col", "source"), ("text_col", "text"), ("id_col", "doc_id"))}
     drawn, m = draw(plain, **cols, **kw)
     rows = drawn.filter(f"{m}.copies > 0").withColumn("c_pass", F.explode(F.expr(f"sequence(1, {m}.copies)")))

@@ -162,10 +162,11 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
     About `sample` texts of either are measured on the executors; their measures, not
     their texts, come to the driver.
     """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = positives.select(F.col(id_col).alias("p_id")).distinct()
-    pos = docs.join(chosen, F.col(id_col) == F.col("p_id"), "left_semi")
+    pos = docs.join(chosen, F.col("doc_id") == F.col("p_id"), "left_semi")
     rng = np.random.default_rng(3)
-    arrays = [_sampled(d.select(id_col, text_col), id_col, text_col, sample) for d in (pos, docs)]
+    arrays = [_sampled(d, "doc_id", "text", sample) for d in (pos, docs)]
     return fit_arrays(*[a[rng.permutation(len(a))] for a in arrays])
 
 

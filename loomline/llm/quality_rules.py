@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import NOT_WS, WS, durable, free_name
+from loomline.llm.common import NOT_WS, WS, durable, free_name, numbered_columns
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -47,24 +47,25 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
         filter(s, (x, k) -> (k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(s) and s[least(k + 1, size(s) - 1)].h = x.h))), 1)"""), lambda x: x["i"]))
     none = F.size(F.array_distinct(grams)) == F.size(grams)
     step = step.withColumn(starts, F.when(none, F.expr("cast(array() as array<int>)")).otherwise(twice))
-    counts = F.struct(
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, WS + "+", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.expr(f"aggregate({starts}, struct(0L as n, -{WINDOW} as last), (a, x) -> struct(a.n + least({WINDOW}, x - a.last) as n, x as last), a -> a.n)").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(F.expr(f"filter({words}, (w, i) -> i > 0 and w = {words}[greatest(i - 1, 0)])")).cast("long").alias("n_adjacent"),
-    )
-    step = step.withColumn(m, counts).drop(words, lines, grams, starts)
-    return step.withColumn(m, F.struct(
-        *[F.col(f"{m}.{x}") for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.expr(f"{m}.n_words < {MIN_WORDS} or 100 * {m}.n_repeat_words > 30 * {m}.n_words").alias("base_failed"),
-        F.expr(f"1000 * {m}.n_symbols div greatest({m}.word_chars, 1L)").alias("sym_pm"),
-        F.expr(f"1000 * {m}.n_dup_lines div greatest({m}.n_lines, 1L)").alias("dup_pm"),
-        F.expr(f"1000 * {m}.n_adjacent div greatest({m}.n_words, 1L)").alias("adj_pm"),
-        F.expr(f"100 * {m}.word_chars div greatest({m}.n_words, 1L)").alias("len_pc"),
-    )), m
+    # Plain columns, so that the optimizer evaluates each once for all that refer to it.
+    counts = {
+        "n_words": F.size(words), "word_chars": F.length(F.regexp_replace(text, WS + "+", "")), "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_lines": F.size(lines),
+        "n_repeat_words": F.expr(f"aggregate({starts}, struct(0L as n, -{WINDOW} as last), (a, x) -> struct(a.n + least({WINDOW}, x - a.last) as n, x as last), a -> a.n)"),
+        "n_adjacent": F.size(F.expr(f"filter({words}, (w, i) -> i > 0 and w = {words}[greatest(i - 1, 0)])")),
+    }
+    at = {k: free_name(step, f"{m}_{k}") for k in counts}
+    step = step.withColumns({at[k]: c.cast("long") for k, c in counts.items()}).drop(words, lines, grams, starts)
+    least = lambda k: f"greatest({at[k]}, 1L)"
+    out = step.withColumn(m, F.struct(
+        *[F.col(at[k]).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.expr(f"{at['n_words']} < {MIN_WORDS} or 100 * {at['n_repeat_words']} > 30 * {at['n_words']}").alias("base_failed"),
+        F.expr(f"1000 * {at['n_symbols']} div {least('word_chars')}").alias("sym_pm"),
+        F.expr(f"1000 * {at['n_dup_lines']} div {least('n_lines')}").alias("dup_pm"),
+        F.expr(f"1000 * {at['n_adjacent']} div {least('n_words')}").alias("adj_pm"),
+        F.expr(f"100 * {at['word_chars']} div {least('n_words')}").alias("len_pc"),
+    ))
+    return out.drop(*at.values()), m
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -126,9 +127,12 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     measured, m = measures(docs.select(*dict.fromkeys([*keep, lang_col, source_col, text_col])), text_col)
     flat = measured.select(
         F.struct(*keep).alias("kept_columns"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), f"{m}.*")
-    # The texts are read once; what is measured is small. With texts to return they are read again.
+    # The texts are read once; what is measured is small. With texts to return they are read again, and
+    # a filter on a row's number keeps the optimizer from copying the measures into later conditions.
     if text_col not in keep:
         flat = durable(flat)
+    else:
+        flat = flat.withColumn("row_number_", F.monotonically_increasing_id()).filter("row_number_ >= 0")
     fences = durable(thresholds(durable(sketches(flat)), min_rows))
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     return flat.join(fences, on, "left").select(
@@ -138,8 +142,7 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 
 def quality_filter(docs: DataFrame, **kw) -> DataFrame:
     """The rows of `docs` that the rules keep, with the columns they had, clashing names included."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain, at = numbered_columns(docs)
     judged = judge(plain, lang_col=at[kw.pop("lang_col", "lang")], source_col=at[kw.pop("source_col", "source")],
                    text_col=at[kw.pop("text_col", "text")], keep=tuple(plain.columns), **kw)
     return judged.filter("kept").select(*plain.columns).toDF(*docs.columns)

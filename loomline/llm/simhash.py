@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import connected_components, durable, free_name, mapped, schema_with
+from loomline.llm.common import connected_components, durable, mapped, numbered_columns, schema_with
 
 SHINGLE = 3
 SEED = 42
@@ -136,17 +136,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The row with the smallest doc_id stays, nulls last; of several rows with that id the
     one with the smallest fingerprint and text digest, and one of rows equal in all these.
     """
-    fp, digest, nth = (free_name(docs, c) for c in ("fp", "fp_digest", "fp_nth"))
-    marked = fingerprints(docs, text_col, fp).withColumn(digest, F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    rows = durable(marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(digest).alias("digest")))
+    plain, at = numbered_columns(docs)
+    ident, text = at[id_col], F.coalesce(F.col(at[text_col]), F.lit(""))
+    rows = durable(fingerprints(plain.select(F.col(ident).cast("long").alias("doc_id"), F.col(at[text_col]).alias("text"))).select("doc_id", "fp", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")))
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "digest")
     low = rows.groupBy("fp").agg(F.min(first).alias("low"))
     stay = low.join(_rooted(rows), "fp").groupBy("root").agg(F.min("low").alias("low"))
     stay = durable(stay.select(F.col("low.doc_id").alias("k_id"), F.col("low.digest").alias("k_digest")))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("k_id")) & (F.col(digest) == F.col("k_digest"))
-    found = docs.withColumn(digest, F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(stay, on, "left_semi")
-    one = W.partitionBy(id_col, digest).orderBy(F.lit(0))
-    return found.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).drop(digest, nth)
+    on = F.col(ident).cast("long").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
+    found = plain.withColumn("digest", F.sha2(text, 256)).join(stay, on, "left_semi")
+    one = W.partitionBy(ident, "digest").orderBy(F.lit(0))
+    return found.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir):

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.llm.bpe import broadcast_automaton
-from loomline.llm.common import durable, mapped, schema_with
+from loomline.llm.common import durable, free_name, mapped, schema_with
 
 #: Lengths are summed in blocks of so many, then within each block.
 BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", length_col: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """`docs` with the number of tokens of each whole text in `length_col`, a new name; null texts have none."""
+    """`docs` with the number of tokens of each whole text in `length_col`; null texts have none, underscores follow a name that is taken."""
+    length_col = free_name(docs, length_col)
     shared = broadcast_automaton(docs.sparkSession, path)
     k = docs.columns.index(text_col)
 

@@ -37,8 +37,7 @@ def test_bpe_equals_library_and_round_trips(spark):
     for i, t in enumerate(texts):
         want = lib.encode(t or "", add_special_tokens=False)
         assert got[i]["ids"] == want.ids and got[i]["decoded"] == lib.decode(want.ids, skip_special_tokens=False)
-    with pytest.raises(ValueError):
-        bpe.encode(df, ids_col="text")
+    assert bpe.encode(df, ids_col="text").columns == ["doc_id", "text", "text_"]
 
 
 def test_simhash_components(spark, docs):
