@@ -29,12 +29,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from loomline.llm.common import mapped, schema_with
+from loomline.llm.common import free_name, mapped, schema_with
 
 END = "</w>"
 #: Bound of a worker's memory of words; past it the worker starts again.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
+#: Texts whose tokens are held at once.
+TEXTS_AT_ONCE = 256
 
 
 def default_path() -> str:
@@ -198,21 +201,21 @@ def broadcast_automaton(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(compile_automaton(path or default_path()))
 
 
-def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
+def _mapped(docs: DataFrame, schema, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield make(batch)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                yield make(batch.slice(at, TEXTS_AT_ONCE))
 
     return mapped(docs, run, schema)
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """`docs` with the token ids of `text_col` in `ids_col` (array<int>), which must be a new name.
+    """`docs` with the token ids of `text_col` in `ids_col` (array<int>); underscores follow a name that is taken.
 
     Null and blank texts have no ids. Texts are encoded whole, each row by itself.
     """
-    if ids_col.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"{ids_col} exists; choose another ids_col")
+    ids_col = free_name(docs, ids_col)
     shared = broadcast_automaton(docs.sparkSession, path)
     k = docs.columns.index(text_col)
 
@@ -227,8 +230,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
 
 def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
     """`tokens` with the decoded text of `ids_col` in `text_col`; null ids decode to the empty text."""
-    if text_col.lower() in {c.lower() for c in tokens.columns}:
-        raise ValueError(f"{text_col} exists; choose another text_col")
+    text_col = free_name(tokens, text_col)
     shared = broadcast_automaton(tokens.sparkSession, path)
     k = tokens.columns.index(ids_col)
 
@@ -240,6 +242,20 @@ def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "decoded", p
     return _mapped(tokens, schema_with(tokens, text_col, "string"), make)
 
 
+def encode_and_decode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", path: str | None = None) -> DataFrame:
+    """`docs` with ids and the text decoded from them, in one pass with one automaton for each worker; underscores follow names that are taken."""
+    ids_col, decoded_col = free_name(docs, ids_col), free_name(docs, decoded_col)
+    shared = broadcast_automaton(docs.sparkSession, path)
+    k = docs.columns.index(text_col)
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        auto = shared.value
+        ids = [auto.encode(t.as_py()) for t in batch.column(k)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([auto.decode(x) for x in ids], pa.string())], [*batch.schema.names, ids_col, decoded_col])
+
+    return _mapped(docs, T.StructType([*schema_with(docs, ids_col, "array<int>").fields, T.StructField(decoded_col, T.StringType())]), make)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Encode and decode each text and return what identifies both: one pass, nothing shuffled."""
     shared = broadcast_automaton(docs.sparkSession, path)
