@@ -162,3 +162,35 @@ def semver_key(version) -> Column:
     v = F.regexp_extract(_col(version), r"([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?", 0)
     part = lambda i: F.coalesce(F.try_element_at(F.split(v, r"\."), F.lit(i)).cast("long"), F.lit(0))
     return F.when(v != "", part(1) * 1_000_000_000_000 + part(2) * 1_000_000 + part(3))
+
+
+def canonical_tool_name(name) -> Column:
+    """A custom tool's name without its namespace."""
+    return F.regexp_replace(_col(name), r"^tools\.", "")
+
+
+def patch_path(patch) -> Column:
+    """The one file that a patch touches; null if it touches none or several."""
+    found = F.array_distinct(F.regexp_extract_all(_col(patch), F.lit(r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$"), F.lit(1)))
+    return F.when(F.size(found) == 1, F.trim(found[0]))
+
+
+def text_of_blocks(content) -> Column:
+    """Text of a message's content (JSON text): a string as it is, the text blocks of an array joined by line feeds, else its JSON."""
+    c = _col(content)
+    v = F.try_parse_json(c)
+    kind = F.schema_of_variant(v)
+    texts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda b: F.try_variant_get(b, "$.text", "string"))
+    some = F.filter(texts, lambda t: t.isNotNull())
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("ARRAY") & (F.size(some) > 0), F.array_join(some, "\n")).otherwise(c)
+
+
+def in_version_range(version, low: str, high: str) -> Column:
+    """Whether a version lies in [low, high); false if it is no version."""
+    return F.coalesce((semver_key(version) >= semver_key(F.lit(low))) & (semver_key(version) < semver_key(F.lit(high))), F.lit(False))
+
+
+def override_ratio(overridden, pure) -> Column:
+    """Share of overridden records; 0 where there are none."""
+    total = _col(overridden) + _col(pure)
+    return F.when(total == 0, F.lit(0.0)).otherwise(_col(overridden) / total)

@@ -165,3 +165,13 @@ def test_elision_shrinks_the_largest_leaves_first(spark):
     got = [r["out"] for r in hashing.with_elided(df, "raw", "out", 200).collect()]
     assert json.loads(got[0]) == value | {"a": {"elided": True, "size_bytes": 302}} and got[1] == '{"k":1}' and got[2] is None
     assert set(json.loads(got[3])) == {"elided", "size_bytes"} and max(len(x) for x in got if x) <= 200
+
+
+def test_small_text_functions(spark):
+    r = one(
+        spark, tool=S.canonical_tool_name(F.lit("tools.apply_patch")), one_file=S.patch_path(F.lit("*** Begin Patch\n*** Update File: a/b.py\n@@\n*** End Patch")),
+        two=S.patch_path(F.lit("*** Add File: a\n*** Delete File: b\n")), text=S.text_of_blocks(F.lit('[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]')),
+        plain=S.text_of_blocks(F.lit('"x"')), other=S.text_of_blocks(F.lit('{"k":1}')), yes=S.in_version_range(F.lit("0.128.3"), "0.128.0", "0.129.0"), no=S.in_version_range(F.lit("x"), "0", "1"),
+        ratio=S.override_ratio(F.lit(1), F.lit(3)), none=S.override_ratio(F.lit(0), F.lit(0)))
+    assert (r["tool"], r["one_file"], r["two"], r["text"], r["plain"], r["other"]) == ("apply_patch", "a/b.py", None, "a\nb", "x", '{"k":1}')
+    assert (r["yes"], r["no"], r["ratio"], r["none"]) == (True, False, 0.25, 0.0)
