@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import durable, grouped, mapped
-from loomline.llm.sampling import LAST_ID, SPANS, Words, by_text, contexts, entries, flagged_spans, keyed, located, merged, window_digests
+from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, flagged_spans, keyed, located, merged, window_digests, with_spans
 
 #: Runs in a group, and most runs of one gram in a group.
 GROUP_ROWS = 20_000
@@ -73,13 +73,13 @@ def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GRO
     grams = rows.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     hits = durable(located(rows, grams.select("gram", (F.col("n") > group_rows).alias("heavy"))))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    found = contexts(docs, hits, unit)
     groups = max(1, -(-total // group_rows))
-    light = found.filter("not heavy").select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "ctx")
+    light = contexts(docs, chosen(hits, False), unit).select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "ctx")
     spans = grouped(light.groupBy("group"), lambda t: subtrees(t, unit), SPANS, docs.sparkSession)
-    if hits.filter(F.exists("at", lambda x: x["heavy"])).isEmpty():
+    heavy = chosen(hits, True)
+    if heavy.isEmpty():
         return spans
-    each = window_digests(found.filter("heavy"), unit)
+    each = window_digests(contexts(docs, heavy, unit), unit)
     low = each.groupBy("digest").agg(F.min("did").alias("low")).withColumnRenamed("digest", "d")
     late = each.join(low, (F.col("digest") == F.col("d")) & (F.col("did") > F.col("low")))
     return spans.unionByName(late.select("did", "h", F.col("pos").alias("lo"), (F.col("pos") + unit.window).alias("hi")))
@@ -94,8 +94,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    spans = by_text(repeated_spans(docs, unit, group_rows))
-    joined = docs.join(spans, ["did", "h"], "left").select("did", "text", "spans")
+    joined = with_spans(docs, repeated_spans(docs, unit, group_rows))
 
     def run(batches):
         for batch in batches:

@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from loomline.llm.common import mapped
 
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
-AT_ONCE = 1 << 20
-#: Texts whose contexts are cut at once.
-TEXTS_AT_ONCE = 256
+AT_ONCE = 1 << 18
+#: Texts that are worked on at once.
+TEXTS_AT_ONCE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LAST_ID = (1 << 63) - 1
 
 
 #: Bytes of text whose words are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: list[np.ndarray] = []
@@ -258,29 +258,31 @@ def text_runs(unit, symbols, alone: bool = False):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, h, text): a null id counts as the largest; id and digest tell texts apart."""
+    """(did, h, key, text): a null id counts as the largest; id and digest tell texts apart, key is short for both."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.select("did", "h", F.xxhash64("did", "h").alias("key"), "text")
 
 
 def entries(docs: DataFrame, unit, alone: bool = False) -> DataFrame:
-    """(did, h, start, gram, more): a row for each run of each text of keyed(docs)."""
+    """(did, key, start, gram, more): a row for each run of each text of keyed(docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = [t.encode() for t in batch.column(2).to_pylist()]
-            row, start, _, value, more = text_runs(unit, unit.symbols(raws), alone)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(more if alone else np.zeros(len(row), np.int64), pa.int32())],
-                ["did", "h", "start", "gram", "more"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                raws = [t.encode() for t in batch.column(2).to_pylist()]
+                row, start, _, value, more = text_runs(unit, unit.symbols(raws), alone)
+                more = more if alone else np.zeros(len(row), np.int64)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(more, pa.int32())], ["did", "key", "start", "gram", "more"])
 
-    return mapped(docs, run, "did long, h long, start int, gram long, more int")
+    return mapped(docs.select("did", "key", "text"), run, "did long, key long, start int, gram long, more int")
 
 
 def contexts(docs: DataFrame, hits: DataFrame, unit) -> DataFrame:
-    """(did, h, start, gram, heavy, ctx): the symbols under the runs named in hits(did, h, at array<struct<start, heavy>>)."""
-    found = docs.join(hits, ["did", "h"]).select("did", "h", "text", F.col("at.start").alias("starts"), F.col("at.heavy").alias("heavy"))
+    """(did, h, start, gram, ctx): the symbols under the runs named in hits(key, starts)."""
+    found = docs.join(hits, "key").select("did", "h", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -288,23 +290,29 @@ def contexts(docs: DataFrame, hits: DataFrame, unit) -> DataFrame:
                 batch = whole.slice(at, TEXTS_AT_ONCE)
                 raws = [t.encode() for t in batch.column(2).to_pylist()]
                 cut = list(unit.symbols(raws))
-                wanted = [dict(zip(s, h)) for s, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+                wanted = [set(s) for s in batch.column(3).to_pylist()]
                 row, start, n, value, _ = text_runs(unit, cut)
                 keep = [(k, i, s, m) for k, (i, s, m) in enumerate(zip(row.tolist(), start.tolist(), n.tolist())) if s in wanted[i]]
                 index = pa.array([i for _, i, _, _ in keep], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(index), batch.column(1).take(index), pa.array([s for _, _, s, _ in keep], pa.int32()),
-                     pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)), pa.array([wanted[i][s] for _, i, s, _ in keep], pa.bool_()),
+                     pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)),
                      pa.array([unit.part(raws[i], cut[i][2], cut[i][3], s, s + m + unit.window - 1) for _, i, s, m in keep], pa.binary())],
-                    ["did", "h", "start", "gram", "heavy", "ctx"])
+                    ["did", "h", "start", "gram", "ctx"])
 
-    return mapped(found, run, "did long, h long, start int, gram long, heavy boolean, ctx binary")
+    return mapped(found, run, "did long, h long, start int, gram long, ctx binary")
 
 
 def located(entry_rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(did, h, at): for each text the runs with a gram of repeated(gram, heavy); bounded by the text's length."""
-    hits = entry_rows.join(repeated, "gram").select("did", "h", F.struct("start", "heavy").alias("at"))
-    return hits.groupBy("did", "h").agg(F.collect_set("at").alias("at"))
+    """(key, at): for each text the runs with a gram of repeated(gram, heavy); bounded by the text's length."""
+    hits = entry_rows.select("key", "start", "gram").join(repeated, "gram").select("key", F.struct("start", "heavy").alias("at"))
+    return hits.groupBy("key").agg(F.collect_set("at").alias("at"))
+
+
+def chosen(hits: DataFrame, heavy: bool) -> DataFrame:
+    """(key, starts) of the hits whose gram is heavy, or not; texts without one are left out."""
+    starts = F.transform(F.filter("at", lambda x: x["heavy"] == F.lit(heavy)), lambda x: x["start"])
+    return hits.select("key", starts.alias("starts")).filter(F.size("starts") > 0)
 
 
 def flagged_spans(did, h, start, count, flags, window) -> pa.RecordBatch:
@@ -348,9 +356,16 @@ def window_digests(rows: DataFrame, unit) -> DataFrame:
     return mapped(rows.select("did", "h", "start", "ctx"), run, "did long, h long, pos long, digest binary")
 
 
-def by_text(spans: DataFrame) -> DataFrame:
-    """(did, h, spans): all spans of a text, bounded by its length."""
-    return spans.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(did, text, spans) of keyed(docs): all spans of a text, bounded by its length; null without any.
+
+    The join goes by key, as the one in `contexts`, so both read one shuffle of the texts;
+    id and digest are compared besides.
+    """
+    found = spans.groupBy("did", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = found.select(F.xxhash64("did", "h").alias("s_key"), F.col("did").alias("s_did"), F.col("h").alias("s_h"), "spans")
+    same = (F.col("did").bitwiseXOR(F.col("s_did")) == 0) & (F.col("h").bitwiseXOR(F.col("s_h")) == 0)
+    return docs.join(found, (F.col("key") == F.col("s_key")) & same, "left").select("did", "text", "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import durable, grouped, mapped
-from loomline.llm.sampling import LAST_ID, SPANS, Bytes, by_text, contexts, entries, flagged_spans, keyed, located, merged, window_digests
+from loomline.llm.sampling import LAST_ID, SPANS, Bytes, chosen, contexts, entries, flagged_spans, keyed, located, merged, window_digests, with_spans
 
 GROUP_ROWS = 4_000
 BATCHES = 4
@@ -115,18 +115,18 @@ def repeated_spans(docs: DataFrame, unit: Bytes = Bytes(), batches: int = BATCHE
     rows = durable(entries(docs, unit, alone=True))
     family = Family()
     for k in range(batches):
-        family.add(rows.filter(F.pmod(F.xxhash64("did", "h"), F.lit(batches)) == k))
+        family.add(rows.filter(F.pmod("key", F.lit(batches)) == k))
     repeated = family.repeated().select("gram", (F.col("n") > group_rows).alias("heavy"))
     hits = durable(located(rows, repeated))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    # Equal rows are one key here; each of them has to be counted.
-    found = contexts(docs, hits, unit)
     groups = max(1, -(-total // group_rows))
-    light = found.filter("not heavy").select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "gram", "ctx")
+    # Equal rows share a key, and each of them comes with its contexts.
+    light = contexts(docs, chosen(hits, False), unit).select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "gram", "ctx")
     spans = grouped(light.groupBy("group"), lambda t: confirm(t, unit), SPANS, docs.sparkSession)
-    if hits.filter(F.exists("at", lambda x: x["heavy"])).isEmpty():
+    heavy = chosen(hits, True)
+    if heavy.isEmpty():
         return spans
-    each = window_digests(found.filter("heavy"), unit)
+    each = window_digests(contexts(docs, heavy, unit), unit)
     many = each.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("digest").alias("d"))
     again = each.join(many, F.col("digest") == F.col("d"))
     return spans.unionByName(again.select("did", "h", F.col("pos").alias("lo"), (F.col("pos") + unit.window).alias("hi")))
@@ -140,8 +140,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     empty, null ids come back as null. Other columns are not read.
     """
     docs = keyed(docs, id_col, text_col)
-    spans = by_text(repeated_spans(docs, unit, batches, group_rows))
-    joined = docs.join(spans, ["did", "h"], "left").select("did", "text", "spans")
+    joined = with_spans(docs, repeated_spans(docs, unit, batches, group_rows))
 
     def run(batches_in):
         for batch in batches_in:
