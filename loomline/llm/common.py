@@ -21,6 +21,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Rows up to which a table of groups is broadcast.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it has few rows; else joins with it are left to adaptive execution."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """`df` under column names that clash with nothing, and the new name of each old one."""
     names = [f"c{i}" for i in range(len(df.columns))]

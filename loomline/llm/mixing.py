@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import WS, durable, free_name, numbered_columns
+from loomline.llm.common import WS, durable, free_name, numbered_columns, small
 
 #: Documents in a block, on average.
 BLOCK_DOCS = 256
@@ -121,7 +121,7 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
     alpha, budget = exponent(sources, entropy, repetition, passes)
     planned = durable(plan(sources, alpha, budget, block_docs))
     block = F.expr("pmod(spot, blocks)")
-    keys = planned.select(F.col("source").alias("p_source"), "whole", "rest", "blocks")
+    keys = small(planned.select(F.col("source").alias("p_source"), "whole", "rest", "blocks"))
     blocks = light.join(keys, F.col("source").eqNullSafe(F.col("p_source"))).groupBy("source", "whole", "rest", block.alias("block")).agg(F.sum("tokens").alias("t"))
     # The permutation of a source's blocks, cut into at most 1,024 stretches, so that sums run over few rows.
     blocks = durable(blocks.withColumn("at", F.xxhash64(F.lit(seed), "source", "whole", "block")).withColumn("stretch", F.shiftright("at", 54)))
@@ -136,7 +136,7 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
         (F.col("start") + F.col("t") <= F.col("rest")).alias("in_rest"),
         F.when((F.col("start") < F.col("rest")) & (F.col("start") + F.col("t") > F.col("rest")), F.col("rest") - F.col("start")).alias("left")))
     # The documents of the one block of a source where its budget ends.
-    edge = light.join(F.broadcast(keys), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", block)
+    edge = light.join(keys, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", block)
     on = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("block") == F.col("c_block"))
     edge = edge.join(cut.filter("left is not null").select("c_source", "c_block", "left"), on).groupBy("source", "block", "left", "spot").agg(F.sum("tokens").alias("t"))
     upto = F.sum("t").over(W.partitionBy("source", "block").orderBy("spot"))
@@ -144,7 +144,7 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
     edge = durable(edge.select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), "last"))
     on = F.col("c_source").eqNullSafe(F.col("e_source")) & (F.col("c_block") == F.col("e_block"))
     cut = durable(cut.join(edge, on, "left").select("c_source", "c_block", "at", "whole", "in_rest", "last"))
-    plain = sized.join(planned.select(F.col("source").alias("p_source"), "blocks"), F.col(f"{m}.source").eqNullSafe(F.col("p_source")))
+    plain = sized.join(small(planned.select(F.col("source").alias("p_source"), "blocks")), F.col(f"{m}.source").eqNullSafe(F.col("p_source")))
     on = F.col(f"{m}.source").eqNullSafe(F.col("c_source")) & (F.expr(f"pmod({m}.spot, blocks)") == F.col("c_block"))
     out = plain.join(cut, on)
     copies = F.col("whole") + F.when(F.col("in_rest") | (F.col(f"{m}.spot") <= F.col("last")), 1).otherwise(0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import NOT_WS, WS, durable, free_name, numbered_columns
+from loomline.llm.common import NOT_WS, WS, durable, free_name, numbered_columns, small
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -133,7 +133,7 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
         flat = durable(flat)
     else:
         flat = flat.withColumn("row_number_", F.monotonically_increasing_id()).filter("row_number_ >= 0")
-    fences = durable(thresholds(durable(sketches(flat)), min_rows))
+    fences = small(durable(thresholds(durable(sketches(flat)), min_rows)))
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
     return flat.join(fences, on, "left").select(
         "kept_columns.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
