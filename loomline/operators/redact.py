@@ -62,17 +62,25 @@ def counts(text, patterns=ALL) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda x: x["value"] > 0))
 
 
+def _stepped(df: DataFrame, text: str, patterns) -> DataFrame:
+    """`df` with `_r0`, `_r1` ...: the text before each pattern, each computed once from the one before."""
+    out = df.withColumn("_r0", F.coalesce(F.col(text), F.lit("")))
+    for i, (_, pattern, put) in enumerate(patterns[:-1]):
+        out = out.withColumn(f"_r{i + 1}", F.regexp_replace(f"_r{i}", pattern, put.replace("\\", "\\\\").replace("$", "\\$")))
+    return out
+
+
 def count_by_pattern(df: DataFrame, text: str, patterns=ALL) -> DataFrame:
     """(pattern, n_matches, n_rows) over all rows; combines before the shuffle."""
-    each = df.select(F.explode(counts(text, patterns)).alias("pattern", "n"))
-    return each.groupBy("pattern").agg(F.sum("n").cast("long").alias("n_matches"), F.count("*").alias("n_rows"))
+    pairs = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count(f"_r{i}", F.lit(p)).alias("n")) for i, (n, p, _) in enumerate(patterns)])
+    each = _stepped(df.select(text), text, patterns).select(F.explode(F.filter(pairs, lambda x: x["n"] > 0)).alias("p"))
+    return each.groupBy("p.pattern").agg(F.sum("p.n").cast("long").alias("n_matches"), F.count("*").alias("n_rows"))
 
 
 def samples(df: DataFrame, text: str, order: str, most: int = SAMPLES, patterns=ALL) -> DataFrame:
     """The first `most` masked samples in row order, one for each row and pattern: a top-k, not a sort of all rows."""
-    steps, _ = _steps(F.coalesce(F.col(text), F.lit("")), patterns, [])
-    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("pattern"), F.regexp_extract(before, p, 0).alias("match"), F.lit(put).alias("after")) for i, ((n, before, p, _), (_, _, put)) in enumerate(zip(steps, patterns))])
-    rows = df.select(order, F.explode(F.filter(found, lambda x: x["match"] != "")).alias("s"))
+    found = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("pattern"), F.regexp_extract(f"_r{i}", p, 0).alias("match"), F.lit(put).alias("after")) for i, (n, p, put) in enumerate(patterns)])
+    rows = _stepped(df.select(order, text), text, patterns).select(order, F.explode(F.filter(found, lambda x: x["match"] != "")).alias("s"))
     return rows.select(order, "s.rank", "s.pattern", mask("s.match").alias("before"), "s.after").orderBy(order, "rank").limit(most)
 
 
