@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.functions.scalars import has_embedded_credentials
-from loomline.operators import graph, pairing, redact, sequences
+from loomline.functions.scalars import has_embedded_credentials, pointer_escape
+from loomline.operators import graph, hashing, pairing, redact, sequences
 
 # Fixed values of the format.
 SCHEMA_VERSION = "0.1.0"
@@ -26,6 +26,32 @@ REQUIRED = {
     "system_event": ("kind",), "agent_thinking": ("text",), "context_compact": ("summary",), "branch_point": ("from_id",), "branch_summary": ("abandoned_branch_id", "summary"),
     "model_change": ("to_model",), "session_terminated": ("reason",), "session_end": ("reason",), "command_invoke": ("name", "kind", "via"),
 }
+# All payload fields that an event of a type may have.
+PAYLOAD_FIELDS = {
+    "user_message": ("text", "attachments"),
+    "agent_message": ("text", "model", "stop_reason", "usage", "attachments"),
+    "tool_call": ("tool", "args"),
+    "tool_result": ("for_id", "ok", "output", "truncated", "overflow_ref", "error", "attachments", "meta"),
+    "session_summary": ("scope", "text", "model"),
+    "system_event": ("kind", "text", "data"),
+    "agent_thinking": ("text", "model", "level"),
+    "user_interrupt": ("reason",),
+    "context_compact": ("summary", "trigger", "tokens_before", "tokens_after"),
+    "branch_point": ("from_id", "reason"),
+    "branch_summary": ("abandoned_branch_id", "summary", "model"),
+    "model_change": ("from_model", "to_model"),
+    "session_terminated": ("reason", "open_call_ids"),
+    "session_end": ("reason", "final_message_id"),
+    "command_invoke": ("name", "kind", "via", "args", "expansion_text", "result_action"),
+}
+# Payload fields with a closed set of values.
+ENUMS = {
+    "session_summary": {"scope": ("session",)},
+    "agent_thinking": {"level": ("low", "medium", "high", "xhigh")},
+    "context_compact": {"trigger": ("manual", "auto")},
+    "session_end": {"reason": ("complete", "user_quit", "agent_idle")},
+}
+PROFILES = ("strict", "reader-tolerant")
 RAW_HARD, RAW_SOFT = 32_768, 8_192
 
 
@@ -44,15 +70,18 @@ def promoted(lines: DataFrame) -> DataFrame:
         "file", "line", "value", field("$.type").alias("type"), field("$.id").alias("id"), field("$.parent_id").alias("parent_id"), field("$.ts").alias("ts"),
         field("$.schema_version").alias("schema_version"), field("$.content_hash").alias("content_hash"), field("$.stream.state").alias("stream_state"),
         field("$.semantic.call_id").alias("call_id"), field("$.payload.for_id").alias("for_id"), field("$.vcs.revision").alias("revision"), field("$.vcs.remote_url").alias("remote_url"),
-        field("$.payload.final_message_id").alias("final_message_id"), present("$.parent_id").alias("has_parent")), ["file"])
+        field("$.payload.final_message_id").alias("final_message_id"), present("$.parent_id").alias("has_parent"),
+        field("$.agent.name").alias("agent"), field("$.fork_from.session_id").alias("forked_from"), field("$.fork_from.content_hash").alias("forked_hash"),
+        field("$.source.raw.envelope_ref").alias("envelope_ref")), ["file"])
 
 
 def _say(df: DataFrame, severity: str, code: str, path: str, message: Column) -> DataFrame:
     return df.select("file", "line", F.lit(path).alias("path"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
 
 
-def record_rules(r: DataFrame) -> list[DataFrame]:
-    """Rules that look at one line."""
+def record_rules(r: DataFrame, profile: str = "strict") -> list[DataFrame]:
+    """Rules that look at one line. A tolerant reader is only warned of unknown types and payload fields."""
+    tolerant = profile == "reader-tolerant"
     entry = ~F.col("type").isin("trail", "session") | F.col("type").isNull()
     out = [
         _say(r.filter(F.col("type").isNull()), "error", "required", "/type", F.lit("must have required property 'type'")),
@@ -60,17 +89,34 @@ def record_rules(r: DataFrame) -> list[DataFrame]:
         _say(r.filter(~F.col("id").rlike(ID)), "error", "pattern", "/id", F.concat(F.lit("no id: "), "id")),
         _say(r.filter(F.col("ts").isNull()), "error", "required", "/ts", F.lit("must have required property 'ts'")),
         _say(r.filter(~F.col("ts").rlike(TIMESTAMP)), "error", "pattern", "/ts", F.concat(F.lit("no timestamp: "), "ts")),
-        _say(r.filter(entry & ~F.col("type").isin(*EVENT_TYPES)), "error", "enum", "/type", F.concat(F.lit("unknown type: "), "type")),
+        _say(r.filter(entry & ~F.col("type").isin(*EVENT_TYPES)), "warning" if tolerant else "error", "reader_tolerant_unknown_record" if tolerant else "enum", "/type", F.concat(F.lit("unknown type: "), "type")),
     ]
+    allowed = F.create_map(*[x for k, names in PAYLOAD_FIELDS.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
+    payload = F.to_json(F.try_variant_get("value", "$.payload", "variant"))
+    extra = r.filter(F.col("type").isin(*PAYLOAD_FIELDS)).select("file", "line", F.explode(F.array_except(F.json_object_keys(payload), F.try_element_at(allowed, F.col("type")))).alias("name"))
+    where = F.concat(F.lit("/payload/"), pointer_escape("name"))
+    out.append(extra.select("file", "line", where.alias("path"), F.lit("warning" if tolerant else "error").alias("severity"),
+                            F.lit("reader_tolerant_unknown_payload_field" if tolerant else "additionalProperties").alias("code"), F.concat(F.lit("unknown payload field: "), "name").alias("message")))
+    for kind, fields in ENUMS.items():
+        for name, values in fields.items():
+            out.append(_say(r.filter((F.col("type") == kind) & ~field(f"$.payload.{name}").isin(*values)), "error", "enum", f"/payload/{name}", F.lit("must be one of " + ", ".join(values))))
+    usage = r.filter((F.col("type") == "agent_message") & F.schema_of_variant(F.try_variant_get("value", "$.payload.usage", "variant")).startswith("OBJECT"))
+    for side in ("input", "output"):
+        names = [f"{side}_tokens", f"{side}_tokens_cumulative"]
+        some = F.coalesce(*[field(f"$.payload.usage.{n}", "double") for n in names]).isNotNull()
+        out.append(_say(usage.filter(~some), "warning", "usage_missing_required", "/payload/usage", F.lit(f"usage must have {names[0]} or {names[1]}")))
     for kind, names in REQUIRED.items():
         for name in names:
             out.append(_say(r.filter((F.col("type") == kind) & ~present(f"$.payload.{name}")), "error", "required", f"/payload/{name}", F.lit(f"must have required property '{name}'")))
     size = F.octet_length(F.to_json(F.try_variant_get("value", "$.source.raw", "variant")))
     sized = r.withColumn("size", size)
+    # A password with percent-encoded bytes was put there on purpose.
+    encoded = F.regexp_extract("remote_url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/@\s]*:([^/@\s]+)@", 1).rlike("%[0-9A-Fa-f]{2}")
     out += [
         _say(sized.filter(F.col("size") > RAW_HARD), "error", "source_raw_oversized_hard", "/source/raw", F.concat("size", F.lit(" bytes"))),
         _say(sized.filter((F.col("size") > RAW_SOFT) & (F.col("size") <= RAW_HARD)), "warning", "source_raw_oversized", "/source/raw", F.concat("size", F.lit(" bytes"))),
-        _say(r.filter(has_embedded_credentials("remote_url")), "warning", "vcs_remote_url_with_credentials", "/vcs/remote_url", F.lit("the address holds credentials")),
+        _say(r.filter(has_embedded_credentials("remote_url") & ~encoded), "warning", "vcs_remote_url_with_credentials", "/vcs/remote_url", F.lit("the address holds credentials")),
+        _say(r.filter(has_embedded_credentials("remote_url") & encoded), "error", "vcs_remote_url_with_credentials", "/vcs/remote_url", F.lit("the address holds an encoded password")),
     ]
     raw = F.to_json(F.try_variant_get("value", "$.source.raw", "variant"))
     found = r.withColumn("raw", raw).filter("raw is not null").select("file", "line", F.explode(F.map_keys(redact.counts("raw", redact.PATTERNS))).alias("pattern"))
@@ -112,7 +158,51 @@ def file_rules(r: DataFrame) -> list[DataFrame]:
     ends = events.filter("type = 'session_end' and final_message_id is not null")
     missing = ends.join(known, (ends["file"] == known["file"]) & (ends["final_message_id"] == known["final_message_id"]) & (known["at"] < ends["line"]), "left_anti")
     out.append(_say(missing, "warning", "unknown_final_message_id", "/payload/final_message_id", F.col("final_message_id")))
-    return out
+    first = events.filter("id is not null").groupBy("file", F.col("id").alias("envelope_ref")).agg(F.min("line").alias("at"))
+    refs = events.filter("envelope_ref is not null").join(first, ["file", "envelope_ref"], "left").filter("at is null or at >= line")
+    out.append(_say(refs, "error", "source_raw_envelope_ref_unresolved", "/source/raw/envelope_ref", F.col("envelope_ref")))
+    siblings = headers.filter("content_hash <> '<pending>'").select("file", F.col("id").alias("forked_from"), "content_hash", "line").groupBy("file", "forked_from").agg(F.max_by("content_hash", "line").alias("sibling"))
+    forks = headers.filter("forked_hash is not null").join(siblings, ["file", "forked_from"]).filter("forked_hash <> sibling")
+    out.append(_say(forks, "warning", "cross_group_fork_from_hash_mismatch", "/fork_from/content_hash", F.col("sibling")))
+    return [*out, manifest_drift(r)]
+
+
+def manifest_drift(r: DataFrame) -> DataFrame:
+    """Where an envelope's list of sessions differs from the headers that follow: in length, or in id or agent of the part both have."""
+    listed = r.filter(F.col("type") == "trail").groupBy("file").agg(F.min_by(F.struct("line", field("$.sessions", "array<variant>").alias("sessions")), "line").alias("e")).select("file", "e.*").filter("sessions is not null")
+    headers = r.filter(F.col("type") == "session").select("file", "group_idx", F.col("id").alias("own_id"), F.col("agent").alias("own_agent"))
+    n = headers.groupBy("file").agg(F.count("*").alias("n"))
+    length = listed.join(n, "file", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.size("sessions") != F.col("n"))
+    told = _say(length, "warning", "envelope_sessions_manifest_drift", "/sessions", F.format_string("%d sessions listed, %d in the file", F.size("sessions"), "n"))
+    one = listed.select("file", "line", F.posexplode("sessions").alias("at", "s")).withColumn("group_idx", F.col("at") + 1).join(headers, ["file", "group_idx"])
+    sides = F.array(*[F.struct(F.lit(k).alias("k"), F.try_variant_get("s", f"$.{k}", "string").alias("listed"), F.col(f"own_{k}").alias("own")) for k in ("id", "agent")])
+    wrong = F.filter(sides, lambda x: x["listed"].isNotNull() & ~x["listed"].eqNullSafe(x["own"]))
+    each = one.select("file", "line", "at", F.explode(wrong).alias("w")).select(
+        "file", "line", F.concat_ws("/", F.lit("/sessions"), "at", "w.k").alias("path"), F.lit("warning").alias("severity"), F.lit("envelope_sessions_manifest_drift").alias("code"), F.col("w.listed").alias("message"))
+    return told.unionByName(each)
+
+
+def hash_rules(lines: DataFrame, r: DataFrame, profile: str = "strict") -> DataFrame:
+    """content_hash_mismatch of headers and envelopes, in files that could be read to their end.
+
+    A header's hash covers its session with the header's own hash pending; an envelope's
+    covers the file with its own hash pending and those of the headers as they stand.
+    """
+    whole = lines.groupBy("file").agg(F.max("code").alias("fault")).filter("fault is null").select("file")
+    text = F.to_json("value")
+    claim = '"content_hash":'
+    # Only lines that carry a claim of their own are hashed in two forms.
+    pending = F.when(F.col("content_hash").isNotNull() & F.col("type").isin("session", "trail"), F.replace(text, F.concat(F.lit(claim), F.to_json(F.try_variant_get("value", "$.content_hash", "variant"))), F.lit(f'{claim}"{hashing.PENDING}"'))).otherwise(text)
+    rows = r.join(whole, "file", "left_semi").withColumn("plain", text).withColumn("pinned", F.when(F.col("type") == "session", pending).otherwise(text)).withColumn("sealed", F.when((F.col("type") == "trail") & (F.col("line") == 1), pending).otherwise(text))
+    claimed = F.col("content_hash").rlike("^[a-f0-9]{64}$")
+    by_group = rows.filter("group_idx > 0").join(rows.filter((F.col("type") == "session") & claimed).select("file", "group_idx"), ["file", "group_idx"], "left_semi")
+    by_file = rows.join(rows.filter((F.col("type") == "trail") & (F.col("line") == 1) & claimed).select("file"), "file", "left_semi")
+    sessions = hashing.content_hash(hashing.with_canonical(by_group.select("file", "group_idx", "line", "pinned"), "pinned"), ["file", "group_idx"])
+    files = hashing.content_hash(hashing.with_canonical(by_file.select("file", "line", "sealed"), "sealed"), ["file"])
+    heads = rows.filter((F.col("type") == "session") & claimed).select("file", "group_idx", "line", F.col("content_hash").alias("claim")).join(sessions, ["file", "group_idx"]).drop("group_idx")
+    envelopes = rows.filter((F.col("type") == "trail") & (F.col("line") == 1) & claimed).select("file", "line", F.col("content_hash").alias("claim")).join(files, "file")
+    bad = heads.unionByName(envelopes).filter("claim <> content_hash")
+    return _say(bad, "warning" if profile == "reader-tolerant" else "error", "content_hash_mismatch", "/content_hash", F.col("content_hash"))
 
 
 def cycles(r: DataFrame, most: int) -> DataFrame:
@@ -123,12 +213,14 @@ def cycles(r: DataFrame, most: int) -> DataFrame:
     return _say(first.join(on, ["file", "group_idx", "id"]), "error", "parent_cycle", "/parent_id", F.col("id"))
 
 
-def validate(lines: DataFrame) -> DataFrame:
-    """(file, line, path, severity, code, message) of parsed lines; parse errors come first and end their file."""
+def validate(lines: DataFrame, profile: str = "strict") -> DataFrame:
+    """(file, line, path, severity, code, message) of parsed lines; parse errors come first and end their file. profile: strict or reader-tolerant."""
+    if profile not in PROFILES:
+        raise TypeError(f"no profile: {profile}")
     r = promoted(lines.filter("code is null"))
     faults = _say(lines.filter("code is not null"), "error", "parse", "", F.col("code"))
     longest = r.groupBy("file", "group_idx").count().agg(F.max("count")).first()[0] or 1
-    return reduce(DataFrame.unionByName, [faults, *record_rules(r), *file_rules(r), cycles(r, longest)])
+    return reduce(DataFrame.unionByName, [faults, *record_rules(r, profile), *file_rules(r), hash_rules(lines, r, profile), cycles(r, longest)])
 
 
 def rendered(diagnostics: DataFrame) -> DataFrame:

@@ -409,7 +409,7 @@ def _codex_records(spark, sf_dir):
                .when(k == 1, F.to_json(F.struct(F.lit("agent_message").alias("type"), F.lit("").alias("message"))))
                .when(k == 2, F.to_json(F.struct(F.lit("function_call").alias("type"), F.lit("read").alias("name"), F.lit('{"path":"/a"}').alias("arguments"), F.col("event_id").cast("string").alias("call_id"))))
                .when(k == 3, F.to_json(F.struct(F.lit("function_call_output").alias("type"), F.lit("ok\n· ").alias("output"), F.col("event_id").cast("string").alias("call_id"))))
-               .otherwise('{"type":"other"}'))
+               .otherwise(F.concat(F.lit('{"type":"other","tokens_before":9.5,"summary":"s'), F.col("event_id"), F.lit('"}'))))
     kind = F.when(k.isin(0, 1), "event_msg").when(k.isin(2, 3), "response_item").when(k == 4, "compacted").otherwise("mystery")
     raw = F.concat(F.lit('{"type":"'), kind, F.lit('","timestamp":"t","payload":'), payload, F.lit("}"))
     return e.select(F.col("user_id").cast("string").alias("session_uid"), F.col("event_id").alias("record_idx"), F.try_parse_json(raw).alias("v"))
@@ -419,7 +419,7 @@ def _codex_records(spark, sf_dir):
   CASE event_id % 6 WHEN 0 THEN 'user_message' WHEN 2 THEN 'tool_call' WHEN 3 THEN 'tool_result' WHEN 4 THEN 'context_compact' ELSE 'system_event' END AS type,
   CASE event_id % 6 WHEN 0 THEN 'user_message' WHEN 2 THEN 'function_call' WHEN 3 THEN 'call_output' WHEN 4 THEN 'compacted' ELSE 'quarantine' END AS rule,
   CASE event_id % 6 WHEN 2 THEN 'file_read' END AS tool_kind, CASE WHEN event_id % 6 IN (2, 3) THEN CAST(event_id AS VARCHAR) END AS call_id,
-  CASE event_id % 6 WHEN 0 THEN '{"text":"m' || event_id || '"}' WHEN 2 THEN '{"tool":"read","args":{"path":"/a"}}' WHEN 3 THEN '{"ok":true,"output":"ok"}' WHEN 4 THEN '{"trigger":"auto"}' END AS payload
+  CASE event_id % 6 WHEN 0 THEN '{"text":"m' || event_id || '"}' WHEN 2 THEN '{"tool":"file_read","args":{"path":"/a"}}' WHEN 3 THEN '{"ok":true,"output":"ok"}' WHEN 4 THEN '{"summary":"s' || event_id || '","trigger":"auto","tokens_before":9}' END AS payload
 FROM events WHERE event_id % 6 <> 1""")
 def dispatch_first_match(spark, sf_dir):
     out = adapters.adapt(_codex_records(spark, sf_dir), adapters.codex_rules(), _NS, "codex", adapters.codex_known())

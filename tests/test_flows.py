@@ -59,7 +59,7 @@ def test_codex_rules(spark):
     ns = "e8f4b9a5-af67-4bcd-d156-738f9a0b1c23"
     got = adapters.adapt(df, adapters.codex_rules(), ns, "codex", adapters.codex_known()).orderBy("record_idx").collect()
     assert [(r["record_idx"], r["type"]) for r in got] == [(1, "user_message"), (3, "tool_call"), (4, "tool_result"), (5, "agent_thinking"), (6, "system_event")]
-    assert json.loads(got[1]["payload"]) == {"tool": "shell", "args": {"command": "ls 'a b'", "cwd": "/x"}}
+    assert json.loads(got[1]["payload"]) == {"tool": "shell_command", "args": {"command": "ls 'a b'", "cwd": "/x"}}
     assert got[1]["tool_kind"] == "shell_command" and json.loads(got[2]["payload"]) == {"ok": True, "output": "done"} and json.loads(got[3]["payload"]) == {"text": "a\nb"}
     assert json.loads(json.loads(got[4]["payload"])["data"]["raw"]) == records[6]
     assert got[0]["id"] == str(uuid.uuid5(uuid.UUID(ns), "\x1f".join(["s", "1", "user_message", "0"])))
@@ -124,7 +124,7 @@ def test_claude_rules_links_and_open_calls(spark):
     out = adapters.link_results(adapters.adapt(df, adapters.claude_rules(), "0a16dbc7-c189-4def-f378-95ab1c2d3e45", "claudecode"))
     got = out.orderBy("record_idx", "ordinal").collect()
     assert [r["type"] for r in got] == ["user_message", "agent_thinking", "agent_message", "tool_call", "tool_result", "user_interrupt", "tool_call", "session_summary", "system_event"]
-    assert json.loads(got[3]["payload"]) == {"tool": "Bash", "args": {"command": "ls"}} and json.loads(got[4]["payload"]) == {"ok": True, "output": "x"}
+    assert json.loads(got[3]["payload"]) == {"tool": "shell_command", "args": {"command": "ls"}} and json.loads(got[4]["payload"]) == {"ok": True, "output": "x"}
     assert got[4]["for_id"] == got[3]["id"] and adapters.terminated(out).first()["open_call_ids"] == [got[6]["id"]]
 
 
