@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from loomline.functions.scalars import has_embedded_credentials, pointer_escape
 from loomline.operators import graph, hashing, pairing, redact, sequences
+from loomline.session import durable
 
 # Fixed values of the format.
 SCHEMA_VERSION = "0.1.0"
@@ -75,53 +76,64 @@ def promoted(lines: DataFrame) -> DataFrame:
         field("$.source.raw.envelope_ref").alias("envelope_ref")), ["file"])
 
 
+DIAGNOSTIC = "struct<path: string, severity: string, code: string, message: string>"
+
+
+def _diagnostic(path: Column, severity: str, code: str, message: Column) -> Column:
+    return F.struct(path.alias("path"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
+
+
 def _say(df: DataFrame, severity: str, code: str, path: str, message: Column) -> DataFrame:
     return df.select("file", "line", F.lit(path).alias("path"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
 
 
-def record_rules(r: DataFrame, profile: str = "strict") -> list[DataFrame]:
-    """Rules that look at one line. A tolerant reader is only warned of unknown types and payload fields."""
+def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
+    """Diagnostics of rules that look at one line, all in one pass over the lines.
+
+    A tolerant reader is only warned of unknown types and payload fields.
+    """
     tolerant = profile == "reader-tolerant"
-    entry = ~F.col("type").isin("trail", "session") | F.col("type").isNull()
-    out = [
-        _say(r.filter(F.col("type").isNull()), "error", "required", "/type", F.lit("must have required property 'type'")),
-        _say(r.filter(F.col("id").isNull()), "error", "required", "/id", F.lit("must have required property 'id'")),
-        _say(r.filter(~F.col("id").rlike(ID)), "error", "pattern", "/id", F.concat(F.lit("no id: "), "id")),
-        _say(r.filter(F.col("ts").isNull()), "error", "required", "/ts", F.lit("must have required property 'ts'")),
-        _say(r.filter(~F.col("ts").rlike(TIMESTAMP)), "error", "pattern", "/ts", F.concat(F.lit("no timestamp: "), "ts")),
-        _say(r.filter(entry & ~F.col("type").isin(*EVENT_TYPES)), "warning" if tolerant else "error", "reader_tolerant_unknown_record" if tolerant else "enum", "/type", F.concat(F.lit("unknown type: "), "type")),
-    ]
-    allowed = F.create_map(*[x for k, names in PAYLOAD_FIELDS.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
-    payload = F.to_json(F.try_variant_get("value", "$.payload", "variant"))
-    extra = r.filter(F.col("type").isin(*PAYLOAD_FIELDS)).select("file", "line", F.explode(F.array_except(F.json_object_keys(payload), F.try_element_at(allowed, F.col("type")))).alias("name"))
-    where = F.concat(F.lit("/payload/"), pointer_escape("name"))
-    out.append(extra.select("file", "line", where.alias("path"), F.lit("warning" if tolerant else "error").alias("severity"),
-                            F.lit("reader_tolerant_unknown_payload_field" if tolerant else "additionalProperties").alias("code"), F.concat(F.lit("unknown payload field: "), "name").alias("message")))
-    for kind, fields in ENUMS.items():
+    kind, none = F.col("type"), F.array().cast(f"array<{DIAGNOSTIC}>")
+    found: list[Column] = []
+
+    def say(when: Column, severity: str, code: str, path: str, message) -> None:
+        message = F.lit(message) if isinstance(message, str) else message
+        found.append(F.when(when, _diagnostic(F.lit(path), severity, code, message)))
+
+    entry = ~kind.isin("trail", "session") | kind.isNull()
+    for name in ("type", "id", "ts"):
+        say(F.col(name).isNull(), "error", "required", f"/{name}", f"must have required property '{name}'")
+    say(~F.col("id").rlike(ID), "error", "pattern", "/id", F.concat(F.lit("no id: "), "id"))
+    say(~F.col("ts").rlike(TIMESTAMP), "error", "pattern", "/ts", F.concat(F.lit("no timestamp: "), "ts"))
+    say(entry & ~kind.isin(*EVENT_TYPES), "warning" if tolerant else "error", "reader_tolerant_unknown_record" if tolerant else "enum", "/type", F.concat(F.lit("unknown type: "), kind))
+    for t, names in REQUIRED.items():
+        for name in names:
+            say((kind == t) & ~present(f"$.payload.{name}"), "error", "required", f"/payload/{name}", f"must have required property '{name}'")
+    for t, fields in ENUMS.items():
         for name, values in fields.items():
-            out.append(_say(r.filter((F.col("type") == kind) & ~field(f"$.payload.{name}").isin(*values)), "error", "enum", f"/payload/{name}", F.lit("must be one of " + ", ".join(values))))
-    usage = r.filter((F.col("type") == "agent_message") & F.schema_of_variant(F.try_variant_get("value", "$.payload.usage", "variant")).startswith("OBJECT"))
+            say((kind == t) & ~field(f"$.payload.{name}").isin(*values), "error", "enum", f"/payload/{name}", "must be one of " + ", ".join(values))
+    usage = (kind == "agent_message") & F.schema_of_variant(F.try_variant_get("value", "$.payload.usage", "variant")).startswith("OBJECT")
     for side in ("input", "output"):
         names = [f"{side}_tokens", f"{side}_tokens_cumulative"]
         some = F.coalesce(*[field(f"$.payload.usage.{n}", "double") for n in names]).isNotNull()
-        out.append(_say(usage.filter(~some), "warning", "usage_missing_required", "/payload/usage", F.lit(f"usage must have {names[0]} or {names[1]}")))
-    for kind, names in REQUIRED.items():
-        for name in names:
-            out.append(_say(r.filter((F.col("type") == kind) & ~present(f"$.payload.{name}")), "error", "required", f"/payload/{name}", F.lit(f"must have required property '{name}'")))
-    size = F.octet_length(F.to_json(F.try_variant_get("value", "$.source.raw", "variant")))
-    sized = r.withColumn("size", size)
+        say(usage & ~some, "warning", "usage_missing_required", "/payload/usage", f"usage must have {names[0]} or {names[1]}")
+    size, raw = F.octet_length("raw"), F.col("raw")
+    say(size > RAW_HARD, "error", "source_raw_oversized_hard", "/source/raw", F.concat(size, F.lit(" bytes")))
+    say((size > RAW_SOFT) & (size <= RAW_HARD), "warning", "source_raw_oversized", "/source/raw", F.concat(size, F.lit(" bytes")))
     # A password with percent-encoded bytes was put there on purpose.
     encoded = F.regexp_extract("remote_url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/@\s]*:([^/@\s]+)@", 1).rlike("%[0-9A-Fa-f]{2}")
-    out += [
-        _say(sized.filter(F.col("size") > RAW_HARD), "error", "source_raw_oversized_hard", "/source/raw", F.concat("size", F.lit(" bytes"))),
-        _say(sized.filter((F.col("size") > RAW_SOFT) & (F.col("size") <= RAW_HARD)), "warning", "source_raw_oversized", "/source/raw", F.concat("size", F.lit(" bytes"))),
-        _say(r.filter(has_embedded_credentials("remote_url") & ~encoded), "warning", "vcs_remote_url_with_credentials", "/vcs/remote_url", F.lit("the address holds credentials")),
-        _say(r.filter(has_embedded_credentials("remote_url") & encoded), "error", "vcs_remote_url_with_credentials", "/vcs/remote_url", F.lit("the address holds an encoded password")),
-    ]
-    raw = F.to_json(F.try_variant_get("value", "$.source.raw", "variant"))
-    found = r.withColumn("raw", raw).filter("raw is not null").select("file", "line", F.explode(F.map_keys(redact.counts("raw", redact.PATTERNS))).alias("pattern"))
-    out.append(_say(found.filter("pattern <> 'home_path'"), "warning", "source_raw_unredacted_secret", "/source/raw", F.col("pattern")))
-    return out
+    say(has_embedded_credentials("remote_url") & ~encoded, "warning", "vcs_remote_url_with_credentials", "/vcs/remote_url", "the address holds credentials")
+    say(has_embedded_credentials("remote_url") & encoded, "error", "vcs_remote_url_with_credentials", "/vcs/remote_url", "the address holds an encoded password")
+    allowed = F.create_map(*[x for k, names in PAYLOAD_FIELDS.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
+    unknown = F.array_except(F.json_object_keys(F.to_json(F.try_variant_get("value", "$.payload", "variant"))), F.try_element_at(allowed, kind))
+    extra = F.transform(unknown, lambda name: _diagnostic(
+        F.concat(F.lit("/payload/"), pointer_escape(name)), "warning" if tolerant else "error",
+        "reader_tolerant_unknown_payload_field" if tolerant else "additionalProperties", F.concat(F.lit("unknown payload field: "), name)))
+    secrets = F.filter(F.map_keys(redact.counts("raw", redact.PATTERNS)), lambda k: k != "home_path")
+    sniffed = F.when(raw.isNotNull(), F.transform(secrets, lambda k: _diagnostic(F.lit("/source/raw"), "warning", "source_raw_unredacted_secret", k)))
+    every = F.concat(F.filter(F.array(*found), lambda d: d.isNotNull()), F.coalesce(extra, none), F.coalesce(sniffed, none))
+    rows = r.withColumn("raw", F.to_json(F.try_variant_get("value", "$.source.raw", "variant")))
+    return rows.select("file", "line", F.explode(every).alias("d")).select("file", "line", "d.*")
 
 
 def file_rules(r: DataFrame) -> list[DataFrame]:
@@ -217,10 +229,11 @@ def validate(lines: DataFrame, profile: str = "strict") -> DataFrame:
     """(file, line, path, severity, code, message) of parsed lines; parse errors come first and end their file. profile: strict or reader-tolerant."""
     if profile not in PROFILES:
         raise TypeError(f"no profile: {profile}")
-    r = promoted(lines.filter("code is null"))
+    # Some thirty rules read the parsed lines: they are parsed once and kept where a lost executor does not take them.
+    r = durable(promoted(lines.filter("code is null")))
     faults = _say(lines.filter("code is not null"), "error", "parse", "", F.col("code"))
     longest = r.groupBy("file", "group_idx").count().agg(F.max("count")).first()[0] or 1
-    return reduce(DataFrame.unionByName, [faults, *record_rules(r, profile), *file_rules(r), hash_rules(lines, r, profile), cycles(r, longest)])
+    return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), *file_rules(r), hash_rules(lines, r, profile), cycles(r, longest)])
 
 
 def rendered(diagnostics: DataFrame) -> DataFrame:

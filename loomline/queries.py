@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
-from loomline.operators import adapters, graph, hashing, listing, pairing, redact, rules, segments as seg, sequences as seq
+from loomline.operators import adapters, graph, hashing, headers, listing, pairing, redact, rules, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.sources import jsonl
 
@@ -448,8 +446,7 @@ def record_rules(spark, sf_dir):
     ts = F.when(F.col("line") % 4 == 0, "yesterday").otherwise("2024-01-01T00:00:00.000Z")
     payload = F.struct(F.when(F.col("line") % 3 != 0, F.col("text")).alias("text"))
     value = F.parse_json(F.to_json(F.struct(kind.alias("type"), ident.alias("id"), ts.alias("ts"), payload.alias("payload"))))
-    found = rules.record_rules(rules.promoted(c.select(F.col("conv_id").alias("file"), "line", value.alias("value"))))
-    return reduce(lambda a, b: a.unionByName(b), found).select("file", "line", "code")
+    return rules.record_rules(rules.promoted(c.select(F.col("conv_id").alias("file"), "line", value.alias("value")))).select("file", "line", "code")
 
 
 @query("""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_partkey // 3 AS parent_id FROM part),
@@ -462,3 +459,44 @@ def branch_divergence(spark, sf_dir):
     e = P.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(third > 0, third).alias("parent_id"))
     pairs = e.select(F.col("id").alias("abandoned"), (F.col("id") + 7).alias("active")).join(e.select(F.col("id").alias("active")), "active", "left_semi")
     return graph.divergence_roots(e, pairs)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, text, role FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'shell_command' WHEN 1 THEN 'file_search' WHEN 2 THEN 'other' WHEN 3 THEN 'file_edit' ELSE 'subagent_invoke' END AS kind,
+  CASE k WHEN 2 THEN role WHEN 3 THEN '--- a/f' || chr(10) || '+++ b/f' || chr(10) || '@@' || chr(10) || '-' || chr(10) || '+' || text ELSE text END AS said FROM c""")
+def tool_kinds(spark, sf_dir):
+    """Tool calls of one dialect, made from conversations, in the common vocabulary."""
+    k = F.col("turn") % 5
+    c = P.read(spark, sf_dir, "conversations").filter("text is not null")
+    name = F.when(k == 0, "Bash").when(k == 1, "Grep").when(k == 2, F.col("role")).when(k == 3, "Edit").otherwise("Task")
+    args = (F.when(k == 0, F.to_json(F.struct(F.col("text").alias("command")))).when(k == 1, F.to_json(F.struct(F.col("text").alias("pattern")))).when(k == 2, "{}")
+            .when(k == 3, F.to_json(F.struct(F.lit("f").alias("file_path"), F.col("text").alias("new_string")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt")))))
+    v = F.parse_json("args")
+    call = c.select("conv_id", "turn", name.alias("name"), args.alias("args")).select("conv_id", "turn", tools.mapped(F.col("name"), v, tools.claude_tools(v)).alias("call"))
+    part = lambda p: F.get_json_object("call", f"$.args.{p}")
+    return call.select("conv_id", "turn", tools.kind_of(F.col("call")).alias("kind"), F.coalesce(part("command"), part("query"), part("diff"), part("task"), part("name")).alias("said"))
+
+
+@query("""WITH e AS (SELECT user_id AS file, event_id, event_id % 7 AS k FROM events)
+SELECT file, CAST(arg_min(event_id, event_id) FILTER (k <> 0 AND k % 2 = 1) AS VARCHAR) AS id, 't' || min(event_id) FILTER (k NOT IN (0, 4)) AS ts, 'w' || min(event_id) FILTER (k NOT IN (0, 4)) AS cwd,
+  CASE WHEN count(*) FILTER (k <> 0) = 0 THEN 'no_header' WHEN count(*) FILTER (k <> 0 AND k % 2 = 1) = 0 THEN 'missing_id' WHEN count(*) FILTER (k NOT IN (0, 4)) = 0 THEN 'missing_timestamp' ELSE 'ok' END AS status FROM e GROUP BY file""")
+def session_headers(spark, sf_dir):
+    """Headers of transcripts made from events: hidden records, records without a session and without a time."""
+    k = F.col("event_id") % 7
+    tag = lambda letter: F.concat(F.lit(letter), F.col("event_id"))
+    raw = F.to_json(F.struct(F.lit("user").alias("type"), F.when(k == 0, True).alias("isMeta"), F.when(k % 2 == 1, F.col("event_id").cast("string")).alias("sessionId"), F.when(k != 4, tag("t")).alias("timestamp"), tag("w").alias("cwd")))
+    r = P.read(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("record_idx"), F.parse_json(raw).alias("v"))
+    return headers.session_headers(r, "claude-code").select("file", "id", "ts", "cwd", "status")
+
+
+@query("""WITH c AS (SELECT *, turn + 1 AS line FROM conversations), m AS (SELECT conv_id, count(*) AS headers FROM c WHERE turn > 0 AND turn % 2 = 1 GROUP BY conv_id),
+h AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM c WHERE turn > 0 AND turn % 2 = 1)
+SELECT conv_id AS file, '/sessions' AS path FROM c LEFT JOIN m USING (conv_id) WHERE turn = 0 AND coalesce(headers, 0) <> 2
+UNION ALL SELECT c.conv_id, '/sessions/' || (place - 1) || '/id' FROM c JOIN h ON c.conv_id = h.conv_id AND h.place <= 2 WHERE c.turn = 0 AND h.turn <> CASE WHEN c.conv_id % 2 = 0 THEN place ELSE 2 * place - 1 END""")
+def listed_sessions(spark, sf_dir):
+    """Envelopes whose list of two sessions differs from the session headers of the file."""
+    n = F.when(F.col("conv_id") % 2 == 0, 2).otherwise(3)
+    listed = F.to_json(F.struct(F.lit("trail").alias("type"), F.array(F.struct(F.lit("1").alias("id")), F.struct(n.cast("string").alias("id"))).alias("sessions")))
+    plain = F.to_json(F.struct(F.when(F.col("turn") % 2 == 1, "session").otherwise("user_message").alias("type"), F.col("turn").cast("string").alias("id")))
+    c = P.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.parse_json(F.when(F.col("turn") == 0, listed).otherwise(plain)).alias("value"))
+    return rules.manifest_drift(rules.promoted(c)).select("file", "path")
