@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomline.functions.scalars import NAMESPACES
-from loomline.operators import adapters, headers, hashing, rules, tools
+from loomline.operators import adapters, headers, hashing, redact, rules, tools
 from loomline.sources import jsonl
 from tests.test_flows import HEADER, codes, entry, ulid
 
@@ -111,3 +111,19 @@ def test_file_checks(spark, tmp_path):
     found = rules.validate(jsonl.strict(jsonl.lines(spark, str(tmp_path / "checks"))), "reader-tolerant")
     soft = {(r["line"], r["code"], r["severity"]) for r in found.collect()}
     assert {(7, "reader_tolerant_unknown_record", "warning"), (3, "reader_tolerant_unknown_payload_field", "warning"), (6, "content_hash_mismatch", "warning"), (2, "vcs_remote_url_with_credentials", "error")} <= soft
+
+
+def test_redacted_records(spark):
+    key = "sk-ant-" + "a" * 20
+    dirty = [
+        {"type": "session", "id": "me@x.org", "content_hash": "f" * 64, "vcs": {"revision": "r", "remote_url": "https://h/x"}, "cwd": "/home/ann/w"},
+        {"type": "tool_call", "id": "1", "payload": {"tool": "t", "args": {"deep": [key, {"k": f"{key} {key} hunter22"}], "n": 5}}},
+        {"type": "x-new", "payload": {"text": "mail me@x.org"}}]
+    clean = '{"type": "session",  "content_hash":"' + "e" * 64 + '"}'
+    rows = [("a", i, json.dumps(r)) for i, r in enumerate(dirty)] + [("b", 0, clean)]
+    got = redact.redact_records(spark.createDataFrame(rows, "file string, line int, raw string"), secrets=["hunter22", "hunter"]).orderBy("file", "line").collect()
+    a = [json.loads(r["raw"]) for r in got]
+    assert a[0] == {"type": "session", "id": "me@x.org", "content_hash": "<pending>", "vcs": {"revision": "r"}, "cwd": "<home>/w"}
+    assert a[1]["payload"]["args"] == {"deep": ["[ANTHROPIC_KEY]", {"k": "[ANTHROPIC_KEY] [ANTHROPIC_KEY] [USER_SECRET]"}], "n": 5} and a[2]["payload"]["text"] == "mail [EMAIL]"
+    assert [r["counts"] for r in got] == [{"vcs_remote_url": 1, "home_path": 1}, {"anthropic_api_key": 3, "user_secret": 1}, {"email_pii": 1}, {}]
+    assert got[3]["raw"] == clean
