@@ -70,8 +70,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     """(limit, docs_cut, truncated_total) for any limits, whether a document has that length or not."""
-    asked = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    longer = sums.crossJoin(F.broadcast(asked)).groupBy("limit").agg(
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))
+    longer = sums.withColumn("limit", asked).groupBy("limit").agg(
         F.max("tokens_total").alias("total"), F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs"))).alias("cut"),
         F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("n_docs") * (F.col("n_tokens") - F.col("limit")))).alias("lost"))
     return longer.select("limit", F.coalesce("cut", F.lit(0)).alias("docs_cut"), (F.col("total") - F.coalesce("lost", F.lit(0))).alias("truncated_total"))
@@ -79,9 +79,9 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """(share, n_tokens): the least length that the share of the documents does not exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
+    asked = F.explode(F.array(*[F.lit(float(x)) for x in shares]))
     fits = F.col("docs_le") >= F.col("share") * F.col("docs_total")
-    return sums.crossJoin(F.broadcast(asked)).groupBy("share").agg(F.min(F.when(fits, F.col("n_tokens"))).alias("n_tokens"))
+    return sums.withColumn("share", asked).groupBy("share").agg(F.min(F.when(fits, F.col("n_tokens"))).alias("n_tokens"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
