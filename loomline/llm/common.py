@@ -36,6 +36,13 @@ def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names))
 
 
+def by_value(df: DataFrame, first: str) -> list[Column]:
+    """An order of rows by all they hold, `first` first, so that rows that tie are equal; maps and variants count as JSON."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    plain = lambda c: not any(k in kinds[c] for k in ("map<", "variant"))
+    return [F.col(c) if plain(c) else F.to_json(F.struct(c)) for c in [first, *(c for c in df.columns if c != first)]]
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Label the nodes of `edges(a long, b long)` with the smallest node that they reach.
 

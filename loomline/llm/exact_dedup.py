@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import WS, durable, numbered_columns
+from loomline.llm.common import WS, by_value, durable, numbered_columns
 
 BLOCK_CHARS = 2048
 #: The second half of a pair where a document has an odd number of names.
@@ -121,8 +121,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of `docs` that stay, with the columns they had.
 
-    Rows are told apart by id, normalised text and length; rows that agree in all three
-    are interchangeable copies, of which one stays. Empty tables give empty results.
+    Rows are told apart by id, normalised text and length; of rows that agree in all three
+    the first by text and then by the other columns stays. Empty tables give empty results.
     """
     plain, at = numbered_columns(docs)
     ident, body = at[id_col], at[text_col]
@@ -132,7 +132,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"), F.col("points").alias("k_points"))
     on = F.col(ident).cast("long").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")) & (F.col("points") == F.col("k_points"))
     found = marked.join(stay, on, "left_semi")
-    one = W.partitionBy(ident, "sha", "points").orderBy(F.lit(0))
+    one = W.partitionBy(ident, "sha", "points").orderBy(*by_value(plain, body))
     return found.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(*plain.columns).toDF(*docs.columns)
 
 

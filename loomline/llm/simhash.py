@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import connected_components, durable, mapped, numbered_columns, schema_with
+from loomline.llm.common import by_value, connected_components, durable, mapped, numbered_columns, schema_with
 
 SHINGLE = 3
 SEED = 42
@@ -134,7 +134,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` that stay, one of each component, with the columns they had.
 
     The row with the smallest doc_id stays, nulls last; of several rows with that id the
-    one with the smallest fingerprint and text digest, and one of rows equal in all these.
+    one with the smallest fingerprint and text digest, then the first by the other columns.
     """
     plain, at = numbered_columns(docs)
     ident, text = at[id_col], F.coalesce(F.col(at[text_col]), F.lit(""))
@@ -145,7 +145,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = durable(stay.select(F.col("low.doc_id").alias("k_id"), F.col("low.digest").alias("k_digest")))
     on = F.col(ident).cast("long").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
     found = plain.withColumn("digest", F.sha2(text, 256)).join(stay, on, "left_semi")
-    one = W.partitionBy(ident, "digest").orderBy(F.lit(0))
+    one = W.partitionBy(ident, "digest").orderBy(*by_value(plain, at[text_col]))
     return found.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(*plain.columns).toDF(*docs.columns)
 
 
