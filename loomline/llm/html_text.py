@@ -27,8 +27,12 @@ from loomline.llm.common import mapped
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = set("script style noscript template iframe svg math object canvas head select datalist".split())
+RAW = set("script style noscript template iframe svg canvas head select datalist".split())
+#: RAW elements that last to the end of the page where they have no end tag.
+TO_END = {"script", "style"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Formulas are part of the words around them.
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd menclose semantics annotation".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag in a key's set ends an open element of that key.
 ENDS = {"p": set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -44,12 +48,14 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block with text, in page order.
 
     References are decoded, white space is one space. Comments, declarations and the
-    content of RAW elements are no blocks. Tags left open are closed as browsers do.
+    content of RAW elements are no blocks; one without an end tag, but for those in
+    TO_END, is no more than its tag. Tags left open are closed as browsers do.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     names: list[str] = []
     path: list[str] = []
     parts: list[str] = []
+    endless: set[str] = set()
     linked, at, page = 0, 0, page or ""
 
     def flush() -> None:
@@ -80,10 +86,15 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if not closing and tag in RAW:
-            if not attrs.endswith("/"):
+            if not attrs.endswith("/") and tag not in endless:
                 ending = "body" if tag == "head" else tag
                 found = re.compile(rf"</{tag}\s*>|<{ending}\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = (found.end() if found[0].startswith("</") else found.start()) if found else (at if tag == "head" else len(page))
+                if found:
+                    at = found.end() if found[0].startswith("</") else found.start()
+                elif tag in TO_END:
+                    at = len(page)
+                else:
+                    endless.add(tag)
             flush()
             continue
         if tag not in INLINE:
