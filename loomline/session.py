@@ -20,14 +20,18 @@ def local_session(cpus: int = 8, app: str = "loomline", memory: str = "8g") -> S
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    shared_folder(spark)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a folder of our own only where none is named."""
+    """The session's shared folder. Only a session whose executors are threads of the driver may go without a named one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
