@@ -10,9 +10,9 @@ symbols, and each merge (u, v) -> w, in order of rank, is worked in as a gadget:
 All arcs with one label lead to one state, so a state is named by the token read last
 and the automaton is a bit table: arc t leaves state s, or not. A row of tokens is what
 BPE makes of a word if and only if the automaton accepts it, and every prefix of a word
-has one accepted row. So encoding walks a word from left to right, follows the tokens
-that start at a position whose state has their arc, and reads the path back. Decoding
-emits the labels of the arcs.
+has one accepted row. So encoding walks a word from left to right along the tokens for
+which the state has an arc, longer ones first, and steps back where the end can't be
+reached. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from loomline.llm.common import free_name, mapped, schema_with
+from loomline.llm.common import free_name, mapped, schema_with, slices
 
 END = "</w>"
-#: Bound of a worker's memory of words; past it the worker starts again.
-WORDS_KEPT = 200_000
-#: Texts whose tokens are held at once.
-TEXTS_AT_ONCE = 256
+#: Bound of a worker's memory of words, in bytes as estimated; past it the worker starts again.
+WORD_BYTES = 40 << 20
 
 
 def default_path() -> str:
@@ -86,66 +84,101 @@ def gadgets(n_tokens: int, merges: list[tuple[int, int, int]], final: np.ndarray
 
 
 class Automaton:
-    """The compiled tokenizer; pickles small, unpacks in a worker."""
+    """The compiled tokenizer; pickles small, unpacks in a worker.
+
+    Tokens with the same row of bits share it, and so do states with the same column:
+    `row` and `col` lead from a token to its row and to the column of the state it leads to.
+    """
 
     def __init__(self, labels: list[str], added: dict[str, int], arcs: np.ndarray, state: np.ndarray):
-        self.labels, self.added, self.stride = labels, added, arcs.shape[1]
-        self.arcs, self.state = arcs.tobytes(), state.tolist()
+        self.labels, self.added = labels, added
+        rows: dict[bytes, int] = {}
+        self.row = [rows.setdefault(r.tobytes(), len(rows)) for r in arcs]
+        kinds = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), arcs.shape[1])
+        del rows
+        columns: dict[bytes, int] = {}
+        of = [columns.setdefault(c.tobytes(), len(columns)) for k in range(kinds.shape[1])
+              for c in np.packbits(np.unpackbits(kinds[:, k:k + 1], axis=1, bitorder="little"), axis=0).T]
+        self.col = [of[q] if q >= 0 else -1 for q in state.tolist()]
+        del of
+        table = np.zeros(((len(columns) + 7) // 8, len(kinds)), np.uint8)
+        for k, c in enumerate(columns):
+            table[k >> 3] |= np.unpackbits(np.frombuffer(c, np.uint8))[:len(kinds)] << np.uint8(k & 7)
+        self.stride, self.arcs = table.shape[0], np.ascontiguousarray(table.T).tobytes()
         self._unpack()
 
     def _unpack(self) -> None:
         import regex
 
         self.words: dict[str, tuple[int, ...]] = {}
-        # Every token and, at -1, every proper beginning of one.
+        self.held = 0
+        # Tokens inside a word, tokens that end one, and the longest label with a first symbol.
         self.at: dict[str, int] = {}
+        self.last: dict[str, int] = {}
+        self.longest: dict[str, int] = {}
         specials = set(self.added.values())
         for i, label in enumerate(self.labels):
             if i in specials:
                 continue
-            self.at[label] = i
-            for k in range(1, len(label)):
-                self.at.setdefault(label[:k], -1)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            final = label.endswith(END)
+            plain = label[:-len(END)] if final else label
+            (self.last if final else self.at)[plain] = i
+            self.longest[plain[:1]] = max(self.longest.get(plain[:1], 0), len(plain))
+        kinds = r"'s|'t|'re|'ve|'m|'ll|'d|"
+        self.split = regex.compile(kinds + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split_ascii = re.compile(kinds + r"[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
         self.symbols = dict(enumerate(byte_symbols()))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __getstate__(self):
-        return self.labels, self.added, self.stride, zlib.compress(self.arcs, 1), self.state
+        return self.labels, self.added, self.stride, zlib.compress(self.arcs, 1), np.array(self.row, np.int32), np.array(self.col, np.int32)
 
     def __setstate__(self, kept):
-        self.labels, self.added, self.stride, arcs, self.state = kept
-        self.arcs = zlib.decompress(arcs)
+        self.labels, self.added, self.stride, arcs, row, col = kept
+        self.arcs, self.row, self.col = zlib.decompress(arcs), row.tolist(), col.tolist()
         self._unpack()
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        """The path of one pre-split word; the bytes that no token covers don't occur."""
-        s = word.encode().decode("latin-1").translate(self.symbols)
-        n, at, arcs, stride, state = len(s), self.at, self.arcs, self.stride, self.state
-        came: list[tuple[int, int] | None] = [None] * (n + 1)
-        for i in range(n):
-            if i and came[i] is None:
-                continue
-            q = state[came[i][1]] if i else 0
-            byte, bit = q >> 3, q & 7
-            for j in range(i + 1, n + 1):
-                t = at.get(s[i:j])
-                if t is None:
-                    break
+        """The path of one pre-split word; the bytes that no token covers don't occur.
+
+        Longer tokens are tried first. Every beginning of a word has one accepted row, so
+        a position from which the end was not reached is never tried again.
+        """
+        s = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.symbols)
+        n, at, last, arcs, stride, rows, cols, longest = len(s), self.at, self.last, self.arcs, self.stride, self.row, self.col, self.longest
+        path: list[int] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        i, byte, bit = 0, 0, 0
+        j = min(n, longest.get(s[0], 0))
+        while True:
+            while j > i:
+                if j not in dead:
+                    t = at.get(s[i:j]) if j < n else last.get(s[i:])
+                    if t is not None and (not i or arcs[rows[t] * stride + byte] >> bit & 1):
+                        break
+                j -= 1
+            if j > i:
+                path.append(t)
                 if j == n:
-                    t = at.get(s[i:j] + END, -1)
-                if t >= 0 and (not i or arcs[t * stride + byte] >> bit & 1):
-                    came[j] = (i, t)
-            # A last symbol that only occurs at the end of words is reached here.
-            if came[n] is None and n - i <= 64 and (t := at.get(s[i:] + END, -1)) >= 0 and (not i or arcs[t * stride + byte] >> bit & 1):
-                came[n] = (i, t)
-        path, i = [], n
-        while i:
-            i, t = came[i]
-            path.append(t)
-        return tuple(reversed(path))
+                    return tuple(path)
+                ends.append(j)
+                i = j
+                j = min(n, i + longest.get(s[i], 0))
+            else:
+                dead.add(i)
+                if not path:
+                    return ()
+                path.pop()
+                j = ends.pop() - 1
+                i = ends[-1] if ends else 0
+            if i:
+                q = cols[path[-1]]
+                byte, bit = q >> 3, q & 7
 
     def split_words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split_ascii.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         return self.split.findall(text.replace("Σ", "σ").lower())
 
@@ -163,11 +196,13 @@ class Automaton:
     def _plain(self, text: str) -> list[int]:
         words = self.split_words(text)
         known = self.words
-        if len(known) > WORDS_KEPT:
+        if self.held > WORD_BYTES:
             known.clear()
+            self.held = 0
         for w in set(words):
             if w not in known:
-                known[w] = self.encode_word(w)
+                ids = known[w] = self.encode_word(w)
+                self.held += 240 + 2 * len(w) + 8 * len(ids)
         return list(chain.from_iterable(map(known.__getitem__, words)))
 
     def decode(self, ids) -> str:
@@ -201,11 +236,13 @@ def broadcast_automaton(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(compile_automaton(path or default_path()))
 
 
-def _mapped(docs: DataFrame, schema, make) -> DataFrame:
+def _mapped(docs: DataFrame, schema, k: int, make) -> DataFrame:
+    """mapInArrow in slices of a batch that hold about SLICE bytes of column k, so that a worker's memory does not grow with the number of rows in a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                yield make(batch.slice(at, TEXTS_AT_ONCE))
+            for part in slices(batch, k):
+                yield make(part)
 
     return mapped(docs, run, schema)
 
@@ -224,8 +261,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
         ids = [auto.encode(t.as_py()) for t in batch.column(k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, ids_col])
 
-    schema = schema_with(docs, ids_col, "array<int>")
-    return _mapped(docs, schema, make)
+    return _mapped(docs, schema_with(docs, ids_col, "array<int>"), k, make)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -239,7 +275,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", text_col: str = "decoded", p
         texts = [auto.decode(x.as_py() or ()) for x in batch.column(k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return _mapped(tokens, schema_with(tokens, text_col, "string"), make)
+    return _mapped(tokens, schema_with(tokens, text_col, "string"), k, make)
 
 
 def encode_and_decode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -253,7 +289,7 @@ def encode_and_decode(docs: DataFrame, text_col: str = "text", ids_col: str = "i
         ids = [auto.encode(t.as_py()) for t in batch.column(k)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([auto.decode(x) for x in ids], pa.string())], [*batch.schema.names, ids_col, decoded_col])
 
-    return _mapped(docs, T.StructType([*schema_with(docs, ids_col, "array<int>").fields, T.StructField(decoded_col, T.StringType())]), make)
+    return _mapped(docs, T.StructType([*schema_with(docs, ids_col, "array<int>").fields, T.StructField(decoded_col, T.StringType())]), k, make)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -273,7 +309,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
                                           ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _mapped(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text"),
-                   "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+                   "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 1, make)
 
 
 def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

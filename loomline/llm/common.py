@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,6 +96,22 @@ def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, k: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, each with `most` bytes in column k or with one row; lists count eight bytes an element."""
+    column = batch.column(k)
+    sizes = pc.multiply(pc.list_value_length(column), 8) if pa.types.is_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)

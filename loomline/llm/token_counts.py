@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.llm.bpe import broadcast_automaton
-from loomline.llm.common import durable, free_name, mapped, schema_with
+from loomline.llm.common import durable, free_name, mapped, schema_with, slices
 
 #: Lengths are summed in blocks of so many, then within each block.
 BLOCK = 1024
@@ -27,7 +27,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", length_col: str = "
     k = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, k)):
             auto = shared.value
             n = pa.array([len(auto.encode(t.as_py())) for t in batch.column(k)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, length_col])
