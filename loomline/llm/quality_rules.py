@@ -1,10 +1,17 @@
 """Quality rules with thresholds that adapt to language and source; DataFrame functions only.
 
 Each measure becomes an integer bin, and counts by bin are the quantile sketch of a
-group: a fixed number of counters, merged by addition, equal for any partitioning and
-exact to one bin. Sketches of (language, source) merge into sketches of a language and
-of all rows, which stand in for groups too small to judge by themselves. The fences
-that come out are joined to the documents.
+group: counters that merge by addition, equal for any partitioning and exact to one
+bin. Shares in thousandths are bins themselves; the mean word length, which has no
+upper end, keeps its three leading digits, so there are 900 bins for each power of ten
+and none holds what differs by over a hundredth. Documents are compared by their bins.
+
+Sketches of (language, source) merge into sketches of a language and of all rows. A
+group's quartile is its language's, moved no further than the group's own documents
+compel: into the interval that holds the group's quartile with 99 % confidence, read
+off the sketch as two order statistics. A language's quartile is that of all rows,
+moved alike. So few documents say little, many decide, and no size switches the rule.
+The fences that come out are joined to the documents.
 
 A fence lies beyond the median by the spread of the half that junk does not reach (for
 an upper fence the lower half), so up to half of a group may be junk.
@@ -20,8 +27,9 @@ from loomline.llm.common import NOT_WS, WS, durable, free_name, numbered_columns
 
 WINDOW = 8
 MIN_WORDS = 20
-#: A group with fewer rows takes its language's fences, and a language those of all rows.
-MIN_ROWS = 50
+#: Standard errors on either side of a quartile's interval.
+Z = 2.576
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 #: measure: (spreads beyond the median, least distance from the median, upper, lower)
 RULES = {
     "sym_pm": (6, 20, True, False),
@@ -29,8 +37,13 @@ RULES = {
     "adj_pm": (6, 100, True, False),
     "len_pc": (6, 200, True, True),
 }
-#: Bins of the mean word length end here; what lies beyond counts in the last one.
-LAST_BIN = 4000
+
+
+def _leading(x: str, kind: str) -> str:
+    """SQL for the three leading digits of a whole number, zeros after them; `kind` is the engine's type of strings."""
+    step = f"cast(pow(10, greatest(length(cast({x} as {kind})) - 3, 0)) as bigint)"
+    over = "div" if kind == "string" else "//"
+    return f"({x} {over} {step}) * {step}"
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -65,52 +78,75 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
         F.expr(f"1000 * {at['n_adjacent']} div {least('n_words')}").alias("adj_pm"),
         F.expr(f"100 * {at['word_chars']} div {least('n_words')}").alias("len_pc"),
     ))
+    out = out.withColumn(m, F.col(m).withField("len_pc", F.expr(_leading(f"{m}.len_pc", "string"))))
     return out.drop(*at.values()), m
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, n) of rows with (lang, source) and the columns of RULES.
 
-    Rows that fail the base rules are left out. At most LAST_BIN + 1 rows for each group
-    and measure.
+    Rows that fail the base rules are left out. At most 1001 rows for each group and
+    measure in thousandths, and 900 for each power of ten of the mean word length.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.least(F.col(k), F.lit(LAST_BIN)).alias("bin")) for k in RULES]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin")) for k in RULES]))
     return (
         measured.filter("not base_failed").select("lang", "source", pairs.alias("p"))
         .groupBy("lang", "source", "p.measure", "p.bin").agg(F.count("*").alias("n"))
     )
 
 
+def _rank(p: float, side: str = "") -> str:
+    """SQL for the rank of a quantile among `total` values, or of an end of its interval."""
+    total = "cast(total as double)"
+    return f"({total} * {p}e0 {side} {Z}e0 * sqrt({total} * {p * (1 - p)}e0))" if side else f"({total} * {p}e0)"
+
+
+def _order_statistics() -> dict[str, str]:
+    """SQL over bins with `upto` values at or below, of `total`: each quartile, and the ends of its interval, null where it is open."""
+    first = lambda rank, has="true": f"min(case when {has} and upto >= {rank} then bin end)"
+    out = {}
+    for q, p in QUARTILES.items():
+        low, high = _rank(p, "-"), _rank(p, "+")
+        out |= {q: first(_rank(p)), f"{q}_lo": first(low, f"{low} > 0"), f"{q}_hi": first(high, f"{high} <= total")}
+    return out
+
+
 def _quartiles(hist: DataFrame, *by: str) -> DataFrame:
-    """(*by, measure, total, q25, q50, q75): the first bin that has the share at or below it."""
+    """(*by, measure, and _order_statistics()), one row for each group and measure."""
     g = hist.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     every = W.partitionBy(*by, "measure")
     g = g.withColumn("upto", F.sum("n").over(every.orderBy("bin"))).withColumn("total", F.sum("n").over(every))
-    return g.groupBy(*by, "measure", "total").agg(*[F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin"))).alias(q) for k, q in ((1, "q25"), (2, "q50"), (3, "q75"))])
+    return g.groupBy(*by, "measure", "total").agg(*[F.expr(e).alias(k) for k, e in _order_statistics().items()])
 
 
-def _fences(quartiles: DataFrame, *by: str) -> DataFrame:
-    """(*by, total, and for each rule its bounds), one row for each group."""
-    out = []
+def _moved(q: str, wider: str, own: str) -> str:
+    """SQL for the wider group's quartile, moved into the interval of the group's own."""
+    return f"least(greatest({wider}, coalesce({own}{q}_lo, {wider})), coalesce({own}{q}_hi, greatest({wider}, coalesce({own}{q}_lo, {wider}))))"
+
+
+def _fences() -> dict[str, str]:
+    """SQL over a group's measures with their quartiles: the bounds of each rule."""
+    out = {}
     for k, (spreads, least, upper, lower) in RULES.items():
         if upper:
-            out.append((k, "hi", f"q50 + {spreads} * (q50 - q25) + {least}"))
+            out[f"{k}_hi"] = f"max(case when measure = '{k}' then q50 + {spreads} * (q50 - q25) + {least} end)"
         if lower:
-            out.append((k, "lo", f"q50 - {spreads} * (q75 - q50) - {least}"))
-    return quartiles.groupBy(*by).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("measure") == k, F.expr(e))).alias(f"{k}_{end}") for k, end, e in out])
+            out[f"{k}_lo"] = f"max(case when measure = '{k}' then q50 - {spreads} * (q75 - q50) - {least} end)"
+    return out
 
 
-BOUNDS = [f"{k}_hi" for k in RULES] + ["len_pc_lo"]
+BOUNDS = list(_fences())
 
 
-def thresholds(hist: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(lang, source, bounds), one row for each group of the sketches; nulls are groups."""
-    own = _fences(_quartiles(hist, "lang", "source"), "lang", "source")
-    lang = _fences(_quartiles(hist, "lang"), "lang").select(F.col("lang").alias("l_lang"), F.col("total").alias("l_total"), *[F.col(b).alias(f"l_{b}") for b in BOUNDS])
-    every = _fences(_quartiles(hist.withColumn("one", F.lit(1)), "one"), "one").select(*[F.col(b).alias(f"a_{b}") for b in BOUNDS])
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every))
-    pick = lambda b: F.when(F.col("total") >= min_rows, F.col(b)).when(F.col("l_total") >= min_rows, F.col(f"l_{b}")).otherwise(F.col(f"a_{b}"))
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(b).alias(b) for b in BOUNDS])
+def thresholds(hist: DataFrame) -> DataFrame:
+    """(t_lang, t_source, bounds), one row for each group of the sketches; nulls are groups."""
+    part = lambda df, to: df.select(*[F.col(c).alias(f"{to}{c}") for c in df.columns])
+    own, lang = part(_quartiles(hist, "lang", "source"), "o_"), part(_quartiles(hist, "lang"), "l_")
+    every = part(_quartiles(hist.withColumn("one", F.lit(1)), "one"), "a_")
+    joined = own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_measure") == F.col("l_measure"))).join(F.broadcast(every), F.col("o_measure") == F.col("a_measure"))
+    joined = joined.withColumns({f"m_{q}": F.expr(_moved(q, f"a_{q}", "l_")) for q in QUARTILES})
+    moved = joined.select("o_lang", "o_source", F.col("o_measure").alias("measure"), *[F.expr(_moved(q, f"m_{q}", "o_")).alias(q) for q in QUARTILES])
+    return moved.groupBy(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source")).agg(*[F.expr(e).alias(b) for b, e in _fences().items()])
 
 
 def verdict() -> str:
@@ -118,31 +154,29 @@ def verdict() -> str:
 
 
 def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-          min_rows: int = MIN_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `keep`, the counts, base_failed and kept, one row for each document.
 
     Null texts have no words and fail the base rules. Null languages and sources are
-    groups of their own. Tied values share a bin. Other columns are not read.
+    groups of their own. Tied values share a bin. Other columns are not read. New names
+    get underscores where `keep` has them.
     """
     measured, m = measures(docs.select(*dict.fromkeys([*keep, lang_col, source_col, text_col])), text_col)
     flat = measured.select(
         F.struct(*keep).alias("kept_columns"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), f"{m}.*")
-    # The texts are read once; what is measured is small. With texts to return they are read again, and
-    # a filter on a row's number keeps the optimizer from copying the measures into later conditions.
-    if text_col not in keep:
-        flat = durable(flat)
-    else:
-        flat = flat.withColumn("row_number_", F.monotonically_increasing_id()).filter("row_number_ >= 0")
-    fences = small(durable(thresholds(durable(sketches(flat)), min_rows)))
+    # Measuring costs more than writing: the texts are measured once, for the sketches and for the verdicts.
+    flat = durable(flat)
+    fences = small(durable(thresholds(durable(sketches(flat)))))
     on = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))
-    return flat.join(fences, on, "left").select(
-        "kept_columns.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.expr(f"not base_failed and {verdict()}").alias("kept"))
+    new = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")} | {"kept": F.expr(f"not base_failed and {verdict()}")}
+    columns = docs.select(*keep)
+    return flat.join(fences, on, "left").select("kept_columns.*", *[c.alias(free_name(columns, k)) for k, c in new.items()])
 
 
 def quality_filter(docs: DataFrame, **kw) -> DataFrame:
     """The rows of `docs` that the rules keep, with the columns they had, clashing names included."""
     plain, at = numbered_columns(docs)
+    # Numbered names clash with none of the new ones.
     judged = judge(plain, lang_col=at[kw.pop("lang_col", "lang")], source_col=at[kw.pop("source_col", "source")],
                    text_col=at[kw.pop("text_col", "text")], keep=tuple(plain.columns), **kw)
     return judged.filter("kept").select(*plain.columns).toDF(*docs.columns)
@@ -153,25 +187,14 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def _op3_sql() -> str:
-    every = ", ".join(f"{{'measure': '{k}', 'bin': least({k}, {LAST_BIN})}}" for k in RULES)
-    bounds = {}
-    for k, (spreads, least, upper, lower) in RULES.items():
-        if upper:
-            bounds[f"{k}_hi"] = f"max(CASE WHEN measure = '{k}' THEN q50 + {spreads} * (q50 - q25) + {least} END)"
-        if lower:
-            bounds[f"{k}_lo"] = f"max(CASE WHEN measure = '{k}' THEN q50 - {spreads} * (q75 - q50) - {least} END)"
-
-    def fences(name: str, by: str, hist: str) -> str:
-        cols = f"{by}, " if by else ""
-        group = f"GROUP BY {by}" if by else ""
-        part = f"PARTITION BY {cols}measure"
-        return f"""{name}_c AS (SELECT {cols}measure, bin, sum(n) AS n FROM {hist} GROUP BY {cols}measure, bin),
+    every = ", ".join(f"{{'measure': '{k}', 'bin': {k}}}" for k in RULES)
+    def quartiles(name: str, by: str) -> str:
+        part = f"PARTITION BY {by}measure"
+        return f"""{name}_c AS (SELECT {by}measure, bin, sum(n) AS n FROM h GROUP BY {by}measure, bin),
 {name}_u AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS total FROM {name}_c),
-{name}_q AS (SELECT {cols}measure, total, min(CASE WHEN upto * 4 >= total THEN bin END) AS q25, min(CASE WHEN upto * 4 >= total * 2 THEN bin END) AS q50,
-  min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q75 FROM {name}_u GROUP BY {cols}measure, total),
-{name} AS (SELECT {cols}max(total) AS total, {', '.join(f'{e} AS {b}' for b, e in bounds.items())} FROM {name}_q {group})"""
+{name} AS (SELECT {by}measure, {', '.join(f'{e} AS {k}' for k, e in _order_statistics().items())} FROM {name}_u GROUP BY {by}measure, total)"""
 
-    pick = ", ".join(f"CASE WHEN o.total >= {MIN_ROWS} THEN o.{b} WHEN l.total >= {MIN_ROWS} THEN l.{b} ELSE a.{b} END AS {b}" for b in bounds)
+    moved = lambda wider, own: ", ".join(f"{_moved(q, f'{wider}.{q}', f'{own}.')} AS {q}" for q in QUARTILES)
     return rf"""
 WITH t AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -186,13 +209,16 @@ m AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines,
     len(list_filter(w, lambda x, k: k > 1 AND x = w[k - 1])) AS n_adjacent
   FROM t LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS sym_pm,
+b0 AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS sym_pm,
     1000 * n_dup_lines // greatest(n_lines, 1) AS dup_pm, 1000 * n_adjacent // greatest(n_words, 1) AS adj_pm, 100 * word_chars // greatest(n_words, 1) AS len_pc FROM m),
+b AS (SELECT * REPLACE ({_leading('len_pc', 'varchar')} AS len_pc) FROM b0),
 h AS (SELECT lang, source, p.measure AS measure, p.bin AS bin, count(*) AS n FROM (SELECT lang, source, unnest([{every}]) AS p FROM b WHERE NOT base_failed) GROUP BY ALL),
-{fences('o1', 'lang, source', 'h')},
-{fences('l1', 'lang', 'h')},
-{fences('a1', '', 'h')},
-f AS (SELECT o.lang, o.source, {pick} FROM o1 o LEFT JOIN l1 l ON o.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a1 a)
+{quartiles('o', 'lang, source, ')},
+{quartiles('l', 'lang, ')},
+{quartiles('a', '')},
+lm AS (SELECT l.lang, l.measure, {moved('a', 'l')} FROM l JOIN a ON l.measure = a.measure),
+om AS (SELECT o.lang, o.source, o.measure, {moved('lm', 'o')} FROM o JOIN lm ON o.lang IS NOT DISTINCT FROM lm.lang AND o.measure = lm.measure),
+f AS (SELECT lang, source, {', '.join(f'{e} AS {b}' for b, e in _fences().items())} FROM om GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict()} AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """
