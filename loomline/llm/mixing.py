@@ -111,8 +111,15 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
 
     Tokens are words, or `tokens_col`. A null source is a source; null texts have no
     tokens. The draws of a source fall short of its target by less than one document.
+    Columns of any name come through as they are.
     """
-    m = free_name(docs, "mix")
+    m, (plain, at) = free_name(docs, "mix"), numbered_columns(docs)
+    drawn = _draw(plain, at[source_col], at[text_col], at[id_col], at.get(tokens_col), entropy, repetition, passes, seed, block_docs)
+    return drawn.toDF(*docs.columns, m), m
+
+
+def _draw(docs: DataFrame, source_col: str, text_col: str, id_col: str, tokens_col: str | None, entropy: float, repetition: float, passes: float | None, seed: int, block_docs: int) -> DataFrame:
+    m = "mix"
     tokens = word_tokens(text_col) if tokens_col is None else F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long"))
     spot = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     sized = docs.select(*docs.columns, F.struct(F.col(source_col).alias("source"), tokens.alias("tokens"), spot.alias("spot")).alias(m))
@@ -148,13 +155,15 @@ def draw(docs: DataFrame, source_col: str = "source", text_col: str = "text", id
     on = F.col(f"{m}.source").eqNullSafe(F.col("c_source")) & (F.expr(f"pmod({m}.spot, blocks)") == F.col("c_block"))
     out = plain.join(cut, on)
     copies = F.col("whole") + F.when(F.col("in_rest") | (F.col(f"{m}.spot") <= F.col("last")), 1).otherwise(0)
-    return out.select(*docs.columns, F.struct(f"{m}.tokens", F.col("c_block").alias("block"), F.col("at").alias("block_at"), copies.cast("int").alias("copies")).alias(m)), m
+    return out.select(*docs.columns, F.struct(f"{m}.tokens", F.col("c_block").alias("block"), F.col("at").alias("block_at"), copies.cast("int").alias("copies")).alias(m))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """Each row of `docs` as often as it is drawn, with the columns it had."""
     plain, at = numbered_columns(docs)
     cols = {k: at[kw.pop(k, v)] for k, v in (("source_col", "source"), ("text_col", "text"), ("id_col", "doc_id"))}
+    if kw.get("tokens_col"):
+        cols["tokens_col"] = at[kw.pop("tokens_col")]
     drawn, m = draw(plain, **cols, **kw)
     rows = drawn.filter(f"{m}.copies > 0").withColumn("c_pass", F.explode(F.expr(f"sequence(1, {m}.copies)")))
     return rows.select(*plain.columns).toDF(*docs.columns)

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import by_value, connected_components, durable, mapped, numbered_columns, schema_with
+from loomline.llm.common import by_value, connected_components, durable, free_name, mapped, numbered_columns, schema_with, slices
 
 SHINGLE = 3
 SEED = 42
+#: Differing bits up to which fingerprints link; the halves below are made for it.
+RADIUS = 3
 #: Shingles that are turned to bits at once, which bounds memory for very long texts.
 AT_ONCE = 1 << 16
 
@@ -62,11 +64,12 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp") -> DataFrame:
-    """`docs` with the fingerprint of `text_col` in the new column `fp_col` (long)."""
+    """`docs` with the fingerprint of `text_col` in the new column `fp_col` (long); underscores follow a name that is taken."""
+    fp_col = free_name(docs, fp_col)
     k = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, k)):
             fp = pa.array([fingerprint(t.as_py()) for t in batch.column(k)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], [*batch.schema.names, fp_col])
 
@@ -105,7 +108,8 @@ def links(fps: DataFrame) -> DataFrame:
     at = W.partitionBy("v")
     even = F.when(~_odd(F.col("fp")), F.col("fp"))
     centre = F.when(_odd(F.col("v")), F.min(even).over(at)).otherwise(F.min("fp").over(at))
-    return met.withColumn("centre", centre).filter("centre is not null and centre <> fp").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = met.withColumn("centre", centre).filter("centre is not null and centre <> fp").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
 def _rooted(rows: DataFrame) -> DataFrame:
