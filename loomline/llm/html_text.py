@@ -16,6 +16,7 @@ import html
 import random
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,7 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-PATHS, WORDS, EMBED_P, EMBED_W, SHAPES, HIDDEN = 2048, 512, 20, 8, 9, 20
+PATHS, WORDS, EMBED_P, EMBED_W, SHAPES, HIDDEN = 8192, 512, 20, 8, 9, 20
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -134,7 +135,14 @@ def _path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(zlib.crc32(t.encode()) % PATHS for t in sorted(tokens)) or (0,)
 
 
-def features(blocks) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
+def _flat(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and the length of each."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum())), sizes
+
+
+def features(blocks) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Ids of path tokens and of words, and shape measures, of each block."""
     n = len(blocks)
     paths, words, shapes = [], [], np.zeros((n, SHAPES), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
@@ -144,7 +152,7 @@ def features(blocks) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray
         last = path[-1].split(" ", 1)[0] if path else ""
         shapes[i] = (np.log1p(len(ws)) / 4, linked / max(1, len(text)), text[-1] in ".!?…", text.count(",") / len(ws), min(len(path), 12) / 6,
                      i / n, (n - i) / n, last in HEADINGS, sum(map(str.isupper, text)) / len(text))
-    return paths, words, shapes
+    return _flat(paths), _flat(words), shapes
 
 
 class Labeller:
@@ -154,7 +162,7 @@ class Labeller:
         r = np.random.default_rng(seed)
         d, h = EMBED_P + EMBED_W + SHAPES, HIDDEN
         f = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.w = {"ep": (r.standard_normal((PATHS, EMBED_P)) * 0.3).astype(np.float32), "ew": (r.standard_normal((WORDS, EMBED_W)) * 0.1).astype(np.float32),
+        self.w = {"ep": (r.standard_normal((PATHS, EMBED_P)) * 0.05).astype(np.float32), "ew": (r.standard_normal((WORDS, EMBED_W)) * 0.1).astype(np.float32),
                   "fx": f(d, 4 * h), "fh": f(h, 4 * h), "fb": np.zeros(4 * h, np.float32), "bx": f(d, 4 * h), "bh": f(h, 4 * h), "bb": np.zeros(4 * h, np.float32),
                   "ox": f(d, 1), "oh": f(2 * h, 1), "ob": np.zeros(1, np.float32)}
         for k in ("fb", "bb"):
@@ -162,16 +170,13 @@ class Labeller:
 
     def inputs(self, pages):
         """(batch, blocks, d) and the mask; short pages are padded."""
-        n, t = len(pages), max(len(p[0]) for p in pages)
+        n, t = len(pages), max(len(p[2]) for p in pages)
         x, mask = np.zeros((n, t, EMBED_P + EMBED_W + SHAPES), np.float32), np.zeros((n, t), np.float32)
         for i, (paths, words, shapes) in enumerate(pages):
-            for part, table, a, b in ((paths, "ep", 0, EMBED_P), (words, "ew", EMBED_P, EMBED_P + EMBED_W)):
-                sizes = np.fromiter(map(len, part), np.int64, len(part))
-                flat = np.fromiter((v for ids in part for v in ids), np.int64, int(sizes.sum()))
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                x[i, :len(part), a:b] = np.add.reduceat(self.w[table][flat], starts, axis=0) / sizes[:, None]
-            x[i, :len(paths), EMBED_P + EMBED_W:] = shapes
-            mask[i, :len(paths)] = 1
+            for (flat, sizes), table, a, b in ((paths, "ep", 0, EMBED_P), (words, "ew", EMBED_P, EMBED_P + EMBED_W)):
+                x[i, :len(sizes), a:b] = np.add.reduceat(self.w[table][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            x[i, :len(shapes), EMBED_P + EMBED_W:] = shapes
+            mask[i, :len(shapes)] = 1
         return x, mask
 
     def _run(self, x, mask, k, keep):
@@ -220,25 +225,26 @@ class Labeller:
                 dx[:, s] += d @ self.w[k + "x"].T
                 dh_next = d @ self.w[k + "h"].T + dh * (1 - m)
                 dc_next = dc * f + dc_next * (1 - m)
-        for i, (paths, words, _) in enumerate(pages):
-            for part, table, a, b in ((paths, "ep", 0, EMBED_P), (words, "ew", EMBED_P, EMBED_P + EMBED_W)):
-                sizes = np.fromiter(map(len, part), np.int64, len(part))
-                flat = np.fromiter((v for ids in part for v in ids), np.int64, int(sizes.sum()))
-                np.add.at(g[table], flat, np.repeat(dx[i, :len(part), a:b] / sizes[:, None], sizes, axis=0))
+        for k, table, a, b in ((0, "ep", 0, EMBED_P), (1, "ew", EMBED_P, EMBED_P + EMBED_W)):
+            ids = np.concatenate([p[k][0] for p in pages])
+            each = np.concatenate([np.repeat(dx[i, :len(p[2]), a:b] / p[k][1][:, None], p[k][1], axis=0) for i, p in enumerate(pages)])
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            g[table][ids[order][first]] = np.add.reduceat(each[order], first, axis=0)
         return g
 
     def label(self, pages) -> list[np.ndarray]:
         """For each page of features, which blocks are article. Pages are batched by length."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
+        order = sorted((i for i in range(len(pages)) if len(pages[i][2])), key=lambda i: len(pages[i][2]))
         at = 0
         while at < len(order):
-            size = max(1, min(256, 40_000 // len(pages[order[min(at + 255, len(order) - 1)]][0])))
+            size = max(1, min(256, 40_000 // len(pages[order[min(at + 255, len(order) - 1)]][2])))
             part = order[at:at + size]
             x, mask = self.inputs([pages[i] for i in part])
             z, _ = self.logits(x, mask)
             for i, row in zip(part, z):
-                out[i] = row[:len(pages[i][0])] > 0
+                out[i] = row[:len(pages[i][2])] > 0
             at += size
         return out
 
@@ -263,8 +269,29 @@ _PHRASES = {
 }
 
 
-def made_pages(n: int, seed: int):
-    """n pages with labels: (html, one 0 or 1 for each leaf block)."""
+_OWN_NAMES = re.compile(r"""\b(class|id)=(?:"([^"]*)"|([^\s">]+))""")
+
+
+def _disguised(page: str, r: random.Random) -> str:
+    """The page as a template would have it whose names say nothing: other names for classes and ids, plain elements, classes on paragraphs."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda: " ".join("".join(r.choices(letters, k=r.randint(1, 6))) + r.choice(["", f"-{r.randint(1, 9)}", "-" + "".join(r.choices(letters, k=r.randint(1, 4)))]) for _ in range(r.choice([1, 1, 2, 3])))
+    names: dict[str, str] = {}
+    page = _OWN_NAMES.sub(lambda m: f'{m[1]}="{names.setdefault(m[2] or m[3], name())}"', page)
+    if r.random() < 0.7:
+        page = re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section|form)\b", r"<\1div", page)
+    x = r.random()
+    if x < 0.45:
+        page = page.replace("<p>", f'<div class="{name()}">').replace("</p>", "</div>")
+    elif x < 0.8:
+        page = page.replace("<p>", f'<p class="{name()}">')
+    if r.random() < 0.3:
+        page = re.sub(r"<(/?)(?:ul|ol)>", "", page).replace("<li><a", "<a").replace("</a></li>", "</a>" + r.choice(["<br>", " ", " | "]))
+    return page
+
+
+def made_pages(n: int, seed: int, disguised: float = 0.5):
+    """n pages with labels: (html, one 0 or 1 for each leaf block). A share is disguised, some of these laid out by a table."""
     r = random.Random(seed)
     letters = ["th he an in er re on at en nd ti es or te of ed is it al ar".split(), "la de é è que ment ou ai on eux en tion ç".split(), "sch ein ü und ich der au ge ver en".split(), "ció os as ra ñ do ja ta que mi".split()]
 
@@ -312,7 +339,7 @@ def made_pages(n: int, seed: int):
                 text = f"<b>{text}" + r.choice(["</b>", "<br>", "</b><br>"])
             elif r.random() < 0.2:
                 text = f'{text} <a href="/y">{words(r.randint(1, 4), lang)}</a> {words(r.randint(1, 9), lang)}'
-            return f"<p>{text}" + r.choice(["</p>", "</p>", "</p>", ""])
+            return f"<p>{text}" + ("</p>" if plain else r.choice(["</p>", "</p>", "</p>", ""]))
         if x < 0.88:
             return f"<h2>{mark(r.randint(1, 7))}</h2>"
         if x < 0.93:
@@ -324,21 +351,29 @@ def made_pages(n: int, seed: int):
     out = []
     for _ in range(n):
         lang, other = r.choice(letters), r.choice(letters)
+        plain = r.random() < disguised
+        rows = plain and r.random() < 0.3
+        cell = lambda text: f"<td>{text}</td>" if rows else text
+        row = lambda text: f"<tr>{text}</tr>" if rows else text
         title = words(r.randint(3, 9), lang)
         page = f"<!DOCTYPE html><html lang=en><head><title>{title}</title><style>p{{}}</style><script>var a='<p>';</script></head><body>"
-        page += "".join(junk(k, other) for k in ("notice", "head", "nav", "ad", "side", "form", "notice", "ad") if r.random() < 0.45)
+        before, after = ["notice", "head", "nav", "ad", "side", "form", "notice", "ad"], ["side", "ad", "comment", "form", "nav", "foot", "notice"]
+        some = lambda kinds, share, langs: "".join(junk(k, r.choice(langs)) for k in kinds if r.random() < share)
+        page += "<table>" if rows else ""
+        page += row(cell(some(before[:2], 0.45, [other]))) + ("<tr>" if rows else "") + cell(some(before[2:], 0.45, [other]))
         x = r.random()
         a, b = ("<article>", "</article>") if x < 0.55 else ("<main>", "</main>") if x < 0.65 else ("", "") if x < 0.7 else named(_CONTENT, ["div", "section", "main", "article"])
         if r.random() < 0.3:
             c, d = named(_CONTENT, ["div", "main"])
             a, b = c + a, b + d
-        page += a + (f"<h1>{_MARK}{title}</h1>" if r.random() < 0.85 else "")
+        body = a + (f"<h1>{_MARK}{title}</h1>" + (junk(r.choice(["side", "nav"]), other) if r.random() < 0.2 else "") if r.random() < 0.85 else "")
         for _ in range(r.choice([0, 1, 2, 3, 4, 6, 8, 12, 20])):
-            page += content(lang)
+            body += content(lang)
             if r.random() < 0.06:
-                page += junk(r.choice(["ad", "side", "form", "notice", "nav", "comment"]), r.choice([lang, other]))
-        page += (junk("comment", lang) if r.random() < 0.12 else "") + b
-        page += "".join(junk(k, r.choice([lang, other])) for k in ("side", "ad", "comment", "form", "nav", "foot", "notice") if r.random() < 0.4)
+                body += junk(r.choice(["ad", "side", "form", "notice", "nav", "comment"]), r.choice([lang, other]))
+        page += cell(body + (junk("comment", lang) if r.random() < 0.12 else "") + b)
+        page += cell(some(after[:2], 0.4, [lang, other])) + ("</tr>" if rows else "") + row(cell(some(after[2:], 0.4, [lang, other]))) + ("</table>" if rows else "")
+        page = _disguised(page, r) if plain else page
         page += r.choice(["</body></html>", ""])
         blocks = leaf_blocks(page)
         labels = np.array([_MARK in t for _, t, _ in blocks], np.float32)
@@ -349,7 +384,7 @@ def made_pages(n: int, seed: int):
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 1600, epochs: int = 8, seed: int = 11) -> Labeller:
+def trained(pages: int = 2400, epochs: int = 8, seed: int = 11) -> Labeller:
     """The labeller of a seed: Adam over minibatches of pages of like length."""
     made = [(features(b), y) for _, b, y in made_pages(pages, seed)]
     model, rng, step = Labeller(seed), np.random.default_rng(seed), 0
