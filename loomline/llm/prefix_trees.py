@@ -1,46 +1,76 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 Suffixes are sampled (see `sampling`): a row stands for the run of suffixes whose first
-13 words have the same least gram, and the gram is the prefix by which suffixes are
-dealt out. A gram that only one document has heads no repeat and is dropped. The others
-are packed into groups that fit in memory, and each group's suffix subtrees are built
-down to the depth of a window: suffixes sorted by their words, lengths of common
-prefixes between neighbours, and from these the deep internal nodes. A node keeps its
-smallest doc_id, and the suffixes below it in other documents are to go.
-
-A gram that is too frequent for a group gets the longest prefix there is, the whole
-window: its suffixes are aggregated by window, which combines before the shuffle.
+13 words have the same least gram, and the sampled suffix starts at this gram. The gram
+is the prefix by which suffixes are dealt out. A prefix that only one document has heads
+no repeat and is dropped. The others are packed into groups that fit in memory; a prefix
+of five words with too many suffixes for a group is extended to nine words, and that to
+the window's thirteen, where it is a node of the tree by itself.
+
+Each group's subtrees come from the sorted array of the suffixes under its rows: ranks by
+prefix doubling, lengths of common prefixes between neighbours, and the intervals where
+these lengths stay at or above a depth, which are the internal nodes. A node keeps its
+smallest doc_id. For each suffix the deepest node that a smaller document reaches, of at
+least a window's depth, is a repeat, and as long as the node is deep; of these the ones
+that can't be extended to the left are the maximal repeats, which are to go.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import durable, grouped, mapped
-from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, flagged_spans, keyed, located, merged, window_digests, with_spans
+from loomline.llm.common import durable, grouped, mapped, slices
+from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, with_spans
 
-#: Runs in a group, and most runs of one gram in a group.
+#: Runs in a group, and most runs of one prefix in a group.
 GROUP_ROWS = 20_000
 
 
-def deep_nodes(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort the suffixes at `starts` by their first `depth` words; (order, node of each in that order).
+def suffix_array(symbols: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes at `starts` sorted by up to `longest` symbols, and how many each shares with the one before it.
 
-    Neighbours whose common prefix reaches the depth hang under one internal node.
+    Suffixes are told apart by separators, symbols that occur once.
     """
-    columns = [words[starts + j] for j in range(depth)]
-    order = np.lexsort(columns[::-1])
-    common = np.zeros(max(0, len(starts) - 1), np.int64)
-    alive = np.ones(len(common), bool)
-    for c in columns:
-        s = c[order]
-        alive &= s[1:] == s[:-1]
-        common += alive
-    node = np.concatenate([[0], np.cumsum(common < depth)]) if len(starts) else np.zeros(0, np.int64)
-    return order, node
+    n, width = len(symbols), 1
+    _, rank = np.unique(symbols, return_inverse=True)
+    ranks = [rank.astype(np.int64)]
+    while width < longest:
+        later = np.full(n, -1, np.int64)
+        later[:max(0, n - width)] = ranks[-1][width:]
+        _, rank = np.unique(ranks[-1] * (n + 1) + later + 1, return_inverse=True)
+        ranks.append(rank.astype(np.int64))
+        width *= 2
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    a, b = starts[order[:-1]].copy(), starts[order[1:]].copy()
+    common = np.zeros(len(starts), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        inside = np.maximum(a, b) < n
+        same = inside & (ranks[k][np.where(inside, a, 0)] == ranks[k][np.where(inside, b, 0)])
+        step = same.astype(np.int64) << k
+        a, b = a + step, b + step
+        common[1:] += step
+    return order, common
+
+
+def repeat_depths(common: np.ndarray, low: np.ndarray, depth: int) -> np.ndarray:
+    """For suffixes in order, with the smallest doc_id of each: the depth of the deepest node, of at least `depth`, with a smaller one; else 0."""
+    out = np.zeros(len(low), np.int64)
+    open_ = np.arange(len(low))
+    for d in range(depth, int(common.max(initial=0)) + 1):
+        # Nodes at this depth are the stretches between shorter common prefixes.
+        first = np.flatnonzero(common < d)
+        best = np.minimum.reduceat(low, first)
+        node = np.searchsorted(first, open_, "right") - 1
+        open_ = open_[best[node] < low[open_]]
+        if not len(open_):
+            break
+        out[open_] = d
+    return out
 
 
 def subtrees(table: pa.Table, unit: Words) -> pa.Table:
@@ -51,20 +81,30 @@ def subtrees(table: pa.Table, unit: Words) -> pa.Table:
     ids: dict[bytes, int] = {}
     cut = [[ids.setdefault(w, len(ids)) for w in c.split(unit.sep)] for c in kinds]
     sizes = np.array([len(c) for c in cut], np.int64)
-    words = np.array([w for c in cut for w in c], np.int32)
+    symbols = np.array([w for k, c in enumerate(cut) for w in (*c, len(ids) + k)], np.int64)
     windows = sizes - unit.window + 1
     base = np.cumsum(windows) - windows
-    starts = np.repeat(np.cumsum(sizes) - sizes - base, windows) + np.arange(int(windows.sum()))
+    inner = np.arange(int(windows.sum())) - np.repeat(base, windows)
+    starts = np.repeat(np.cumsum(sizes + 1) - sizes - 1, windows) + inner
     low = np.full(len(kinds), LAST_ID, np.int64)
     np.minimum.at(low, which, did)
-    order, node = deep_nodes(words, starts, unit.window)
-    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    best = np.minimum.reduceat(np.repeat(low, windows)[order], first)
-    smallest = np.empty(len(starts), np.int64)
-    smallest[order] = best[node]
-    count = windows[which]
-    flat = np.arange(int(count.sum())) + np.repeat(base[which] - (np.cumsum(count) - count), count)
-    return pa.Table.from_batches([flagged_spans(did, h, start, count, smallest[flat] < np.repeat(did, count), unit.window)])
+    order, common = suffix_array(symbols, starts, int(sizes.max()))
+    deep = np.empty(len(starts), np.int64)
+    deep[order] = repeat_depths(common, np.repeat(low, windows)[order], unit.window)
+    # A repeat that one word further left is a repeat too is not maximal.
+    maximal = deep > 0
+    maximal[1:] &= (inner[1:] == 0) | (deep[:-1] <= deep[1:])
+    spot = np.flatnonzero(maximal)
+    count = np.bincount(np.repeat(np.arange(len(kinds)), windows)[spot], minlength=len(kinds))
+    # A context that a smaller document has goes whole, the smallest document's by the nodes.
+    late = did > low[which]
+    rows = np.flatnonzero(~late)
+    n = count[which[rows]]
+    at = np.repeat((np.cumsum(count) - count)[which[rows]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    lo = np.concatenate([start[late], np.repeat(start[rows], n) + inner[spot[at]]]).astype(np.int64)
+    hi = np.concatenate([(start + sizes[which])[late], lo[int(late.sum()):] + deep[spot[at]]]).astype(np.int64)
+    who = np.concatenate([np.flatnonzero(late), np.repeat(rows, n)])
+    return pa.table({"did": pa.array(did[who], pa.int64()), "h": pa.array(h[who], pa.int64()), "lo": pa.array(lo), "hi": pa.array(hi)})
 
 
 def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -73,16 +113,16 @@ def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GRO
     grams = rows.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     hits = durable(located(rows, grams.select("gram", (F.col("n") > group_rows).alias("heavy"))))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    groups = max(1, -(-total // group_rows))
-    light = contexts(docs, chosen(hits, False), unit).select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "ctx")
-    spans = grouped(light.groupBy("group"), lambda t: subtrees(t, unit), SPANS, docs.sparkSession)
+    parts, spans = [contexts(docs, chosen(hits, False), unit)], []
     heavy = chosen(hits, True)
-    if heavy.isEmpty():
-        return spans
-    each = window_digests(contexts(docs, heavy, unit), unit)
-    low = each.groupBy("digest").agg(F.min("did").alias("low")).withColumnRenamed("digest", "d")
-    late = each.join(low, (F.col("digest") == F.col("d")) & (F.col("did") > F.col("low")))
-    return spans.unionByName(late.select("did", "h", F.col("pos").alias("lo"), (F.col("pos") + unit.window).alias("hi")))
+    if not heavy.isEmpty():
+        # Of equal contexts those of the smallest document stand for all, the others are repeats.
+        spans, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
+        parts += more
+    for part in parts:
+        light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "ctx")
+        spans.append(grouped(light.groupBy("group"), lambda t: subtrees(t, unit), SPANS, docs.sparkSession))
+    return functools.reduce(DataFrame.unionByName, spans)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Words = Words(), group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -97,7 +137,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     joined = with_spans(docs, repeated_spans(docs, unit, group_rows))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             counts, cuts, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words, at, left, spans = text.encode().split(), 0, [], merged(found)

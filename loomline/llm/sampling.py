@@ -5,6 +5,9 @@ of the short grams in it. Equal windows have equal least hashes wherever they st
 comparing windows with the same least hash misses no repeat. Consecutive windows mostly
 share theirs; such a run is one row: where it starts, how many windows it has, and the
 hash. Rows are far fewer than symbols (about 2 in `window - gram + 2`).
+
+The gram is the prefix by which sampled suffixes are dealt out. One that too many rows
+share is made longer, step by step, up to the whole window: see `extended`.
 """
 
 from __future__ import annotations
@@ -14,15 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import mapped
+from loomline.llm.common import durable, mapped, slices
 
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
 AT_ONCE = 1 << 18
-#: Texts that are worked on at once.
-TEXTS_AT_ONCE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LAST_ID = (1 << 63) - 1
@@ -122,10 +123,10 @@ def word_arrays(raws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Words:
-    """Words between white space, as they are."""
+    """Words between white space, as they are. `grams` are the lengths of prefixes, up to the window."""
 
     window: int = 13
-    gram: int = 5
+    grams: tuple[int, ...] = (5, 9, 13)
     longest: int = 64
     sep: bytes = b" "
 
@@ -133,6 +134,9 @@ class Words:
         """(index, symbols, where each starts, where each ends) of each text."""
         return word_arrays(raws)
 
+    def size(self, part: Column) -> Column:
+        return F.regexp_count(part.cast("string"), F.lit(" ")) + 1
+
     def part(self, raw: bytes, starts, ends, lo: int, hi: int) -> bytes:
         return b" ".join(raw[starts[lo]:ends[hi - 1]].split())
 
@@ -142,13 +146,16 @@ class Bytes:
     """UTF-8 bytes."""
 
     window: int = 400
-    gram: int = 32
+    grams: tuple[int, ...] = (32, 128, 400)
     longest: int = 512
     sep: bytes = b""
 
     def symbols(self, raws: list[bytes]):
         return ((i, np.frombuffer(raw, np.uint8), None, None) for i, raw in enumerate(raws))
 
+    def size(self, part: Column) -> Column:
+        return F.length(part)
+
     def part(self, raw: bytes, starts, ends, lo: int, hi: int) -> bytes:
         return raw[lo:hi]
 
@@ -227,16 +234,19 @@ def runs(pieces: list[np.ndarray], window: int, gram: int, longest: int, alone:
     return piece[first], lo - offsets[piece[first]], count, value, more
 
 
-def text_runs(unit, symbols, alone: bool = False):
+def text_runs(unit, symbols, alone: bool = False, level: int = 0):
     """(row, start, windows, hash, more) of whole texts from unit.symbols(). A text is cut at multiples of
     AT_ONCE windows, whatever else is in the batch, so a text always has the same runs."""
+    gram = unit.grams[level]
+    # A prefix of a whole window stands for this window alone.
+    longest = unit.longest if gram < unit.window else 1
     pieces, rows, shifts, held = [], [], [], 0
     out = []
 
     def flush() -> None:
         nonlocal held
         if pieces:
-            p, s, n, v, m = runs(pieces, unit.window, unit.gram, unit.longest, alone)
+            p, s, n, v, m = runs(pieces, unit.window, gram, longest, alone)
             out.append((np.array(rows, np.int64)[p], s + np.array(shifts, np.int64)[p], n, v, m))
         pieces.clear(), rows.clear(), shifts.clear()
         held = 0
@@ -269,8 +279,7 @@ def entries(docs: DataFrame, unit, alone: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
+            for batch in slices(whole, 2):
                 raws = [t.encode() for t in batch.column(2).to_pylist()]
                 row, start, _, value, more = text_runs(unit, unit.symbols(raws), alone)
                 more = more if alone else np.zeros(len(row), np.int64)
@@ -280,27 +289,83 @@ def entries(docs: DataFrame, unit, alone: bool = False) -> DataFrame:
     return mapped(docs.select("did", "key", "text"), run, "did long, key long, start int, gram long, more int")
 
 
+def _cut(batch: pa.RecordBatch, unit, raws: list[bytes], wanted=None, level: int = 0, shifts=None) -> pa.RecordBatch:
+    """(did, h, start, gram, ctx) of the runs of texts, all or those that start where `wanted` says."""
+    cut = list(unit.symbols(raws))
+    row, start, n, value, _ = text_runs(unit, cut, level=level)
+    triples = enumerate(zip(row.tolist(), start.tolist(), n.tolist()))
+    keep = [(k, i, s, m) for k, (i, s, m) in triples if wanted is None or s in wanted[i]]
+    index = pa.array([i for _, i, _, _ in keep], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(index), batch.column(1).take(index), pa.array([s + (shifts[i] if shifts else 0) for _, i, s, _ in keep], pa.int32()),
+         pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)),
+         pa.array([unit.part(raws[i], cut[i][2], cut[i][3], s, s + m + unit.window - 1) for _, i, s, m in keep], pa.binary())],
+        ["did", "h", "start", "gram", "ctx"])
+
+
+CONTEXTS = "did long, h long, start int, gram long, ctx binary"
+
+
 def contexts(docs: DataFrame, hits: DataFrame, unit) -> DataFrame:
     """(did, h, start, gram, ctx): the symbols under the runs named in hits(key, starts)."""
     found = docs.join(hits, "key").select("did", "h", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
-                raws = [t.encode() for t in batch.column(2).to_pylist()]
-                cut = list(unit.symbols(raws))
-                wanted = [set(s) for s in batch.column(3).to_pylist()]
-                row, start, n, value, _ = text_runs(unit, cut)
-                keep = [(k, i, s, m) for k, (i, s, m) in enumerate(zip(row.tolist(), start.tolist(), n.tolist())) if s in wanted[i]]
-                index = pa.array([i for _, i, _, _ in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.array([s for _, _, s, _ in keep], pa.int32()),
-                     pa.array(value[[k for k, _, _, _ in keep]].view(np.int64) if keep else np.zeros(0, np.int64)),
-                     pa.array([unit.part(raws[i], cut[i][2], cut[i][3], s, s + m + unit.window - 1) for _, i, s, m in keep], pa.binary())],
-                    ["did", "h", "start", "gram", "ctx"])
+            for batch in slices(whole, 2):
+                yield _cut(batch, unit, [t.encode() for t in batch.column(2).to_pylist()], [set(s) for s in batch.column(3).to_pylist()])
+
+    return mapped(found, run, CONTEXTS)
+
+
+def finer(rows: DataFrame, unit, level: int) -> DataFrame:
+    """The contexts `rows`, dealt out anew by grams of length unit.grams[level]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 3):
+                yield _cut(batch, unit, batch.column(3).to_pylist(), level=level, shifts=batch.column(2).to_pylist())
 
-    return mapped(found, run, "did long, h long, start int, gram long, ctx binary")
+    return mapped(rows.select("did", "h", "start", "ctx"), run, CONTEXTS)
+
+
+def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column, stay: Column) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Deal out contexts whose gram is too frequent for one group by longer and longer prefixes.
+
+    Equal contexts are told by their content; `own` aggregates them to `best`, and `n`
+    counts them. Of several equal ones those with `gone` are repeats as they are, and
+    those with `stay` go on in the name of all. What goes on and has a gram that now fits
+    in a group comes back to be compared there, the rest gets longer grams. A gram of a
+    whole window is its context, so what is left of it then has no equal.
+
+    Returns spans (did, h, lo, hi) and contexts for groups, both as parts.
+    """
+    spans, groups = [], []
+    for level in range(len(unit.grams)):
+        rows = durable(finer(rows, unit, level) if level else rows)
+        if rows.isEmpty():
+            break
+        # Both sides of the joins are plain shuffles, so a context or gram with very many rows is split at run time.
+        best = rows.groupBy("gram", "ctx").agg(own.alias("best"), F.count("*").alias("n")).filter("n > 1")
+        best = durable(best.select(F.col("gram").alias("b_gram"), F.col("ctx").alias("b_ctx"), "best", "n"))
+        told = rows.join(best, (F.col("gram") == F.col("b_gram")) & (F.col("ctx") == F.col("b_ctx")), "left")
+        goes_on = F.col("n").isNull() | stay
+        told = durable(told.select("did", "h", "start", "gram", (F.col("n").isNotNull() & gone).alias("gone"), goes_on.alias("stay"),
+                                   unit.size(F.col("ctx")).cast("long").alias("size"), F.when(goes_on, F.col("ctx")).alias("ctx")))
+        spans.append(told.filter("gone").select("did", "h", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
+        if level + 1 == len(unit.grams):
+            break
+        rest = told.filter("stay").select("did", "h", "start", "gram", "ctx")
+        many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > group_rows).alias("heavy")))
+        dealt = rest.join(many, F.col("gram") == F.col("m_gram")).drop("m_gram")
+        groups.append(dealt.filter("not heavy").drop("heavy"))
+        rows = dealt.filter("heavy").drop("heavy")
+    return spans, groups
+
+
+def grouped_by_gram(rows: DataFrame, group_rows: int, total: int) -> DataFrame:
+    """`rows` with the number of a group: grams are packed into groups of about `group_rows` rows."""
+    return rows.withColumn("group", F.pmod(F.xxhash64("gram"), F.lit(max(1, -(-total // group_rows)))))
 
 
 def located(entry_rows: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -315,47 +380,9 @@ def chosen(hits: DataFrame, heavy: bool) -> DataFrame:
     return hits.select("key", starts.alias("starts")).filter(F.size("starts") > 0)
 
 
-def flagged_spans(did, h, start, count, flags, window) -> pa.RecordBatch:
-    """Merge flagged windows of each row into spans of symbols [lo, hi).
-
-    `flags` has, one row after the other, a value for each of the row's windows.
-    """
-    total = int(count.sum())
-    owner = np.repeat(np.arange(len(count)), count)
-    place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-    edge = np.ones(total, bool)
-    edge[1:] = owner[1:] != owner[:-1]
-    opens = np.flatnonzero(flags & (edge | ~np.concatenate([[False], flags[:-1]])))
-    last = np.ones(total, bool)
-    last[:-1] = edge[1:]
-    closes = np.flatnonzero(flags & (last | ~np.concatenate([flags[1:], [False]])))
-    who = owner[opens]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(did[who], pa.int64()), pa.array(h[who], pa.int64()), pa.array(place[opens], pa.int64()), pa.array(place[closes] + window, pa.int64())], ["did", "h", "lo", "hi"])
-
-
 SPANS = "did long, h long, lo long, hi long"
 
 
-def window_digests(rows: DataFrame, unit) -> DataFrame:
-    """(did, h, pos, digest): each window under the contexts `rows`, for grams too frequent for one group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            index, pos, digests = [], [], []
-            for i, (s, ctx) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                cut = ctx.split(unit.sep) if unit.sep else ctx
-                for k in range(len(cut) - unit.window + 1):
-                    window = cut[k:k + unit.window]
-                    index.append(i), pos.append(s + k), digests.append(xxhash.xxh3_128_digest(unit.sep.join(window) if unit.sep else window))
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int64()), pa.array(digests, pa.binary())], ["did", "h", "pos", "digest"])
-
-    return mapped(rows.select("did", "h", "start", "ctx"), run, "did long, h long, pos long, digest binary")
-
-
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(did, text, spans) of keyed(docs): all spans of a text, bounded by its length; null without any.
 

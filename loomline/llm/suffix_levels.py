@@ -1,60 +1,66 @@
 """Long repeats by a logarithmic family of suffix arrays, over bytes.
 
 Documents come in batches. A batch gets a sorted array of its sampled suffixes (see
-`sampling`: suffixes are keyed by the least gram of the 400 bytes that follow) and is
-merge-scanned against every level of the family: a sorted join finds the keys that both
-have, and with them the places where long matches may be. Then the batch becomes a
-level, and levels of equal size are merged, so a family of n batches has at most
-log2(n) + 1 levels and a batch is read again as often.
-
-The matches are confirmed on the bytes: the places that share a key are brought
-together with the bytes under them, a suffix array over these is built by prefix
-doubling, and suffixes that agree in 400 bytes are repeats.
+`sampling`: a sampled suffix starts at the least gram of the 400 bytes around it) and is
+merge-scanned against every level of the family: where batch and level have a prefix in
+common, the suffixes of both may hold a long match. Then the batch becomes a level, and
+levels of equal size are merged, so a family of n batches has at most log2(n) + 1 levels
+and a suffix is written again as often.
+
+What the scans find, and nothing else, is confirmed on the bytes: suffixes that share a
+prefix are brought together with the bytes under them, a suffix array over these is
+built by prefix doubling, and suffixes that agree in 400 bytes are repeats. A prefix
+that too many suffixes share is extended from 32 bytes to 128 and 400.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import durable, grouped, mapped
-from loomline.llm.sampling import LAST_ID, SPANS, Bytes, chosen, contexts, entries, flagged_spans, keyed, located, merged, window_digests, with_spans
+from loomline.llm.common import durable, grouped, mapped, slices
+from loomline.llm.sampling import LAST_ID, SPANS, Bytes, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, with_spans
 
 GROUP_ROWS = 4_000
 BATCHES = 4
 
 
 class Family:
-    """Levels of sorted suffixes (gram, n): `size` in batches, and n places of a gram."""
+    """Levels of sorted suffixes (gram, key, start, more), the prefix first; `size` in batches, sizes fall from level to level.
+
+    A level is a reliable checkpoint. `add` returns the suffixes that the new batch has
+    brought together, its own and the levels', so a growing corpus is only compared with
+    what is new.
+    """
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
-        self.matched: list[DataFrame] = []
 
-    def add(self, batch: DataFrame) -> None:
-        """Add entries(gram, more) of new documents; keeps which grams have a match."""
-        array = durable(batch.groupBy("gram").agg((F.count("*") + F.max("more")).alias("n")).sortWithinPartitions("gram"))
-        self.matched.append(array.filter("n > 1").select("gram"))
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add entries(gram, key, start, more) of new documents; returns the suffixes (gram, key, start) with a match that were not known to have it, or again."""
+        self._merge()
+        array = durable(batch.select("gram", "key", "start", "more").repartition("gram").sortWithinPartitions("gram", "key", "start"))
+        inner = array.groupBy("gram").agg((F.count("*") + F.max("more")).alias("n")).filter("n > 1").select("gram")
+        found = [self._scan(array, inner)]
         for _, level in self.levels:
-            self.matched.append(array.select("gram").hint("merge").join(level.select("gram"), "gram"))
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            _, other = self.levels.pop()
-            array = array.union(other).groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram")
-            size *= 2
-        self.levels.append((size, durable(array) if size > 1 else array))
-
-    def repeated(self) -> DataFrame:
-        """(gram, n) of the grams with a match, and their places over all levels."""
-        grams = self.matched[0]
-        for df in self.matched[1:]:
-            grams = grams.union(df)
-        every = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            every = every.union(level)
-        return every.groupBy("gram").agg(F.sum("n").alias("n")).join(grams.distinct(), "gram")
+            found += [self._scan(array, level.select("gram")), self._scan(level, array.select("gram"))]
+        self.levels.append((1, array))
+        return durable(functools.reduce(DataFrame.union, found).distinct())
+
+    @staticmethod
+    def _scan(suffixes: DataFrame, prefixes: DataFrame) -> DataFrame:
+        """The suffixes whose prefix occurs among `prefixes`: a merge of two sorted sides."""
+        return suffixes.select("gram", "key", "start").join(prefixes.hint("merge"), "gram", "left_semi")
+
+    def _merge(self) -> None:
+        """Merge levels of equal size, which the next batch will be scanned against."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            self.levels.append((2 * size, durable(b.union(a).repartition("gram").sortWithinPartitions("gram", "key", "start"))))
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
@@ -107,29 +113,48 @@ def confirm(table: pa.Table, unit: Bytes) -> pa.Table:
         often[flat] |= seen[r] > 1
     count = windows[which]
     flat = np.arange(int(count.sum())) + np.repeat(base[which] - (np.cumsum(count) - count), count)
-    return pa.Table.from_batches([flagged_spans(did, h, start, count, often[flat], unit.window)])
+    return flagged_spans(did, h, start, count, often[flat], unit.window)
+
+
+def flagged_spans(did, h, start, count, flags, window) -> pa.Table:
+    """Merge flagged windows of each row into spans of symbols [lo, hi).
+
+    `flags` has, one row after the other, a value for each of the row's windows.
+    """
+    total = int(count.sum())
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    edge = np.ones(total, bool)
+    edge[1:] = owner[1:] != owner[:-1]
+    opens = np.flatnonzero(flags & (edge | ~np.concatenate([[False], flags[:-1]])))
+    last = np.ones(total, bool)
+    last[:-1] = edge[1:]
+    closes = np.flatnonzero(flags & (last | ~np.concatenate([flags[1:], [False]])))
+    who = owner[opens]
+    return pa.table({"did": pa.array(did[who], pa.int64()), "h": pa.array(h[who], pa.int64()), "lo": pa.array(place[opens], pa.int64()), "hi": pa.array(place[closes] + window, pa.int64())})
 
 
 def repeated_spans(docs: DataFrame, unit: Bytes = Bytes(), batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(did, h, lo, hi) in bytes, of keyed(docs): what occurs anywhere else too."""
-    rows = durable(entries(docs, unit, alone=True))
-    family = Family()
+    family, found = Family(), []
     for k in range(batches):
-        family.add(rows.filter(F.pmod("key", F.lit(batches)) == k))
-    repeated = family.repeated().select("gram", (F.col("n") > group_rows).alias("heavy"))
-    hits = durable(located(rows, repeated))
-    total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    groups = max(1, -(-total // group_rows))
+        found.append(family.add(entries(docs.filter(F.pmod("key", F.lit(batches)) == k), unit, alone=True)))
+    matches = durable(functools.reduce(DataFrame.union, found).distinct())
+    size = durable(matches.groupBy("gram").agg((F.count("*") > group_rows).alias("heavy")))
+    hits = durable(located(matches, size))
+    total = matches.count()
     # Equal rows share a key, and each of them comes with its contexts.
-    light = contexts(docs, chosen(hits, False), unit).select(F.pmod(F.xxhash64("gram"), F.lit(groups)).alias("group"), "did", "h", "start", "gram", "ctx")
-    spans = grouped(light.groupBy("group"), lambda t: confirm(t, unit), SPANS, docs.sparkSession)
+    parts, spans = [contexts(docs, chosen(hits, False), unit)], []
     heavy = chosen(hits, True)
-    if heavy.isEmpty():
-        return spans
-    each = window_digests(contexts(docs, heavy, unit), unit)
-    many = each.groupBy("digest").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("digest").alias("d"))
-    again = each.join(many, F.col("digest") == F.col("d"))
-    return spans.unionByName(again.select("did", "h", F.col("pos").alias("lo"), (F.col("pos") + unit.window).alias("hi")))
+    if not heavy.isEmpty():
+        # Of equal contexts all are repeats, and one stands for all where others are compared with it.
+        place = F.struct("did", "h", "start")
+        spans, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min(place), F.lit(True), place == F.col("best"))
+        parts += more
+    for part in parts:
+        light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "gram", "ctx")
+        spans.append(grouped(light.groupBy("group"), lambda t: confirm(t, unit), SPANS, docs.sparkSession))
+    return functools.reduce(DataFrame.unionByName, spans)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: Bytes = Bytes(), batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -143,7 +168,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     joined = with_spans(docs, repeated_spans(docs, unit, batches, group_rows))
 
     def run(batches_in):
-        for batch in batches_in:
+        for batch in (part for whole in batches_in for part in slices(whole, 1)):
             counts, cuts, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, at, left, spans = text.encode(), 0, [], merged(found)
@@ -162,4 +187,5 @@ def op10_suffix_levels(spark, sf_dir):
     return out.select(
         F.when(F.col("did") < LAST_ID, F.col("did")).alias("doc_id"), "n_bytes",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).withColumn(
+        "removed_share", F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import bpe, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, sampling, simhash, suffix_levels, token_counts
 
@@ -38,8 +39,37 @@ def test_bpe_equals_library_and_round_trips(spark):
         want = lib.encode(t or "", add_special_tokens=False)
         assert got[i]["ids"] == want.ids and got[i]["decoded"] == lib.decode(want.ids, skip_special_tokens=False)
     assert bpe.encode(df, ids_col="text").columns == ["doc_id", "text", "text_"]
+    both = {r["doc_id"]: r for r in bpe.encode_and_decode(df).collect()}
+    assert all(both[i]["ids"] == got[i]["ids"] and both[i]["decoded"] == got[i]["decoded"] for i in got)
 
 
+def test_bpe_digests_equal_library(spark):
+    """The query's columns, for null, empty, very long and repeated texts, over several slices of a batch."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    rng = random.Random(3)
+    rows = [(1, None), (2, ""), (3, "word " * 60_000 + "é" * 5000), (4, "same text"), (4, "same text"), (None, "x<|endoftext|>y")] + [(10 + i, words(rng, 400, 5000)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter()
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))] += 1
+    assert Counter(map(tuple, bpe.digests(df).collect())) == want
+    assert bpe.digests(df.limit(0)).count() == 0 and bpe.encode(df.limit(0)).count() == 0
+
+
+def test_slices_cover_a_batch():
+    import pyarrow as pa
+
+    from loomline.llm.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(50)), "t": [None if i % 7 == 0 else "x" * (i * i) for i in range(50)]})
+    parts = list(slices(batch, 1, 2000))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(50)) and len(parts) > 10
+    assert max(p.num_rows for p in parts) < 30 and list(slices(batch.slice(0, 0), 1)) == []
+
 def test_simhash_components(spark, docs):
     df, rows = docs
     fps = [simhash.fingerprint(t) for _, t in rows]
@@ -141,6 +171,26 @@ def test_quality_fences_adapt(spark):
     assert {i for i, *_ in noisy} <= kept
 
 
+def test_quality_keeps_text_without_spaces(spark):
+    """Mean word lengths of 60 to 68 are no reason to reject where all documents have them; an odd one out is."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(60, 68))) for _ in range(30)), "zh", "web") for i in range(200)]
+    rows += [(500, " ".join("x" * 5000 for _ in range(25)) + " ", "zh", "web")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df).collect()}
+    assert all(kept[i] for i in range(200)) and not kept[500]
+    renamed = quality_rules.judge(df.withColumn("n_words", F.lit(1)), keep=("doc_id", "n_words", "text"))
+    assert renamed.columns[:4] == ["doc_id", "n_words", "text", "n_words_"] and renamed.filter("n_words = 1 and n_words_ >= 25 and kept").count() == 200
+
+
+def test_quality_quartiles_move_as_far_as_documents_compel(spark):
+    """A few documents take their language's fence, many their own; in between the interval of the quartile decides."""
+    rows = [("en", "big", 10, 950), ("en", "few", 400, 4), ("en", "some", 400, 40), ("en", "split", 400, 25), ("en", "split", 10, 15)]
+    hist = spark.createDataFrame([(la, s, "sym_pm", b, n) for la, s, b, n in rows], "lang string, source string, measure string, bin long, n long")
+    got = {r["t_source"]: r["sym_pm_hi"] for r in quality_rules.thresholds(hist).collect()}
+    assert got == {"big": 30, "few": 30, "some": 420, "split": 30}
+
+
 def test_pu_quality_finds_negatives_without_labels():
     rng = np.random.default_rng(0)
     pos = lambda n: np.abs(rng.normal(0.3, 0.05, (n, len(pu_quality.MEASURES))))
@@ -186,6 +236,9 @@ def test_mixing_meets_its_targets(spark):
     assert abs(-(w * np.log(w)).sum() / np.log(len(w)) - 0.8) < 0.01
     assert by.drawn["hot"] == by.tokens["hot"]
     capped, m = mixing.draw(df, entropy=0.99, repetition=2.0, block_docs=16)
+    clash = df.toDF("at", "text", "last", "blocks")
+    again, m2 = mixing.draw(clash, source_col="last", id_col="at", entropy=0.8, repetition=1e6, block_docs=16)
+    assert again.columns == [*clash.columns, m2] and again.select(f"{m2}.copies").groupBy().sum().first()[0] == got.copies.sum()
     reps = capped.select("source", f"{m}.*").toPandas().assign(drawn=lambda x: x.tokens * x.copies).groupby("source")[["tokens", "drawn"]].sum()
     assert (reps.drawn / reps.tokens).max() <= 2.001
     assert mixing.mix(df).columns == df.columns and mixing.mix(df.limit(0)).count() == 0
@@ -215,12 +268,12 @@ def repeats_10(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 3])
+@pytest.mark.parametrize("group_rows", [10_000, 12, 1])
 def test_substring_dedup(spark, docs, group_rows):
     df, rows = docs
-    out = prefix_trees.dedup(df, unit=sampling.Words(5, 2, 3), group_rows=group_rows).collect()
+    out = prefix_trees.dedup(df, unit=sampling.Words(5, (2, 3, 5), 3), group_rows=group_rows).collect()
     assert Counter((r["n_words"], sum(s["hi"] - s["lo"] for s in r["spans"]), r["kept"]) for r in out) == repeats_7(rows, 5)
-    out = suffix_levels.dedup(df, unit=sampling.Bytes(20, 8, 7), group_rows=group_rows).collect()
+    out = suffix_levels.dedup(df, unit=sampling.Bytes(20, (8, 16, 20), 7), group_rows=group_rows).collect()
     assert Counter((r["n_bytes"], sum(s["hi"] - s["lo"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in out) == repeats_10(rows, 20)
 
 
@@ -232,14 +285,14 @@ def test_substring_dedup_of_nothing(spark, docs):
 def test_word_arrays_and_runs_do_not_depend_on_chunks(monkeypatch):
     rng = random.Random(2)
     raws = ["".join(rng.choice("ab é\n\t　") for _ in range(rng.randint(0, 200))).encode() for _ in range(100)] + [b"", b" ", b"x" * 200, b"y " * 60 + b"z" * 120]
-    unit = sampling.Words(4, 2, 3)
+    unit = sampling.Words(4, (2, 4), 3)
     whole = sampling.text_runs(unit, unit.symbols(raws))
     monkeypatch.setattr(sampling, "CHUNK", 50)
     sampling._POWERS.clear()
     for i, h, s, e in sampling.word_arrays(raws):
         assert [raws[i][a:b] for a, b in zip(s, e)] == raws[i].split()
     monkeypatch.setattr(sampling, "AT_ONCE", 10)
-    cut = sampling.text_runs(sampling.Bytes(20, 8, 7), sampling.Bytes().symbols(raws))
+    cut = sampling.text_runs(sampling.Bytes(20, (8, 16, 20), 7), sampling.Bytes().symbols(raws))
     assert sum(cut[2]) == sum(max(0, len(r) - 19) for r in raws)
     sampling._POWERS.clear()
     assert sum(whole[2]) == sum(max(0, len(r.split()) - 3) for r in raws)
@@ -269,9 +322,10 @@ def test_html_gradients_and_accuracy():
         model.w[k][at] = was
         assert abs((up - down) / 2e-4 - grads[k][at]) < 2e-3
     trained = html_text.trained()
-    held = html_text.made_pages(150, 77)
-    right = [(a == (y > 0)).mean() for a, (*_, y) in zip(trained.label([html_text.features(b) for _, b, _ in held]), held)]
-    assert np.mean(right) > 0.99
+    for disguised, least in ((0.0, 0.99), (1.0, 0.92)):
+        held = html_text.made_pages(150, 77, disguised)
+        right = [(a == (y > 0)).mean() for a, (*_, y) in zip(trained.label([html_text.features(b) for _, b, _ in held]), held)]
+        assert np.mean(right) > least
 
 
 def test_html_blocks():
