@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.sources.jsonl import placed
+
 
 def bounded(df: DataFrame, ts: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """Rows with since <= ts < until; rows without a valid time leave once any bound is set."""
@@ -25,8 +27,8 @@ def select_sessions(df: DataFrame, agent: str | None = None, cwd: str | None = N
 
 
 def latest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """Newest first, without a time last, then by the tie column."""
-    return df.orderBy(F.col(ts).desc_nulls_last(), F.col(tie).asc())
+    """`df` with its `place`: newest first, without a time last, then by the tie column."""
+    return placed(df, F.col(ts).desc_nulls_last(), F.col(tie).asc())
 
 
 def by_prefix(df: DataFrame, hash_col: str, prefix: str) -> DataFrame:

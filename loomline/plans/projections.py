@@ -75,3 +75,19 @@ seg AS (
     k <> 5 AS has_prev, CASE WHEN k = 6 THEN 'other' ELSE 'same' END AS agent,
     CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS revision, strftime(o_orderdate, '%Y-%m-%d') AS ts
   FROM o1)"""
+
+
+def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as session files (file, line, raw), lineitems as their entries: the segments of a customer's session."""
+    o = read(spark, sf_dir, "orders")
+    name, seq = F.concat(F.lit("c"), "o_custkey"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    head = F.to_json(F.struct(
+        F.lit("session").alias("type"), F.lit("0.1.0").alias("schema_version"), name.alias("id"), F.when(F.col("o_custkey") % 10 != 0, name).alias("session_uid"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("ts"), F.struct(F.col("seq")).alias("segment")))
+    heads = o.withColumn("seq", seq).select(F.col("o_orderkey").cast("string").alias("file"), F.lit(1).alias("line"), head.alias("raw"))
+    killed = F.col("l_linenumber") == 3
+    entry = F.to_json(F.struct(F.when(killed, "session_terminated").otherwise("user_message").alias("type"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("id"),
+                               F.when(killed, F.struct(F.lit("process_terminated").alias("reason"))).alias("payload")))
+    line = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) + 1
+    entries = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), line.alias("line"), entry.alias("raw"))
+    return heads.unionByName(entries)

@@ -10,17 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomline.session import durable
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, raw bytes): every line of every file; one trailing CR goes, a last line feed ends the file.
 
-    A file is split by its task, so files should stay below what a task holds.
+    Files are read by Spark's text source, which splits them by ranges of bytes and reads
+    a line with the range where it starts, so neither a file nor a split is ever held
+    whole. Lines are numbered by their place in a range, shifted by the lines of the
+    ranges before. Bytes are kept as they are. A file without bytes has no lines.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "ISO-8859-1")  # one character for each byte
-    parts = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
-    rows = files.filter("length > 0").select(F.col("path").alias("file"), F.posexplode(parts).alias("at", "part"))
-    return rows.select("file", (F.col("at") + 1).alias("line"), F.encode(F.regexp_replace("part", r"\r\z", ""), "ISO-8859-1").alias("raw"))
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    # The text source gives bytes as they are; only the type says that they are UTF-8.
+    rows = text.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw"))
+    # Ids grow along a block, so those below a block's first one are not its own.
+    first = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = durable(first.select("file", "block", (before - F.col("first") + 1).alias("shift")))
+    raw = F.encode(F.regexp_replace(F.decode("raw", "ISO-8859-1"), r"\r\z", ""), "ISO-8859-1")
+    return rows.join(start, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).cast("int").alias("line"), raw.alias("raw"))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -51,9 +61,24 @@ def chain(readers: list[DataFrame]) -> DataFrame:
 
 
 def merge_by_timestamp(readers: list[DataFrame], ts: str = "ts", line: str = "line") -> DataFrame:
-    """All rows ordered by time; rows without a time come first, ties keep the readers' order."""
+    """All rows with their `place` by time; rows without a time come first, ties keep the readers' order."""
     at = F.coalesce(F.col(ts).cast("string").try_cast("double"), F.lit(float("-inf")))
-    return chain(readers).orderBy(at, "reader", line)
+    return placed(chain(readers).withColumn("_time", at), "_time", "reader", line).drop("_time")
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """`rows` with `place`, from 1, in a total order: ranges of the order are sorted apart and shifted by the number of rows before them.
+
+    No task sees more than a range. Rows that tie in the whole order get places in any order.
+    """
+    at = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    # One row for each partition.
+    n = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = n.select("_part", before.alias("_start"))
+    nth = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return at.withColumn("_part", part).join(F.broadcast(start), "_part").withColumn("place", F.col("_start") + nth + 1).drop("_at", "_part", "_start")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
