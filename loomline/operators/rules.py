@@ -129,7 +129,7 @@ def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
     extra = F.transform(unknown, lambda name: _diagnostic(
         F.concat(F.lit("/payload/"), pointer_escape(name)), "warning" if tolerant else "error",
         "reader_tolerant_unknown_payload_field" if tolerant else "additionalProperties", F.concat(F.lit("unknown payload field: "), name)))
-    secrets = F.filter(F.map_keys(redact.counts("raw", redact.PATTERNS)), lambda k: k != "home_path")
+    secrets = F.filter(redact.found("raw", redact.PATTERNS), lambda k: k != "home_path")
     sniffed = F.when(raw.isNotNull(), F.transform(secrets, lambda k: _diagnostic(F.lit("/source/raw"), "warning", "source_raw_unredacted_secret", k)))
     every = F.concat(F.filter(F.array(*found), lambda d: d.isNotNull()), F.coalesce(extra, none), F.coalesce(sniffed, none))
     rows = r.withColumn("raw", F.to_json(F.try_variant_get("value", "$.source.raw", "variant")))
