@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
-from loomline.operators import adapters, graph, hashing, headers, listing, pairing, redact, rules, segments as seg, sequences as seq, tools
+from loomline.operators import adapters, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.sources import jsonl
 
@@ -330,7 +330,16 @@ def redact_counts(spark, sf_dir):
     return redact.count_by_pattern(P.read(spark, sf_dir, "documents"), "text")
 
 
-@query()
+def _samples_sql() -> str:
+    expr, parts = "coalesce(text, '')", []
+    for i, (name, pattern, put) in enumerate(redact.ALL):
+        parts.append(f"SELECT doc_id, {i} AS rank, '{name}' AS pattern, regexp_extract({expr}, '{pattern}') AS m, '{put}' AS after FROM documents")
+        expr = f"regexp_replace({expr}, '{pattern}', '{put}', 'g')"
+    masked = "CASE WHEN length(m) < 9 THEN '<' || length(m) || ' chars>' ELSE left(m, 4) || '…' || right(m, 4) END"
+    return f"SELECT doc_id, CAST(rank AS INTEGER) AS rank, pattern, {masked} AS before, after FROM ({' UNION ALL '.join(parts)}) WHERE m <> '' ORDER BY doc_id, rank LIMIT {redact.SAMPLES}"
+
+
+@query(_samples_sql())
 def redact_samples(spark, sf_dir):
     """The first samples by document, as a report shows them."""
     return redact.samples(P.read(spark, sf_dir, "documents"), "text", "doc_id")
@@ -349,11 +358,11 @@ def truncate_output(spark, sf_dir):
     return P.read(spark, sf_dir, "documents").select("doc_id", S.truncate_bytes("text", 500).alias("text"))
 
 
-@query("""SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""")
+@query("""SELECT event_id, user_id, ts, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id) AS place FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'""")
 def list_sessions(spark, sf_dir):
     e = P.read(spark, sf_dir, "events").withColumn("kind", F.col("event_type"))
     found = listing.bounded(listing.select_sessions(e, kind="click"), "ts", "2024-01-05", "2024-01-20")
-    return listing.latest_first(found, "ts", "event_id").select("event_id", "user_id", "ts")
+    return listing.latest_first(found, "ts", "event_id").select("event_id", "user_id", "ts", "place")
 
 
 @query("""SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS content_hash, o_orderkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)""")
@@ -371,27 +380,24 @@ def store_index(spark, sf_dir):
     return listing.latest_index(o)
 
 
-@query("""WITH a AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS a FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT l_returnflag AS f, l_linenumber AS n, count(*) AS b FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL),
-j AS (SELECT coalesce(a.f, b.f) AS f, coalesce(a.n, b.n) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.f = b.f AND a.n = b.n)
+@query("""WITH a AS (SELECT l_returnflag AS f, CAST(round(l_discount * 100) AS BIGINT) AS n, count(*) AS a FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag AS f, CAST(round(l_tax * 100) AS BIGINT) AS n, count(*) AS b FROM lineitem GROUP BY ALL),
+j AS (SELECT coalesce(a.f, b.f) AS f, coalesce(a.n, b.n) AS n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.f IS NOT DISTINCT FROM b.f AND a.n IS NOT DISTINCT FROM b.n)
 SELECT f, n AS k, verdict, CAST(c AS BIGINT) AS n FROM (SELECT f, n, 'preserved' AS verdict, least(a, b) AS c FROM j UNION ALL SELECT f, n, 'regression', a - least(a, b) FROM j UNION ALL SELECT f, n, 'addition', b - least(a, b) FROM j) WHERE c > 0""")
 def bag_diff(spark, sf_dir):
-    x = P.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("k"), "l_orderkey")
-    return graph.bag_diff(x.filter("l_orderkey % 2 = 0").drop("l_orderkey"), x.filter("l_orderkey % 3 = 0").drop("l_orderkey"), ["f", "k"])
+    """Discounts against taxes in hundredths, by flag, as two bags over all rows."""
+    x = P.read(spark, sf_dir, "lineitem")
+    bag = lambda c: x.select(F.col("l_returnflag").alias("f"), F.round(F.col(c) * 100).cast("long").alias("k"))
+    return graph.bag_diff(bag("l_discount"), bag("l_tax"), ["f", "k"])
 
 
-@query("""WITH u AS (SELECT event_id AS line, CAST(user_id AS VARCHAR) AS ts, 0 AS reader FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, 1 FROM events WHERE event_type = 'view')
+@query("""WITH u AS (SELECT event_id AS line, CASE WHEN event_type <> 'view' THEN CAST(user_id AS VARCHAR) END AS ts, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS reader FROM events)
 SELECT line, ts, CAST(reader AS INTEGER) AS reader, row_number() OVER (ORDER BY coalesce(CAST(ts AS DOUBLE), -1), reader, line) AS place FROM u""")
 def merge_by_timestamp(spark, sf_dir):
+    """One reader for each type of event; the last one has no times."""
     e = P.read(spark, sf_dir, "events")
-    a = e.filter("event_type = 'click'").select(F.col("event_id").alias("line"), F.col("user_id").cast("string").alias("ts"))
-    b = e.filter("event_type = 'view'").select(F.col("event_id").alias("line"), F.lit(None).cast("string").alias("ts"))
-    merged = jsonl.merge_by_timestamp([a, b])
-    # A place in a total order: numbered within ranges of the sorted rows, then shifted by what came before.
-    inner = W.partitionBy("ts").orderBy("reader", "line")
-    n = merged.groupBy("ts").agg(F.count("*").alias("n")).withColumn("at", F.coalesce(F.col("ts").cast("double"), F.lit(-1.0)))
-    start = n.select(F.col("ts").alias("t"), F.coalesce(F.sum("n").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    out = merged.withColumn("nth", F.row_number().over(inner)).join(start, F.col("ts").eqNullSafe(F.col("t")))
-    return out.select("line", "ts", "reader", (F.col("start") + F.col("nth")).alias("place"))
+    ts = F.when(F.col("event_type") != "view", F.col("user_id").cast("string"))
+    reader = lambda kind: e.filter(F.col("event_type") == kind).select(F.col("event_id").alias("line"), ts.alias("ts"))
+    return jsonl.merge_by_timestamp([reader(k) for k in ("click", "error", "purchase", "signup", "view")]).select("line", "ts", "reader", "place")
 
 
 @query(f"""WITH {P.TOOL_STREAM} SELECT kind, count(*) AS n, CAST(sum(CASE WHEN call_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS even, count(DISTINCT user_id) AS users FROM ev GROUP BY kind""")
@@ -461,13 +467,13 @@ def branch_divergence(spark, sf_dir):
     return graph.divergence_roots(e, pairs)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, text, role FROM conversations WHERE text IS NOT NULL)
+@query("""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, text, role FROM conversations)
 SELECT conv_id, turn, CASE k WHEN 0 THEN 'shell_command' WHEN 1 THEN 'file_search' WHEN 2 THEN 'other' WHEN 3 THEN 'file_edit' ELSE 'subagent_invoke' END AS kind,
   CASE k WHEN 2 THEN role WHEN 3 THEN '--- a/f' || chr(10) || '+++ b/f' || chr(10) || '@@' || chr(10) || '-' || chr(10) || '+' || text ELSE text END AS said FROM c""")
 def tool_kinds(spark, sf_dir):
     """Tool calls of one dialect, made from conversations, in the common vocabulary."""
     k = F.col("turn") % 5
-    c = P.read(spark, sf_dir, "conversations").filter("text is not null")
+    c = P.read(spark, sf_dir, "conversations")
     name = F.when(k == 0, "Bash").when(k == 1, "Grep").when(k == 2, F.col("role")).when(k == 3, "Edit").otherwise("Task")
     args = (F.when(k == 0, F.to_json(F.struct(F.col("text").alias("command")))).when(k == 1, F.to_json(F.struct(F.col("text").alias("pattern")))).when(k == 2, "{}")
             .when(k == 3, F.to_json(F.struct(F.lit("f").alias("file_path"), F.col("text").alias("new_string")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt")))))
@@ -500,3 +506,59 @@ def listed_sessions(spark, sf_dir):
     plain = F.to_json(F.struct(F.when(F.col("turn") % 2 == 1, "session").otherwise("user_message").alias("type"), F.col("turn").cast("string").alias("id")))
     c = P.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line"), F.parse_json(F.when(F.col("turn") == 0, listed).otherwise(plain)).alias("value"))
     return rules.manifest_drift(rules.promoted(c)).select("file", "path")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq, strftime(o_orderdate, '%Y-%m-%d') AS ts FROM orders),
+s AS (SELECT *, CASE WHEN o_custkey % 10 = 0 THEN 'source:' || o_orderkey ELSE 'uid:c' || o_custkey END AS session, CASE WHEN o_custkey % 10 <> 0 THEN 'c' || o_custkey END AS uid FROM o),
+m AS (SELECT session, max(uid) AS uid, max(o_custkey) AS cust, count(*) AS n, arg_min(ts, seq) AS ts, max(seq) AS last FROM s GROUP BY session),
+e AS (SELECT session, seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, 'p' || l_partkey % 40 AS id, l_linenumber = 3 AS killed FROM lineitem JOIN s ON l_orderkey = o_orderkey),
+asked AS (SELECT e.*, n FROM e JOIN m USING (session) WHERE n = 1 OR NOT killed OR seq = last),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, id ORDER BY seq, k) AS nth FROM asked) WHERE n = 1 OR nth = 1),
+a AS (SELECT session, count(*) AS asked FROM asked GROUP BY session),
+b AS (SELECT session, count(*) AS events, string_agg(CASE WHEN killed THEN '{"id":"' || id || '","payload":{"reason":"process_terminated"},"type":"session_terminated"}' ELSE '{"id":"' || id || '","type":"user_message"}' END || chr(10), '' ORDER BY seq, k) AS body FROM kept GROUP BY session)
+SELECT m.session, uid AS session_uid, n AS segments, coalesce(events, 0) AS events, coalesce(asked - events, 0) AS events_deduped,
+  CASE WHEN n > 1 THEN sha256('{"content_hash":"<pending>","id":"c' || cust || '","schema_version":"0.1.0","session_uid":"c' || cust || '","ts":"' || ts || '","type":"session"}' || chr(10) || coalesce(body, '')) END AS content_hash
+FROM m LEFT JOIN a USING (session) LEFT JOIN b USING (session)""")
+def reconcile_segments(spark, sf_dir):
+    """Orders as segments of a customer's session, every tenth customer without a session of its own; lineitems are the entries."""
+    out = reconcile.reconcile(P.segment_lines(spark, sf_dir)).groups
+    return out.select("session", "session_uid", F.size("segments").cast("long").alias("segments"), "events", "events_deduped", "content_hash")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS file, '{"content_hash":"<pending>","id":"c' || o_custkey || '","schema_version":"0.1.0","segment":{"seq":' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || '},' ||
+    CASE WHEN o_custkey % 10 <> 0 THEN '"session_uid":"c' || o_custkey || '",' ELSE '' END || '"ts":"' || strftime(o_orderdate, '%Y-%m-%d') || '","type":"session"}' AS head FROM orders),
+b AS (SELECT l_orderkey AS file, string_agg(CASE WHEN l_linenumber = 3 THEN '{"id":"p' || l_partkey % 40 || '","payload":{"reason":"process_terminated"},"type":"session_terminated"}' ELSE '{"id":"p' || l_partkey % 40 || '","type":"user_message"}' END || chr(10), '' ORDER BY l_linenumber, l_partkey) AS body FROM lineitem GROUP BY ALL)
+SELECT CAST(file AS VARCHAR) AS file, sha256(head || chr(10) || coalesce(body, '')) AS content_hash FROM o LEFT JOIN b USING (file)""")
+def stamped_sessions(spark, sf_dir):
+    """Hashes that stamping puts into the headers of orders as session files."""
+    out = reconcile.stamp(P.segment_lines(spark, sf_dir))
+    return out.filter("line = 1").select("file", F.get_json_object("raw", "$.content_hash").alias("content_hash"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 4 AS k FROM conversations), l AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY conv_id)
+SELECT conv_id, turn AS record_idx, CAST(0 AS INTEGER) AS ordinal, 'user_message' AS type, CASE WHEN turn > 0 THEN turn - 1 ELSE -1 END AS parent_record, CASE WHEN turn > 0 THEN 0 ELSE -1 END AS parent_ordinal, NULL AS tool_kind, CAST(-1 AS BIGINT) AS total FROM c WHERE k = 0
+UNION ALL SELECT conv_id, turn, 0, 'agent_message', turn - 1, 0, NULL, CAST(sum(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) FROM c WHERE k = 1
+UNION ALL SELECT conv_id, turn, 1, 'tool_call', turn, 0, 'shell_command', -1 FROM c WHERE k = 1
+UNION ALL SELECT conv_id, turn, -1, 'model_change', turn - 1, 0, NULL, -1 FROM c WHERE k = 1 AND turn >= 5 AND (turn // 8) % 2 <> ((turn - 4) // 8) % 2
+UNION ALL SELECT conv_id, turn, 0, 'tool_result', turn - 2, 1, 'shell_command', -1 FROM c WHERE k = 3
+UNION ALL SELECT conv_id, CASE WHEN last % 4 = 1 THEN last + 1 ELSE last END, 0, 'session_terminated', CASE WHEN last % 4 = 1 THEN last ELSE last - 1 END, 1, NULL, -1 FROM l WHERE last % 4 IN (1, 2)""")
+def claude_sessions(spark, sf_dir):
+    """Conversations as transcripts of one dialect, both passes: a text, a call with usage, a hidden record, a result, and again."""
+    k, turn = F.col("turn") % 4, F.col("turn")
+    name = lambda letter, n: F.concat(F.lit(letter), n)
+    block = lambda **fields: F.to_json(F.struct(*[c.alias(x) for x, c in fields.items()]))
+    said = block(type=F.lit("text"), text=F.coalesce("text", F.lit("")))
+    call = block(type=F.lit("tool_use"), id=name("c", turn), name=F.lit("Bash"), input=F.struct(F.lit("ls").alias("command")))
+    result = block(type=F.lit("tool_result"), tool_use_id=name("c", turn - 2), content=F.lit("ok"))
+    message = (F.when(k == 1, F.concat(F.lit('{"model":"m'), F.expr("turn div 8 % 2"), F.lit('","usage":{"input_tokens":'), turn, F.lit(',"output_tokens":1},"content":['), said, F.lit(","), call, F.lit("]}")))
+               .when(k == 3, F.concat(F.lit('{"content":['), result, F.lit("]}"))).otherwise(block(content=F.coalesce("text", F.lit("")))))
+    raw = F.concat(F.lit('{"type":"'), F.when(k == 1, "assistant").otherwise("user"), F.lit('","timestamp":"t","uuid":"u'), turn, F.lit('",'),
+                   F.when(turn > 0, F.concat(F.lit('"parentUuid":"u'), turn - 1, F.lit('",'))).otherwise(""), F.when(k == 2, '"isMeta":true,').otherwise(""), F.lit('"message":'), message, F.lit("}"))
+    c = P.read(spark, sf_dir, "conversations")
+    records = c.select(F.col("conv_id").cast("string").alias("session_uid"), turn.alias("record_idx"), F.parse_json(raw).alias("v"))
+    out = second_pass.claude_session(records, _NS)
+    at = out.select(F.col("id").alias("parent_id"), F.col("record_idx").alias("parent_record"), F.col("ordinal").alias("parent_ordinal"))
+    return out.join(at, "parent_id", "left").select(
+        F.col("session_uid").cast(c.schema["conv_id"].dataType).alias("conv_id"), "record_idx", "ordinal", "type",
+        F.coalesce("parent_record", F.lit(-1)).alias("parent_record"), F.coalesce("parent_ordinal", F.lit(-1)).alias("parent_ordinal"), "tool_kind",
+        F.coalesce(F.get_json_object("payload", "$.usage.input_tokens_cumulative").cast("long"), F.lit(-1)).alias("total"))
