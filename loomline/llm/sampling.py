@@ -332,12 +332,13 @@ def finer(rows: DataFrame, unit, level: int) -> DataFrame:
 def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column, stay: Column) -> tuple[list[DataFrame], list[DataFrame]]:
     """Deal out contexts whose gram is too frequent for one group by longer and longer prefixes.
 
-    Equal contexts are told by their content; `own` aggregates them to `best`, and `n`
-    counts them. Of several equal ones those with `gone` are repeats as they are, and
-    those with `stay` go on in the name of all. What goes on and has a gram that now fits
-    in a group comes back to be compared there, the rest gets longer grams. A gram of a
-    whole window is its context, so what is left of it then has no equal.
+    Equal contexts are told by the SHA-256 of their content; `own` aggregates them to
+    `best`, and `n` counts them. Of several equal ones those with `gone` are repeats as
+    they are, and those with `stay` go on in the name of all. What goes on and has a gram
+    that now fits in a group comes back to be compared there, the rest gets longer grams.
+    A gram of a whole window is its context, so what is left of it then has no equal.
 
+    All this is decided on places; the contexts themselves are moved once for each level.
     Returns spans (did, h, lo, hi) and contexts for groups, both as parts.
     """
     spans, groups = [], []
@@ -345,19 +346,20 @@ def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column,
         rows = durable(finer(rows, unit, level) if level else rows)
         if rows.isEmpty():
             break
+        places = durable(rows.select("did", "h", "start", "gram", F.unhex(F.sha2("ctx", 256)).alias("sha"), unit.size(F.col("ctx")).cast("long").alias("size")))
         # Both sides of the joins are plain shuffles, so a context or gram with very many rows is split at run time.
-        best = rows.groupBy("gram", "ctx").agg(own.alias("best"), F.count("*").alias("n")).filter("n > 1")
-        best = durable(best.select(F.col("gram").alias("b_gram"), F.col("ctx").alias("b_ctx"), "best", "n"))
-        told = rows.join(best, (F.col("gram") == F.col("b_gram")) & (F.col("ctx") == F.col("b_ctx")), "left")
-        goes_on = F.col("n").isNull() | stay
-        told = durable(told.select("did", "h", "start", "gram", (F.col("n").isNotNull() & gone).alias("gone"), goes_on.alias("stay"),
-                                   unit.size(F.col("ctx")).cast("long").alias("size"), F.when(goes_on, F.col("ctx")).alias("ctx")))
+        best = places.groupBy("gram", "sha").agg(own.alias("best"), F.count("*").alias("n")).filter("n > 1")
+        best = durable(best.select(F.col("gram").alias("b_gram"), F.col("sha").alias("b_sha"), "best", "n"))
+        told = places.join(best, (F.col("gram") == F.col("b_gram")) & (F.col("sha") == F.col("b_sha")), "left")
+        told = durable(told.select("did", "h", "start", "gram", "size", (F.col("n").isNotNull() & gone).alias("gone"), (F.col("n").isNull() | stay).alias("stay")))
         spans.append(told.filter("gone").select("did", "h", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
         if level + 1 == len(unit.grams):
             break
-        rest = told.filter("stay").select("did", "h", "start", "gram", "ctx")
+        rest = told.filter("stay").select("did", "h", "start", "gram")
         many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > group_rows).alias("heavy")))
-        dealt = rest.join(many, F.col("gram") == F.col("m_gram")).drop("m_gram")
+        # Rows of one document may be equal in all three; the gram comes along, and each of them once.
+        chosen_rows = rest.join(many, F.col("gram") == F.col("m_gram")).select("did", "h", "start", "heavy").distinct()
+        dealt = rows.join(chosen_rows, ["did", "h", "start"]).select("did", "h", "start", "gram", "ctx", "heavy")
         groups.append(dealt.filter("not heavy").drop("heavy"))
         rows = dealt.filter("heavy").drop("heavy")
     return spans, groups
