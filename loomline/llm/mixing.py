@@ -140,7 +140,7 @@ def _draw(docs: DataFrame, source_col: str, text_col: str, id_col: str, tokens_c
     cut = blocks.join(runs, on).withColumn("start", F.col("start") + within)
     cut = durable(cut.select(
         F.col("source").alias("c_source"), F.col("block").alias("c_block"), "at", "whole",
-        (F.col("start") + F.col("t") <= F.col("rest")).alias("in_rest"),
+        ((F.col("rest") > 0) & (F.col("start") + F.col("t") <= F.col("rest"))).alias("in_rest"),
         F.when((F.col("start") < F.col("rest")) & (F.col("start") + F.col("t") > F.col("rest")), F.col("rest") - F.col("start")).alias("left")))
     # The documents of the one block of a source where its budget ends.
     edge = light.join(keys, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", block)
