@@ -21,4 +21,5 @@ SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op7_prefix_trees": prefix_trees.OP7_SQL,
     "op9_block_naming": exact_dedup.OP9_SQL,
+    "op10_suffix_levels": suffix_levels.OP10_SQL,
 }

@@ -189,3 +189,21 @@ def op10_suffix_levels(spark, sf_dir):
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")).withColumn(
         "removed_share", F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).otherwise(0.0))
+
+
+# Strings are taken from blocks of 1,000 bytes in hexadecimal, as positions in long strings are slow to find.
+OP10_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b * 1000 AS off, substr(h, b * 2000 + 1, 2798) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 999) // 1000)) AS b FROM t)),
+starts AS (SELECT doc_id, off + i AS i, md5(substr(part, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, off, part, unnest(range(0, least(1000, length(part) // 2 - 399))) AS i FROM blocks)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS k FROM starts) WHERE k > 1),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS k, max(hi) AS last, sum(hi - lo) AS n, count(*) AS spans FROM pieces JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+  CASE WHEN length(h) > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / (length(h) // 2) ELSE 0.0 END AS removed_share
+FROM t LEFT JOIN kept USING (doc_id)
+"""
