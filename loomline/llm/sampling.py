@@ -27,6 +27,8 @@ AT_ONCE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LAST_ID = (1 << 63) - 1
+#: A prefix may fill one in so many parts of a group before it is made longer, so that groups packed by a hash are even.
+PARTS = 10
 
 
 #: Bytes of text whose words are hashed at once.
@@ -329,6 +331,11 @@ def finer(rows: DataFrame, unit, level: int) -> DataFrame:
     return mapped(rows.select("did", "h", "start", "ctx"), run, CONTEXTS)
 
 
+def most_of_one(group_rows: int) -> int:
+    """Most rows of one gram in a group."""
+    return max(1, group_rows // PARTS)
+
+
 def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column, stay: Column) -> tuple[list[DataFrame], list[DataFrame]]:
     """Deal out contexts whose gram is too frequent for one group by longer and longer prefixes.
 
@@ -356,7 +363,7 @@ def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column,
         if level + 1 == len(unit.grams):
             break
         rest = told.filter("stay").select("did", "h", "start", "gram")
-        many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > group_rows).alias("heavy")))
+        many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > most_of_one(group_rows)).alias("heavy")))
         # Rows of one document may be equal in all three; the gram comes along, and each of them once.
         chosen_rows = rest.join(many, F.col("gram") == F.col("m_gram")).select("did", "h", "start", "heavy").distinct()
         dealt = rows.join(chosen_rows, ["did", "h", "start"]).select("did", "h", "start", "gram", "ctx", "heavy")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,7 +107,7 @@ def plain_exponent(tokens, entropy, repetition):
             lo, hi = (mid, hi) if holds(mid) else (lo, mid)
         return hi
 
-    a = max(last(lambda a: state(a)[0] >= entropy), last(lambda a: state(a)[1] > repetition))
+    a = round(max(last(lambda a: state(a)[0] >= entropy), last(lambda a: state(a)[1] > repetition)), 6)
     return a, state(a)[2]
 
 
@@ -170,3 +171,136 @@ def test_mixing_draws_document_by_document(spark):
         places = plan.select("source", "whole", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
         at = {(r["source"], r["whole"], r["block"]): r["at"] for r in places.withColumn("at", F.xxhash64(F.lit(17), "source", "whole", "block")).collect()}
         assert got == plain_copies(rows, alpha, passes, 16, lambda s, w, b: at[s, w, b])
+
+
+# The five stages in plain Python.
+
+
+def plain_measures(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = Counter(tuple(w[k:k + 8]) for k in range(len(w) - 7))
+    again = {j for k in range(len(w) - 7) if seen[tuple(w[k:k + 8])] > 1 for j in range(k, k + 8)}
+    chars = sum(map(len, w))
+    mean = 100 * chars // max(1, len(w))
+    step = 10 ** max(0, len(str(mean)) - 3)
+    failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
+    bins = {"sym_pm": 1000 * len(re.findall(r"[#*$%&|<>]", text)) // max(1, chars), "dup_pm": 1000 * (len(lines) - len(set(lines))) // max(1, len(lines)),
+            "adj_pm": 1000 * sum(a == b for a, b in zip(w, w[1:])) // max(1, len(w)), "len_pc": mean // step * step}
+    return failed, bins
+
+
+def plain_quality(docs):
+    judged = {d["doc_id"]: plain_measures(d["text"] or "") for d in docs}
+
+    def ends(values, p):
+        values, n = sorted(values), len(values)
+        half = quality_rules.Z * math.sqrt(n * (p * (1 - p)))
+        at = lambda rank: values[math.ceil(rank) - 1]
+        return at(n * p), at(n * p - half) if n * p - half > 0 else None, at(n * p + half) if n * p + half <= n else None
+
+    def moved(wide, low, high):
+        x = wide if low is None else max(wide, low)
+        return x if high is None else min(x, high)
+
+    def kept(d):
+        failed, own = judged[d["doc_id"]]
+        for k, (spreads, least, upper, lower) in quality_rules.RULES.items():
+            q = {}
+            for p in (0.25, 0.5, 0.75):
+                of = lambda same: [judged[e["doc_id"]][1][k] for e in docs if same(e) and not judged[e["doc_id"]][0]]
+                every, lang, group = of(lambda e: True), of(lambda e: e["lang"] == d["lang"]), of(lambda e: (e["lang"], e["source"]) == (d["lang"], d["source"]))
+                if failed or not group:
+                    return False
+                q[p] = moved(moved(ends(every, p)[0], *ends(lang, p)[1:]), *ends(group, p)[1:])
+            if upper and own[k] > q[0.5] + spreads * (q[0.5] - q[0.25]) + least or lower and own[k] < q[0.5] - spreads * (q[0.75] - q[0.5]) - least:
+                return False
+        return True
+
+    return [d for d in docs if kept(d)]
+
+
+def plain_exact(docs):
+    groups = defaultdict(list)
+    for d in docs:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", d["text"] or "")].append(d)
+    return [min(g, key=lambda d: (-len(d["text"] or ""), d["doc_id"])) for g in groups.values()]
+
+
+def plain_near(docs):
+    sets = []
+    for d in docs:
+        w = d["text"].lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 10 >= len(a | sets[j]) * 8:
+                root[find(i)] = find(j)
+    best = {}
+    for i, d in enumerate(docs):
+        r = find(i)
+        if r not in best or d["doc_id"] < best[r]["doc_id"]:
+            best[r] = d
+    return list(best.values())
+
+
+def test_pipeline_row_by_row(spark, library, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocab = {la: ["".join(rng.choice(la * 2 + "aeiounrst") for _ in range(rng.randint(2, 8))) for _ in range(400)] for la in ("en", "fr")}
+    texts = []
+    for i in range(220):
+        la, x = rng.choice(["en", "en", "fr"]), rng.random()
+        w = [rng.choice(vocab[la]) for _ in range(rng.randint(25, 120))]
+        source = rng.choice(["web", "web", "web", "news", "code"])
+        if x < 0.1 and texts:
+            t, la = texts[rng.randrange(len(texts))][:2]
+            t = (t or "").replace(" ", "  ", 1)
+        elif x < 0.25 and texts:
+            t, la = texts[rng.randrange(len(texts))][:2]
+            cut = (t or "a").split(" ")
+            cut[rng.randrange(len(cut))] = "changed"
+            t = " ".join(cut)
+        elif x < 0.32:
+            t = rng.choice([None, "", "too short", "a b c d " * 30, "$$$ ### " * 40, " ".join("x" * rng.randint(60, 90) for _ in range(30))])
+        else:
+            t = " ".join(w[:20]) + "\n" + " ".join(w[20:]) + rng.choice([".", "!", " <|endoftext|>"])
+        texts.append((t, la, source))
+    docs = [{"doc_id": i, "text": t, "lang": la, "source": s, "n_chars": len(t or "")} for i, (t, la, s) in enumerate(texts)]
+    rng.shuffle(docs)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([tuple(d[k] for k in ("doc_id", "text", "lang", "source", "n_chars")) for d in docs], kinds).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = plain_quality(docs)
+    exact = plain_exact(kept)
+    near = plain_near(exact)
+    assert len(docs) > len(kept) > len(exact) > len(near) > 50
+    light = spark.createDataFrame([(d["doc_id"], d["text"], d["source"]) for d in near], "doc_id long, text string, source string").select(
+        "doc_id", "source", mixing.word_tokens("text").alias("t"), F.xxhash64(F.lit(17), "doc_id", F.coalesce("text", F.lit(""))).alias("spot"))
+    rows, tokens = [tuple(r) for r in light.collect()], Counter()
+    for _, s, t, _ in rows:
+        tokens[s] += t
+    alpha, budget = plain_exponent(tokens, mixing.ENTROPY, mixing.REPETITION)
+    places = spark.createDataFrame([(s, w, b) for s in tokens for w in range(6) for b in range(3)], "source string, whole long, block long").withColumn("at", F.xxhash64(F.lit(17), "source", "whole", "block"))
+    at = {(r["source"], r["whole"], r["block"]): r["at"] for r in places.collect()}
+    copies = plain_copies(rows, alpha, budget, mixing.BLOCK_DOCS, lambda s, w, b: at[s, w, b])
+    want = Counter()
+    for d in near:
+        ids = library.encode(d["text"], add_special_tokens=False).ids
+        want[d["doc_id"], d["lang"], d["source"], len(ids), tuple(ids), library.decode(ids, skip_special_tokens=False)] += copies[d["doc_id"]]
+    got = Counter((r["doc_id"], r["lang"], r["source"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

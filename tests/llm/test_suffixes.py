@@ -60,7 +60,7 @@ def test_prefixes_grow_until_a_group_fits(spark, monkeypatch):
     real, trees = sampling.finer, prefix_trees.grouped_by_gram
     monkeypatch.setattr(sampling, "finer", lambda rows, unit, level: levels.append(level) or real(rows, unit, level))
     monkeypatch.setattr(prefix_trees, "grouped_by_gram", lambda rows, group_rows, total: sizes.append(rows.groupBy("gram").count().agg(F.max("count")).first()[0] or 0) or trees(rows, group_rows, total))
-    out = {r["did"]: [tuple(s) for s in r["spans"]] for r in prefix_trees.dedup(df, unit=unit, group_rows=10).collect()}
+    out = {r["did"]: [tuple(s) for s in r["spans"]] for r in prefix_trees.dedup(df, unit=unit, group_rows=100).collect()}
     assert levels and max(sizes) <= 10 and len(sizes) > 1
     assert all(out[i] == ([(5, 10)] if i % 2 == 0 and i else []) for i, _ in rows)
 
