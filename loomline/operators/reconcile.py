@@ -114,6 +114,27 @@ def stamp(lines: DataFrame) -> DataFrame:
     return out.select("file", "line", text.alias("raw"))
 
 
+def claims(lines: DataFrame) -> DataFrame:
+    """(file, group_idx, session_uid, claim, actual, verdict) of every session header, and of an envelope as group 0.
+
+    verdict is hashing.verdict of the hash that a header carries against the one that its
+    session, or an envelope's file, has.
+    """
+    pin = _text_udf(lines, _pinned_texts)
+    rows = grouped_lines(lines.select("file", "line", "raw")).withColumn("is_header", F.coalesce(F.col("type") == "session", F.lit(False)))
+    text = F.coalesce(pin(_only(F.col("is_header") | F.col("is_envelope"), F.col("raw"))), F.col("raw"))
+    canon = durable(hashing.with_canonical(rows.withColumn("text", text), "text").select("file", "line", "raw", "value", "group_idx", "is_header", "is_envelope", "canon"))
+    sessions = hashing.content_hash(canon.filter("group_idx > 0 and canon is not null"), ["file", "group_idx"])
+    # An envelope covers the headers as they stand.
+    whole = canon.join(canon.filter("is_envelope").select("file"), "file", "left_semi").select("file", "line", F.when(F.col("is_header"), F.col("raw")).alias("own"), F.col("canon").alias("before"))
+    files = hashing.content_hash(hashing.with_canonical(whole, "own").withColumn("canon", F.coalesce("canon", "before")), ["file"]).withColumn("group_idx", F.lit(0).cast("long"))
+    get = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", F.try_variant_get("value", path, "string"))
+    heads = canon.filter("is_header or is_envelope").select("file", F.when(F.col("is_envelope"), 0).otherwise(F.col("group_idx")).cast("long").alias("group_idx"), get("$.session_uid").alias("session_uid"), get("$.content_hash").alias("claim"))
+    both = sessions.select("file", F.col("group_idx").cast("long").alias("group_idx"), "content_hash").unionByName(files.select("file", "group_idx", "content_hash"))
+    out = heads.join(both, ["file", "group_idx"]).withColumnRenamed("content_hash", "actual")
+    return out.withColumn("verdict", hashing.verdict(F.col("claim"), F.col("actual")))
+
+
 def _headers(rows: DataFrame) -> DataFrame:
     """(source, session_uid, own_seq, seq, prev_content_hash, has_prev, content_hash, raw, and the stable fields) of each source."""
     get = lambda path, kind="string": F.try_variant_get("value", path, kind)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators import hashing, reconcile, rules
 from loomline.operators.listing import by_prefix, latest_index
 from loomline.session import durable
+from loomline.sources import jsonl
+
+OBJECT_LINES = "content_hash string, line int, text string, shard string"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -53,3 +57,75 @@ def rebuilt_index(spark: SparkSession, root: str, verify) -> DataFrame:
 def export(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     """The one object whose hash starts with a prefix; only its shard is read."""
     return by_prefix(objects(spark, root).filter(F.col("shard") == prefix[:2]), "content_hash", prefix).select("content_hash", "body")
+
+
+def object_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(content_hash, line, text, shard): the canonical lines of registered files, one copy for each hash that names them."""
+    if not _exists(spark, f"{root}/lines"):
+        return spark.createDataFrame([], OBJECT_LINES)
+    return spark.read.schema(OBJECT_LINES).parquet(f"{root}/lines")
+
+
+def register_files(rows: DataFrame, root: str, registered_at) -> DataFrame:
+    """Store session files, given as rows(file, line, raw bytes) of `jsonl.lines`; (file, content_hash, status) of each.
+
+    A file with an error of validation is `invalid`. Of the others every session whose
+    header carries the hash it has, and an envelope that carries the file's, is stored
+    under that hash and gets an index row; without any the file is `skipped_pending`. The
+    file's own hash is the envelope's, else its first stored session's; `already_present`
+    if the store had it. Files with the same hash are stored once.
+    """
+    spark = rows.sparkSession
+    parsed = durable(jsonl.strict(rows))
+    bad = rules.validate(parsed).filter("severity = 'error'").select("file").distinct()
+    files = parsed.select("file").distinct()
+    good = durable(parsed.join(bad, "file", "left_anti").select("file", "line", "raw"))
+    found = durable(reconcile.claims(good).filter("verdict = 'match'").select("file", "group_idx", "session_uid", F.col("claim").alias("content_hash")))
+    there = durable(object_lines(spark, root).select("content_hash").distinct())
+    # One file speaks for each new hash.
+    speaks = found.groupBy("content_hash").agg(F.min("file").alias("file")).join(there, "content_hash", "left_anti")
+    texts = hashing.with_canonical(good, "raw").select("file", F.col("line").cast("int").alias("line"), F.col("canon").alias("text"))
+    own = F.min_by("content_hash", "group_idx")
+    primary = durable(found.groupBy("file").agg(own.alias("content_hash")).join(there.withColumn("known", F.lit(True)), "content_hash", "left"))
+    new = speaks.join(texts, "file").select("content_hash", "line", "text", F.left("content_hash", F.lit(2)).alias("shard"))
+    new.write.mode("append").partitionBy("shard").parquet(f"{root}/lines")
+    at = registered_at if not isinstance(registered_at, str) else F.lit(registered_at)
+    found.select("content_hash", at.alias("registered_at"), F.col("file").alias("source_path"), F.when(F.col("group_idx") > 0, F.col("session_uid")).alias("session_uid"),
+                 F.when(F.col("group_idx") > 0, "session").otherwise("trail").alias("kind")).write.mode("append").parquet(f"{root}/index")
+    status = F.when(F.col("bad"), "invalid").when(F.col("content_hash").isNull(), "skipped_pending").when(F.col("known"), "already_present").otherwise("finalized")
+    return files.join(bad.withColumn("bad", F.lit(True)), "file", "left").join(primary, "file", "left").select("file", "content_hash", status.alias("status"))
+
+
+def by_session_uid(spark: SparkSession, root: str, uid: str) -> DataFrame:
+    """Index rows of a session's stored segments."""
+    return index(spark, root).filter((F.col("kind") == "session") & (F.col("session_uid") == uid))
+
+
+def export_lines(spark: SparkSession, root: str, prefix: str) -> DataFrame:
+    """(content_hash, line, text, intact) of the object whose hash starts with a prefix.
+
+    Of a file with several sessions only the one with this hash, without envelope and
+    siblings; `intact` says whether its lines still have the hash, null for whole files.
+    """
+    rows = by_prefix(object_lines(spark, root).filter(F.col("shard") == prefix[:2]), "content_hash", prefix).drop("shard")
+    lines = durable(reconcile.grouped_lines(rows.select(F.col("content_hash").alias("file"), "line", F.col("text").alias("raw"))))
+    named = F.try_variant_get("value", "$.content_hash", "string") == F.col("file")
+    several = lines.groupBy("file").agg(F.max("group_idx").alias("n"), F.min(F.when((F.col("type") == "session") & named, F.col("group_idx"))).alias("wanted"))
+    kept = durable(lines.join(several, "file").filter("n < 2 or wanted is null or group_idx = wanted").withColumn("cut", F.expr("n > 1 and wanted is not null")).select("file", "line", "raw", "cut"))
+    checked = reconcile.claims(kept.filter("cut")).filter("group_idx > 0").select("file", (F.col("verdict") == "match").alias("intact"))
+    return kept.join(checked, "file", "left").select(F.col("file").alias("content_hash"), "line", F.col("raw").alias("text"), "intact")
+
+
+def reconcile_incoming(lines: DataFrame, root: str) -> reconcile.Reconciled:
+    """New session files(file, line, raw) with the stored segments of the sessions they name, as one.
+
+    Stored segments go by the first twelve digits of their hash. Sessions that the store
+    does not know come back as they are.
+    """
+    spark = lines.sparkSession
+    rows = reconcile.grouped_lines(lines.select("file", "line", "raw"))
+    uid = F.try_variant_get("value", "$.session_uid", "string")
+    asked = rows.filter(F.col("type") == "session").select(uid.alias("session_uid")).filter("session_uid is not null").distinct()
+    known = index(spark, root).filter("kind = 'session'").join(asked, "session_uid", "left_semi").select("content_hash")
+    stored = durable(object_lines(spark, root).join(known, "content_hash", "left_semi").select(F.left("content_hash", F.lit(12)).alias("file"), "line", F.col("text").alias("raw")))
+    return reconcile.reconcile(lines.select("file", F.col("line").cast("int").alias("line"), "raw").unionByName(stored))

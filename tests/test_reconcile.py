@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import hashing, reconcile, rules
-from loomline.sources import jsonl
+from loomline.sources import jsonl, store
 
 
 def header(uid=None, seq=None, **more):
@@ -104,3 +104,27 @@ def test_places(spark, n):
     df = spark.range(n).select((F.col("id") * 7919 % 101).alias("k"), "id")
     got = [(r["place"], r["k"], r["id"]) for r in jsonl.placed(df, F.col("k").desc(), "id").orderBy("place").collect()]
     assert got == [(i + 1, k, x) for i, (k, x) in enumerate(sorted(((x * 7919 % 101, x) for x in range(n)), key=lambda t: (-t[0], t[1])))]
+
+
+def test_register_export_and_incoming(spark, tmp_path):
+    one = [header("u", 1), entry(1), entry(2)]
+    two = [{"type": "trail", "schema_version": "0.1.0", "id": "01ARZ3NDEKTSV4RRFFQ69G0001", "ts": "2024-01-01T00:00:00.000Z", "producer": "p"}, header("v"), entry(3), header("w", id="01ARZ3NDEKTSV4RRFFQ69G0007"), entry(4)]
+    stamped = {}
+    for r in reconcile.stamp(frame(spark, {"one": one, "two": two})).orderBy("file", "line").collect():
+        stamped.setdefault(r["file"], []).append(json.loads(r["raw"]))
+    files = {**stamped, "pending": [header("x"), entry(1)], "bad": [header("y"), {"type": "user_message"}]}
+    rows = frame(spark, files).withColumn("raw", F.encode("raw", "UTF-8"))
+    root = str(tmp_path / "store")
+    got = {r["file"]: (r["status"], r["content_hash"]) for r in store.register_files(rows, root, "2024-05-05").collect()}
+    assert got["one"] == ("finalized", stamped["one"][0]["content_hash"]) and got["pending"] == ("skipped_pending", None) and got["bad"] == ("invalid", None)
+    assert got["two"] == ("finalized", stamped["two"][0]["content_hash"])
+    again = {r["file"]: r["status"] for r in store.register_files(rows.filter("file in ('one', 'two')"), root, "2024-05-06").collect()}
+    assert again == {"one": "already_present", "two": "already_present"}
+    cut = store.export_lines(spark, root, stamped["two"][3]["content_hash"][:10]).orderBy("line").collect()
+    assert [json.loads(r["text"]) for r in cut] == stamped["two"][3:] and all(r["intact"] for r in cut)
+    whole = store.export_lines(spark, root, stamped["one"][0]["content_hash"]).orderBy("line").collect()
+    assert [json.loads(r["text"]) for r in whole] == stamped["one"] and whole[0]["intact"] is None
+    assert store.by_session_uid(spark, root, "u").count() == 1
+    more = store.reconcile_incoming(frame(spark, {"new": [header("u", 2), entry(2), entry(5)], "other": [header("q"), entry(1)]}), root)
+    groups = {r["session"]: (r["events"], r["events_deduped"], len(r["segments"])) for r in more.groups.collect()}
+    assert groups == {"uid:u": (3, 1, 2), "uid:q": (1, 0, 1)}
