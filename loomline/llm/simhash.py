@@ -17,7 +17,9 @@ within a group are formed.
 
 Most fingerprints have no neighbour. They are found beforehand with the same idea on
 halves: within three bits one half differs by one bit at most, so each half emits
-itself, and, if its own parity is odd, its 32 one-bit variants.
+itself, and, if its own parity is odd, its 32 one-bit variants. What is left is asked
+again with a byte of the other half in each key, so that chance meetings in 32 bits,
+which grow with the number of fingerprints, don't bring full balls with them.
 """
 
 from __future__ import annotations
@@ -89,20 +91,43 @@ def _odd(c) -> F.Column:
     return F.bit_count(c) % 2 == 1
 
 
-def _maybe_near(fps: DataFrame) -> DataFrame:
-    """The distinct fingerprints `fp` that have another with a half within one bit."""
-    halves = F.array(F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")),
-                     F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")))
+def _half_keys(fine: bool) -> F.Column:
+    """Keys of which two fingerprints within RADIUS bits share one.
+
+    One half differs by one bit at most: each half emits itself and, if its parity is odd,
+    its one-bit variants. Fine keys carry one of the four bytes of the other half besides,
+    of which three differing bits leave one as it is.
+    """
+    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
     near = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    keys = fps.select("fp", F.explode(halves).alias("h")).select("fp", "h.side", F.explode(
-        F.when(_odd(F.col("h.half")), F.transform(near, lambda m: F.col("h.half").bitwiseXOR(m))).otherwise(F.array("h.half"))).alias("key"))
-    shared = keys.groupBy("side", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("side", "key")
-    return keys.join(shared, ["side", "key"]).select("fp").distinct()
+    out = []
+    for side, half, other in ((0, low, high), (1, high, low)):
+        own = _variants(half, near)
+        for j in range(4) if fine else (0,):
+            tag = F.shiftleft(F.shiftrightunsigned(other, 8 * j).bitwiseAND(0xFF), 35) if fine else F.lit(0).cast("long")
+            tag = tag.bitwiseOR(F.lit((4 * side + j) << 32).cast("long"))
+            out.append(_tagged(own, tag))
+    return F.concat(*out)
+
+
+def _variants(half: F.Column, near: F.Column) -> F.Column:
+    return F.when(_odd(half), F.transform(near, lambda m: half.bitwiseXOR(m))).otherwise(F.array(half))
+
+
+def _tagged(keys: F.Column, tag: F.Column) -> F.Column:
+    return F.transform(keys, lambda k: k.bitwiseOR(tag))
+
+
+def _sharing(fps: DataFrame, keys: F.Column) -> DataFrame:
+    """The distinct fingerprints `fp` that share a key with another."""
+    each = fps.select("fp", F.explode(keys).alias("key"))
+    shared = each.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("key")
+    return each.join(shared, "key").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): stars that connect all fingerprints `fp` within three bits; fps: distinct."""
-    near = durable(_maybe_near(fps))
+    near = durable(_sharing(durable(_sharing(fps, _half_keys(False))), _half_keys(True)))
     two = F.when(_odd(F.col("fp")), F.concat(_flips(ONE), _flips(TWO))).otherwise(F.concat(F.array("fp"), _flips(ONE)))
     met = near.select("fp", F.explode(two).alias("v"))
     at = W.partitionBy("v")
