@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.functions.scalars import mask
+from loomline.functions.scalars import NOTICE, mask
 from loomline.session import ship
 
 # Ids and placeholders of the patterns, specific ones before general ones.
@@ -40,6 +40,8 @@ PERSONAL = (
 )
 ALL = PATTERNS + PERSONAL
 SAMPLES = 20
+#: Bytes of a tool's output that stay.
+OUTPUT_BYTES = 10_240
 USER_SECRET = "[USER_SECRET]"
 
 
@@ -138,20 +140,30 @@ def _scrub(value, steps, counts: dict[str, int]):
     return value
 
 
-def _record(text: str, steps, keep_remote: bool) -> tuple[str, dict[str, int]]:
+def _cut(text: str, most: int) -> str:
+    """At most `most` UTF-8 bytes, notice included, cut between characters."""
+    head = text.encode()[:max(0, most - len(NOTICE.encode()))].decode(errors="ignore")
+    return (head + NOTICE) if len(NOTICE.encode()) <= most else NOTICE.encode()[:most].decode(errors="ignore")
+
+
+def _record(text: str, steps, keep_remote: bool, most: int | None) -> tuple[str, dict[str, int]]:
     record, counts = json.loads(text), {}
     if not keep_remote and record.get("type") in ("session", "trail") and isinstance(record.get("vcs"), dict) and isinstance(record["vcs"].get("remote_url"), str):
         del record["vcs"]["remote_url"]
         counts["vcs_remote_url"] = 1
     clean = {k: _scrub(v, steps, counts) if k in SCRUBBED else v for k, v in record.items()}
+    payload = clean.get("payload")
+    if most is not None and clean.get("type") == "tool_result" and isinstance(payload, dict) and isinstance(payload.get("output"), str) and len(payload["output"].encode()) > most:
+        payload |= {"output": _cut(payload["output"], most), "truncated": True}
+        counts["output_truncated"] = 1
     return (json.dumps(clean, ensure_ascii=False, separators=(",", ":")) if counts else text), counts
 
 
-def redact_records(lines: DataFrame, raw: str = "raw", patterns=ALL, secrets: list[str] = (), keep_remote: bool = False) -> DataFrame:
+def redact_records(lines: DataFrame, raw: str = "raw", patterns=ALL, secrets: list[str] = (), keep_remote: bool = False, most: int | None = OUTPUT_BYTES) -> DataFrame:
     """`lines` with `raw` redacted in every string of SCRUBBED parts, and counts by pattern id.
 
     lines(file, `raw`: the JSON text of an object). The user's secrets go first, longest
-    first, then the patterns in order. The address of the repository leaves headers and
+    first, then the patterns in order. Outputs of tools are cut to `most` bytes. The address of the repository leaves headers and
     envelopes unless `keep_remote`. Where anything in a file changes, hashes of its
     headers and envelope become pending; a file without a find stays byte for byte.
     """
@@ -161,7 +173,7 @@ def redact_records(lines: DataFrame, raw: str = "raw", patterns=ALL, secrets: li
 
     def run(texts: pd.Series) -> pd.DataFrame:
         steps = [(n, re.compile(p), put) for n, p, put in table]
-        return pd.DataFrame([_record(t, steps, keep_remote) for t in texts], columns=["record", "counts"])
+        return pd.DataFrame([_record(t, steps, keep_remote, most) for t in texts], columns=["record", "counts"])
 
     out = lines.withColumn("_r", F.pandas_udf(run, REDACTED)(raw)).withColumn("counts", F.col("_r.counts"))
     changed = F.max((F.size("counts") > 0).cast("int")).over(W.partitionBy("file")) == 1

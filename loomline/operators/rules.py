@@ -225,14 +225,20 @@ def cycles(r: DataFrame, most: int) -> DataFrame:
     return _say(first.join(on, ["file", "group_idx", "id"]), "error", "parent_cycle", "/parent_id", F.col("id"))
 
 
-def validate(lines: DataFrame, profile: str = "strict") -> DataFrame:
-    """(file, line, path, severity, code, message) of parsed lines; parse errors come first and end their file. profile: strict or reader-tolerant."""
+def validate(lines: DataFrame, profile: str = "strict", files: DataFrame | None = None) -> DataFrame:
+    """(file, line, path, severity, code, message) of parsed lines; parse errors come first and end their file. profile: strict or reader-tolerant.
+
+    `files(file)` names the files that were read, so that those without lines are told too, at line 0.
+    """
     if profile not in PROFILES:
         raise TypeError(f"no profile: {profile}")
     # Some thirty rules read the parsed lines: they are parsed once and kept where a lost executor does not take them.
     r = durable(promoted(lines.filter("code is null")))
     faults = _say(lines.filter("code is not null"), "error", "parse", "", F.col("code"))
     longest = r.groupBy("file", "group_idx").count().agg(F.max("count")).first()[0] or 1
+    if files is not None:
+        blank = files.select("file").join(lines.select("file").distinct(), "file", "left_anti").withColumn("line", F.lit(0))
+        faults = faults.unionByName(_say(blank, "error", "missing_header", "", F.lit("the file has no lines")))
     return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), *file_rules(r), hash_rules(lines, r, profile), cycles(r, longest)])
 
 

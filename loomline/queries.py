@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
-from loomline.operators import adapters, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
+from loomline.operators import adapters, compare, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.sources import jsonl
 
@@ -562,3 +562,18 @@ def claude_sessions(spark, sf_dir):
         F.col("session_uid").cast(c.schema["conv_id"].dataType).alias("conv_id"), "record_idx", "ordinal", "type",
         F.coalesce("parent_record", F.lit(-1)).alias("parent_record"), F.coalesce("parent_ordinal", F.lit(-1)).alias("parent_ordinal"), "tool_kind",
         F.coalesce(F.get_json_object("payload", "$.usage.input_tokens_cumulative").cast("long"), F.lit(-1)).alias("total"))
+
+
+@query(r"""WITH o AS (SELECT role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, count(*) AS n FROM conversations GROUP BY ALL),
+w AS (SELECT role, trim(regexp_replace(CASE WHEN conv_id % 3 = 0 THEN text || ' more' ELSE text END, '\s+', ' ', 'g')) AS t, count(*) AS n FROM conversations GROUP BY ALL),
+j AS (SELECT coalesce(o.n, 0) AS a, coalesce(w.n, 0) AS b FROM o FULL JOIN w ON o.role IS NOT DISTINCT FROM w.role AND o.t IS NOT DISTINCT FROM w.t)
+SELECT side, verdict, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'old' AS side, 'preserved' AS verdict, least(a, b) AS n FROM j UNION ALL SELECT 'new', 'preserved', least(a, b) FROM j
+  UNION ALL SELECT 'old', 'regression', a - least(a, b) FROM j UNION ALL SELECT 'new', 'addition', b - least(a, b) FROM j) WHERE n > 0 GROUP BY ALL""")
+def entry_diff(spark, sf_dir):
+    """Conversations as entries of two adapters, with other ids, other white space, and other words in every third."""
+    c = P.read(spark, sf_dir, "conversations")
+    said = lambda letter, words: F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit(letter), "conv_id", "turn").alias("id"), F.struct(words.alias("text"), F.concat(F.lit(letter), "turn").alias("for_id")).alias("payload")))
+    entries = lambda letter, words: c.select("conv_id", "turn", said(letter, words).alias("raw"))
+    changed = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit("  more"))).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))))
+    out = compare.compare_entries(entries("a", F.col("text")), entries("b", changed), ["conv_id", "turn"])
+    return out.groupBy("side", "verdict").agg(F.count("*").alias("n"))

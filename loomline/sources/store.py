@@ -129,3 +129,18 @@ def reconcile_incoming(lines: DataFrame, root: str) -> reconcile.Reconciled:
     known = index(spark, root).filter("kind = 'session'").join(asked, "session_uid", "left_semi").select("content_hash")
     stored = durable(object_lines(spark, root).join(known, "content_hash", "left_semi").select(F.left("content_hash", F.lit(12)).alias("file"), "line", F.col("text").alias("raw")))
     return reconcile.reconcile(lines.select("file", F.col("line").cast("int").alias("line"), "raw").unionByName(stored))
+
+
+def share(lines: DataFrame) -> DataFrame:
+    """(file, payload): whole files as text that can be sent, of (file, line, raw); a file is one value, as what is shared is small."""
+    texts = F.array_sort(F.collect_list(F.struct("line", "raw")))
+    whole = lines.groupBy("file").agg(F.concat(F.array_join(F.transform(texts, lambda x: x["raw"]), "\n"), F.lit("\n")).alias("text"))
+    return whole.select("file", F.pandas_udf(lambda s: s.map(jsonl.encode_payload), "string")("text").alias("payload"))
+
+
+def load(payloads: DataFrame, root: str, registered_at) -> DataFrame:
+    """Register what came as (file, payload); (file, content_hash, status) of each, as register_files."""
+    texts = payloads.select("file", F.pandas_udf(lambda s: s.map(jsonl.decode_payload), "string")("payload").alias("text"))
+    parts = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+    rows = durable(texts.select("file", F.posexplode(parts).alias("at", "part")).select("file", (F.col("at") + 1).alias("line"), F.encode("part", "UTF-8").alias("raw")))
+    return register_files(rows, root, registered_at)

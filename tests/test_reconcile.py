@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import hashing, reconcile, rules
+from loomline.operators import compare, hashing, reconcile, redact, rules
 from loomline.sources import jsonl, store
 
 
@@ -128,3 +128,40 @@ def test_register_export_and_incoming(spark, tmp_path):
     more = store.reconcile_incoming(frame(spark, {"new": [header("u", 2), entry(2), entry(5)], "other": [header("q"), entry(1)]}), root)
     groups = {r["session"]: (r["events"], r["events_deduped"], len(r["segments"])) for r in more.groups.collect()}
     assert groups == {"uid:u": (3, 1, 2), "uid:q": (1, 0, 1)}
+
+
+def test_compare_entries(spark):
+    old = [entry(1, text="a  b"), entry(2, "tool_result", ok=True, for_id="x"), entry(3, text="a b"), entry(4, text="gone"), entry(5, text="known")]
+    new = [entry(7, text="a b "), entry(8, "tool_result", ok=True, for_id="y"), entry(9, text="new"), entry(6, text="A B")]
+    df = lambda rows: spark.createDataFrame([(i, json.dumps(r | {"parent_id": str(i)})) for i, r in enumerate(rows)], "i int, raw string")
+    out = compare.compare_entries(df(old), df(new), ["i"], F.get_json_object("raw", "$.payload.text") == "known")
+    got = sorted((r["side"], r["i"], r["verdict"]) for r in out.collect())
+    assert got == [("new", 0, "preserved"), ("new", 1, "preserved"), ("new", 2, "addition"), ("new", 3, "addition"),
+                   ("old", 0, "preserved"), ("old", 1, "preserved"), ("old", 2, "regression"), ("old", 3, "regression"), ("old", 4, "expected")]
+
+
+def test_redacted_files_are_cut_and_finalized(spark):
+    long = entry(2, "tool_result", ok=True, output="é" * 9000)
+    files = {"a": [header(), entry(1, text="mail me at a.person@example.com"), long], "b": [header(), entry(1)]}
+    stamped = reconcile.stamp(frame(spark, files))
+    clean = redact.redact_records(stamped)
+    assert {r["file"]: r["n"] for r in clean.groupBy("file").agg(F.sum(F.coalesce(F.try_element_at("counts", F.lit("output_truncated")), F.lit(0))).alias("n")).collect()} == {"a": 1, "b": 0}
+    done = reconcile.finalized(clean)
+    verdicts = {r["file"]: r["verdict"] for r in reconcile.claims(done).collect()}
+    assert verdicts == {"a": "match", "b": "match"}
+    out = [json.loads(r["raw"]) for r in done.filter("file = 'a'").orderBy("line").collect()]
+    assert "[EMAIL]" in out[1]["payload"]["text"] and out[2]["payload"]["truncated"] and len(out[2]["payload"]["output"].encode()) <= redact.OUTPUT_BYTES
+    assert done.filter("file = 'b'").select("line", "raw").exceptAll(stamped.filter("file = 'b'").select("line", "raw")).count() == 0
+
+
+def test_share_and_load(spark, tmp_path):
+    stamped = reconcile.stamp(frame(spark, {"a": [header("u"), entry(1)]}))
+    sent = store.share(stamped)
+    got = store.load(sent, str(tmp_path / "s"), "2024-01-01").first()
+    assert got["status"] == "finalized" and store.by_session_uid(spark, str(tmp_path / "s"), "u").first()["content_hash"] == got["content_hash"]
+
+
+def test_empty_files_are_told(spark):
+    lines = jsonl.strict(frame(spark, {"a": [header(), entry(1)]}).withColumn("raw", F.encode("raw", "UTF-8")))
+    files = spark.createDataFrame([("a",), ("none",)], "file string")
+    assert [(r["file"], r["line"], r["code"]) for r in rules.validate(lines, files=files).collect()] == [("none", 0, "missing_header")]
