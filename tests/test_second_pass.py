@@ -1,0 +1,53 @@
+"""Both passes over records of the dialects: usage, totals, links, parents, model changes, open calls."""
+
+import json
+
+from pyspark.sql import functions as F
+
+from loomline.operators import second_pass
+
+NS = "e8f4b9a5-af67-4bcd-d156-738f9a0b1c23"
+
+
+def records(spark, rows):
+    df = spark.createDataFrame([("s", i, json.dumps(r)) for i, r in enumerate(rows)], "session_uid string, record_idx int, raw string")
+    return df.select("session_uid", "record_idx", F.try_parse_json("raw").alias("v"))
+
+
+def collected(df):
+    rows = df.orderBy("record_idx", "ordinal").collect()
+    at = {r["id"]: (r["record_idx"], r["ordinal"]) for r in rows}
+    return [(r["record_idx"], r["ordinal"], r["type"], at.get(r["parent_id"])) for r in rows], {(r["record_idx"], r["ordinal"]): json.loads(r["payload"]) for r in rows}, rows
+
+
+def test_codex(spark):
+    event = lambda t, p, ty="event_msg": {"timestamp": "2024-01-01T00:00:00.000Z", "type": ty, "payload": {"type": t} | p}
+    usage = lambda i, o: {"info": {"last_token_usage": {"input_tokens": i, "output_tokens": o, "cached_input_tokens": 1}}}
+    out = second_pass.codex_session(records(spark, [
+        event("", {"model": "m1"}, "turn_context"), event("user_message", {"message": "hi"}), event("agent_message", {"message": "a"}), event("token_count", usage(5, 2)),
+        event("token_count", usage(6, 3)), event("function_call", {"name": "shell", "arguments": '{"command":["ls"]}', "call_id": "c1"}, "response_item"),
+        event("function_call_output", {"output": "done", "call_id": "c1"}, "response_item"), event("", {"model": "m2"}, "turn_context"), event("user_message", {"message": "more"}),
+        event("agent_message", {"message": "b"}), event("token_count", usage(10, 1)), event("function_call", {"name": "shell", "arguments": "{}", "call_id": "c2"}, "response_item")]), NS)
+    places, payloads, rows = collected(out)
+    assert places == [(1, 0, "user_message", None), (2, 0, "agent_message", (1, 0)), (5, 0, "tool_call", (2, 0)), (6, 0, "tool_result", (5, 0)), (8, -1, "model_change", (6, 0)),
+                      (8, 0, "user_message", (8, -1)), (9, 0, "agent_message", (8, 0)), (11, 0, "tool_call", (9, 0)), (12, 0, "session_terminated", (11, 0))]
+    assert payloads[2, 0]["usage"] == {"input_tokens": 6, "output_tokens": 3, "cache_read_tokens": 1, "input_tokens_cumulative": 6, "output_tokens_cumulative": 3}
+    assert payloads[9, 0]["usage"]["input_tokens_cumulative"] == 16 and payloads[8, -1] == {"from_model": "m1", "to_model": "m2"}
+    kinds = {r["record_idx"]: r["tool_kind"] for r in rows}
+    assert kinds[5] == kinds[6] == "shell_command" and payloads[12, 0]["open_call_ids"] == [next(r["id"] for r in rows if r["record_idx"] == 11)]
+
+
+def test_pi(spark):
+    say = lambda n, up, role, content, **more: {"type": "message", "id": n, "parentId": up, "timestamp": "t", "message": {"role": role, "content": content} | more}
+    out = second_pass.pi_session(records(spark, [
+        {"type": "session", "id": "x"}, say("a", None, "user", "hi"), say("b", "a", "assistant", [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "one"}, {"type": "text", "text": "two"}], usage={"input": 3, "output": 4}),
+        {"type": "session", "id": "hidden", "parentId": "b"}, say("c", "hidden", "user", "branch"), say("d", "a", "assistant", "other", usage={"input": 1})]), NS)
+    places, payloads, _ = collected(out)
+    assert places == [(1, 0, "user_message", None), (2, 0, "agent_thinking", (1, 0)), (2, 1, "agent_message", (2, 0)), (2, 2, "agent_message", (2, 1)), (4, 0, "user_message", (2, 2)), (5, 0, "agent_message", (1, 0))]
+    assert payloads[2, 1]["usage"] == {"input_tokens": 3, "output_tokens": 4, "input_tokens_cumulative": 3, "output_tokens_cumulative": 4}
+    assert "usage" not in payloads[2, 2] and payloads[5, 0]["usage"]["input_tokens_cumulative"] == 4
+
+
+def test_nothing(spark):
+    for f in (second_pass.codex_session, second_pass.pi_session, second_pass.claude_session):
+        assert f(records(spark, [{"type": "x"}]).limit(0), NS).count() == 0
