@@ -136,29 +136,47 @@ def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
     return rows.select("file", "line", F.explode(every).alias("d")).select("file", "line", "d.*")
 
 
-def file_rules(r: DataFrame) -> list[DataFrame]:
-    """Rules that look at the lines of a file together; a file is one window."""
+def fork_mismatches(headers: DataFrame) -> DataFrame:
+    """Headers(file, line, id, content_hash, forked_from, forked_hash) that name another hash than the sibling they are forked from has, with that `sibling` hash."""
+    siblings = headers.filter("content_hash <> '<pending>'").select("file", F.col("id").alias("forked_from"), "content_hash", "line").groupBy("file", "forked_from").agg(F.max_by("content_hash", "line").alias("sibling"))
+    return headers.filter("forked_hash is not null").join(siblings, ["file", "forked_from"]).filter("forked_hash <> sibling")
+
+
+def file_rules(r: DataFrame, profile: str = "strict") -> list[DataFrame]:
+    """Rules that look at the lines of a file together; a file is one window.
+
+    A session whose header is of no known version is left out of the rules that look
+    into sessions or compare them; its siblings are not.
+    """
     header, envelope = F.col("type") == "session", F.col("type") == "trail"
     events = r.filter(~(F.col("type").isin("trail", "session")) & (F.col("group_idx") > 0))
     session = ["file", "group_idx"]
     some = r.groupBy("file").agg(F.min("line").alias("line"), F.count_if(header).alias("headers"), F.count_if(envelope).alias("envelopes"))
     headers = r.filter(header)
     nth = W.partitionBy("file").orderBy("line")
+    valid = F.coalesce((F.col("schema_version") == SCHEMA_VERSION) | (F.lit(profile == "reader-tolerant") & F.col("schema_version").rlike(READABLE)), F.lit(False))
+    first = headers.filter("group_idx = 1").filter(~valid).join(some.select("file", "envelopes"), "file")
+    told = headers.filter((F.col("schema_version") != SCHEMA_VERSION) & F.col("schema_version").rlike(READABLE))
+    every = headers
+    headers = headers.filter(valid)
+    events = events.join(headers.select(*session), session, "left_semi")
     out = [
+        _say(first.filter("envelopes = 0"), "error", "missing_header", "", F.lit("the first header is of no known version")),
+        _say(first.filter("envelopes > 0"), "error", "missing_header_after_envelope", "", F.lit("the first header is of no known version")),
         _say(r.filter(envelope).withColumn("n", F.row_number().over(nth)).filter("n > 1"), "error", "multiple_envelopes", "", F.lit("a file has one envelope")),
         _say(r.filter(envelope & (F.col("line") > 1)), "error", "envelope_not_at_line_1", "", F.lit("the envelope is the first line")),
         _say(some.filter("headers = 0 and envelopes = 0"), "error", "missing_header", "", F.lit("no session header")),
         _say(some.filter("headers = 0 and envelopes > 0"), "error", "missing_header_after_envelope", "", F.lit("no session header")),
-        _say(headers.filter("has_parent"), "error", "header_has_parent_id", "/parent_id", F.lit("a header has no parent")),
+        _say(every.filter("has_parent"), "error", "header_has_parent_id", "/parent_id", F.lit("a header has no parent")),
         _say(r.filter(envelope & F.col("has_parent")), "error", "envelope_has_parent_id", "/parent_id", F.lit("an envelope has no parent")),
         _say(r.filter("orphan").join(some.filter("headers > 0").select("file"), "file", "left_semi"), "error", "events_before_first_session_header", "", F.lit("an event before the first header")),
-        _say(headers.filter((F.col("schema_version") != SCHEMA_VERSION) & F.col("schema_version").rlike(READABLE)), "warning", "reader_tolerant_schema_version", "/schema_version", F.col("schema_version")),
+        _say(told.filter(F.lit(profile == "reader-tolerant")), "warning", "reader_tolerant_schema_version", "/schema_version", F.col("schema_version")),
         _say(graph.duplicate_ids(r, ["file"]), "error", "duplicate_id", "/id", F.concat(F.lit("first on line "), "first_line")),
         _say(graph.unknown_parents(r.filter("group_idx > 0 and type <> 'session'"), session), "error", "unknown_parent_id", "/parent_id", F.col("parent_id")),
         _say(headers.filter("stream_state = 'open' and content_hash is not null"), "warning", "stream_open_with_content_hash", "/content_hash", F.lit("an open stream has no hash")),
         _say(sequences.out_of_order(headers, ["file"]), "warning", "out_of_order_session_headers", "/ts", F.col("ts")),
         _say(sequences.diverging(headers, ["file"], "revision"), "warning", "vcs_revision_divergence", "/vcs/revision", F.col("revision")),
-        _say(headers.filter(F.col("content_hash").isNotNull() & ~F.col("content_hash").rlike("^(?:[a-f0-9]{64}|<pending>)$")), "error", "content_hash_invalid", "/content_hash", F.col("content_hash")),
+        _say(every.filter(F.col("content_hash").isNotNull() & ~F.col("content_hash").rlike("^(?:[a-f0-9]{64}|<pending>)$")), "error", "content_hash_invalid", "/content_hash", F.col("content_hash")),
     ]
     opened = headers.filter("stream_state = 'open'").select(*session)
     out.append(_say(events.filter(F.col("type").isin("session_end", "session_terminated")).join(opened, session, "left_semi"), "warning", "stream_open_with_terminal_event", "/type", F.col("type")))
@@ -173,9 +191,7 @@ def file_rules(r: DataFrame) -> list[DataFrame]:
     first = events.filter("id is not null").groupBy("file", F.col("id").alias("envelope_ref")).agg(F.min("line").alias("at"))
     refs = events.filter("envelope_ref is not null").join(first, ["file", "envelope_ref"], "left").filter("at is null or at >= line")
     out.append(_say(refs, "error", "source_raw_envelope_ref_unresolved", "/source/raw/envelope_ref", F.col("envelope_ref")))
-    siblings = headers.filter("content_hash <> '<pending>'").select("file", F.col("id").alias("forked_from"), "content_hash", "line").groupBy("file", "forked_from").agg(F.max_by("content_hash", "line").alias("sibling"))
-    forks = headers.filter("forked_hash is not null").join(siblings, ["file", "forked_from"]).filter("forked_hash <> sibling")
-    out.append(_say(forks, "warning", "cross_group_fork_from_hash_mismatch", "/fork_from/content_hash", F.col("sibling")))
+    out.append(_say(fork_mismatches(headers), "warning", "cross_group_fork_from_hash_mismatch", "/fork_from/content_hash", F.col("sibling")))
     return [*out, manifest_drift(r)]
 
 
@@ -239,7 +255,7 @@ def validate(lines: DataFrame, profile: str = "strict", files: DataFrame | None
     if files is not None:
         blank = files.select("file").join(lines.select("file").distinct(), "file", "left_anti").withColumn("line", F.lit(0))
         faults = faults.unionByName(_say(blank, "error", "missing_header", "", F.lit("the file has no lines")))
-    return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), *file_rules(r), hash_rules(lines, r, profile), cycles(r, longest)])
+    return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), *file_rules(r, profile), hash_rules(lines, r, profile), cycles(r, longest)])
 
 
 def rendered(diagnostics: DataFrame) -> DataFrame:

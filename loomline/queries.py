@@ -135,9 +135,12 @@ def vcs_divergence(spark, sf_dir):
 @query(f"""WITH {P.SEGMENTS}, f AS (SELECT source, source - source % 4 AS forked_from, content_hash AS claimed FROM seg WHERE source % 4 <> 0)
 SELECT f.source, f.forked_from FROM f JOIN seg s ON s.source = f.forked_from WHERE f.claimed <> s.content_hash""")
 def fork_hash_mismatch(spark, sf_dir):
-    s = P.segments(spark, sf_dir)
-    f = s.filter("source % 4 <> 0").select("source", F.expr("source - source % 4").alias("forked_from"), F.col("content_hash").alias("claimed"))
-    return f.join(s.select(F.col("source").alias("forked_from"), "content_hash"), "forked_from").filter("claimed <> content_hash").select("source", "forked_from")
+    """Segments as headers of one file, each forked from the last one before it whose number four divides."""
+    forked = F.col("source") % 4 != 0
+    headers = P.segments(spark, sf_dir).select(
+        F.lit("all").alias("file"), F.col("source").alias("line"), F.col("source").alias("id"), "content_hash",
+        F.when(forked, F.col("source") - F.col("source") % 4).alias("forked_from"), F.when(forked, F.col("content_hash")).alias("forked_hash"))
+    return rules.fork_mismatches(headers).select(F.col("line").alias("source"), "forked_from")
 
 
 @query(f"""WITH {P.SEGMENTS}, a AS (SELECT session_uid, source % 5 AS agent, row_number() OVER (PARTITION BY session_uid ORDER BY source) AS place FROM seg),

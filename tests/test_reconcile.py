@@ -165,3 +165,14 @@ def test_empty_files_are_told(spark):
     lines = jsonl.strict(frame(spark, {"a": [header(), entry(1)]}).withColumn("raw", F.encode("raw", "UTF-8")))
     files = spark.createDataFrame([("a",), ("none",)], "file string")
     assert [(r["file"], r["line"], r["code"]) for r in rules.validate(lines, files=files).collect()] == [("none", 0, "missing_header")]
+
+
+def test_sessions_of_unknown_versions_are_left_out(spark):
+    dead = header(schema_version="9.0.0")
+    files = {"a": [header(id="01ARZ3NDEKTSV4RRFFQ69G0008"), entry(1, "tool_call", tool="x", args={}), dead, entry(2, "tool_call", tool="x", args={})], "b": [header(schema_version="0.1.4"), entry(1, "tool_call", tool="x", args={})]}
+    lines = jsonl.strict(frame(spark, files).withColumn("raw", F.encode("raw", "UTF-8")))
+    found = lambda profile: {(r["file"], r["line"], r["code"]) for r in rules.validate(lines, profile).collect()}
+    strict, tolerant = found("strict"), found("reader-tolerant")
+    assert ("a", 2, "unmatched_tool_call_at_eof") in strict and ("a", 4, "unmatched_tool_call_at_eof") not in strict
+    assert ("b", 1, "missing_header") in strict and ("b", 2, "unmatched_tool_call_at_eof") not in strict
+    assert ("b", 1, "reader_tolerant_schema_version") in tolerant and ("b", 2, "unmatched_tool_call_at_eof") in tolerant and ("b", 1, "missing_header") not in tolerant
