@@ -4,8 +4,8 @@ Suffixes are sampled (see `sampling`): a row stands for the run of suffixes whos
 13 words have the same least gram, and the sampled suffix starts at this gram. The gram
 is the prefix by which suffixes are dealt out. A prefix that only one document has heads
 no repeat and is dropped. The others are packed into groups that fit in memory; a prefix
-of five words with too many suffixes for a group is extended to nine words, and that to
-the window's thirteen, where it is a node of the tree by itself.
+of five words with too many suffixes for a group is extended to nine words, to eleven,
+and to the window's thirteen, where it is a node of the tree by itself.
 
 Each group's subtrees come from the sorted array of the suffixes under its rows: ranks by
 prefix doubling, lengths of common prefixes between neighbours, and the intervals where

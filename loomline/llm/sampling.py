@@ -128,7 +128,7 @@ class Words:
     """Words between white space, as they are. `grams` are the lengths of prefixes, up to the window."""
 
     window: int = 13
-    grams: tuple[int, ...] = (5, 9, 13)
+    grams: tuple[int, ...] = (5, 9, 11, 13)
     longest: int = 64
     sep: bytes = b" "
 
@@ -148,7 +148,7 @@ class Bytes:
     """UTF-8 bytes."""
 
     window: int = 400
-    grams: tuple[int, ...] = (32, 128, 400)
+    grams: tuple[int, ...] = (32, 128, 256, 336, 384, 400)
     longest: int = 512
     sep: bytes = b""
 

@@ -10,7 +10,7 @@ and a suffix is written again as often.
 What the scans find, and nothing else, is confirmed on the bytes: suffixes that share a
 prefix are brought together with the bytes under them, a suffix array over these is
 built by prefix doubling, and suffixes that agree in 400 bytes are repeats. A prefix
-that too many suffixes share is extended from 32 bytes to 128 and 400.
+that too many suffixes share is extended from 32 bytes, step by step, to the window's 400.
 """
 
 from __future__ import annotations
