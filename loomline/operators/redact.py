@@ -76,8 +76,9 @@ def _each(f, *args):
 
 
 def _noted(name: str, pattern: str, put: str, state: Column) -> Column:
-    hit = F.struct(_replaced(name, pattern, put, state["text"]).alias("text"), F.array_append(state["ids"], F.lit(name)).alias("ids"))
-    return F.when(_may_hold(name, state["text"]) & state["text"].rlike(pattern), hit).otherwise(state)
+    hit = F.struct(F.lit(name).alias("key"), F.regexp_count(state["text"], F.lit(pattern)).alias("value"))
+    found = F.struct(_replaced(name, pattern, put, state["text"]).alias("text"), F.array_append(state["hits"], hit).alias("hits"))
+    return F.when(_may_hold(name, state["text"]) & state["text"].rlike(pattern), found).otherwise(state)
 
 
 def redact(text, patterns=ALL, secrets: list[str] = ()) -> Column:
@@ -90,13 +91,13 @@ def redact(text, patterns=ALL, secrets: list[str] = ()) -> Column:
     return text
 
 
-def found(text, patterns=ALL) -> Column:
-    """Ids of the patterns that match, in order; each pattern sees what earlier ones left. A null text has none."""
+def counts(text, patterns=ALL) -> Column:
+    """Map from pattern id to the number of its matches, without zeros; each pattern sees what earlier ones left. A null text has none."""
     text = F.col(text) if isinstance(text, str) else text
-    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("ids"))
+    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<struct<key: string, value: int>>").alias("hits"))
     for name, pattern, put in patterns:
         state = _bound(state, _each(_noted, name, pattern, put))
-    return state["ids"]
+    return F.map_from_entries(state["hits"])
 
 
 def _stepped(df: DataFrame, text: str, patterns) -> DataFrame:
