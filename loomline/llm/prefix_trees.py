@@ -28,7 +28,7 @@ from loomline.llm.common import durable, grouped, mapped, slices
 from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, with_spans
 
 #: Runs in a group.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 
 
 def suffix_array(symbols: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GRO
     """(did, h, lo, hi) in words, of keyed(docs): what a document with a smaller id has too."""
     rows = entries(docs, unit)
     grams = rows.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    hits = durable(located(rows, grams.select("gram", (F.col("n") > most_of_one(group_rows)).alias("heavy"))))
+    hits = durable(located(rows, grams.select("gram", (F.col("n") > most_of_one(unit, group_rows)).alias("heavy"))))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
     parts, spans = [contexts(docs, chosen(hits, False), unit)], []
     heavy = chosen(hits, True)

@@ -27,8 +27,6 @@ AT_ONCE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LAST_ID = (1 << 63) - 1
-#: A prefix may fill one in so many parts of a group before it is made longer, so that groups packed by a hash are even.
-PARTS = 10
 
 
 #: Bytes of text whose words are hashed at once.
@@ -125,11 +123,16 @@ def word_arrays(raws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Words:
-    """Words between white space, as they are. `grams` are the lengths of prefixes, up to the window."""
+    """Words between white space, as they are.
+
+    `grams` are the lengths of prefixes, up to the window. A prefix may fill one in `parts`
+    of a group before it is made longer.
+    """
 
     window: int = 13
     grams: tuple[int, ...] = (5, 9, 11, 13)
     longest: int = 64
+    parts: int = 1
     sep: bytes = b" "
 
     def symbols(self, raws: list[bytes]):
@@ -150,6 +153,7 @@ class Bytes:
     window: int = 400
     grams: tuple[int, ...] = (32, 128, 256, 336, 384, 400)
     longest: int = 512
+    parts: int = 10
     sep: bytes = b""
 
     def symbols(self, raws: list[bytes]):
@@ -331,9 +335,9 @@ def finer(rows: DataFrame, unit, level: int) -> DataFrame:
     return mapped(rows.select("did", "h", "start", "ctx"), run, CONTEXTS)
 
 
-def most_of_one(group_rows: int) -> int:
+def most_of_one(unit, group_rows: int) -> int:
     """Most rows of one gram in a group."""
-    return max(1, group_rows // PARTS)
+    return max(1, group_rows // unit.parts)
 
 
 def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column, stay: Column) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -363,7 +367,7 @@ def extended(rows: DataFrame, unit, group_rows: int, own: Column, gone: Column,
         if level + 1 == len(unit.grams):
             break
         rest = told.filter("stay").select("did", "h", "start", "gram")
-        many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > most_of_one(group_rows)).alias("heavy")))
+        many = durable(rest.groupBy("gram").count().select(F.col("gram").alias("m_gram"), (F.col("count") > most_of_one(unit, group_rows)).alias("heavy")))
         # Rows of one document may be equal in all three; the gram comes along, and each of them once.
         chosen_rows = rest.join(many, F.col("gram") == F.col("m_gram")).select("did", "h", "start", "heavy").distinct()
         dealt = rows.join(chosen_rows, ["did", "h", "start"]).select("did", "h", "start", "gram", "ctx", "heavy")

@@ -140,7 +140,7 @@ def repeated_spans(docs: DataFrame, unit: Bytes = Bytes(), batches: int = BATCHE
     for k in range(batches):
         found.append(family.add(entries(docs.filter(F.pmod("key", F.lit(batches)) == k), unit, alone=True)))
     matches = durable(functools.reduce(DataFrame.union, found).distinct())
-    size = durable(matches.groupBy("gram").agg((F.count("*") > most_of_one(group_rows)).alias("heavy")))
+    size = durable(matches.groupBy("gram").agg((F.count("*") > most_of_one(unit, group_rows)).alias("heavy")))
     hits = durable(located(matches, size))
     total = matches.count()
     # Equal rows share a key, and each of them comes with its contexts.
