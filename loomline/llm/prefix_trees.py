@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import durable, grouped, mapped, slices
-from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, with_spans
+from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, twins, with_spans
 
 #: Runs in a group.
 GROUP_ROWS = 5_000
@@ -109,15 +109,19 @@ def subtrees(table: pa.Table, unit: Words) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GROUP_ROWS) -> DataFrame:
     """(did, h, lo, hi) in words, of keyed(docs): what a document with a smaller id has too."""
+    # Of equal texts the smallest document's is searched, the others go whole.
+    whole, known = twins(docs, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
     rows = entries(docs, unit)
     grams = rows.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     hits = durable(located(rows, grams.select("gram", (F.col("n") > most_of_one(unit, group_rows)).alias("heavy"))))
+    hits = durable(hits.join(known, "key", "left_anti"))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    parts, spans = [contexts(docs, chosen(hits, False), unit)], []
+    parts, spans = [contexts(docs, chosen(hits, False), unit)], [whole]
     heavy = chosen(hits, True)
     if not heavy.isEmpty():
         # Of equal contexts those of the smallest document stand for all, the others are repeats.
-        spans, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
+        found, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
+        spans += found
         parts += more
     for part in parts:
         light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "ctx")
@@ -140,7 +144,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
         for batch in (part for whole in batches for part in slices(whole, 1)):
             counts, cuts, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, at, left, spans = text.encode().split(), 0, [], merged(found)
+                words, at, left = text.encode().split(), 0, []
+                spans = merged(found, len(words), unit.window)
                 for lo, hi in spans:
                     left += words[at:lo]
                     at = hi

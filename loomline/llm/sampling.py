@@ -335,6 +335,23 @@ def finer(rows: DataFrame, unit, level: int) -> DataFrame:
     return mapped(rows.select("did", "h", "start", "ctx"), run, CONTEXTS)
 
 
+#: End of a span that covers its whole text, whatever its length.
+WHOLE = -1
+
+
+def twins(docs: DataFrame, own: Column, gone: Column, stay: Column) -> tuple[DataFrame, DataFrame]:
+    """Spans (did, h, lo, hi) of whole texts that others repeat, and the (key) of those that need no search.
+
+    Equal texts of keyed(docs) are told by SHA-256. `own` aggregates them to `best`; those
+    with `gone` go whole, and only those with `stay` are searched, in the name of all.
+    """
+    light = durable(docs.select("did", "h", "key", F.unhex(F.sha2("text", 256)).alias("sha")))
+    best = durable(light.groupBy("sha").agg(own.alias("best"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("b_sha"), "best"))
+    found = durable(light.join(best, F.col("sha") == F.col("b_sha")).select("did", "h", "key", gone.alias("gone"), stay.alias("stay")))
+    spans = found.filter("gone").select("did", "h", F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi"))
+    return spans, found.filter("not stay").select("key").distinct()
+
+
 def most_of_one(unit, group_rows: int) -> int:
     """Most rows of one gram in a group."""
     return max(1, group_rows // unit.parts)
@@ -408,8 +425,10 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(found, (F.col("key") == F.col("s_key")) & same, "left").select("did", "text", "spans")
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    """Union of spans, in order; touching spans become one."""
+def merged(spans, size: int, window: int) -> list[tuple[int, int]]:
+    """Union of a text's spans, in order; touching spans become one. A text below the window loses nothing."""
+    if any(s["hi"] == WHOLE for s in spans or ()):
+        return [(0, size)] if size >= window else []
     out: list[list[int]] = []
     for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
         if out and lo <= out[-1][1]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import durable, grouped, mapped, slices
-from loomline.llm.sampling import LAST_ID, SPANS, Bytes, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, with_spans
+from loomline.llm.sampling import LAST_ID, SPANS, Bytes, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, twins, with_spans
 
 GROUP_ROWS = 4_000
 BATCHES = 4
@@ -136,20 +136,24 @@ def flagged_spans(did, h, start, count, flags, window) -> pa.Table:
 
 def repeated_spans(docs: DataFrame, unit: Bytes = Bytes(), batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(did, h, lo, hi) in bytes, of keyed(docs): what occurs anywhere else too."""
+    # Equal texts go whole, and one of them is looked at in the name of all.
+    place = F.struct("did", "h")
+    twin_spans, known = twins(docs, F.min(place), F.lit(True), place == F.col("best"))
     family, found = Family(), []
     for k in range(batches):
         found.append(family.add(entries(docs.filter(F.pmod("key", F.lit(batches)) == k), unit, alone=True)))
-    matches = durable(functools.reduce(DataFrame.union, found).distinct())
+    matches = durable(functools.reduce(DataFrame.union, found).distinct().join(known, "key", "left_anti"))
     size = durable(matches.groupBy("gram").agg((F.count("*") > most_of_one(unit, group_rows)).alias("heavy")))
     hits = durable(located(matches, size))
     total = matches.count()
     # Equal rows share a key, and each of them comes with its contexts.
-    parts, spans = [contexts(docs, chosen(hits, False), unit)], []
+    parts, spans = [contexts(docs, chosen(hits, False), unit)], [twin_spans]
     heavy = chosen(hits, True)
     if not heavy.isEmpty():
         # Of equal contexts all are repeats, and one stands for all where others are compared with it.
         place = F.struct("did", "h", "start")
-        spans, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min(place), F.lit(True), place == F.col("best"))
+        confirmed, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min(place), F.lit(True), place == F.col("best"))
+        spans += confirmed
         parts += more
     for part in parts:
         light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "gram", "ctx")
@@ -171,7 +175,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
         for batch in (part for whole in batches_in for part in slices(whole, 1)):
             counts, cuts, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, at, left, spans = text.encode(), 0, [], merged(found)
+                raw, at, left = text.encode(), 0, []
+                spans = merged(found, len(raw), unit.window)
                 for lo, hi in spans:
                     left.append(raw[at:lo])
                     at = hi
