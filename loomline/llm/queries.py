@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import bpe, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, simhash, suffix_levels, token_counts
+from loomline.llm import bpe, byte_bpe, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, simhash, suffix_levels, token_counts
 
 QUERIES = {
     "op1_bpe_automaton": bpe.op1_bpe_automaton,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.op9_block_naming,
     "op10_suffix_levels": suffix_levels.op10_suffix_levels,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 SQL = {
