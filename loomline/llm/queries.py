@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import bpe, byte_bpe, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, simhash, suffix_levels, token_counts
+from loomline.llm import bpe, byte_bpe, collocations, divergence, exact_dedup, html_text, mixing, prefix_trees, pu_quality, quality_rules, simhash, suffix_levels, token_counts
 
 QUERIES = {
     "op1_bpe_automaton": bpe.op1_bpe_automaton,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_block_naming": exact_dedup.op9_block_naming,
     "op10_suffix_levels": suffix_levels.op10_suffix_levels,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
@@ -23,4 +25,6 @@ SQL = {
     "op7_prefix_trees": prefix_trees.OP7_SQL,
     "op9_block_naming": exact_dedup.OP9_SQL,
     "op10_suffix_levels": suffix_levels.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }

@@ -1,0 +1,61 @@
+"""Collocations against plain counting."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from loomline.llm import collocations
+
+
+def brute(rows, least, top):
+    total, f = Counter(), defaultdict(Counter)
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for n in range(1, 5):
+                f[lang].update(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for lang, counts in f.items():
+        cand = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        worst = {}
+        for p, a in cand.items():
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    worst[p[i:i + n]] = max(worst.get(p[i:i + n], 0), a)
+        rows_ = []
+        for p, a in cand.items():
+            if 100 * worst.get(p, 0) >= 80 * a:
+                continue
+            score, k = min((2_000_000 * a // (counts[p[:k]] + counts[p[k:]]), k) for k in range(1, len(p)))
+            rows_.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows_)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+def some_rows(seed, n=150):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["the", "The", "of", "é", "É", "x\x0bq", "naïve-", "a\x00b", "\x1cz", "日本", *"abcdefgh"])
+    rows = []
+    for _ in range(n):
+        text = "".join(word() + rng.choice([" ", " ", " ", "\t ", ". ", ",", "\n", "\r", " ;"]) for _ in range(rng.randint(0, 120)))
+        rows.append((rng.choice(["en", "en", "en", "de", None]), text))
+    return [*rows, *rows[:5], ("en", None), ("fr", ""), ("fr", None), ("it", "one two"), ("en", "alpha beta gamma delta epsilon " * 40)]
+
+
+@pytest.mark.parametrize("seed,sizes", [(1, collocations.SIZES), (2, collocations.Sizes(50, 7, 200, 100)), (3, collocations.Sizes(333, 64, 900, 40))])
+def test_equal_to_counting(spark, seed, sizes):
+    """Whatever the sizes of shards and blocks are; pieces longer than both are among the rows."""
+    rows = some_rows(seed)
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "lang string, text string, phrase string, n int").repartition(3)
+    assert sorted(map(tuple, collocations.collocations(df, 5, 40, sizes).collect())) == brute(rows, 5, 40)
+
+
+def test_empty_table_and_no_frequent_phrase(spark):
+    df = spark.createDataFrame([("en", "one two three"), (None, None)], "lang string, text string")
+    assert collocations.collocations(df).count() == 0 and collocations.collocations(df.limit(0)).count() == 0
