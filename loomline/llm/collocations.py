@@ -328,7 +328,7 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 piece as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) p from d),
-words as (select lang, list_filter(regexp_split_to_array(p, '[ \t]+'), x -> x <> '') w from piece),
+words as (select lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') w from piece),
 total as (select lang, cast(sum(len(w)) as bigint) n from words group by all),
 starts as (select lang, w, unnest(range(1, len(w) + 1)) i from words),
 grams as (select lang, s.size, array_to_string(w[i:i + s.size - 1], ' ') phrase from starts, (select unnest([1, 2, 3, 4]) size) s where i + s.size - 1 <= len(w)),

@@ -177,7 +177,7 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 with d as (
   select coalesce(lang, '') lang, coalesce(source, '') source,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), x -> x <> '') terms
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') terms
   from documents),
 used as (select lang, source, unnest(terms) term from d),
 docs as (select lang, term, count(*) n_docs from (select lang, unnest(list_distinct(terms)) term from d) group by all having count(*) >= 30),
