@@ -175,7 +175,8 @@ def reconcile(lines: DataFrame) -> Reconciled:
     rows = rows.filter("not several or group_idx > 0")
     heads = durable(_headers(rows))
     own = F.when(F.col("session_uid").isNull(), F.concat(F.lit("source:"), "source")).otherwise(F.concat(F.lit("uid:"), "session_uid"))
-    heads = durable(heads.withColumn("session", own).withColumn("members", F.count("*").over(W.partitionBy("session"))))
+    heads = heads.withColumn("session", own).withColumn("members", F.count("*").over(W.partitionBy("session")))
+    heads = durable(segments.with_last(heads, "session"))
     merged = heads.filter("members > 1")
     lost = rows.select("source").distinct().join(heads.select("source"), "source", "left_anti")
     say = lambda df, code: df.select(F.col("session_uid").cast("string").alias("session_uid"), "source", F.lit(code).alias("code") if isinstance(code, str) else code)
@@ -186,12 +187,12 @@ def reconcile(lines: DataFrame) -> Reconciled:
         say(segments.chain_warnings(merged.select("session_uid", "seq", "source", "content_hash", "prev_content_hash", "has_prev")), F.col("code")),
         say(segments.stable_field_warnings(merged.select("session_uid", "seq", "source", *[F.col(f"h_{f}").alias(f"f_{f}") for f in segments.STABLE_FIELDS]), tuple(f"f_{f}" for f in segments.STABLE_FIELDS)), "stable_field_divergence"),
     ]
-    of = heads.select("source", "session", "session_uid", "seq", "members")
+    of = heads.select("source", "session", "session_uid", "seq", "members", "is_last")
     passed = rows.join(of.filter("members = 1"), "source")
     alone = passed.withColumn("ord", F.row_number().over(W.partitionBy("session").orderBy("line")) - 1).select("session", "ord", "raw")
     text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", F.try_variant_get("value", path, "string"))
     entries = rows.filter("coalesce(type, '') not in ('trail', 'session')").join(of.filter("members > 1"), "source").select(
-        "session_uid", "session", "seq", "source", "line", text("$.id").alias("id"), "type", text("$.payload.reason").alias("reason"), "raw")
+        "session_uid", "session", "seq", "source", "is_last", "line", text("$.id").alias("id"), "type", text("$.payload.reason").alias("reason"), "raw")
     kept = durable(segments.merge_events(entries))
     ends = merged.groupBy("session").agg(F.min_by("raw", F.struct("seq", "source")).alias("first"), F.max_by("raw", F.struct("seq", "source")).alias("last"))
     header = durable(ends.withColumn("raw", _text_udf(lines, _merged_texts)("first", "last")).select("session", F.lit(0).alias("ord"), "raw"))
@@ -202,9 +203,7 @@ def reconcile(lines: DataFrame) -> Reconciled:
     header = durable(header)
     records = alone.unionByName(kept.select("session", "ord", "raw")).unionByName(header.select("session", "ord", "raw"))
     # Markers that leave are not counted as repeats.
-    marker = (F.col("type") == "session_terminated") & (F.coalesce("reason", F.lit("")) == "process_terminated")
-    last = F.max(F.struct("seq", "source")).over(W.partitionBy("session"))
-    asked = entries.withColumn("is_last", F.struct("seq", "source") == last).filter(F.col("is_last") | ~F.coalesce(marker, F.lit(False))).groupBy("session").agg(F.count("*").alias("asked"))
+    asked = entries.filter(f"not ({segments.OVERTAKEN})").groupBy("session").agg(F.count("*").alias("asked"))
     n = kept.groupBy("session").agg(F.count("*").alias("events"))
     single = passed.filter("coalesce(type, '') not in ('trail', 'session')").groupBy("session").agg(F.count("*").alias("events"))
     members = F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"])

@@ -47,16 +47,24 @@ def stable_field_warnings(headers: DataFrame, fields: tuple[str, ...] = STABLE_F
     return out.select("session_uid", "source", F.explode(bad).alias("field"))
 
 
+def with_last(segments: DataFrame, session: str = "session_uid") -> DataFrame:
+    """`segments(<session>, seq, source, ..)` with is_last: no segment of the session comes after it, whether it has events or not."""
+    return segments.withColumn("is_last", F.struct("seq", "source") == F.max(F.struct("seq", "source")).over(W.partitionBy(session)))
+
+
+#: Events that a merge drops before it looks at ids: markers of a killed process that was followed by a further segment.
+OVERTAKEN = "not is_last and coalesce(type, '') = 'session_terminated' and coalesce(reason, '') = 'process_terminated'"
+
+
 def merge_events(events: DataFrame) -> DataFrame:
     """The events that a merge keeps, with `ord`, their place in the merged session.
 
-    events: session_uid, seq, source, line, id, type, reason. process_terminated markers
-    stay in the last segment only. Of events with one id the first stays; a null id never
-    repeats.
+    events: session_uid, seq, source, line, id, type, reason, and is_last of their segment
+    (`with_last`; an event can't tell, for the last segment may be empty). process_terminated
+    markers stay in the last segment only. Of events with one id the first stays; a null id
+    never repeats.
     """
-    last = F.max(F.struct("seq", "source")).over(W.partitionBy("session_uid"))
-    e = events.withColumn("is_last", F.struct("seq", "source") == last)
-    e = e.filter("is_last or not (type = 'session_terminated' and coalesce(reason, '') = 'process_terminated')")
+    e = events.filter(f"not ({OVERTAKEN})")
     place = ["seq", "source", "line"]
     e = e.withColumn("nth", F.when(F.col("id").isNull(), 1).otherwise(F.row_number().over(W.partitionBy("session_uid", "id").orderBy(*place)))).filter("nth = 1").drop("nth", "is_last")
     return e.withColumn("ord", F.row_number().over(W.partitionBy("session_uid").orderBy(*place)))

@@ -173,16 +173,21 @@ def stable_field_divergence(spark, sf_dir):
 
 @query("""WITH e AS (SELECT l_partkey AS session_uid, l_orderkey % 3 AS seq, l_orderkey AS source, l_linenumber * 100000 + l_suppkey AS line, CASE WHEN l_linenumber < 6 THEN l_suppkey END AS id,
     CASE WHEN l_returnflag = 'R' THEN 'session_terminated' ELSE 'user_message' END AS type, CASE WHEN l_linestatus = 'F' THEN 'process_terminated' END AS reason FROM lineitem),
-b AS (SELECT *, max(seq * 100000000 + source) OVER (PARTITION BY session_uid) AS last FROM e),
+s AS (SELECT session_uid, seq, source FROM e UNION SELECT p_partkey, 3, 0 FROM part WHERE p_partkey % 4 = 0),
+t AS (SELECT session_uid, max(seq * 100000000 + source) AS last FROM s GROUP BY session_uid),
+b AS (SELECT * FROM e JOIN t USING (session_uid)),
 k AS (SELECT * FROM b WHERE seq * 100000000 + source = last OR NOT (type = 'session_terminated' AND coalesce(reason, '') = 'process_terminated')),
 d AS (SELECT *, row_number() OVER (PARTITION BY session_uid, id ORDER BY seq, source, line) AS nth FROM k)
 SELECT session_uid, source, line, id, row_number() OVER (PARTITION BY session_uid ORDER BY seq, source, line) AS ord FROM d WHERE nth = 1 OR id IS NULL""")
 def merge_dedup(spark, sf_dir):
+    """Lineitems as events of a part's session; every fourth session ends in a segment without events."""
     e = P.read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("session_uid"), (F.col("l_orderkey") % 3).alias("seq"), F.col("l_orderkey").alias("source"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("line"),
         F.when(F.col("l_linenumber") < 6, F.col("l_suppkey")).alias("id"), F.when(F.col("l_returnflag") == "R", "session_terminated").otherwise("user_message").alias("type"),
         F.when(F.col("l_linestatus") == "F", "process_terminated").alias("reason"))
-    return seg.merge_events(e).select("session_uid", "source", "line", "id", F.col("ord").cast("long").alias("ord"))
+    empty = P.read(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("session_uid"), F.lit(3).cast("long").alias("seq"), F.lit(0).cast("long").alias("source"))
+    every = seg.with_last(e.select(*empty.columns).unionByName(empty).distinct())
+    return seg.merge_events(e.join(every, empty.columns)).select("session_uid", "source", "line", "id", F.col("ord").cast("long").alias("ord"))
 
 
 @query(f"""WITH {P.SEGMENTS} SELECT session_uid, count(*) AS segments, arg_min(ts, seq * 100000000 + source) AS ts, arg_max(revision, seq * 100000000 + source) FILTER (revision IS NOT NULL) AS revision FROM seg GROUP BY session_uid""")

@@ -67,6 +67,17 @@ def test_reconcile(spark):
     assert empty.records.count() == empty.groups.count() == empty.warnings.count() == 0
 
 
+def test_last_segment_without_entries(spark):
+    """The marker of a killed process goes if a segment follows, even an empty one, and is not counted as a repeat."""
+    dead = entry(9, "session_terminated", reason="process_terminated")
+    files = {"a": [header("u", 1), entry(1), dead], "b": [header("u", 2), entry(1), entry(2), dead], "c": [header("u", 3)], "d": [header("w", 1), entry(1), dead], "e": [header("w", 2), dead]}
+    out = reconcile.reconcile(frame(spark, files))
+    groups = {r["session"]: r for r in out.groups.collect()}
+    assert [(groups[k]["events"], groups[k]["events_deduped"]) for k in ("uid:u", "uid:w")] == [(2, 1), (2, 0)]
+    merged = [json.loads(r["raw"]) for r in out.records.filter("session = 'uid:u'").orderBy("ord").collect()]
+    assert [r["type"] for r in merged] == ["session", "user_message", "user_message"] and groups["uid:u"]["content_hash"] == digest(merged, 0)
+
+
 def test_stamp(spark):
     files = {"a": [{"type": "trail", "id": "01ARZ3NDEKTSV4RRFFQ69G0001", "ts": "2024-01-01T00:00:00.000Z"}, header(fork_from={"content_hash": "<pending>"}), entry(1), header(), entry(2), entry(3)], "b": [header(content_hash="old"), entry(1)]}
     got = {}
