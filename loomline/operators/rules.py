@@ -65,15 +65,20 @@ def present(path: str) -> Column:
     return F.try_variant_get("value", path, "variant").isNotNull()
 
 
-def promoted(lines: DataFrame) -> DataFrame:
-    """The fields that rules look at, of parsed lines (file, line, value)."""
-    return sequences.session_groups(lines.filter("value is not null").select(
-        "file", "line", "value", field("$.type").alias("type"), field("$.id").alias("id"), field("$.parent_id").alias("parent_id"), field("$.ts").alias("ts"),
+def fields(lines: DataFrame) -> DataFrame:
+    """The fields that rules look at, of parsed lines (file, line, value, ..); works on streams."""
+    return lines.select(
+        *lines.columns, field("$.type").alias("type"), field("$.id").alias("id"), field("$.parent_id").alias("parent_id"), field("$.ts").alias("ts"),
         field("$.schema_version").alias("schema_version"), field("$.content_hash").alias("content_hash"), field("$.stream.state").alias("stream_state"),
         field("$.semantic.call_id").alias("call_id"), field("$.payload.for_id").alias("for_id"), field("$.vcs.revision").alias("revision"), field("$.vcs.remote_url").alias("remote_url"),
         field("$.payload.final_message_id").alias("final_message_id"), present("$.parent_id").alias("has_parent"),
         field("$.agent.name").alias("agent"), field("$.fork_from.session_id").alias("forked_from"), field("$.fork_from.content_hash").alias("forked_hash"),
-        field("$.source.raw.envelope_ref").alias("envelope_ref")), ["file"])
+        field("$.source.raw.envelope_ref").alias("envelope_ref"))
+
+
+def promoted(lines: DataFrame) -> DataFrame:
+    """The fields of the lines that hold an object, with the session that each belongs to."""
+    return sequences.session_groups(fields(lines.filter("value is not null").select("file", "line", "value")), ["file"])
 
 
 DIAGNOSTIC = "struct<path: string, severity: string, code: string, message: string>"
@@ -87,8 +92,8 @@ def _say(df: DataFrame, severity: str, code: str, path: str, message: Column) ->
     return df.select("file", "line", F.lit(path).alias("path"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))
 
 
-def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
-    """Diagnostics of rules that look at one line, all in one pass over the lines.
+def record_findings(r: DataFrame, profile: str = "strict") -> DataFrame:
+    """`r` with `found`, the diagnostics of rules that look at one line, all in one pass over the lines; works on streams.
 
     A tolerant reader is only warned of unknown types and payload fields.
     """
@@ -132,8 +137,13 @@ def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
     secrets = F.filter(F.map_keys(redact.counts("raw", redact.PATTERNS)), lambda k: k != "home_path")
     sniffed = F.when(raw.isNotNull(), F.transform(secrets, lambda k: _diagnostic(F.lit("/source/raw"), "warning", "source_raw_unredacted_secret", k)))
     every = F.concat(F.filter(F.array(*found), lambda d: d.isNotNull()), F.coalesce(extra, none), F.coalesce(sniffed, none))
-    rows = r.withColumn("raw", F.to_json(F.try_variant_get("value", "$.source.raw", "variant")))
-    return rows.select("file", "line", F.explode(every).alias("d")).select("file", "line", "d.*")
+    kept = [c for c in r.columns if c != "raw"]
+    return r.withColumn("raw", F.to_json(F.try_variant_get("value", "$.source.raw", "variant"))).select(*kept, every.alias("found"))
+
+
+def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
+    """The findings of single lines, one a row."""
+    return record_findings(r, profile).select("file", "line", F.explode("found").alias("d")).select("file", "line", "d.*")
 
 
 def fork_mismatches(headers: DataFrame) -> DataFrame:

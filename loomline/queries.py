@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S
 from loomline.operators import adapters, compare, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
+from loomline.session import shared_folder
 from loomline.sources import jsonl
+from loomline.streaming import validation
 
 FLAGSHIP = "unmatched_tool_calls"
 QUERIES: dict = {}
@@ -585,3 +589,38 @@ def entry_diff(spark, sf_dir):
     changed = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit("  more"))).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  "))))
     out = compare.compare_entries(entries("a", F.col("text")), entries("b", changed), ["conv_id", "turn"])
     return out.groupBy("side", "verdict").agg(F.count("*").alias("n"))
+
+
+def _own_id(turn):
+    """An id of a turn; every seventh repeats the one before."""
+    return F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.when(turn % 7 == 6, turn - 1).otherwise(turn).cast("string"), 12, "0"))
+
+
+_TURN_ID = lambda t: f"'00000000-0000-4000-8000-' || lpad(CAST(CASE WHEN ({t}) % 7 = 6 THEN ({t}) - 1 ELSE ({t}) END AS VARCHAR), 12, '0')"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AS last FROM conversations),
+e AS (SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS INTEGER) AS line, turn, last FROM c WHERE turn > 0)
+SELECT file, line, '/id' AS path, 'duplicate_id' AS code, 'first on line ' || turn AS message FROM e WHERE turn % 7 = 6
+UNION ALL SELECT file, line, '/parent_id', 'parent_cycle', {_TURN_ID('turn')} FROM e WHERE turn % 7 = 5
+UNION ALL SELECT file, line, '/parent_id', 'unknown_parent_id', {_TURN_ID('turn + 1')} FROM e WHERE last AND turn % 7 <> 5
+UNION ALL SELECT file, line, '/id', 'unmatched_tool_call_at_eof', 'tool_call "' || {_TURN_ID('turn')} || '" has no matching tool_result at EOF' FROM e WHERE last AND turn % 3 = 1
+UNION ALL SELECT file, line, '/payload/text', 'required', 'must have required property ''text''' FROM e WHERE turn % 3 = 0 AND turn % 9 <> 0""")
+def stream_checks(spark, sf_dir):
+    """Conversations as session files that arrive in two parts, checked as a stream that starts again from its state."""
+    turn, ts = F.col("turn"), F.lit("2024-01-01T00:00:00.000Z")
+    head = F.to_json(F.struct(F.lit("session").alias("type"), F.lit("0.1.0").alias("schema_version"), F.concat(F.lit("00000000-0000-4000-9000-"), F.lpad(F.col("conv_id").cast("string"), 12, "0")).alias("id"), ts.alias("ts")))
+    kind = F.when(turn % 3 == 1, "tool_call").when(turn % 3 == 2, "tool_result").otherwise("user_message")
+    payload = F.struct(
+        F.when(turn % 3 == 1, "x").alias("tool"), F.when(turn % 3 == 1, F.struct(F.lit(1).alias("n"))).alias("args"), F.when(turn % 3 == 2, True).alias("ok"),
+        F.when((turn % 3 == 2) & (turn % 4 != 0), _own_id(turn - 1)).alias("for_id"), F.when(turn % 9 == 0, "text").alias("text"))
+    event = F.to_json(F.struct(kind.alias("type"), _own_id(turn).alias("id"), ts.alias("ts"), _own_id(turn + 1).alias("parent_id"), payload.alias("payload")))
+    rows = P.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file"), (turn + 1).cast("int").alias("line"), F.when(turn == 0, head).otherwise(event).alias("raw"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    schema = "file string, line int, raw string"
+    ends = rows.select("file").distinct().select("file", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("raw"))
+    for part in (rows.filter("line <= 4"), rows.filter("line > 4").unionByName(ends)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = validation.validated(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(validation.DIAGNOSTICS).parquet(f"{folder}/out").filter("final").select("file", "line", "path", "code", "message")
