@@ -128,9 +128,11 @@ def duration_ms(millis, secs, nanos) -> Column:
     return F.coalesce(F.floor(_col(millis)).cast("long"), F.coalesce(_col(secs), F.lit(0)) * 1000 + F.round(F.coalesce(_col(nanos), F.lit(0)) / 1_000_000).cast("long"))
 
 
-def mangled_cwd(path) -> Column:
-    """The directory name that a working directory gets."""
-    return F.regexp_replace(_col(path), r"[^A-Za-z0-9]", "-")
+def mangled_cwd(path, wrapped: bool = False) -> Column:
+    """The folder name that a working directory gets: separators and colons become dashes; the wrapped form drops the first slash and stands between double dashes."""
+    plain = F.regexp_replace(_col(path), r"\\", "/")
+    inner = F.regexp_replace(F.regexp_replace(plain, "^/", "") if wrapped else plain, "[/:]", "-")
+    return F.concat(F.lit("--"), inner, F.lit("--")) if wrapped else inner
 
 
 def mask(text) -> Column:
