@@ -84,10 +84,145 @@ def bag_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.explode(verdicts).alias("v")).select(*keys, "v.verdict", "v.n").filter("n > 0")
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): the path of every node up to its root, itself at depth 0."""
-    up = closure(edges).select("id", "ancestor", "depth")
-    return edges.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(up)
+def _known_parents(nodes: DataFrame, scope: list[str]) -> DataFrame:
+    """`nodes(scope, id, parent_id, ..)` with null for parents that are no node of the scope."""
+    known = nodes.select(*scope, F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    return nodes.join(known, [*scope, "parent_id"], "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id"))).drop("_known")
+
+
+class Forest:
+    """Paths to the root of many nodes at once, by doubled jumps.
+
+    nodes(scope, id, parent_id), and more columns. A parent that is no node of the scope ends
+    the path like null does. A path that comes to a cycle ends before it repeats a node, so
+    its last node depends on where it enters. `depth` has (scope, id, root, depth): the last
+    node of a node's path and how many steps it is away. `jumps[k]` has (scope, id, to): the
+    node 2^k steps up, which means something where the path is that long.
+    """
+
+    def __init__(self, nodes: DataFrame, scope: list[str]):
+        self.scope = scope
+        self.nodes = durable(_known_parents(nodes, scope))
+        most = self.nodes.groupBy(*scope).count().agg(F.max("count")).first()[0] or 1
+        self.rounds = max(1, most.bit_length())
+        ups = self.nodes.filter("parent_id is not null").select(*scope, "id", F.col("parent_id").alias("to"))
+        ring = durable(cyclic_ids(self.nodes.select(*scope, "id", "parent_id"), scope, most)) if not ups.isEmpty() else self.nodes.select(*scope, "id").limit(0)
+        # Steps to the root or to the first node on a cycle: both point to themselves.
+        end = F.col("to").isNull() | F.col("_ring").isNotNull()
+        walk = self.nodes.select(*scope, "id", F.col("parent_id").alias("to")).join(ring.withColumn("_ring", F.lit(True)), [*scope, "id"], "left").select(
+            *scope, "id", F.when(end, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(end, 0).otherwise(1).cast("long").alias("steps"))
+        walk = durable(walk)
+        for _ in range(self.rounds):
+            next_ = walk.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
+            walk = durable(walk.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+        # A path that enters a cycle goes once around it: its last node is the one whose parent is where it entered.
+        lap = durable(self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, "id", F.col("parent_id").alias("to"), F.col("id").alias("least")))
+        for _ in range(self.rounds if not lap.isEmpty() else 0):
+            next_ = lap.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("other"))
+            lap = durable(lap.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
+        around = lap.join(lap.groupBy(*scope, "least").agg(F.count("*").alias("around")), [*scope, "least"]).select(*scope, F.col("id").alias("to"), "around")
+        before = self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, F.col("parent_id").alias("to"), F.col("id").alias("last"))
+        self.depth = durable(walk.join(around, [*scope, "to"], "left").join(before, [*scope, "to"], "left").select(
+            *scope, "id", F.coalesce("last", "to").alias("root"), (F.col("steps") + F.coalesce(F.col("around") - 1, F.lit(0))).alias("depth")))
+        deepest = self.depth.agg(F.max("depth")).first()[0] or 0
+        self.jumps = [durable(ups)]
+        while 1 << len(self.jumps) <= deepest:
+            last = self.jumps[-1]
+            self.jumps.append(durable(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"))))
+
+    def joined(self, rows: DataFrame, column: str, table: DataFrame, **names: str) -> DataFrame:
+        """`rows` with columns of a table by the id in `column`, null where there is none."""
+        right = table.select(*[F.col(c).alias(f"__{c}") for c in self.scope], F.col("id").alias("__id"), *[F.col(c).alias(n) for c, n in names.items()])
+        on = [F.col(c) == F.col(f"__{c}") for c in self.scope] + [F.col(column) == F.col("__id")]
+        return rows.join(right, on, "left").drop("__id", *[f"__{c}" for c in self.scope])
+
+    def lifted(self, rows: DataFrame, column: str, steps: str) -> DataFrame:
+        """`rows` with the node in `column` moved up by the number in `steps`."""
+        for k, jump in enumerate(self.jumps):
+            far = F.shiftright(F.coalesce(steps, F.lit(0).cast("long")), k).bitwiseAND(1) == 1
+            rows = self.joined(rows, column, jump, to="_to").withColumn(column, F.when(far, F.col("_to")).otherwise(F.col(column))).drop("_to")
+        return rows
+
+
+def diverging(forest: Forest, pairs: DataFrame) -> DataFrame:
+    """`pairs(scope, abandoned, active)` with `child`, the first node of the abandoned path, from the root, that is not on the active one, and `down`, its steps from the abandoned leaf.
+
+    Both are null where the paths share no root, where the whole abandoned path is on the
+    active one, and where a leaf is null or no node. Lowest common ancestors of all pairs
+    are found together: the deeper leaf is lifted, then both, by ever smaller jumps.
+    """
+    f = forest
+    rows = f.joined(f.joined(pairs, "abandoned", f.depth, root="_r1", depth="_d1"), "active", f.depth, root="_r2", depth="_d2")
+    rows = rows.withColumn("_u", F.when(F.col("_r1") == F.col("_r2"), F.col("abandoned"))).withColumn("_v", F.when(F.col("_r1") == F.col("_r2"), F.col("active")))
+    over = F.col("_d1") - F.col("_d2")
+    # One step short of the active leaf's depth, so that a leaf on the abandoned path shows its child.
+    rows = f.lifted(rows.withColumn("_a", F.greatest(over - 1, F.lit(0))).withColumn("_b", F.greatest(-over, F.lit(0))), "_u", "_a")
+    rows = f.joined(f.lifted(rows, "_v", "_b"), "_u", f.jumps[0], to="_p")
+    rows = rows.withColumn("_found", (over > 0) & (F.col("_p") == F.col("_v")))
+    rows = durable(rows.withColumn("child", F.when(F.col("_found"), F.col("_u"))).withColumn("_u", F.when((over > 0) & ~F.col("_found"), F.col("_p")).otherwise(F.col("_u"))))
+    # From here on both stand at one depth; equal nodes are the abandoned leaf itself.
+    apart = ~F.coalesce("_found", F.lit(True)) & (F.col("_u") != F.col("_v"))
+    rows = rows.withColumn("_apart", F.coalesce(apart, F.lit(False))).withColumn("_left", F.least("_d1", "_d2"))
+    for k in reversed(range(len(f.jumps))):
+        rows = f.joined(f.joined(rows, "_u", f.jumps[k], to="_x"), "_v", f.jumps[k], to="_y")
+        go = F.coalesce(F.col("_apart") & (F.col("_left") >= 1 << k) & (F.col("_x") != F.col("_y")), F.lit(False))
+        rows = rows.withColumn("_go", go).withColumn("_u", F.when(F.col("_go"), F.col("_x")).otherwise(F.col("_u"))).withColumn("_v", F.when(F.col("_go"), F.col("_y")).otherwise(F.col("_v")))
+        rows = durable(rows.withColumn("_left", F.when(F.col("_go"), F.col("_left") - (1 << k)).otherwise(F.col("_left"))).drop("_x", "_y", "_go"))
+    rows = rows.withColumn("child", F.when(F.col("_apart"), F.col("_u")).otherwise(F.col("child")))
+    level = F.when(F.col("_apart"), F.col("_left")).otherwise(F.col("_d2") + 1)
+    return durable(rows.withColumn("down", F.when(F.col("child").isNotNull(), F.col("_d1") - level)).select(*pairs.columns, "child", "down"))
+
+
+def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+    """`pairs(scope, abandoned, active)` with `root`, the entry that an abandoned branch starts with.
+
+    nodes(scope, id, parent_id, entry): entry is what a node became, null if nothing. The root
+    is the entry of the first node with one on the abandoned path below where it leaves the
+    active path. Where there is no such node, no common root, no active leaf, or where the
+    abandoned leaf is on the active path, it is the entry of the nearest node upwards from the
+    leaf, itself included, and without any the leaf's id.
+    """
+    forest = Forest(nodes.select(*scope, "id", "parent_id", "entry"), scope)
+    own = forest.nodes
+    # The nearest proper ancestor with an entry, and how far it is: found within 2^k steps, or the node that far up.
+    has = own.select(*scope, F.col("id").alias("to"), F.col("entry").isNotNull().alias("hit"))
+    near = durable(own.filter("parent_id is not null").select(*scope, "id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("steps")).join(has, [*scope, "to"]))
+    for _ in range(forest.rounds + 1):
+        next_ = near.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("hit").alias("found"))
+        both = near.join(next_, [*scope, "to"], "left")
+        go = ~F.col("hit") & F.col("far").isNotNull()
+        near = durable(both.select(*scope, "id", F.when(go, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(go, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"), F.when(go, F.col("found")).otherwise(F.col("hit")).alias("hit")))
+    near = near.filter("hit").select(*scope, "id", "to", "steps")
+    rows = diverging(forest, pairs)
+    rows = forest.joined(forest.joined(rows, "abandoned", own, entry="_own"), "abandoned", near, to="_n", steps="_s")
+    start = F.col("_own").isNotNull()
+    rows = rows.withColumn("_at", F.when(start, F.col("abandoned")).otherwise(F.col("_n"))).withColumn("_gone", F.when(start, F.lit(0).cast("long")).otherwise(F.col("_s")))
+    rows = rows.withColumn("_near", F.col("_at")).drop("_own", "_n", "_s")
+    # Up along nodes with an entry, as far as the child allows.
+    leaps = [near]
+    for _ in forest.jumps[1:]:
+        last = leaps[-1]
+        leaps.append(durable(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))))
+    for leap in reversed(leaps):
+        rows = forest.joined(rows, "_at", leap, to="_x", steps="_s").withColumn("_go", F.coalesce(F.col("_gone") + F.col("_s") <= F.col("down"), F.lit(False)))
+        rows = durable(rows.withColumn("_at", F.when(F.col("_go"), F.col("_x")).otherwise(F.col("_at"))).withColumn("_gone", F.when(F.col("_go"), F.col("_gone") + F.col("_s")).otherwise(F.col("_gone"))).drop("_x", "_s", "_go"))
+    rows = rows.withColumn("_at", F.when(F.col("_gone") <= F.col("down"), F.col("_at")).otherwise(F.col("_near")))
+    rows = forest.joined(rows, "_at", own, entry="_entry")
+    return rows.select(*pairs.columns, F.coalesce(F.col("_entry").cast("string"), F.col("abandoned").cast("string")).alias("root"))
+
+
+def active_paths(nodes: DataFrame, leaves: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, leaf, id, up): all nodes on the path of each leaf, and how many steps up they are.
+
+    Marks are pushed along jumps of 2^k steps, from the longest down, so a path of n nodes takes
+    log n joins. leaves(scope, leaf); leaves that are no node have no path.
+    """
+    forest = Forest(nodes.select(*scope, "id", "parent_id"), scope)
+    marks = forest.joined(leaves.select(*scope, "leaf"), "leaf", forest.depth, depth="_left").filter("_left is not null").select(*scope, "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"), "_left")
+    for k in reversed(range(len(forest.jumps))):
+        far = marks.filter(F.col("_left") >= 1 << k).join(forest.jumps[k], [*scope, "id"]).select(*scope, "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"), (F.col("_left") - (1 << k)).alias("_left"))
+        marks = durable(marks.unionByName(far))
+    return marks.drop("_left")
 
 
 def divergence_roots(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -96,8 +231,7 @@ def divergence_roots(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     It is the topmost node of the abandoned path that is not on the active path; null if
     the whole abandoned path is on it. pairs(abandoned, active) are leaves.
     """
-    p = durable(paths(edges))
-    mine = pairs.join(p.select(F.col("id").alias("abandoned"), F.col("ancestor").alias("node"), "depth"), "abandoned")
-    theirs = p.select(F.col("id").alias("active"), F.col("ancestor").alias("node"))
-    own = mine.join(theirs, ["active", "node"], "left_anti").groupBy("abandoned", "active").agg(F.max_by("node", "depth").alias("root"))
-    return pairs.join(own, ["abandoned", "active"], "left").select("abandoned", "active", "root")
+    forest = Forest(edges.withColumn("tree", F.lit(0)).select("tree", "id", "parent_id"), ["tree"])
+    rows = diverging(forest, pairs.select(F.lit(0).alias("tree"), "abandoned", "active"))
+    rows = forest.joined(forest.joined(rows, "abandoned", forest.depth, root="_r1"), "active", forest.depth, root="_r2")
+    return rows.select("abandoned", "active", F.coalesce("child", F.when(F.col("_r1") != F.col("_r2"), F.col("_r1"))).alias("root"))

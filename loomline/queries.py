@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.functions import scalars as S
+from loomline.functions import scalars as S, versions
 from loomline.operators import adapters, compare, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.session import shared_folder
@@ -624,3 +624,74 @@ def stream_checks(spark, sf_dir):
         found = validation.validated(spark.readStream.schema(schema).parquet(f"{folder}/in"))
         found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(validation.DIAGNOSTICS).parquet(f"{folder}/out").filter("final").select("file", "line", "path", "code", "message")
+
+
+_OWN_RANGES = {
+    "codex": versions.Ranges((("c1", ">=0.128.0 <0.129.0"), ("c2", ">=0.129.0 <1.0.0"), ("c3", ">=1.0.0 <3.0.0-rc.20")), "old"),
+    "pi": versions.Ranges((("p1", ">=3.0.0 <4.0.0"), ("p2", ">=2.0.0")), None),
+    "claude-code": versions.Ranges((("a1", ">0.0.0 <=2.0.0"),), "a0"),
+}
+
+
+@query("""WITH v AS (SELECT p_partkey, p_size % 5 AS a, p_partkey % 140 AS b, p_size AS s, p_partkey % 8 AS k,
+    CASE p_partkey % 5 WHEN 0 THEN 'codex' WHEN 1 THEN 'pi' WHEN 2 THEN 'claude-code' WHEN 3 THEN 'other' ELSE 'codex' END AS agent FROM part),
+n AS (SELECT *, CASE k WHEN 0 THEN {'a': 0, 'b': b, 'c': s, 'rel': 1, 'n': 0} WHEN 1 THEN {'a': a, 'b': 0, 'c': b, 'rel': 1, 'n': 0} WHEN 2 THEN {'a': p_partkey % 6, 'b': 0, 'c': 0, 'rel': 1, 'n': 0}
+    WHEN 3 THEN {'a': a, 'b': 0, 'c': 0, 'rel': 0, 'n': b} WHEN 4 THEN {'a': a, 'b': b, 'c': 0, 'rel': 1, 'n': 0} WHEN 7 THEN {'a': 0, 'b': 120 + s % 12, 'c': 0, 'rel': 0, 'n': 0} END AS v FROM v),
+o AS (SELECT *, v.a * 1000000 + v.b * 1000 + v.c AS x, v.rel = 1 AS rel, v.n AS n FROM n)
+SELECT p_partkey, agent, CASE WHEN k = 5 THEN NULL WHEN agent = 'codex' THEN CASE
+    WHEN x >= 128000 AND (x > 128000 OR rel) AND (x < 129000 OR x = 129000 AND NOT rel) THEN 'c1'
+    WHEN x >= 129000 AND (x > 129000 OR rel) AND (x < 1000000 OR x = 1000000 AND NOT rel) THEN 'c2'
+    WHEN x >= 1000000 AND (x > 1000000 OR rel) AND (x < 3000000 OR x = 3000000 AND NOT rel AND n < 20) THEN 'c3' ELSE 'old' END
+  WHEN agent = 'pi' THEN CASE WHEN x >= 3000000 AND (x > 3000000 OR rel) AND (x < 4000000 OR x = 4000000 AND NOT rel) THEN 'p1' WHEN x >= 2000000 AND (x > 2000000 OR rel) THEN 'p2' END
+  WHEN agent = 'claude-code' THEN CASE WHEN x > 0 AND x <= 2000000 THEN 'a1' ELSE 'a0' END END AS schema_version FROM o""")
+def schema_versions(spark, sf_dir):
+    """Parts as sources with versions of every shape: released, prefixed, short, prerelease, inside a text, null, none."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    a, b, text = (size % 5).cast("string"), (key % 140).cast("string"), F.concat
+    k = key % 8
+    version = (F.when(k == 0, text(F.lit("0."), b, F.lit("."), size)).when(k == 1, text(F.lit("v"), a, F.lit(".0."), b)).when(k == 2, (key % 6).cast("string")).when(k == 3, text(a, F.lit(".0.0-rc."), b))
+               .when(k == 4, text(F.lit("build "), a, F.lit("."), b, F.lit(" x"))).when(k == 5, None).when(k == 6, "none").otherwise(text(F.lit("0."), 120 + size % 12, F.lit(".0-alpha"))))
+    agent = F.element_at(F.array(*map(F.lit, ("codex", "pi", "claude-code", "other", "codex"))), (key % 5 + 1).cast("int"))
+    rows = P.read(spark, sf_dir, "part").select("p_partkey", agent.alias("agent"), version.alias("version"))
+    return rows.select("p_partkey", "agent", versions.schema_version("agent", "version", _OWN_RANGES).alias("schema_version"))
+
+
+_BRANCHES = """r AS (SELECT user_id, event_id AS id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+n AS (SELECT a.*, CASE WHEN a.n = 1 AND a.user_id % 10 = 0 THEN f.id WHEN a.id % 50 = 7 THEN -a.id ELSE b.id END AS up, CASE WHEN a.id % 4 <> 0 THEN 'e' || a.id END AS entry
+  FROM r a LEFT JOIN r b ON a.user_id = b.user_id AND b.n = a.n - 1 - a.id % 3 LEFT JOIN r f ON a.user_id = f.user_id AND f.n = 5),
+leaf AS (SELECT user_id, max(id) AS active FROM n GROUP BY user_id),
+walk AS (SELECT user_id, id AS start, id AS node, [id] AS path FROM n UNION ALL
+  SELECT w.user_id, w.start, p.id, list_append(w.path, p.id) FROM walk w JOIN n c ON c.user_id = w.user_id AND c.id = w.node JOIN n p ON p.user_id = c.user_id AND p.id = c.up WHERE NOT list_contains(w.path, p.id)),
+path AS (SELECT user_id, start, arg_max(path, len(path)) AS path FROM walk GROUP BY ALL)"""
+
+
+def _branches(spark, sf_dir):
+    """events as nodes of their user: each hangs on one of the three before it, some on nothing that is there, some users' first one on their fifth."""
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    r = P.read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "event_type", n.alias("n"))
+    before = r.select("user_id", F.col("n").alias("at"), F.col("id").alias("b_id"))
+    fifth = r.filter("n = 5").select("user_id", F.col("id").alias("f_id"))
+    rows = r.withColumn("at", F.col("n") - 1 - F.col("id") % 3).join(before, ["user_id", "at"], "left").join(fifth, "user_id", "left")
+    up = F.when((F.col("n") == 1) & (F.col("user_id") % 10 == 0), F.col("f_id")).when(F.col("id") % 50 == 7, -F.col("id")).otherwise(F.col("b_id"))
+    return rows.select("user_id", "id", "event_type", up.alias("parent_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("e"), "id")).alias("entry"))
+
+
+@query(f"""WITH RECURSIVE {_BRANCHES},
+p AS (SELECT n.user_id, n.id AS abandoned, l.active, list_reverse(a.path) AS one, list_reverse(b.path) AS two, a.path AS up FROM n JOIN leaf l USING (user_id) JOIN path a ON a.user_id = n.user_id AND a.start = n.id JOIN path b ON b.user_id = n.user_id AND b.start = l.active WHERE n.event_type = 'purchase'),
+c AS (SELECT *, len(list_filter(range(1, least(len(one), len(two)) + 1), lambda k: one[1:k] = two[1:k])) AS same FROM p),
+e AS (SELECT user_id, map_from_entries(list((id, entry))) AS entries FROM n WHERE entry IS NOT NULL GROUP BY user_id),
+m AS (SELECT c.*, CASE WHEN same > 0 THEN list_filter(list_transform(one[same + 1:], lambda x: entries[x]), lambda x: x IS NOT NULL)[1] END AS below, list_filter(list_transform(up, lambda x: entries[x]), lambda x: x IS NOT NULL)[1] AS near FROM c LEFT JOIN e USING (user_id))
+SELECT user_id, abandoned, active, coalesce(below, near, CAST(abandoned AS VARCHAR)) AS root FROM m""")
+def branch_roots(spark, sf_dir):
+    """Purchases as leaves of abandoned branches, their user's last event as the active leaf."""
+    nodes = _branches(spark, sf_dir)
+    pairs = nodes.filter("event_type = 'purchase'").select("user_id", F.col("id").alias("abandoned")).join(nodes.groupBy("user_id").agg(F.max("id").alias("active")), "user_id")
+    return graph.branch_roots(nodes, pairs, ["user_id"])
+
+
+@query(f"""WITH RECURSIVE {_BRANCHES}, a AS (SELECT p.user_id, p.start AS leaf, p.path FROM path p JOIN leaf l ON l.user_id = p.user_id AND l.active = p.start), k AS (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM a)
+SELECT user_id, leaf, path[i] AS id, CAST(i - 1 AS BIGINT) AS up FROM k""")
+def active_paths(spark, sf_dir):
+    """The path of each user's last event."""
+    nodes = _branches(spark, sf_dir)
+    return graph.active_paths(nodes, nodes.groupBy("user_id").agg(F.max("id").alias("leaf")), ["user_id"])
