@@ -1,17 +1,20 @@
 """Phrases that hold together, from position bitmaps.
 
 Documents of one language are laid end to end into shards: rows of word numbers, with a
-gap wherever a piece ends. A shard is read in blocks, and in a block each word has a
-bitmap of its positions; blocks without the word hold nothing for it. A phrase's bitmap is
-that of the phrase without its last word, shifted by one, AND that of the last word; its
-popcount is how often the phrase occurs there. A gap has no bit, so no phrase leaves its
-piece. A block owns the positions at which a phrase starts and sees three more, so every
-occurrence is counted once. Popcounts add up over blocks and shards.
-
-No shard knows what is frequent elsewhere, so there are three passes, and after each the
-rows of all shards are summed: words; pairs of frequent words, whose sums are taken by
-hash, which may let a pair too many pass and never one too few; and then, depth-first from
-every pair that passed, pairs, triples and quadruples with their exact counts.
+gap wherever a piece ends. A shard is read in blocks of `OWNED` positions and three more,
+and in a block each word has a bitmap of its positions, one 64-bit number; blocks without
+the word hold nothing for it. A phrase's bitmap is that of the phrase without its last word,
+shifted by one, AND that of the last word; its popcount is how often the phrase occurs
+there. A gap has no bit, so no phrase leaves its piece. A block counts the phrases that
+start at a position it owns, so every occurrence is counted once. Blocks are taken in
+slices, each from words to its longest phrases before the next one, and popcounts add up
+over blocks, slices and shards.
+
+No shard knows what is frequent elsewhere, so there are passes, and after each the counts of
+all shards are summed: words; pairs of frequent words; triples both of whose pairs passed;
+and at last the phrases themselves, a quadruple if both its triples passed. Pairs and
+triples are summed by hash, in buckets of which a shard sends each one row. A hash may let a
+phrase too many pass and never one too few, and the last sums are of the phrases' own words.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ from __future__ import annotations
 import uuid
 import zlib
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import mapped, slices
+from loomline.llm.common import grouped, mapped, slices
 from loomline.session import shared_folder
 
 #: Words of a phrase, at most; occurrences of one that counts, at least; phrases reported for a language.
@@ -41,9 +45,9 @@ class Sizes(NamedTuple):
     """What bounds the memory of a task; no result depends on it."""
 
     #: Positions of a shard.
-    shard: int = 1 << 21
-    #: Positions of a block: so few that an operation on its bitmaps takes a fraction of a microsecond.
-    block: int = 1 << 12
+    shard: int = 1 << 20
+    #: Blocks of a slice.
+    blocks: int = 1 << 12
     #: Positions that a task holds for all languages together.
     held: int = 1 << 22
     #: Bytes of a text that are cut into words at once.
@@ -51,6 +55,10 @@ class Sizes(NamedTuple):
 
 
 SIZES = Sizes()
+#: Positions of a block that phrases start at; with WORDS - 1 more they fit into 64 bits.
+OWNED = 60
+#: Phrases of a bucket, about, and the bits that number the buckets, at least and at most.
+BUCKET, FEW_BITS, MOST_BITS = 1 << 20, 8, 16
 #: Shares of the rule that drops what a longer phrase explains, and the scale of scores.
 INSIDE, OUTSIDE, SCALE = 100, 80, 2_000_000
 _GAP = b","
@@ -64,6 +72,27 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+@contextmanager
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here send Python one row at a time: a shard is megabytes, and a batch of many would be held by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers in few bytes: their bytes by place, of which the high ones are mostly zero."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _chunks(raw: bytes, size: int) -> Iterator[bytes]:
     """A text in parts that end where a word ends."""
     at = 0
@@ -104,7 +133,7 @@ def shards(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
             one = lambda x, kind: pa.array([x], kind)
             return pa.RecordBatch.from_arrays([
                 one(task << 32 | made, pa.int64()), one(lang, pa.string()), one(own, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.array(list(known), pa.binary()).cast(pa.string())),
-                one(counts, pa.list_(pa.int32())), one(zlib.compress(seq.tobytes(), 1), pa.binary())], ["shard", "lang", "own", "words", "counts", "seq"])
+                one(counts, pa.list_(pa.int32())), one(_packed(seq), pa.binary())], ["shard", "lang", "own", "words", "counts", "seq"])
 
         for part in (p for whole in batches for p in slices(whole, 1)):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
@@ -131,72 +160,29 @@ def frequent_words(parts: DataFrame, least: int = LEAST) -> DataFrame:
     return each.withColumn("f", F.sum("n").over(W.partitionBy("lang", "word"))).filter(F.col("f") >= least).select("lang", "word", "f", "shard", "at")
 
 
-class _Blocks:
-    """The blocks of one shard, over the words that are asked for."""
-
-    def __init__(self, seq: bytes, own: int, wanted: np.ndarray, block: int):
-        row = np.frombuffer(zlib.decompress(seq), np.int32)
-        local = np.full(int(max(row.max(initial=0), wanted.max(initial=0))) + 1, -1, np.int32)
-        local[wanted] = wanted
-        local[0] = -1
-        self.row, self.own, self.block = local[row], own, block
-
-    def __iter__(self) -> Iterator[tuple[list[int], dict[int, int], dict[int, set[int]], int]]:
-        """Tokens (-1: none that counts), bitmaps by word, words seen behind each word, and the bits that are starts."""
-        for start in range(0, self.own, self.block):
-            owned = min(self.block, self.own - start)
-            row = self.row[start:start + owned + WORDS - 1]
-            order = np.argsort(row, kind="stable")
-            kinds = row[order]
-            order = order[np.searchsorted(kinds, 0):]
-            kinds = row[order]
-            if not len(kinds):
-                continue
-            edges = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1))
-            maps: dict[int, int] = {}
-            places, bits = order.tolist(), np.zeros(len(row), np.uint8)
-            for w, i, j in zip(kinds[edges[:-1]].tolist(), edges.tolist(), edges[1:].tolist()):
-                if j - i > 24:
-                    bits[:] = 0
-                    bits[order[i:j]] = 1
-                    maps[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-                else:
-                    x = 0
-                    for p in places[i:j]:
-                        x |= 1 << p
-                    maps[w] = x
-            tokens = row.tolist()
-            behind: dict[int, set[int]] = defaultdict(set)
-            for a, b in zip(tokens, tokens[1:]):
-                if a >= 0 and b >= 0:
-                    behind[a].add(b)
-            yield tokens, maps, behind, (1 << owned) - 1
-
-
-def _sums(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and the sums of their numbers."""
-    order = np.argsort(codes, kind="stable")
-    codes = codes[order]
-    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(n[order], first) if len(codes) else n
-
-
-def _pairs_of(seq: bytes, own: int, wanted: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of wanted words, as `first << 32 | second`, and how often they occur."""
-    codes, ns = array("q"), array("i")
-    summed = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for _, maps, behind, starts in _Blocks(seq, own, wanted, block):
-        for a, after in behind.items():
-            shifted = (maps[a] & starts) << 1
-            for b in after:
-                if n := (shifted & maps[b]).bit_count():
-                    codes.append(a << 32 | b)
-                    ns.append(n)
-        if len(codes) > 1 << 20:
-            summed.append((np.array(codes), np.array(ns, np.int64)))
-            codes, ns = array("q"), array("i")
-    summed.append((np.array(codes, np.int64), np.array(ns, np.int64)))
-    return _sums(np.concatenate([c for c, _ in summed]), np.concatenate([n for _, n in summed]))
+class _Level(NamedTuple):
+    """Phrases of one length in a slice: one entry for each block and phrase."""
+
+    #: Entry at each (block, start), -1 for none.
+    at: np.ndarray
+    #: Bitmap of the places of the last word.
+    bits: np.ndarray
+    #: The starts that the block owns.
+    own: np.ndarray
+    #: Columns of word numbers.
+    words: tuple[np.ndarray, ...]
+    #: Hash of the phrase.
+    key: np.ndarray
+
+    @property
+    def n(self) -> np.ndarray:
+        """Occurrences that start at a position of the block."""
+        return np.bitwise_count(self.bits & self.own << np.uint64(len(self.words) - 1)).astype(np.int64)
+
+    def kept(self, good: np.ndarray) -> _Level:
+        """The same level without the entries that are not good."""
+        at = np.where((self.at >= 0) & good[self.at], self.at, -1) if len(good) else self.at
+        return self._replace(at=at, bits=np.where(good, self.bits, np.uint64(0)))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,85 +192,194 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def frequent_pairs(parts: DataFrame, words: DataFrame, least: int = LEAST, block: int = SIZES.block) -> DataFrame:
-    """(shard, codes): the shard's pairs that may occur often enough over all shards; each that does is among them."""
-    own = words.groupBy("shard").agg(F.collect_list(F.struct("at", F.xxhash64("lang", "word").alias("h"))).alias("w")).select("shard", F.col("w.at").alias("ats"), F.col("w.h").alias("hs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(row: np.ndarray, own: int, hashes: np.ndarray, first: int, last: int) -> _Level:
+    """The words of blocks `first` to `last` of a shard that owns its first positions; `row` has -1 where no word counts."""
+    width = OWNED + WORDS - 1
+    place = np.arange(first, last)[:, None] * OWNED + np.arange(width)
+    token = np.where(place < len(row), row[np.minimum(place, len(row) - 1)], -1)
+    cells = np.flatnonzero(token >= 0)
+    words = token.ravel()[cells].astype(np.int64)
+    code = cells // width * len(hashes) + words
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    at = np.full(token.shape, -1, np.int64)
+    at.ravel()[cells[order]] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(code)]))
+    bit = np.uint64(1) << (cells[order] % width).astype(np.uint64)
+    bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
+    # The last block of a shard may own less than others.
+    starting = np.minimum(np.maximum(own - (first + cells[order][starts] // width) * OWNED, 0), OWNED).astype(np.uint64)
+    kinds = words[order][starts]
+    return _Level(at, bits, (np.uint64(1) << starting) - np.uint64(1), (kinds,), hashes[kinds])
+
+
+def _longer(level: _Level, words: _Level) -> _Level:
+    """Phrases one word longer, where the phrase's beginning and its end are entries of `level`."""
+    n = len(level.words)
+    here = level.at[:, :words.at.shape[1] - n]
+    last = words.at[:, n:]
+    good = (here >= 0) & (last >= 0)
+    if n > 1:
+        good &= level.at[:, 1:here.shape[1] + 1] >= 0
+    row, col = np.nonzero(good)
+    pair = here[row, col] * max(1, len(words.bits)) + last[row, col]
+    code, entry = np.unique(pair, return_inverse=True)
+    a, b = code // max(1, len(words.bits)), code % max(1, len(words.bits))
+    at = np.full((len(words.at), here.shape[1]), -1, np.int64)
+    at[row, col] = entry
+    return _Level(at, level.bits[a] << np.uint64(1) & words.bits[b], level.own[a], (*(w[a] for w in level.words), words.words[0][b]), _mixed(level.key[a], words.key[b]))
+
+
+def _slices(seq: bytes, own: int, ats: np.ndarray, hs: np.ndarray, blocks: int) -> Iterator[_Level]:
+    """The frequent words of a shard, slice by slice."""
+    row = _unpacked(seq).astype(np.int32)
+    size = int(max(row.max(initial=0), ats.max(initial=0))) + 1
+    local, hashes = np.full(size, -1, np.int32), np.zeros(size, np.int64)
+    local[ats], hashes[ats] = ats, hs
+    local[0] = -1
+    row, count = local[row], -(-own // OWNED)
+    for first in range(0, count, blocks):
+        yield _words(row, own, hashes, first, min(count, first + blocks))
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _short(key: np.ndarray, bits: int) -> np.ndarray:
+    """What is left of a hash: the bucket and 32 bits within it."""
+    return (key.view(np.uint64) >> np.uint64(32 - bits)).view(np.int64)
+
+
+def _known(key: np.ndarray, passed: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the hashes are among those that passed, which are in order."""
+    short = _short(key, bits)
+    if not len(passed):
+        return np.zeros(len(key), bool)
+    return passed[np.minimum(np.searchsorted(passed, short), len(passed) - 1)] == short
+
+
+def _numbers(blobs: list[bytes] | None) -> np.ndarray:
+    """Hashes that passed, in order, from blobs of a bucket's number and the 32 bits of each."""
+    parts = [np.frombuffer(b, np.uint32) for b in blobs or ()]
+    return np.sort(np.concatenate([p[1:].astype(np.int64) | int(p[0]) << 32 for p in parts])) if parts else np.zeros(0, np.int64)
+
+
+def _levels(batch: pa.RecordBatch, i: int, bits: int, blocks: int) -> Iterator[tuple[_Level, ...]]:
+    """Words, pairs and so on of each slice of a shard in row i, as far as what passed is known: columns own, seq, ats, hs, and pairs and triples if they are there."""
+    own, seq = batch.column("own")[i].as_py(), batch.column("seq")[i].as_py()
+    passed = [_numbers(batch.column(c)[i].as_py()) for c in ("pairs", "triples") if c in batch.schema.names]
+    for words in _slices(seq, own, batch.column("ats")[i].values.to_numpy(), batch.column("hs")[i].values.to_numpy(), blocks):
+        out = [words, _longer(words, words)]
+        for known in passed:
+            out[-1] = out[-1].kept(_known(out[-1].key, known, bits))
+            out.append(_longer(out[-1], words))
+        yield tuple(out)
+
+
+def _passing(rows: DataFrame, name: str, least: int, bits: int, blocks: int) -> DataFrame:
+    """(shard, name): the hashes of the longest phrases of a shard's levels that are frequent enough over all shards."""
+    most, kind = (255, np.uint8) if least <= 255 else (2**31 - 1, np.uint32)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, n_own, seq = (batch.column(k)[i].as_py() for k in range(3))
-                ats, hs = (batch.column(k)[i].values.to_numpy() for k in (3, 4))
-                codes, n = _pairs_of(seq, n_own, ats, block)
-                of = np.zeros(int(ats.max()) + 1, np.int64)
-                of[ats] = hs
-                key = _mixed(of[codes >> 32], of[codes & 0xFFFFFFFF])
-                for k in range(0, len(codes), 1 << 16):
-                    cut = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[cut]), shard)), pa.array(key[cut]), pa.array(codes[cut]), pa.array(n[cut])], ["shard", "key", "code", "n"])
-
-    rows = mapped(parts.select("shard", "own", "seq").join(own, "shard"), run, "shard long, key long, code long, n long")
-    return rows.withColumn("f", F.sum("n").over(W.partitionBy("key"))).filter(F.col("f") >= least).groupBy("shard").agg(F.collect_list("code").alias("codes"))
-
-
-def _extended(seq: bytes, own: int, codes: np.ndarray, block: int) -> dict[tuple[int, ...], int]:
-    """Counts of phrases of 2 to WORDS words all of whose pairs are among `codes`."""
-    follows: dict[int, set[int]] = defaultdict(set)
-    for a, b in zip((codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist()):
-        follows[a].add(b)
-    found: dict[tuple[int, ...], int] = defaultdict(int)
-    for tokens, maps, behind, starts in _Blocks(seq, own, np.unique(np.r_[codes >> 32, codes & 0xFFFFFFFF]), block):
-        nexts = {a: some for a, after in behind.items() if a in follows and (some := after & follows[a])}
-        # Depth-first: (phrase, its bitmap at the last word, how many bits it has).
-        stack = [((a,), bits, 1 << 30) for a in nexts if (bits := maps[a] & starts)]
-        while stack:
-            phrase, at, n = stack.pop()
-            some = nexts.get(phrase[-1])
-            if some is None:
-                continue
-            if n < len(some):
-                # Fewer places than words that may follow: take the words at these places.
-                here, rest = set(), at
-                while rest:
-                    low = rest & -rest
-                    here.add(tokens[p] if (p := low.bit_length()) < len(tokens) else -1)
-                    rest ^= low
-                some = some & here
-            shifted = at << 1
-            for w in some:
-                if bits := shifted & maps[w]:
-                    longer, n = (*phrase, w), bits.bit_count()
-                    found[longer] += n
-                    if len(longer) < WORDS:
-                        stack.append((longer, bits, n))
-    return found
+                sums = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for levels in _levels(batch, i, bits, blocks):
+                    n = levels[-1].n
+                    sums.append(_summed(_short(levels[-1].key, bits)[n > 0], n[n > 0]))
+                key, n = _summed(np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums]))
+                # Sums are only compared with the threshold, so larger counts may be cut to fit a byte.
+                low, n, bucket = key.astype(np.uint32), np.minimum(n, most).astype(kind), key >> 32
+                edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+                ends = list(zip(edges, edges[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[edges[:-1]], pa.int64()), pa.array(np.full(len(ends), batch.column("shard")[i].as_py())), pa.array([low[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([n[a:b].tobytes() for a, b in ends], pa.binary())],
+                    ["bucket", "shard", "low", "n"])
+
+    def decide(table: pa.Table) -> pa.Table:
+        lows = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
+        key, n = _summed(np.concatenate(lows), np.concatenate([np.frombuffer(x, kind) for x in table.column("n").to_pylist()]).astype(np.int64))
+        good = key[n >= least]
+        hit = np.isin(np.concatenate(lows), good)
+        bucket, at, shards_, out = np.array([table.column("bucket")[0].as_py()], np.uint32), 0, [], []
+        for shard, low in zip(table.column("shard").to_pylist(), lows):
+            if (own := low[hit[at:at + len(low)]]).size:
+                shards_.append(shard)
+                out.append(np.concatenate([bucket, own]).tobytes())
+            at += len(low)
+        return pa.table({"shard": pa.array(shards_, pa.int64()), "blob": pa.array(out, pa.binary())})
+
+    sent = mapped(rows, send, "bucket long, shard long, low binary, n binary")
+    return grouped(sent.groupBy("bucket"), decide, "shard long, blob binary", rows.sparkSession).groupBy("shard").agg(F.collect_list("blob").alias(name))
+
+
+def _exact(levels: list[tuple[np.ndarray, ...]], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of word numbers, and the sums of their counts."""
+    code = np.zeros(len(n), np.int64)
+    for column in levels:
+        _, code = np.unique(code * (int(column.max(initial=0)) + 1) + column, return_inverse=True)
+    key, first = np.unique(code, return_index=True)
+    return [c[first] for c in levels], np.bincount(code, n, len(key)).astype(np.int64)
+
+
+def _phrases(lang: str, names: pa.Array, columns: list[np.ndarray], bucket: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A shard's phrases of one length, a row for each bucket: the phrases in order, one a line, and their counts."""
+    if not len(n):
+        return
+    phrase = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in columns), " ")
+    order = pc.sort_indices(pa.table({"b": pa.array(bucket), "p": phrase}), [("b", "ascending"), ("p", "ascending")])
+    phrase, at = phrase.take(order), order.to_numpy()
+    bucket, n = bucket[at], n[at]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    blobs = [zlib.compress("\n".join(phrase[i:j].to_pylist()).encode(), 1) for i, j in zip(edges, edges[1:])]
+    counts = [_packed(n[i:j]) for i, j in zip(edges, edges[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(blobs)), pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["lang", "bucket", "phrases", "n"])
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, sizes: Sizes = SIZES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of 1 to WORDS words that occur often enough, and (lang, n) with all words."""
     parts = _stored(shards(docs, sizes))
+    n = _stored(parts.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(FEW_BITS, (total // BUCKET).bit_length()))
     words = _stored(frequent_words(parts, least))
-    pairs = frequent_pairs(parts, words, least, sizes.block)
+    own = _stored(words.groupBy("shard").agg(F.collect_list(F.struct("at", F.xxhash64("lang", "word").alias("h"))).alias("w")).select("shard", F.col("w.at").alias("ats"), F.col("w.h").alias("hs")))
+    plain = parts.select("shard", "own", "seq").join(own, "shard")
+    with _row_by_row(docs.sparkSession):
+        pairs = _stored(_passing(plain, "pairs", least, bits, sizes.blocks))
+    triples = _passing(plain.join(pairs, "shard"), "triples", least, bits, sizes.blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, own, seq = (batch.column(k)[i].as_py() for k in range(3))
-                codes = batch.column(4)[i].values.to_numpy()
-                names = batch.column(3)[i].values.cast(pa.binary())
-                used = np.unique(np.r_[codes >> 32, codes & 0xFFFFFFFF])
-                name = dict(zip(used.tolist(), names.take(pa.array(used)).to_pylist()))
-                found = _extended(seq, own, codes, sizes.block)
-                while found:
-                    some = [found.popitem() for _ in range(min(len(found), 1 << 16))]
-                    phrases = pa.array([b" ".join([name[w] for w in p]) for p, _ in some], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrases, pa.array([len(p) for p, _ in some], pa.int32()), pa.array([n for _, n in some], pa.int64())], ["lang", "phrase", "size", "f"])
-
-    found = mapped(parts.select("shard", "lang", "own", "seq", "words").join(pairs, "shard").select("lang", "own", "seq", "words", "codes"), run, "lang string, phrase string, size int, f long")
-    longer = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+                lang, names = batch.column("lang")[i].as_py(), batch.column("words")[i].values
+                found: list[list] = [[], [], []]
+                for levels in _levels(batch, i, bits, sizes.blocks):
+                    for k, level in enumerate(levels[1:]):
+                        some = level.n > 0
+                        found[k].append(_exact([*(w[some] for w in level.words), _short(level.key[some], bits) >> 32], level.n[some]))
+                for k, some in enumerate(found):
+                    if some:
+                        (*columns, bucket), n = _exact([np.concatenate([c[j] for c, _ in some]) for j in range(k + 3)], np.concatenate([n for _, n in some]))
+                        yield from _phrases(lang, names, columns, bucket, n)
+
+    def total_of(table: pa.Table) -> pa.Table:
+        parts_ = [(lang, zlib.decompress(blob).split(b"\n"), _unpacked(n)) for lang, blob, n in zip(table.column("lang").to_pylist(), table.column("phrases").to_pylist(), table.column("n").to_pylist())]
+        flat = pa.table({"lang": pa.array([lang for lang, p, _ in parts_ for _ in p]), "phrase": pa.array([x for _, p, _ in parts_ for x in p], pa.binary()).cast(pa.string()), "f": pa.array(np.concatenate([n for *_, n in parts_]).astype(np.int64))})
+        sums = flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+        return sums.filter(pc.greater_equal(sums.column("f"), least)).select(["lang", "phrase", "f"])
+
+    every = parts.join(own, "shard").join(pairs, "shard").join(triples, "shard", "left").select("lang", "own", "seq", "words", "ats", "hs", "pairs", "triples")
+    sent = mapped(every, send, "lang string, bucket long, phrases binary, n binary")
+    longer = grouped(sent.groupBy("bucket"), total_of, "lang string, phrase string, f long", docs.sparkSession).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f")
     single = words.groupBy("lang", F.col("word").alias("phrase")).agg(F.max("f").alias("f")).select("lang", "phrase", F.lit(1).alias("size"), "f")
-    n = parts.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n"))
-    return _stored(longer.unionByName(single)), n
+    with _row_by_row(docs.sparkSession):
+        return _stored(longer.unionByName(single)), n
 
 
 def _joined(words: Column, first: Column, n: Column) -> Column:

@@ -48,7 +48,7 @@ def some_rows(seed, n=150):
     return [*rows, *rows[:5], ("en", None), ("fr", ""), ("fr", None), ("it", "one two"), ("en", "alpha beta gamma delta epsilon " * 40)]
 
 
-@pytest.mark.parametrize("seed,sizes", [(1, collocations.SIZES), (2, collocations.Sizes(50, 7, 200, 100)), (3, collocations.Sizes(333, 64, 900, 40))])
+@pytest.mark.parametrize("seed,sizes", [(1, collocations.SIZES), (2, collocations.Sizes(50, 2, 200, 100)), (3, collocations.Sizes(333, 1, 900, 40))])
 def test_equal_to_counting(spark, seed, sizes):
     """Whatever the sizes of shards and blocks are; pieces longer than both are among the rows."""
     rows = some_rows(seed)
