@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.session import durable
+from loomline.session import durable, stored
 
 
 def duplicate_ids(records: DataFrame, scope: list[str], line: str = "line") -> DataFrame:
@@ -102,33 +102,33 @@ class Forest:
 
     def __init__(self, nodes: DataFrame, scope: list[str]):
         self.scope = scope
-        self.nodes = durable(_known_parents(nodes, scope))
+        self.nodes = stored(_known_parents(nodes, scope))
         most = self.nodes.groupBy(*scope).count().agg(F.max("count")).first()[0] or 1
         self.rounds = max(1, most.bit_length())
         ups = self.nodes.filter("parent_id is not null").select(*scope, "id", F.col("parent_id").alias("to"))
-        ring = durable(cyclic_ids(self.nodes.select(*scope, "id", "parent_id"), scope, most)) if not ups.isEmpty() else self.nodes.select(*scope, "id").limit(0)
+        ring = stored(cyclic_ids(self.nodes.select(*scope, "id", "parent_id"), scope, most)) if not ups.isEmpty() else self.nodes.select(*scope, "id").limit(0)
         # Steps to the root or to the first node on a cycle: both point to themselves.
         end = F.col("to").isNull() | F.col("_ring").isNotNull()
         walk = self.nodes.select(*scope, "id", F.col("parent_id").alias("to")).join(ring.withColumn("_ring", F.lit(True)), [*scope, "id"], "left").select(
             *scope, "id", F.when(end, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(end, 0).otherwise(1).cast("long").alias("steps"))
-        walk = durable(walk)
+        walk = stored(walk)
         for _ in range(self.rounds):
             next_ = walk.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-            walk = durable(walk.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+            walk = stored(walk.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
         # A path that enters a cycle goes once around it: its last node is the one whose parent is where it entered.
-        lap = durable(self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, "id", F.col("parent_id").alias("to"), F.col("id").alias("least")))
+        lap = stored(self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, "id", F.col("parent_id").alias("to"), F.col("id").alias("least")))
         for _ in range(self.rounds if not lap.isEmpty() else 0):
             next_ = lap.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("other"))
-            lap = durable(lap.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
+            lap = stored(lap.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
         around = lap.join(lap.groupBy(*scope, "least").agg(F.count("*").alias("around")), [*scope, "least"]).select(*scope, F.col("id").alias("to"), "around")
         before = self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, F.col("parent_id").alias("to"), F.col("id").alias("last"))
-        self.depth = durable(walk.join(around, [*scope, "to"], "left").join(before, [*scope, "to"], "left").select(
+        self.depth = stored(walk.join(around, [*scope, "to"], "left").join(before, [*scope, "to"], "left").select(
             *scope, "id", F.coalesce("last", "to").alias("root"), (F.col("steps") + F.coalesce(F.col("around") - 1, F.lit(0))).alias("depth")))
         deepest = self.depth.agg(F.max("depth")).first()[0] or 0
-        self.jumps = [durable(ups)]
+        self.jumps = [stored(ups)]
         while 1 << len(self.jumps) <= deepest:
             last = self.jumps[-1]
-            self.jumps.append(durable(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"))))
+            self.jumps.append(stored(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"))))
 
     def joined(self, rows: DataFrame, column: str, table: DataFrame, **names: str) -> DataFrame:
         """`rows` with columns of a table by the id in `column`, null where there is none."""
@@ -159,7 +159,7 @@ def diverging(forest: Forest, pairs: DataFrame) -> DataFrame:
     rows = f.lifted(rows.withColumn("_a", F.greatest(over - 1, F.lit(0))).withColumn("_b", F.greatest(-over, F.lit(0))), "_u", "_a")
     rows = f.joined(f.lifted(rows, "_v", "_b"), "_u", f.jumps[0], to="_p")
     rows = rows.withColumn("_found", (over > 0) & (F.col("_p") == F.col("_v")))
-    rows = durable(rows.withColumn("child", F.when(F.col("_found"), F.col("_u"))).withColumn("_u", F.when((over > 0) & ~F.col("_found"), F.col("_p")).otherwise(F.col("_u"))))
+    rows = stored(rows.withColumn("child", F.when(F.col("_found"), F.col("_u"))).withColumn("_u", F.when((over > 0) & ~F.col("_found"), F.col("_p")).otherwise(F.col("_u"))))
     # From here on both stand at one depth; equal nodes are the abandoned leaf itself.
     apart = ~F.coalesce("_found", F.lit(True)) & (F.col("_u") != F.col("_v"))
     rows = rows.withColumn("_apart", F.coalesce(apart, F.lit(False))).withColumn("_left", F.least("_d1", "_d2"))
@@ -167,10 +167,10 @@ def diverging(forest: Forest, pairs: DataFrame) -> DataFrame:
         rows = f.joined(f.joined(rows, "_u", f.jumps[k], to="_x"), "_v", f.jumps[k], to="_y")
         go = F.coalesce(F.col("_apart") & (F.col("_left") >= 1 << k) & (F.col("_x") != F.col("_y")), F.lit(False))
         rows = rows.withColumn("_go", go).withColumn("_u", F.when(F.col("_go"), F.col("_x")).otherwise(F.col("_u"))).withColumn("_v", F.when(F.col("_go"), F.col("_y")).otherwise(F.col("_v")))
-        rows = durable(rows.withColumn("_left", F.when(F.col("_go"), F.col("_left") - (1 << k)).otherwise(F.col("_left"))).drop("_x", "_y", "_go"))
+        rows = stored(rows.withColumn("_left", F.when(F.col("_go"), F.col("_left") - (1 << k)).otherwise(F.col("_left"))).drop("_x", "_y", "_go"))
     rows = rows.withColumn("child", F.when(F.col("_apart"), F.col("_u")).otherwise(F.col("child")))
     level = F.when(F.col("_apart"), F.col("_left")).otherwise(F.col("_d2") + 1)
-    return durable(rows.withColumn("down", F.when(F.col("child").isNotNull(), F.col("_d1") - level)).select(*pairs.columns, "child", "down"))
+    return stored(rows.withColumn("down", F.when(F.col("child").isNotNull(), F.col("_d1") - level)).select(*pairs.columns, "child", "down"))
 
 
 def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
@@ -186,12 +186,12 @@ def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFr
     own = forest.nodes
     # The nearest proper ancestor with an entry, and how far it is: found within 2^k steps, or the node that far up.
     has = own.select(*scope, F.col("id").alias("to"), F.col("entry").isNotNull().alias("hit"))
-    near = durable(own.filter("parent_id is not null").select(*scope, "id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("steps")).join(has, [*scope, "to"]))
+    near = stored(own.filter("parent_id is not null").select(*scope, "id", F.col("parent_id").alias("to"), F.lit(1).cast("long").alias("steps")).join(has, [*scope, "to"]))
     for _ in range(forest.rounds + 1):
         next_ = near.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("hit").alias("found"))
         both = near.join(next_, [*scope, "to"], "left")
         go = ~F.col("hit") & F.col("far").isNotNull()
-        near = durable(both.select(*scope, "id", F.when(go, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(go, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"), F.when(go, F.col("found")).otherwise(F.col("hit")).alias("hit")))
+        near = stored(both.select(*scope, "id", F.when(go, F.col("far")).otherwise(F.col("to")).alias("to"), F.when(go, F.col("steps") + F.col("more")).otherwise(F.col("steps")).alias("steps"), F.when(go, F.col("found")).otherwise(F.col("hit")).alias("hit")))
     near = near.filter("hit").select(*scope, "id", "to", "steps")
     rows = diverging(forest, pairs)
     rows = forest.joined(forest.joined(rows, "abandoned", own, entry="_own"), "abandoned", near, to="_n", steps="_s")
@@ -202,10 +202,10 @@ def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFr
     leaps = [near]
     for _ in forest.jumps[1:]:
         last = leaps[-1]
-        leaps.append(durable(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))))
+        leaps.append(stored(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))))
     for leap in reversed(leaps):
         rows = forest.joined(rows, "_at", leap, to="_x", steps="_s").withColumn("_go", F.coalesce(F.col("_gone") + F.col("_s") <= F.col("down"), F.lit(False)))
-        rows = durable(rows.withColumn("_at", F.when(F.col("_go"), F.col("_x")).otherwise(F.col("_at"))).withColumn("_gone", F.when(F.col("_go"), F.col("_gone") + F.col("_s")).otherwise(F.col("_gone"))).drop("_x", "_s", "_go"))
+        rows = stored(rows.withColumn("_at", F.when(F.col("_go"), F.col("_x")).otherwise(F.col("_at"))).withColumn("_gone", F.when(F.col("_go"), F.col("_gone") + F.col("_s")).otherwise(F.col("_gone"))).drop("_x", "_s", "_go"))
     rows = rows.withColumn("_at", F.when(F.col("_gone") <= F.col("down"), F.col("_at")).otherwise(F.col("_near")))
     rows = forest.joined(rows, "_at", own, entry="_entry")
     return rows.select(*pairs.columns, F.coalesce(F.col("_entry").cast("string"), F.col("abandoned").cast("string")).alias("root"))
@@ -221,7 +221,7 @@ def active_paths(nodes: DataFrame, leaves: DataFrame, scope: list[str]) -> DataF
     marks = forest.joined(leaves.select(*scope, "leaf"), "leaf", forest.depth, depth="_left").filter("_left is not null").select(*scope, "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"), "_left")
     for k in reversed(range(len(forest.jumps))):
         far = marks.filter(F.col("_left") >= 1 << k).join(forest.jumps[k], [*scope, "id"]).select(*scope, "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"), (F.col("_left") - (1 << k)).alias("_left"))
-        marks = durable(marks.unionByName(far))
+        marks = stored(marks.unionByName(far))
     return marks.drop("_left")
 
 

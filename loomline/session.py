@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,6 +42,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table of its own in the session's shared folder.
+
+    Unlike a checkpoint a table keeps no estimate of its size from the plan it came from. Rounds
+    that join their own results need that: the estimate is a product, and doubles its digits
+    with each round.
+    """
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 _SHIPPED: set[str] = set()
 
 
