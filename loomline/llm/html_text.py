@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import mapped
+from loomline.llm.common import free_name, mapped, numbered_columns, slices
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -40,56 +40,111 @@ ENDS = {"p": set("address article aside blockquote center details div dl fieldse
         "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = set("ul ol dl table body html div article section".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+#: Open elements that a block's path names at most, half of them from the top of the page and half next to the block.
+DEEP = 64
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE = re.compile(r"""[>"']""")
+
+
+class _Scanner:
+    """The tags of a page one after the other, in time that follows its length whatever is left open in it.
+
+    Past the last `>` nothing is a tag. A quote that is opened where an earlier tag, read
+    with its quotes, found no end has none either: such a tag ends at the next `>`.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.vain: set[int] = set()
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) from `at` on; comments and declarations have no name."""
+        while m := _OPEN.search(self.page, at):
+            if m[1] or m[2]:
+                end = self.page.find("-->" if m[1] else ">", m.end())
+                return m.start(), len(self.page) if end < 0 else end + (3 if m[1] else 1), "", False, ""
+            if m.start() > self.last:
+                at = m.end()
+                continue
+            end = self._end(m.end())
+            return m.start(), end + 1, m[4].lower(), bool(m[3]), self.page[m.end():end]
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag's `>` is, outside of quotes if these have ends."""
+        start, seen = at, []
+        while (m := _QUOTE.search(self.page, at, self.last + 1)) and m[0] != ">":
+            q = m.start()
+            if q in self.vain or q >= self.quotes[m[0]]:
+                seen.append(q)
+                m = None
+                break
+            seen.append(q)
+            at = self.page.find(m[0], q + 1) + 1
+        if m:
+            return m.start()
+        self.vain.update(seen)
+        return self.page.find(">", start)
+
+
 def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block with text, in page order.
 
     References are decoded, white space is one space. Comments, declarations and the
     content of RAW elements are no blocks; one without an end tag, but for those in
-    TO_END, is no more than its tag. Tags left open are closed as browsers do.
+    TO_END, is no more than its tag. Tags left open are closed as browsers do. Of more
+    than DEEP open elements the path names the first and the last. Time and memory follow
+    the length of the page: what is open is found by its place and not by a walk.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     names: list[str] = []
     path: list[str] = []
     parts: list[str] = []
     endless: set[str] = set()
+    # Places of the open elements of a name, and of those that bound what an end tag closes.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     linked, at, page = 0, 0, page or ""
+    tags = _Scanner(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(path), text, min(linked, len(text))))
+                out.append((tuple(path) if len(path) <= DEEP else (*path[:DEEP // 2], *path[-DEEP // 2:]), text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(k: int) -> None:
+        for name in names[k:]:
+            places[name].pop()
         del names[k:]
         del path[k:]
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
 
     while True:
-        m = _TAG.search(page, at)
-        text = page[at:m.start() if m else len(page)]
+        m = tags.next(at)
+        text = page[at:m[0] if m else len(page)]
         if text:
             parts.append(text)
-            if "a" in names:
+            if places.get("a"):
                 linked += len(text.strip())
         if not m:
             break
-        at = m.end()
-        tag = m[2] or m[5]
+        _, at, tag, closing, attrs = m
         if not tag:
             continue
-        tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if not closing and tag in RAW:
             if not attrs.endswith("/") and tag not in endless:
                 ending = "body" if tag == "head" else tag
-                found = re.compile(rf"</{tag}\s*>|<{ending}\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                found = re.compile(rf"</{tag}\s*>|<{ending}\b" if tag == "head" else rf"</{tag}\b[^>]*>", re.I).search(page, at, tags.last + 1)
                 if found:
                     at = found.end() if found[0].startswith("</") else found.start()
                 elif tag in TO_END:
@@ -101,24 +156,23 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in INLINE:
             flush()
         if closing:
-            k = len(names) - 1
-            while k >= 0 and names[k] != tag:
-                k -= 1
-            if k >= 0 and not (tag in INLINE and any(n in SCOPES for n in names[k + 1:])):
+            k = places[tag][-1] if places.get(tag) else -1
+            if k >= 0 and not (tag in INLINE and scopes and scopes[-1] > k):
                 close(k)
             continue
         if tag in VOID:
             continue
-        k = len(names) - 1
-        while k >= 0 and names[k] not in SCOPES:
-            if tag in ENDS.get(names[k], ()):
-                close(k)
-                break
-            k -= 1
+        # The innermost element within the scope that this tag ends.
+        k = max((places[n][-1] for n, ended in ENDS.items() if tag in ended and places.get(n)), default=-1)
+        if k > (scopes[-1] if scopes else -1):
+            close(k)
         own = [tag]
         for a in _ATTR.finditer(attrs) if attrs else ():
             own += [f"={x}" for x in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
         if not attrs.rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(names))
+            if tag in SCOPES:
+                scopes.append(len(names))
             names.append(tag)
             path.append(" ".join(own))
     flush()
@@ -413,29 +467,28 @@ def extract_all(model: Labeller, pages: list[str | None]) -> list[str]:
     return [" ".join(t for (_, t, _), k in zip(b, ks) if k) for b, ks in zip(blocks, keep)]
 
 
-#: Pages that are labelled at once, which bounds memory.
-AT_ONCE = 512
+#: Bytes of pages that are labelled at once, which bounds memory.
+AT_ONCE = 4 << 20
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), model: Labeller | None = None) -> DataFrame:
-    """The columns in `keep`, text and n_chars (code points), one row for each row of `pages`.
+    """The columns in `keep`, text and n_chars (code points), one row for each row of `pages`; underscores follow names that are taken.
 
     A null or empty page has an empty text. Other columns are not read; the columns in
-    `keep` may be null, repeated or of any type but may not be named text or n_chars.
+    `keep` may be null, repeated or of any type. Pages may be of any length and depth.
     """
     model = model or trained()
+    kept = pages.select(*keep)
+    names = [free_name(kept, "text"), free_name(kept, "n_chars")]
+    plain, _ = numbered_columns(pages.select(*keep, F.col(html_col)))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                texts = extract_all(model, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
-
-    rows = pages.select(*keep, F.col(html_col).alias("page_html"))
-    schema = rows.drop("page_html").schema
-    out = T.StructType([*schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return mapped(rows, run, out)
+        for part in (p for batch in batches for p in slices(batch, batch.num_columns - 1, AT_ONCE)):
+            texts = extract_all(model, part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*part.schema.names[:-1], "text", "n_chars"])
+
+    out = T.StructType([*plain.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return mapped(plain, run, out).toDF(*keep, *names)
 
 
 def op8_html_text(spark, sf_dir):
