@@ -39,6 +39,7 @@ PERSONAL = (
     ("phone_pii", r"\+?[0-9]{0,2} ?\([0-9]{3}\) ?[0-9]{3}[ -]?[0-9]{4}", "[PHONE]"),
 )
 ALL = PATTERNS + PERSONAL
+CREDENTIALS = tuple(p for p in PATTERNS if p[0] != "home_path")
 SAMPLES = 20
 #: Bytes of a tool's output that stay.
 OUTPUT_BYTES = 10_240
@@ -60,6 +61,17 @@ def _may_hold(name: str, text: Column) -> Column:
     return functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in NEEDED[name]]) if name in NEEDED else F.lit(True)
 
 
+def suspect(json_text, patterns=ALL, secrets: list[str] = ()) -> Column:
+    """Whether a string in a JSON text may match a pattern or hold a secret; false only if none does, null for null.
+
+    What a string matches stands in the JSON text too, unless characters are written in
+    another way there: a text with such escapes always may.
+    """
+    t = F.col(json_text) if isinstance(json_text, str) else json_text
+    found = [F.contains(t, F.lit(x)) for x in ("\\u", "\\/", "\\\\")] + [_may_hold(n, t) & t.rlike(p) for n, p, _ in patterns]
+    return functools.reduce(Column.__or__, found + [F.contains(t, F.lit(json.dumps(s, ensure_ascii=False)[1:-1])) for s in secrets if s])
+
+
 def _replaced(name: str, pattern: str, put: str, text: Column) -> Column:
     done = F.regexp_replace(text, pattern, put.replace("\\", "\\\\").replace("$", "\\$"))
     return F.when(_may_hold(name, text), done).otherwise(text) if name in NEEDED else done
@@ -174,9 +186,14 @@ def redact_records(lines: DataFrame, raw: str = "raw", patterns=ALL, secrets: li
 
     def run(texts: pd.Series) -> pd.DataFrame:
         steps = [(n, re.compile(p), put) for n, p, put in table]
-        return pd.DataFrame([_record(t, steps, keep_remote, most) for t in texts], columns=["record", "counts"])
-
-    out = lines.withColumn("_r", F.pandas_udf(run, REDACTED)(raw)).withColumn("counts", F.col("_r.counts"))
+        return pd.DataFrame([_record(t, steps, keep_remote, most) if t is not None else (None, {}) for t in texts], columns=["record", "counts"])
+
+    # Lines in which nothing can change don't go to Python.
+    asked = suspect(raw, patterns, [x for x in secrets if x])
+    asked |= F.lit(False) if keep_remote else F.contains(raw, F.lit("remote_url"))
+    asked |= F.lit(False) if most is None else F.octet_length(raw) > most
+    out = lines.withColumn("_asked", asked).withColumn("_r", F.pandas_udf(run, REDACTED)(F.when(F.col("_asked"), F.col(raw))))
+    out = out.withColumn("counts", F.coalesce(F.col("_r.counts"), F.create_map().cast("map<string, long>"))).withColumn("_r", F.struct(F.when(F.col("_asked"), F.col("_r.record")).otherwise(F.col(raw)).alias("record"))).drop("_asked")
     changed = F.max((F.size("counts") > 0).cast("int")).over(W.partitionBy("file")) == 1
     v = F.try_parse_json("_r.record")
     head = F.try_variant_get(v, "$.type", "string").isin("session", "trail")
@@ -186,6 +203,26 @@ def redact_records(lines: DataFrame, raw: str = "raw", patterns=ALL, secrets: li
     return out.withColumn(raw, F.when(hashed, pending).otherwise(F.col("_r.record"))).drop("_r")
 
 
+def scrubbed(records: DataFrame, raw: str, patterns=ALL) -> DataFrame:
+    """`records` with every string in the JSON text `raw` redacted; a text without a find, and one that is no JSON, stays byte for byte."""
+    ship(records.sparkSession)
+
+    def one(text, steps):
+        try:
+            counts: dict[str, int] = {}
+            clean = _scrub(json.loads(text), steps, counts)
+        except ValueError:
+            return text
+        return json.dumps(clean, ensure_ascii=False, separators=(",", ":")) if counts else text
+
+    def run(texts: pd.Series) -> pd.Series:
+        steps = [(n, re.compile(p), put) for n, p, put in patterns]
+        return texts.map(lambda t: one(t, steps) if t is not None else None)
+
+    asked = F.coalesce(suspect(raw, patterns), F.lit(False))
+    return records.withColumn("_asked", asked).withColumn("_clean", F.pandas_udf(run, "string")(F.when(F.col("_asked"), F.col(raw)))).withColumn(raw, F.when(F.col("_asked"), F.col("_clean")).otherwise(F.col(raw))).drop("_asked", "_clean")
+
+
 def reset_hashes(records: DataFrame, file: str = "file") -> DataFrame:
     """Headers of files that redaction has changed get a pending hash; records(file, type, content_hash, changed)."""
     touched = F.max(F.col("changed").cast("int")).over(W.partitionBy(file)) == 1

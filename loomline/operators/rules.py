@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions.scalars import has_embedded_credentials, pointer_escape
-from loomline.operators import graph, hashing, pairing, redact, sequences
+from loomline.operators import graph, hashing, leaves, pairing, sequences
 from loomline.session import durable
 
 # Fixed values of the format.
@@ -122,7 +122,7 @@ def record_findings(r: DataFrame, profile: str = "strict") -> DataFrame:
         names = [f"{side}_tokens", f"{side}_tokens_cumulative"]
         some = F.coalesce(*[field(f"$.payload.usage.{n}", "double") for n in names]).isNotNull()
         say(usage & ~some, "warning", "usage_missing_required", "/payload/usage", f"usage must have {names[0]} or {names[1]}")
-    size, raw = F.octet_length("raw"), F.col("raw")
+    size = F.octet_length("raw")
     say(size > RAW_HARD, "error", "source_raw_oversized_hard", "/source/raw", F.concat(size, F.lit(" bytes")))
     say((size > RAW_SOFT) & (size <= RAW_HARD), "warning", "source_raw_oversized", "/source/raw", F.concat(size, F.lit(" bytes")))
     # A password with percent-encoded bytes was put there on purpose.
@@ -134,9 +134,7 @@ def record_findings(r: DataFrame, profile: str = "strict") -> DataFrame:
     extra = F.transform(unknown, lambda name: _diagnostic(
         F.concat(F.lit("/payload/"), pointer_escape(name)), "warning" if tolerant else "error",
         "reader_tolerant_unknown_payload_field" if tolerant else "additionalProperties", F.concat(F.lit("unknown payload field: "), name)))
-    secrets = F.filter(F.map_keys(redact.counts("raw", redact.PATTERNS)), lambda k: k != "home_path")
-    sniffed = F.when(raw.isNotNull(), F.transform(secrets, lambda k: _diagnostic(F.lit("/source/raw"), "warning", "source_raw_unredacted_secret", k)))
-    every = F.concat(F.filter(F.array(*found), lambda d: d.isNotNull()), F.coalesce(extra, none), F.coalesce(sniffed, none))
+    every = F.concat(F.filter(F.array(*found), lambda d: d.isNotNull()), F.coalesce(extra, none))
     kept = [c for c in r.columns if c != "raw"]
     return r.withColumn("raw", F.to_json(F.try_variant_get("value", "$.source.raw", "variant"))).select(*kept, every.alias("found"))
 
@@ -146,6 +144,17 @@ def record_rules(r: DataFrame, profile: str = "strict") -> DataFrame:
     return record_findings(r, profile).select("file", "line", F.explode("found").alias("d")).select("file", "line", "d.*")
 
 
+def source_raw() -> Column:
+    """The raw source record of an entry; headers and envelopes have none that counts."""
+    return F.when(~F.coalesce(F.col("type").isin("trail", "session"), F.lit(False)), F.try_variant_get("value", "$.source.raw", "variant"))
+
+
+def secret_rules(r: DataFrame) -> DataFrame:
+    """A warning for each string in a raw source record and each credential in it, at the string's own path."""
+    found = leaves.secrets(r.select("file", "line", source_raw().alias("_raw")), "_raw", ["file", "line"], "/source/raw")
+    return found.select("file", "line", "path", F.lit("warning").alias("severity"), F.lit("source_raw_unredacted_secret").alias("code"), F.col("pattern").alias("message"))
+
+
 def fork_mismatches(headers: DataFrame) -> DataFrame:
     """Headers(file, line, id, content_hash, forked_from, forked_hash) that name another hash than the sibling they are forked from has, with that `sibling` hash."""
     siblings = headers.filter("content_hash <> '<pending>'").select("file", F.col("id").alias("forked_from"), "content_hash", "line").groupBy("file", "forked_from").agg(F.max_by("content_hash", "line").alias("sibling"))
@@ -265,7 +274,7 @@ def validate(lines: DataFrame, profile: str = "strict", files: DataFrame | None
     if files is not None:
         blank = files.select("file").join(lines.select("file").distinct(), "file", "left_anti").withColumn("line", F.lit(0))
         faults = faults.unionByName(_say(blank, "error", "missing_header", "", F.lit("the file has no lines")))
-    return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), *file_rules(r, profile), hash_rules(lines, r, profile), cycles(r, longest)])
+    return reduce(DataFrame.unionByName, [faults, record_rules(r, profile), secret_rules(r), *file_rules(r, profile), hash_rules(lines, r, profile), cycles(r, longest)])
 
 
 def rendered(diagnostics: DataFrame) -> DataFrame:

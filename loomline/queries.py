@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S, versions
-from loomline.operators import adapters, compare, graph, hashing, headers, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
+from loomline.operators import adapters, compare, graph, hashing, headers, leaves, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.session import shared_folder
 from loomline.sources import jsonl
@@ -695,3 +695,19 @@ def active_paths(spark, sf_dir):
     """The path of each user's last event."""
     nodes = _branches(spark, sf_dir)
     return graph.active_paths(nodes, nodes.groupBy("user_id").agg(F.max("id").alias("leaf")), ["user_id"])
+
+
+_LEAF_TESTS = " UNION ALL ".join(f"SELECT doc_id, path, '{name}' AS pattern FROM l WHERE regexp_matches(leaf, '{pattern}')" for name, pattern, _ in redact.ALL)
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, '/source/raw/text' AS path, t AS leaf FROM d UNION ALL SELECT doc_id, '/source/raw/parts/0', x[1] FROM d UNION ALL SELECT doc_id, '/source/raw/parts/1/last~1~0line', x[len(x)] FROM d)
+{_LEAF_TESTS}""")
+def leaf_secrets(spark, sf_dir):
+    """Documents as raw source records: the text, its first line in an array, its last one in an object of that array; secrets and personal data by place."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    raw = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.array(lines[0].cast("string")).alias("first"), F.element_at(lines, -1).alias("last"), F.length("text").alias("n"))
+    as_json = F.concat(F.lit('{"text":'), F.to_json(F.array(raw["text"])).substr(F.lit(2), F.length(F.to_json(F.array(raw["text"]))) - 2), F.lit(',"n":1,"parts":['), F.to_json(raw["first"]).substr(F.lit(2), F.length(F.to_json(raw["first"])) - 2),
+                       F.lit(',{"last/~line":'), F.to_json(F.array(raw["last"])).substr(F.lit(2), F.length(F.to_json(F.array(raw["last"]))) - 2), F.lit("}]}"))
+    rows = P.read(spark, sf_dir, "documents").select("doc_id", F.parse_json(as_json).alias("value"))
+    return leaves.secrets(rows, "value", ["doc_id"], "/source/raw", redact.ALL)

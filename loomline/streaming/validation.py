@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from loomline.operators import rules
 from loomline.operators.hashing import PENDING, canonical_json
+from loomline.operators.redact import CREDENTIALS, suspect
 from loomline.session import ship
 from loomline.sources.jsonl import parsed
 
@@ -71,6 +73,17 @@ def on_cycles(parents: dict[str, str]) -> set[str]:
     return found
 
 
+def leaf_secrets(value, root: str) -> Iterator[tuple[str, str]]:
+    """(path, pattern) of each string of a record with each credential in it; for the few lines that may hold one."""
+    stack = [(value, root)]
+    while stack:
+        at, path = stack.pop()
+        if isinstance(at, str):
+            yield from ((path, name) for name, pattern, _ in CREDENTIALS if re.search(pattern, at))
+        elif isinstance(at, (dict, list)):
+            stack += [(x, f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}") for k, x in (at.items() if isinstance(at, dict) else enumerate(at))]
+
+
 class _Table:
     """A map state that is asked once a key and batch."""
 
@@ -89,6 +102,7 @@ class _Table:
     def save(self) -> None:
         for key in self.changed:
             self.state.updateValue((key,), self.kept[key])
+        self.changed.clear()
 
 
 class FileChecks(StatefulProcessor):
@@ -162,8 +176,12 @@ class FileChecks(StatefulProcessor):
             return
         for d in json.loads(r.found):
             yield line, d["path"], d["severity"], d["code"], d["message"]
+        if r.leaky:
+            for path, name in leaf_secrets(json.loads(r.text)["source"]["raw"], "/source/raw"):
+                yield line, path, "warning", "source_raw_unredacted_secret", name
         at["first"] = line if at["first"] is None else at["first"]
         if r.type == "session":
+            ids.save()
             yield from self._end_of_session(at)
             yield from self._header(r, at)
         elif r.type == "trail":
@@ -336,5 +354,5 @@ def validated(lines: DataFrame, profile: str = "strict", idle_ms: int | None = N
     listed = F.transform(rules.field("$.sessions", "array<variant>"), lambda s: F.struct(F.try_variant_get(s, "$.id", "string").alias("id"), F.try_variant_get(s, "$.agent", "string").alias("agent")))
     facts = rows.select(
         "file", "line", F.when(F.col("line").isNotNull(), F.col("code")).alias("code"), F.to_json("found").alias("found"), "type", "id", "parent_id", "has_parent", "ts", "schema_version", "content_hash", "stream_state", "call_id", "for_id",
-        "revision", "final_message_id", "agent", "forked_from", "forked_hash", "envelope_ref", F.to_json(listed).alias("sessions"), F.to_json(rules.field("$.payload.open_call_ids", "array<string>")).alias("open_call_ids"), F.to_json("value").alias("text"))
+        "revision", "final_message_id", "agent", "forked_from", "forked_hash", "envelope_ref", F.to_json(listed).alias("sessions"), F.to_json(rules.field("$.payload.open_call_ids", "array<string>")).alias("open_call_ids"), F.to_json("value").alias("text"), F.coalesce(suspect(F.to_json(rules.source_raw()), CREDENTIALS), F.lit(False)).alias("leaky"))
     return facts.groupBy("file").transformWithStateInPandas(FileChecks(profile, idle_ms), DIAGNOSTICS, "Append", "ProcessingTime" if idle_ms else "None")

@@ -23,6 +23,7 @@ def some_files(spark):
     head = lambda n, **more: HEADER | {"id": ulid(n)} | more
     trail = lambda **more: {"type": "trail", "schema_version": "0.1.0", "id": ulid(900), "ts": HEADER["ts"], "producer": "p"} | more
     files = {
+        "leaks": [head(0), text(1, source={"raw": {"a~/b": ["x", {"k": "AKIA" + "Q" * 16}], "t": "sk-" + "a" * 20 + " ghp_" + "b" * 36, "n": 1}}), text(2, source={"raw": "\\u0041 C:\\Users\\me"}), text(3, source={"raw": {"size": "y" * 9000}})],
         "good": [head(0), text(1), tool(2), result(3, for_id=ulid(2)), entry(4, "session_end", {"reason": "complete", "final_message_id": ulid(1)})],
         "graph": [head(0), text(1, parent_id=ulid(3)), text(2, parent_id=ulid(77)), text(3, parent_id=ulid(1)), text(4, parent_id=ulid(3)), text(4), text(5, parent_id=ulid(0)), head(0), text(6, parent_id=ulid(1)), text(7, parent_id=ulid(7)), text(1)],
         "tools": [head(0), tool(1, semantic={"call_id": "a"}), tool(2, semantic={"call_id": "a"}), result(3), result(4, for_id=ulid(99)), tool(5), tool(6), entry(7, "session_terminated", {"reason": "process_terminated", "open_call_ids": [ulid(6)]}),
