@@ -54,6 +54,80 @@ def rebuilt_index(spark: SparkSession, root: str, verify) -> DataFrame:
     return o.filter(verify(F.col("body")) == F.col("content_hash")).select("content_hash").distinct()
 
 
+class IndexCorrupt(ValueError):
+    """An index file that is no JSON object with entries by hash."""
+
+
+class IndexVersion(ValueError):
+    """An index file of another version than this one reads."""
+
+
+# The version of index files, and the name of an object's file.
+INDEX_VERSION = 1
+OBJECT_NAME = r"/([0-9a-f]{64})\.trail\.jsonl$"
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(content_hash, registered_at, source_path, session_uid, kind) of an index file `{"version": 1, "entries": {hash: {..}}}`; empty if there is no file.
+
+    Raises IndexVersion for another version, since dropping what a newer one knows would lose
+    data, and IndexCorrupt for what is no index. Only the version and the kind of the
+    entries come to the driver.
+    """
+    schema = "content_hash string, registered_at string, source_path string, session_uid string, kind string"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    whole = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v"))
+    entries = F.try_variant_get("v", "$.entries", "variant")
+    seen = whole.select(F.schema_of_variant("v").alias("kind"), F.to_json(F.try_variant_get("v", "$.version", "variant")).alias("version"), F.schema_of_variant(entries).alias("entries")).first()
+    if seen is None or seen["kind"] is None or not seen["kind"].startswith("OBJECT"):
+        raise IndexCorrupt(f"{path} is no JSON object; delete it and rebuild")
+    if seen["version"] != str(INDEX_VERSION):
+        raise IndexVersion(f"{path} has version {seen['version']}, not {INDEX_VERSION}; delete it and rebuild")
+    if not (seen["entries"] or "").startswith("OBJECT"):
+        raise IndexCorrupt(f"{path} has no entries by hash; delete it and rebuild")
+    rows = whole.select(entries.alias("e")).lateralJoin(spark.tvf.variant_explode(F.col("e").outer()).select("key", "value"))
+    get = lambda name: F.try_variant_get("value", f"$.{name}", "string")
+    return rows.select(F.col("key").alias("content_hash"), get("registered_at").alias("registered_at"), get("source_path").alias("source_path"), get("session_uid").alias("session_uid"), F.coalesce(get("kind"), F.lit("session")).alias("kind"))
+
+
+def rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    """What a folder of object files says about its index: a row for each file, whether it can be indexed or not.
+
+    (file, status, detail, content_hash, registered_at, session_uid, kind). `indexed`: the file
+    is named by a hash that a header of it carries and that its content has; registered_at is
+    the file's time. Else `not_an_object` (another name), `unreadable` (detail: line and
+    fault), `no_header`, `no_hash` (nothing in it carries a hash), `renamed` (what it carries
+    is right, but is not its name), `mismatch` (detail: the hash that the content has). One
+    corrupt object costs its own row and no other. Spark's readers see no file without bytes.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), F.col("modificationTime").alias("registered_at"))
+    name = F.regexp_extract("file", OBJECT_NAME, 1)
+    named = durable(files.withColumn("name", F.when(name != "", name)))
+    lines = durable(jsonl.strict(jsonl.lines(spark, folder).join(named.filter("name is not null").select("file"), "file", "left_semi")))
+    faults = lines.filter("code is not null").select("file", F.concat_ws(" ", F.lit("line"), "line", "code").alias("fault"))
+    claims = durable(reconcile.claims(lines.join(faults.select("file"), "file", "left_anti").select("file", "line", "raw")))
+    of = claims.join(named.select("file", "name"), "file")
+    here = F.coalesce(F.col("claim") == F.col("name"), F.lit(False))
+    right = here & (F.col("verdict") == "match")
+    told = of.groupBy("file").agg(
+        F.max(right).alias("right"), F.max(F.col("verdict") == "match").alias("some"), F.max(F.col("claim").rlike("^[a-f0-9]{64}$")).alias("any"), F.max(F.col("group_idx") > 0).alias("headed"),
+        F.min(F.when(F.col("verdict") == "mismatch", F.col("actual"))).alias("actual"), F.min_by("session_uid", F.when(F.col("group_idx") > 0, F.col("group_idx"))).alias("session_uid"),
+        F.max(F.when(right & (F.col("group_idx") > 0), 1).otherwise(0)).alias("is_session"))
+    out = named.join(faults, "file", "left").join(told, "file", "left")
+    status = (F.when(F.col("name").isNull(), "not_an_object").when(F.col("fault").isNotNull(), "unreadable").when(~F.coalesce("headed", F.lit(False)), "no_header").when(F.col("right"), "indexed")
+              .when(F.col("some"), "renamed").when(F.coalesce("any", F.lit(False)), "mismatch").otherwise("no_hash"))
+    good = F.col("status") == "indexed"
+    return out.withColumn("status", status).select(
+        "file", "status", F.when(F.col("status") == "unreadable", F.col("fault")).when(F.col("status") == "mismatch", F.col("actual")).alias("detail"), F.when(good, F.col("name")).alias("content_hash"),
+        F.when(good, F.col("registered_at")).alias("registered_at"), F.when(good, F.col("session_uid")).alias("session_uid"), F.when(good, F.when(F.col("is_session") == 1, "session").otherwise("trail")).alias("kind"))
+
+
+def rebuild_counters(rebuilt: DataFrame) -> DataFrame:
+    """(status, files) of a rebuild."""
+    return rebuilt.groupBy("status").agg(F.count("*").alias("files"))
+
+
 def export(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     """The one object whose hash starts with a prefix; only its shard is read."""
     return by_prefix(objects(spark, root).filter(F.col("shard") == prefix[:2]), "content_hash", prefix).select("content_hash", "body")
