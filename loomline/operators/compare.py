@@ -26,9 +26,12 @@ def _plain(value):
 
 
 def _signature(text: str | None) -> str | None:
-    if text is None:
+    try:
+        entry = None if text is None else json.loads(text)
+    except ValueError:
+        entry = None
+    if entry is None:
         return None
-    entry = json.loads(text)
     for path, names in VOLATILE.items():
         at = entry
         for part in path:
@@ -39,11 +42,27 @@ def _signature(text: str | None) -> str | None:
 
 
 def signatures(entries: DataFrame, raw: str = "raw", out: str = "signature") -> DataFrame:
-    """`entries` with what their JSON text says apart from ids and white space; null for null."""
+    """`entries` with what their JSON text says apart from ids and white space; null for null and for what is no JSON."""
     ship(entries.sparkSession)
     return entries.withColumn(out, F.pandas_udf(lambda s: s.map(_signature).astype(object), T.StringType())(raw))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "nth") -> DataFrame:
+    """`rows` with their number within their group, from 1, in order; nulls of a group are one value.
+
+    Rows are sorted in ranges of (group, order), and a group that fills many ranges is numbered in
+    each of them and moved by what stands before, so the most frequent group costs no task more
+    than its range.
+    """
+    at = durable(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_part", F.spark_partition_id()))
+    n = at.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("_before > 0")
+    right = before.select(*[F.col(c).alias(f"_{c}") for c in (*group, "_part")], "_before")
+    local = at.withColumn("_nth", F.row_number().over(W.partitionBy(*group, "_part").orderBy(*order)))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, "_part")]
+    return durable(local.join(right, on, "left").select(*rows.columns, (F.col("_nth") + F.coalesce("_before", F.lit(0))).alias(out)))
+
+
 def compare_entries(old: DataFrame, new: DataFrame, order: list[str], expected: Column | None = None, raw: str = "raw") -> DataFrame:
     """(order, raw, side, verdict) of all entries of both sides.
 
@@ -52,7 +71,7 @@ def compare_entries(old: DataFrame, new: DataFrame, order: list[str], expected:
     one without a match is an `addition`, a matched one `preserved`.
     """
     both = signatures(old.select(*order, raw), raw).withColumn("side", F.lit("old")).unionByName(signatures(new.select(*order, raw), raw).withColumn("side", F.lit("new")))
-    both = durable(both.withColumn("nth", F.row_number().over(W.partitionBy("signature", "side").orderBy(*order))))
+    both = numbered(both, ["signature", "side"], order)
     n = durable(both.groupBy("signature").agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new")).select(F.col("signature").alias("of"), "n_old", "n_new"))
     rows = both.join(n, F.col("signature").eqNullSafe(F.col("of")))
     matched = F.col("nth") <= F.least("n_old", "n_new")

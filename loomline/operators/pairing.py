@@ -57,3 +57,16 @@ def link_calls(results: DataFrame, calls: DataFrame, session: list[str], order:
     both = both.unionByName(results.select(*session, order, "call_id", F.lit(None).cast(calls.schema["id"].dataType).alias("c_id"), F.col("id").cast("string").alias("r_id")))
     before = W.partitionBy(*session, "call_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return both.withColumn("for_id", F.when(F.col("call_id").isNotNull(), F.last("c_id", True).over(before))).filter("r_id is not null").select(*session, order, "r_id", "call_id", "for_id")
+
+
+def link_last(entries: DataFrame, session: list[str], order: str = "ord") -> DataFrame:
+    """`entries(session, order, kind, id, linker, ..)` with for_id and call_id of calls and results that carry a linker's id.
+
+    A result gets the id of the last call of its session with the same linker, wherever that
+    stands; without one it keeps its call_id and gets no for_id. The last call is found by an
+    aggregation that combines before the shuffle. Other entries, and null linkers, have neither.
+    """
+    linked = F.col("kind").isin("tool_call", "tool_result") & F.col("linker").isNotNull()
+    last = entries.filter("kind = 'tool_call' and linker is not null").groupBy(*session, "linker").agg(F.max_by("id", order).alias("last_id"))
+    out = entries.join(last, [*session, "linker"], "left")
+    return out.select(*entries.columns, F.when(linked & (F.col("kind") == "tool_result"), F.col("last_id")).alias("for_id"), F.when(linked, F.col("linker")).alias("call_id"))

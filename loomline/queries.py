@@ -711,3 +711,13 @@ def leaf_secrets(spark, sf_dir):
                        F.lit(',{"last/~line":'), F.to_json(F.array(raw["last"])).substr(F.lit(2), F.length(F.to_json(F.array(raw["last"]))) - 2), F.lit("}]}"))
     rows = P.read(spark, sf_dir, "documents").select("doc_id", F.parse_json(as_json).alias("value"))
     return leaves.secrets(rows, "value", ["doc_id"], "/source/raw", redact.ALL)
+
+
+@query(f"""WITH {P.TOOL_STREAM}, k AS (SELECT *, CASE WHEN call_id % 3 <> 0 THEN 'k' || call_id % 40 END AS linker FROM ev WHERE kind IN ('tool_call', 'tool_result')),
+last AS (SELECT user_id, linker, arg_max(id, ord) AS last_id FROM k WHERE kind = 'tool_call' AND linker IS NOT NULL GROUP BY ALL)
+SELECT k.user_id, k.ord, CASE WHEN kind = 'tool_result' THEN last_id END AS for_id, k.linker AS call_id FROM k LEFT JOIN last ON k.user_id = last.user_id AND k.linker = last.linker""")
+def last_call_links(spark, sf_dir):
+    """Results of a user with the last call of the same linker, before or after them."""
+    e = P.tool_stream(spark, sf_dir).filter("kind in ('tool_call', 'tool_result')")
+    e = e.select("user_id", "ord", "kind", "id", F.when(F.col("call_id") % 3 != 0, F.concat(F.lit("k"), F.col("call_id") % 40)).alias("linker"))
+    return pairing.link_last(e, ["user_id"]).select("user_id", "ord", "for_id", "call_id")

@@ -187,3 +187,22 @@ def test_sessions_of_unknown_versions_are_left_out(spark):
     assert ("a", 2, "unmatched_tool_call_at_eof") in strict and ("a", 4, "unmatched_tool_call_at_eof") not in strict
     assert ("b", 1, "missing_header") in strict and ("b", 2, "unmatched_tool_call_at_eof") not in strict
     assert ("b", 1, "reader_tolerant_schema_version") in tolerant and ("b", 2, "unmatched_tool_call_at_eof") in tolerant and ("b", 1, "missing_header") not in tolerant
+
+
+def test_numbers_of_a_frequent_group(spark):
+    """A group of half of all rows is numbered in several ranges; null groups and ties of the order are numbered too."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "a", None, "b"]), i // 2, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(5)
+    got = compare.numbered(df, ["g"], ["o", "i"])
+    want, seen = {}, {}
+    for g, _, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = seen[g] = seen.get(g, 0) + 1
+    assert {r["i"]: r["nth"] for r in got.collect()} == want
+    assert compare.numbered(df.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_faulty_entries_are_compared(spark):
+    df = lambda texts: spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
+    got = compare.compare_entries(df(['{"a":1}', "{no", None]), df(["{no json", '{"a": 1}']), ["i"])
+    assert sorted((r["side"], r["i"], r["verdict"]) for r in got.collect()) == [("new", 0, "preserved"), ("new", 1, "preserved"), ("old", 0, "preserved"), ("old", 1, "preserved"), ("old", 2, "regression")]
