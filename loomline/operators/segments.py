@@ -60,11 +60,11 @@ def merge_events(events: DataFrame) -> DataFrame:
     """The events that a merge keeps, with `ord`, their place in the merged session.
 
     events: session_uid, seq, source, line, id, type, reason, and is_last of their segment
-    (`with_last`; an event can't tell, for the last segment may be empty). process_terminated
-    markers stay in the last segment only. Of events with one id the first stays; a null id
-    never repeats.
+    (`with_last`; events alone can't tell, for the last segment may be empty; without the
+    column there are no segments but theirs). process_terminated markers stay in the last
+    segment only. Of events with one id the first stays; a null id never repeats.
     """
-    e = events.filter(f"not ({OVERTAKEN})")
+    e = (events if "is_last" in events.columns else with_last(events)).filter(f"not ({OVERTAKEN})")
     place = ["seq", "source", "line"]
     e = e.withColumn("nth", F.when(F.col("id").isNull(), 1).otherwise(F.row_number().over(W.partitionBy("session_uid", "id").orderBy(*place)))).filter("nth = 1").drop("nth", "is_last")
     return e.withColumn("ord", F.row_number().over(W.partitionBy("session_uid").orderBy(*place)))
