@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import scalars as S, versions
-from loomline.operators import adapters, compare, graph, hashing, headers, leaves, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
+from loomline.operators import adapters, compare, drift, graph, hashing, headers, leaves, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.session import shared_folder
 from loomline.sources import jsonl
@@ -721,3 +721,23 @@ def last_call_links(spark, sf_dir):
     e = P.tool_stream(spark, sf_dir).filter("kind in ('tool_call', 'tool_result')")
     e = e.select("user_id", "ord", "kind", "id", F.when(F.col("call_id") % 3 != 0, F.concat(F.lit("k"), F.col("call_id") % 40)).alias("linker"))
     return pairing.link_last(e, ["user_id"]).select("user_id", "ord", "for_id", "call_id")
+
+
+@query("""WITH c AS (SELECT 'v' || conv_id % 3 AS version, CASE WHEN conv_id % 3 = 1 AND turn = 5 THEN 'odd' ELSE role END AS type, role, conv_id, turn FROM conversations),
+d AS (SELECT version, type, '/body/tags/*/new' AS path, 'boolean' AS kind, 'source-unknown-field' AS code, 1 AS n FROM c WHERE conv_id % 3 = 1 AND turn % 2 = 0 AND type <> 'odd'
+  UNION ALL SELECT version, type, '/late', 'string', 'source-unknown-field', 1 FROM c WHERE conv_id % 3 = 2 AND turn = 3
+  UNION ALL SELECT version, type, '/body/turn', 'string', 'source-type-mismatch', 1 FROM c WHERE conv_id % 3 = 2 AND turn % 4 = 1
+  UNION ALL SELECT version, type, '', '', 'source-unknown-type', 4 FROM c WHERE type = 'odd')
+SELECT version, type, path, kind, code, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY ALL""")
+def source_drift(spark, sf_dir):
+    """Conversations as records of three versions; what two of them have that the first one has not."""
+    k, turn = F.col("conv_id") % 3, F.col("turn")
+    c = P.read(spark, sf_dir, "conversations")
+    kind = F.when((k == 1) & (turn == 5), "odd").otherwise(F.col("role"))
+    tags = F.array(F.struct(F.lit(1).alias("k"), F.lit(None).cast("boolean").alias("new")), F.struct(F.lit(2).alias("k"), F.when((k == 1) & (turn % 2 == 0), True).alias("new")))
+    turns = F.when((k == 2) & (turn % 4 == 1), F.concat(F.lit('"'), turn, F.lit('"'))).otherwise(turn.cast("string"))
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), tags.alias("tags")))
+    body = F.concat(F.lit('{"body":{"turn":'), turns, F.lit(","), F.substring(text, 2, 1 << 30), F.when((k == 2) & (turn == 3), ',"late":"x"').otherwise(""), F.lit("}"))
+    rows = c.select(F.lit("x").alias("agent"), F.concat(F.lit("v"), k).alias("version"), kind.alias("type"), F.parse_json(body).alias("value"))
+    seen = drift.profile(rows, "value")
+    return drift.drift(seen, seen.filter("version = 'v0'")).select("version", "type", "path", "kind", "code", "n")
