@@ -124,6 +124,26 @@ def iso_from_millis(millis) -> Column:
     return F.date_format(F.timestamp_millis(_col(millis)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+#: Milliseconds from 1970 that a time may be away.
+MOST_MILLIS = 8_640_000_000_000_000
+
+
+def iso_timestamp(value) -> Column:
+    """A variant as a time: text as it is unless it is empty, a number as milliseconds from 1970 if such a time exists; else null.
+
+    Years beyond four digits, and before the year 0, have a sign and six digits.
+    """
+    v = _col(value)
+    kind, number = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
+    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
+    millis = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
+    at = F.timestamp_millis(F.when(F.abs(number) <= MOST_MILLIS, millis))
+    year = F.year(at)
+    long_year = F.concat(F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0"))
+    iso = F.concat(F.when((year >= 0) & (year <= 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(long_year), F.date_format(at, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return F.when(text != "", text).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), iso)
+
+
 def duration_ms(millis, secs, nanos) -> Column:
     return F.coalesce(F.floor(_col(millis)).cast("long"), F.coalesce(_col(secs), F.lit(0)) * 1000 + F.round(F.coalesce(_col(nanos), F.lit(0)) / 1_000_000).cast("long"))
 

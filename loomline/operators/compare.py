@@ -63,17 +63,35 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "nt
     return durable(local.join(right, on, "left").select(*rows.columns, (F.col("_nth") + F.coalesce("_before", F.lit(0))).alias(out)))
 
 
-def compare_entries(old: DataFrame, new: DataFrame, order: list[str], expected: Column | None = None, raw: str = "raw") -> DataFrame:
-    """(order, raw, side, verdict) of all entries of both sides.
+def compare_entries(old: DataFrame, new: DataFrame, order: list[str], expected: Column | None = None, raw: str = "raw", scope: list[str] = ()) -> DataFrame:
+    """(scope, order, raw, side, verdict) of all entries of both sides; entries are compared within their scope, such as a file.
 
     Equal entries are matched one to one, in order: a matched old one is `preserved`, one
     without a match a `regression`, or `expected` where that condition on it holds; a new
     one without a match is an `addition`, a matched one `preserved`.
     """
-    both = signatures(old.select(*order, raw), raw).withColumn("side", F.lit("old")).unionByName(signatures(new.select(*order, raw), raw).withColumn("side", F.lit("new")))
-    both = numbered(both, ["signature", "side"], order)
-    n = durable(both.groupBy("signature").agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new")).select(F.col("signature").alias("of"), "n_old", "n_new"))
-    rows = both.join(n, F.col("signature").eqNullSafe(F.col("of")))
+    both = signatures(old.select(*scope, *order, raw), raw).withColumn("side", F.lit("old")).unionByName(signatures(new.select(*scope, *order, raw), raw).withColumn("side", F.lit("new")))
+    of = [*scope, "signature"]
+    both = numbered(both, [*of, "side"], order)
+    n = durable(both.groupBy(*of).agg(F.count_if(F.col("side") == "old").alias("n_old"), F.count_if(F.col("side") == "new").alias("n_new")).select(*[F.col(c).alias(f"_{c}") for c in of], "n_old", "n_new"))
+    rows = both.join(n, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of])
     matched = F.col("nth") <= F.least("n_old", "n_new")
     lost = F.lit("regression") if expected is None else F.when(F.coalesce(expected, F.lit(False)), "expected").otherwise("regression")
-    return rows.select(*order, raw, "side", F.when(matched, "preserved").when(F.col("side") == "new", "addition").otherwise(lost).alias("verdict"))
+    return rows.select(*scope, *order, raw, "side", F.when(matched, "preserved").when(F.col("side") == "new", "addition").otherwise(lost).alias("verdict"))
+
+
+def harness(compared: DataFrame, scope: list[str], errors: DataFrame | None = None) -> DataFrame:
+    """(scope, preserved, regressions, expected, additions, error, blocking): a row for each file that two adapters were run on.
+
+    compared: what `compare_entries` says, in the same scope. errors(scope, error): files that
+    one of the adapters could not read; such a file blocks, whatever else is known of it, and
+    so does one with a regression.
+    """
+    n = lambda side, verdict: F.count_if((F.col("side") == side) & (F.col("verdict") == verdict))
+    out = compared.groupBy(*scope).agg(n("old", "preserved").alias("preserved"), n("old", "regression").alias("regressions"), n("old", "expected").alias("expected"), n("new", "addition").alias("additions"))
+    if errors is not None:
+        out = out.join(errors.groupBy(*scope).agg(F.min("error").alias("error")), scope, "full")
+    else:
+        out = out.withColumn("error", F.lit(None).cast("string"))
+    counts = ["preserved", "regressions", "expected", "additions"]
+    return out.select(*scope, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts], "error", (F.col("error").isNotNull() | (F.coalesce("regressions", F.lit(0)) > 0)).alias("blocking"))

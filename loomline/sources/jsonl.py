@@ -86,6 +86,17 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("identity"))
 
 
+def combined_identity(identities: list[DataFrame], source: list[str]) -> DataFrame:
+    """(source, identity) of chained or merged readers: SHA-256 of their identities, one a line, in the order of the readers.
+
+    identities: a frame (source, identity) of each reader. A source that a reader does not
+    know has no identity, since the chain could not read it.
+    """
+    rows = chain([i.select(*source, "identity") for i in identities]).groupBy(*source).agg(F.array_sort(F.collect_list(F.struct("reader", "identity"))).alias("r"), F.count_distinct("reader").alias("n"))
+    joined = F.array_join(F.transform("r", lambda x: x["identity"]), "\n")
+    return rows.filter((F.col("n") == len(identities)) & (F.size("r") == len(identities))).select(*source, F.sha2(joined, 256).alias("identity"))
+
+
 def decode_payload(payload: str) -> str:
     """Text of a shared payload: base64 of gzip of UTF-8, white space around it ignored."""
     return gzip.decompress(base64.b64decode(payload.strip())).decode()
