@@ -11,7 +11,7 @@ from loomline.functions import scalars as S, versions
 from loomline.operators import adapters, compare, drift, graph, hashing, headers, leaves, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.session import shared_folder
-from loomline.sources import jsonl
+from loomline.sources import jsonl, store
 from loomline.streaming import validation
 
 FLAGSHIP = "unmatched_tool_calls"
@@ -741,3 +741,97 @@ def source_drift(spark, sf_dir):
     rows = c.select(F.lit("x").alias("agent"), F.concat(F.lit("v"), k).alias("version"), kind.alias("type"), F.parse_json(body).alias("value"))
     seen = drift.profile(rows, "value")
     return drift.drift(seen, seen.filter("version = 'v0'")).select("version", "type", "path", "kind", "code", "n")
+
+
+@query("""SELECT source AS file, CAST(doc_id AS INTEGER) AS line, doc_id AS n FROM documents WHERE doc_id % 4 = 0""")
+def tolerant_scan(spark, sf_dir):
+    """Documents as lines of their source's file: an object, prose, an array, or a cut object; only objects stay."""
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit('{"n":'), "doc_id", F.lit("}"))).when(k == 1, F.concat(F.lit("."), F.coalesce("text", F.lit("")))).when(k == 2, "[1]").otherwise('{"n":')
+    rows = P.read(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").cast("int").alias("line"), F.encode(raw, "UTF-8").alias("raw"))
+    return jsonl.tolerant(rows).select("file", "line", F.try_variant_get("value", "$.n", "long").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2, 4) THEN md5(CAST(event_id AS VARCHAR)) END AS id FROM events""")
+def shared_ids(spark, sf_dir):
+    """Addresses of shared sessions, bare ids, and what only looks like them."""
+    k, ident = F.col("event_id") % 7, F.md5(F.col("event_id").cast("string"))
+    url = (F.when(k == 0, F.concat(F.lit("https://h.org/u/"), ident)).when(k == 1, F.concat(F.lit("  "), F.upper(ident), F.lit("  "))).when(k == 2, F.concat(F.lit("http://h/"), ident, F.lit("/raw?x=1"))).when(k == 3, F.left(ident, F.lit(19)))
+           .when(k == 4, F.concat(F.lit("https://h.org/"), ident, F.lit("#part"))).when(k == 5, F.concat(F.lit("ftp://h/"), ident)).otherwise(F.concat(ident, F.lit("zz"))))
+    return P.read(spark, sf_dir, "events").select("event_id", jsonl.shared_id(url).alias("id"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(make_timestamp(event_id * 86400123 * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(event_id * 86400123 % 1000 AS VARCHAR), 3, '0') || 'Z' WHEN 1 THEN 'at ' || event_id END AS ts FROM events""")
+def record_times(spark, sf_dir):
+    """Times of raw records: milliseconds, text, empty text, and no time at all."""
+    k = F.col("event_id") % 4
+    value = F.when(k == 0, (F.col("event_id") * 86400123).cast("string")).when(k == 1, F.concat(F.lit('"at '), "event_id", F.lit('"'))).when(k == 2, '""').otherwise("[1]")
+    return P.read(spark, sf_dir, "events").select("event_id", S.iso_timestamp(F.parse_json(value)).alias("ts"))
+
+
+@query("""SELECT conv_id AS file, CAST(turn + 1 AS INTEGER) AS line, CASE WHEN turn % 4 = 1 THEN 'unknown_final_message_id' ELSE 'source_raw_envelope_ref_unresolved' END AS code, turn % 8 AS k FROM conversations WHERE turn % 8 IN (5, 7)""")
+def reference_rules(spark, sf_dir):
+    """Conversations as session files whose ends name a last message, and whose records name an envelope, before or after them."""
+    turn = F.col("turn")
+    ident = lambda t: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(t.cast("string"), 12, "0"))
+    kind = F.when(turn == 0, "session").when(turn % 4 == 1, "session_end").otherwise("user_message")
+    payload = F.struct(F.when(turn % 4 == 1, ident(F.when(turn % 8 == 1, turn - 1).otherwise(turn + 1))).alias("final_message_id"))
+    source = F.struct(F.struct(F.when(turn % 4 == 3, ident(F.when(turn % 8 == 3, turn - 2).otherwise(turn + 1))).alias("envelope_ref")).alias("raw"))
+    value = F.parse_json(F.to_json(F.struct(kind.alias("type"), ident(turn).alias("id"), F.when(turn == 0, "0.1.0").alias("schema_version"), payload.alias("payload"), source.alias("source"))))
+    lines = P.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), (turn + 1).cast("int").alias("line"), value.alias("value"))
+    found = rules.file_rules(rules.promoted(lines))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.filter("code in ('unknown_final_message_id', 'source_raw_envelope_ref_unresolved')").select("file", "line", "code", ((F.col("line") - 1) % 8).cast("long").alias("k"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN '<pending>' WHEN 1 THEN 'zz' ELSE sha256(coalesce(text, '')) END AS h FROM documents),
+s AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN 'skipped_pending' WHEN 1 THEN 'invalid' ELSE 'finalized' END AS first FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS source_path, h AS content_hash, first, CASE first WHEN 'finalized' THEN 'already_present' ELSE first END AS again FROM s""")
+def registered_objects(spark, sf_dir):
+    """Documents registered in a store, twice; some hashes are pending and some are none."""
+    k = F.col("doc_id") % 10
+    rows = P.read(spark, sf_dir, "documents").select(
+        F.when(k == 0, "<pending>").when(k == 1, "zz").otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("content_hash"), F.coalesce("text", F.lit("")).alias("body"), F.col("doc_id").cast("string").alias("source_path"),
+        F.lit("u").alias("session_uid"), F.lit("session").alias("kind"), F.lit(1).alias("registered_at"))
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4()}"
+    first = store.register(rows, root).withColumnRenamed("status", "first")
+    return first.join(store.register(rows, root).select("source_path", F.col("status").alias("again")), "source_path").select("source_path", "content_hash", "first", "again")
+
+
+@query("""SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash, 'session' AS kind FROM documents WHERE doc_id % 7 <> 0""")
+def rebuilt_objects(spark, sf_dir):
+    """A store in which every seventh document's body was changed: what can be indexed again, and what the index says of it."""
+    text = F.coalesce("text", F.lit(""))
+    rows = P.read(spark, sf_dir, "documents").select(F.sha2(text, 256).alias("content_hash"), F.concat(text, F.when(F.col("doc_id") % 7 == 0, "x").otherwise("")).alias("body"), F.col("doc_id").cast("string").alias("source_path"),
+                                                     F.lit("u").alias("session_uid"), F.lit(None).cast("string").alias("kind"), F.lit(1).alias("registered_at"))
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4()}"
+    store.register(rows, root)
+    return store.rebuilt_index(spark, root, lambda b: F.sha2(b, 256)).join(store.index(spark, root), "content_hash").select("content_hash", "kind")
+
+
+@query("""WITH o AS (SELECT conv_id, role || turn % 2 AS k FROM conversations), n AS (SELECT conv_id, role || turn % 2 AS k FROM conversations WHERE turn % 5 <> 0 UNION ALL SELECT DISTINCT conv_id, 'extra' FROM conversations WHERE conv_id % 4 = 0),
+a AS (SELECT conv_id, k, count(*) AS a FROM o GROUP BY ALL), b AS (SELECT conv_id, k, count(*) AS b FROM n GROUP BY ALL),
+c AS (SELECT conv_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b USING (conv_id, k)),
+s AS (SELECT conv_id, CAST(sum(least(a, b)) AS BIGINT) AS preserved, CAST(sum(a - least(a, b)) AS BIGINT) AS lost, CAST(sum(b - least(a, b)) AS BIGINT) AS additions FROM c GROUP BY conv_id)
+SELECT conv_id, preserved, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE lost END AS regressions, CASE WHEN conv_id % 3 = 0 THEN lost ELSE 0 END AS expected, additions, CASE WHEN conv_id % 9 = 8 THEN 'broke' END AS error,
+  conv_id % 9 = 8 OR (conv_id % 3 <> 0 AND lost > 0) AS blocking FROM s""")
+def adapter_harness(spark, sf_dir):
+    """Two adapters over all conversations: the new one loses every fifth turn and adds an entry to some."""
+    c = P.read(spark, sf_dir, "conversations")
+    entry = lambda text: F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.struct(text.alias("text")).alias("payload")))
+    own = entry(F.concat("role", F.col("turn") % 2))
+    old = c.select("conv_id", "turn", own.alias("raw"))
+    extra = c.filter("conv_id % 4 = 0").select("conv_id").distinct().withColumn("turn", F.lit(100).cast("long")).select("conv_id", "turn", entry(F.lit("extra")).alias("raw"))
+    compared = compare.compare_entries(old, c.filter("turn % 5 <> 0").select("conv_id", "turn", own.alias("raw")).unionByName(extra), ["turn"], F.col("conv_id") % 3 == 0, scope=["conv_id"])
+    errors = c.filter("conv_id % 9 = 8").select("conv_id", F.lit("broke").alias("error")).distinct()
+    return compare.harness(compared, ["conv_id"], errors)
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, sha256(CAST(min(o_orderkey) AS VARCHAR)) AS h FROM orders GROUP BY 1) SELECT c_custkey AS source, sha256(sha256(c_name) || chr(10) || h) AS identity FROM customer JOIN o ON k = c_custkey""")
+def combined_identities(spark, sf_dir):
+    """Customers and their first orders as two readers of one source."""
+    one = P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.sha2("c_name", 256).alias("identity"))
+    two = P.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.sha2(F.min("o_orderkey").cast("string"), 256).alias("identity"))
+    return jsonl.combined_identity([one, two], ["source"])
