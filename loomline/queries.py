@@ -11,7 +11,7 @@ from loomline.functions import scalars as S, versions
 from loomline.operators import adapters, compare, drift, graph, hashing, headers, leaves, listing, pairing, reconcile, redact, rules, second_pass, segments as seg, sequences as seq, tools
 from loomline.plans import projections as P
 from loomline.session import shared_folder
-from loomline.sources import jsonl, store
+from loomline.sources import discovery, jsonl, store
 from loomline.streaming import validation
 
 FLAGSHIP = "unmatched_tool_calls"
@@ -835,3 +835,28 @@ def combined_identities(spark, sf_dir):
     one = P.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), F.sha2("c_name", 256).alias("identity"))
     two = P.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.sha2(F.min("o_orderkey").cast("string"), 256).alias("identity"))
     return jsonl.combined_identity([one, two], ["source"])
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS file, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'pending' WHEN 2 THEN 'missing' ELSE 'mismatch' END AS verdict FROM orders""")
+def claimed_hashes(spark, sf_dir):
+    """Stamped sessions, sessions whose hash is pending or missing, and sessions with another one's first line added."""
+    plain = P.segment_lines(spark, sf_dir)
+    stamped = reconcile.stamp(plain)
+    k = F.col("file").cast("long") % 4
+    rows = stamped.filter(k.isin(0, 3)).unionByName(plain.filter(k == 2)).unionByName(plain.filter(k == 1).withColumn("raw", F.when(F.col("line") == 1, F.concat(F.lit('{"content_hash":"<pending>",'), F.substring("raw", 2, 1 << 30))).otherwise(F.col("raw"))))
+    extra = plain.filter((k == 3) & (F.col("line") == 1)).select("file", F.lit(1000).alias("line"), F.lit('{"type":"user_message","id":"late"}').alias("raw"))
+    return reconcile.claims(rows.unionByName(extra)).select("file", (F.col("file").cast("long") % 4).alias("k"), "verdict")
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS agent, 'v' || o_custkey AS version, o_orderdate AS day, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS path FROM orders) SELECT agent, arg_max(version, strftime(day, '%Y-%m-%d') || path) AS version FROM o GROUP BY agent""")
+def newest_versions(spark, sf_dir):
+    """The version of the session file that each agent changed last."""
+    o = P.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("agent"), F.concat(F.lit("v"), "o_custkey").alias("version"), F.col("o_orderdate").alias("modified_at"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("path"))
+    return discovery.newest_version(o)
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND (o_custkey % 7 = 3 OR o_custkey % 5 = 0) AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'""")
+def discovered_sessions(spark, sf_dir):
+    """Sessions of an agent within two years that ran in a directory or name none."""
+    o = P.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("agent"), F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("/w"), F.col("o_custkey") % 7)).alias("cwd"), F.col("o_orderdate").alias("modified_at"))
+    return listing.select_sessions(listing.bounded(o, "modified_at", "1995-01-01", "1997-01-01"), agent="F", cwd="/w3", lenient_cwd=True).select("id")
