@@ -120,8 +120,20 @@ def pointer_escape(part) -> Column:
     return F.replace(F.replace(_col(part), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def _iso(at: Column) -> Column:
+    """A time in UTC; years beyond four digits, and before the year 0, have a sign and six digits."""
+    year = F.year(at)
+    long_year = F.concat(F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0"))
+    return F.concat(F.when((year >= 0) & (year <= 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(long_year), F.date_format(at, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
 def iso_from_millis(millis) -> Column:
-    return F.date_format(F.timestamp_millis(_col(millis)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return _iso(F.timestamp_millis(_col(millis)))
+
+
+def plain_year(iso) -> Column:
+    """A time without the sign and the zeros before a year of more than four digits, as SQL prints it."""
+    return F.regexp_replace(_col(iso), r"^\+0*([0-9]{5,6}-)", "$1")
 
 
 #: Milliseconds from 1970 that a time may be away.
@@ -137,10 +149,7 @@ def iso_timestamp(value) -> Column:
     kind, number = F.schema_of_variant(v), F.try_variant_get(v, "$", "double")
     text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     millis = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
-    at = F.timestamp_millis(F.when(F.abs(number) <= MOST_MILLIS, millis))
-    year = F.year(at)
-    long_year = F.concat(F.when(year < 0, "-").otherwise("+"), F.lpad(F.abs(year).cast("string"), 6, "0"))
-    iso = F.concat(F.when((year >= 0) & (year <= 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(long_year), F.date_format(at, "-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    iso = _iso(F.timestamp_millis(F.when(F.abs(number) <= MOST_MILLIS, millis)))
     return F.when(text != "", text).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), iso)
 
 

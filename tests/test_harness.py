@@ -3,8 +3,10 @@
 import hashlib
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
+from loomline import queries as Q
 from loomline.functions import scalars as S
 from loomline.operators import compare
 from loomline.sources import jsonl
@@ -35,3 +37,17 @@ def test_times(spark):
               "8640000000000000": "+275760-09-13T00:00:00.000Z", "8640000000000001": None, "1e300": None, "253402300800000": "+010000-01-01T00:00:00.000Z", "-62198755200000": "-000001-01-01T00:00:00.000Z", '"123"': "123", "{}": None, "no json": None}
     df = spark.createDataFrame([(k,) for k in values], "t string")
     assert {r["t"]: r["x"] for r in df.select("t", S.iso_timestamp(F.try_parse_json("t")).alias("x")).collect()} == values
+
+
+def _times_by_both(spark, tmp_path, name):
+    """Times of a query over events with large ids, after a comparison with its SQL."""
+    spark.createDataFrame([(i,) for i in (0, 4, 2_932_892, 2_932_908, 36_000_000)], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {r["event_id"]: r["ts"] for r in Q.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(Q.SQL[name]).fetchall())
+    return got
+
+
+def test_iso_timestamps_of_long_years(spark, tmp_path):
+    assert _times_by_both(spark, tmp_path, "iso_timestamps") == {0: "1970-01-01T00:00:00.000Z", 4: "1970-01-05T00:00:00.492Z", 2_932_892: "9999-12-31T04:12:25.716Z", 2_932_908: "10000-01-16T04:12:27.684Z", 36_000_000: "100534-10-17T06:00:00.000Z"}
