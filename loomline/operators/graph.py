@@ -32,7 +32,7 @@ def cyclic_ids(edges: DataFrame, scope: list[str], most: int) -> DataFrame:
     hops = durable(edges.select(*scope, "id", F.col("parent_id").alias("up")).filter("up is not null"))
     for _ in range(max(1, (max(most, 2) - 1).bit_length())):
         ups = hops.select(*scope, F.col("id").alias("up"), F.col("up").alias("next"))
-        hops = durable(hops.join(ups, [*scope, "up"]).select(*scope, "id", F.col("next").alias("up")))
+        hops = durable(hops.join(_large(ups), [*scope, "up"]).select(*scope, "id", F.col("next").alias("up")))
     return hops.select(*scope, F.col("up").alias("id")).distinct()
 
 
@@ -84,10 +84,15 @@ def bag_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.explode(verdicts).alias("v")).select(*keys, "v.verdict", "v.n").filter("n > 0")
 
 
+def _large(table: DataFrame) -> DataFrame:
+    """A table that grows with the nodes, and so never goes through the driver in a join, however small its files look."""
+    return table.hint("merge")
+
+
 def _known_parents(nodes: DataFrame, scope: list[str]) -> DataFrame:
     """`nodes(scope, id, parent_id, ..)` with null for parents that are no node of the scope."""
     known = nodes.select(*scope, F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
-    return nodes.join(known, [*scope, "parent_id"], "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id"))).drop("_known")
+    return nodes.join(_large(known), [*scope, "parent_id"], "left").withColumn("parent_id", F.when(F.col("_known"), F.col("parent_id"))).drop("_known")
 
 
 class Forest:
@@ -109,32 +114,32 @@ class Forest:
         ring = stored(cyclic_ids(self.nodes.select(*scope, "id", "parent_id"), scope, most)) if not ups.isEmpty() else self.nodes.select(*scope, "id").limit(0)
         # Steps to the root or to the first node on a cycle: both point to themselves.
         end = F.col("to").isNull() | F.col("_ring").isNotNull()
-        walk = self.nodes.select(*scope, "id", F.col("parent_id").alias("to")).join(ring.withColumn("_ring", F.lit(True)), [*scope, "id"], "left").select(
+        walk = self.nodes.select(*scope, "id", F.col("parent_id").alias("to")).join(_large(ring.withColumn("_ring", F.lit(True))), [*scope, "id"], "left").select(
             *scope, "id", F.when(end, F.col("id")).otherwise(F.col("to")).alias("to"), F.when(end, 0).otherwise(1).cast("long").alias("steps"))
         walk = stored(walk)
         for _ in range(self.rounds):
             next_ = walk.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-            walk = stored(walk.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
+            walk = stored(walk.join(_large(next_), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps")))
         # A path that enters a cycle goes once around it: its last node is the one whose parent is where it entered.
-        lap = stored(self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, "id", F.col("parent_id").alias("to"), F.col("id").alias("least")))
+        lap = stored(self.nodes.join(_large(ring), [*scope, "id"], "left_semi").select(*scope, "id", F.col("parent_id").alias("to"), F.col("id").alias("least")))
         for _ in range(self.rounds if not lap.isEmpty() else 0):
             next_ = lap.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("other"))
-            lap = stored(lap.join(next_, [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
-        around = lap.join(lap.groupBy(*scope, "least").agg(F.count("*").alias("around")), [*scope, "least"]).select(*scope, F.col("id").alias("to"), "around")
-        before = self.nodes.join(ring, [*scope, "id"], "left_semi").select(*scope, F.col("parent_id").alias("to"), F.col("id").alias("last"))
-        self.depth = stored(walk.join(around, [*scope, "to"], "left").join(before, [*scope, "to"], "left").select(
+            lap = stored(lap.join(_large(next_), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"), F.least("least", "other").alias("least")))
+        around = lap.join(_large(lap.groupBy(*scope, "least").agg(F.count("*").alias("around"))), [*scope, "least"]).select(*scope, F.col("id").alias("to"), "around")
+        before = self.nodes.join(_large(ring), [*scope, "id"], "left_semi").select(*scope, F.col("parent_id").alias("to"), F.col("id").alias("last"))
+        self.depth = stored(walk.join(_large(around), [*scope, "to"], "left").join(_large(before), [*scope, "to"], "left").select(
             *scope, "id", F.coalesce("last", "to").alias("root"), (F.col("steps") + F.coalesce(F.col("around") - 1, F.lit(0))).alias("depth")))
         deepest = self.depth.agg(F.max("depth")).first()[0] or 0
         self.jumps = [stored(ups)]
         while 1 << len(self.jumps) <= deepest:
             last = self.jumps[-1]
-            self.jumps.append(stored(last.join(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far")), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"))))
+            self.jumps.append(stored(last.join(_large(last.select(*scope, F.col("id").alias("to"), F.col("to").alias("far"))), [*scope, "to"]).select(*scope, "id", F.col("far").alias("to"))))
 
     def joined(self, rows: DataFrame, column: str, table: DataFrame, **names: str) -> DataFrame:
         """`rows` with columns of a table by the id in `column`, null where there is none."""
         right = table.select(*[F.col(c).alias(f"__{c}") for c in self.scope], F.col("id").alias("__id"), *[F.col(c).alias(n) for c, n in names.items()])
         on = [F.col(c) == F.col(f"__{c}") for c in self.scope] + [F.col(column) == F.col("__id")]
-        return rows.join(right, on, "left").drop("__id", *[f"__{c}" for c in self.scope])
+        return rows.join(_large(right), on, "left").drop("__id", *[f"__{c}" for c in self.scope])
 
     def lifted(self, rows: DataFrame, column: str, steps: str) -> DataFrame:
         """`rows` with the node in `column` moved up by the number in `steps`."""

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.operators import graph
 
@@ -59,3 +60,12 @@ def test_no_pairs_and_no_parents(spark):
     asked = spark.createDataFrame([(1, "a", "a")], "s int, abandoned string, active string")
     assert [r["root"] for r in graph.branch_roots(df, asked, ["s"]).collect()] == ["a"]
     assert graph.branch_roots(df, asked.limit(0), ["s"]).count() == 0 and graph.branch_roots(df.limit(0), asked, ["s"]).first()["root"] == "a"
+
+
+def test_no_table_of_a_forest_goes_through_the_driver(spark):
+    nodes = spark.range(1, 40).select(F.lit(0).alias("tree"), "id", F.expr("nullif(id div 3, 0)").alias("parent_id"))
+    forest = graph.Forest(nodes, ["tree"])
+    rows = forest.lifted(forest.joined(nodes, "id", forest.depth, depth="d"), "id", "d")
+    rows.collect()
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert all(r["id"] in (1, 2) for r in rows.collect())
