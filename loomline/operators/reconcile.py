@@ -1,16 +1,21 @@
 """Session files in segments to whole sessions, and stamping of content hashes.
 
-Lines are (file, line, raw): the JSON text of one object each. Everything that belongs
-together is found by windows over a file or a session; Python only rewrites headers and
-puts lines into canonical form, in Arrow batches.
+Lines are (file, line, raw): the JSON text of one object each. What belongs together is
+found by windows over a file or a session. Hashes of files are taken in a walk over their
+sorted lines: one shuffle brings a file's lines together, and Python, in Arrow batches,
+puts them into canonical form, hashes them as they pass and rewrites headers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,17 +37,12 @@ class Reconciled(NamedTuple):
     envelopes: DataFrame
 
 
-def _pinned_texts(raw: pd.Series) -> pd.Series:
-    """JSON objects with a pending content hash as their first field."""
-
-    def one(text):
-        if text is None:
-            return None
-        value = json.loads(text)
-        value.pop("content_hash", None)
-        return json.dumps({"content_hash": hashing.PENDING} | value, ensure_ascii=False, separators=(",", ":"))
-
-    return raw.map(one)
+def _pinned(text: str) -> str:
+    """A JSON object with a pending content hash as its first field."""
+    value = json.loads(text)
+    value.pop("content_hash", None)
+    pinned = json.dumps({"content_hash": hashing.PENDING} | value, ensure_ascii=False, separators=(",", ":"))
+    return pinned.encode("utf-8", "backslashreplace").decode()
 
 
 def _merged_texts(first: pd.Series, last: pd.Series) -> pd.Series:
@@ -88,6 +88,108 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
             .withColumn("group_idx", F.sum((F.coalesce(F.col("type"), F.lit("")) == "session").cast("int")).over(place.rowsBetween(W.unboundedPreceding, 0))))
 
 
+def _whole_files(lines: DataFrame) -> DataFrame:
+    """(file, line, raw, head) with the lines of a file together and in order; head: session or trail, else null.
+
+    Only a line that can hold the word as a JSON string is parsed for its type.
+    """
+    may = F.col("raw").contains('"session"') | F.col("raw").contains('"trail"') | F.col("raw").contains("\\u")
+    kind = F.try_variant_get(F.when(may, F.try_parse_json("raw")), "$.type", "string")
+    rows = lines.select("file", "line", "raw").repartition("file").sortWithinPartitions("file", "line", "raw")
+    return rows.withColumn("head", F.when(kind.isin("session", "trail"), kind))
+
+
+class _Scope:
+    """The hash of a session or a whole file as its canonical lines pass, each ended by a line feed; faulty lines count for nothing."""
+
+    def __init__(self, group: int, at: int, raw: str):
+        self.group, self.at, self.raw, self.pinned = group, at, raw, _pinned(raw)
+        self.sha, self.empty, self.held = hashlib.sha256(), True, []
+
+    def add(self, canon: list[str]) -> None:
+        if canon:
+            self.sha.update(("\n".join(canon) + "\n").encode("utf-8", "backslashreplace"))
+            self.empty = False
+
+    def digest(self) -> str | None:
+        return None if self.empty else self.sha.hexdigest()
+
+
+def _walked(batches: Iterator[pa.RecordBatch], stamped: bool) -> Iterator[tuple[pa.RecordBatch | None, list[bool], list[tuple]]]:
+    """Each batch of _whole_files, which of its lines are no headers, and the scopes that ended: (file, line, scope, digest); at last those that are still open.
+
+    A file's hash covers its headers as they stand, or `stamped`: with their new hashes.
+    Then a session's canonical lines are held back until its header is known, in a file
+    with an envelope; nothing else is held.
+    """
+    file, whole, session, ended = None, None, None, []
+
+    def end(scope: _Scope | None) -> None:
+        if scope is not None:
+            ended.append((file[0], scope.at, scope, scope.digest()))
+            if stamped and whole is not None and scope is not whole:
+                whole.add(_canonical([_resealed(scope)]))
+                whole.add(scope.held)
+
+    for batch in batches:
+        names, at, heads = batch.column(0), batch.column(1), batch.column(3)
+        raw = batch.column(2).to_pylist()
+        # Lines between the starts of files and headers are put into canonical form together.
+        marks = set(pc.indices_nonzero(pc.is_valid(heads)).to_pylist())
+        changes = pc.fill_null(pc.equal(names.slice(1), names.slice(0, max(len(raw) - 1, 0))), False)
+        starts = [0, *(i + 1 for i in pc.indices_nonzero(pc.invert(changes)).to_pylist())]
+        plain = [True] * len(raw)
+        cuts = sorted(marks.union(starts))
+        starts = set(starts)
+        for i, until in zip(cuts, [*cuts[1:], len(raw)]):
+            head = heads[i].as_py() if i in marks else None
+            first = False
+            if i in starts:
+                name = names[i].as_py()
+                first = file is None or file[0] != name
+            if first:
+                end(session)
+                end(whole)
+                file, whole, session, group = (name,), None, None, 0
+            if head == "session":
+                end(session)
+                group += 1
+                session = _Scope(group, at[i].as_py(), raw[i])
+                session.add(_canonical([session.pinned]))
+                if whole is not None and not stamped:
+                    whole.add(_canonical([raw[i]]))
+            elif head == "trail" and first:
+                whole = _Scope(0, at[i].as_py(), raw[i])
+                whole.add(_canonical([whole.pinned]))
+            else:
+                head = None
+            plain[i] = head is None
+            if session is None and whole is None:
+                continue
+            canon = _canonical(raw[i if head is None else i + 1:until])
+            if session is not None:
+                session.add(canon)
+            if whole is not None and (session is None or not stamped):
+                whole.add(canon)
+            elif whole is not None:
+                session.held += canon
+        yield batch, plain, ended[:]
+        ended.clear()
+    end(session)
+    end(whole)
+    yield None, [], ended
+
+
+def _canonical(texts: list[str | None]) -> list[str]:
+    return [c for c in map(hashing.canonical_text, texts) if c is not None]
+
+
+def _resealed(scope: _Scope) -> str:
+    """The header of a scope with its hash in place; as it was, if no line of the scope has a canonical form."""
+    digest = scope.digest()
+    return scope.raw if digest is None else f'{{"content_hash":"{digest}"{scope.pinned[len(_PINNED):]}'
+
+
 def stamp(lines: DataFrame) -> DataFrame:
     """`lines` with content hashes: of each session in its header, then of the file in its envelope, if it has one.
 
@@ -96,22 +198,22 @@ def stamp(lines: DataFrame) -> DataFrame:
     lines stay byte for byte. Empty input gives no rows; a null or faulty line has no
     canonical form and counts for nothing.
     """
-    pin = _text_udf(lines, _pinned_texts)
-    rows = grouped_lines(lines.select("file", "line", "raw"))
-    head = rows.withColumn("is_header", F.coalesce(F.col("type") == "session", F.lit(False)))
-    pinned = head.withColumn("text", F.coalesce(pin(_only(F.col("is_header") | F.col("is_envelope"), F.col("raw"))), F.col("raw")))
-    canon = durable(hashing.with_canonical(pinned.select("file", "line", "raw", "group_idx", "is_header", "is_envelope", "text"), "text"))
-    sessions = hashing.content_hash(canon.filter("group_idx > 0 and canon is not null"), ["file", "group_idx"])
-    told = canon.join(sessions, ["file", "group_idx"], "left")
-    told = told.withColumn("text", F.when(F.col("is_header"), _sealed(F.col("text"), F.col("content_hash"))).otherwise(F.col("text"))).drop("content_hash")
-    # The file is hashed with its headers' hashes in place.
-    with_envelope = told.filter("is_envelope").select("file")
-    again = told.join(with_envelope, "file", "left_semi").select("file", "line", "is_header", F.col("text"), F.col("canon").alias("before"))
-    again = hashing.with_canonical(again.withColumn("new", _only(F.col("is_header"), F.col("text"))), "new").withColumn("canon", F.coalesce("canon", "before"))
-    files = hashing.content_hash(again.filter("canon is not null"), ["file"])
-    out = told.join(files, "file", "left")
-    text = F.when(F.col("is_envelope"), _sealed(F.col("text"), F.col("content_hash"))).when(F.col("is_header"), F.col("text")).otherwise(F.col("raw"))
-    return out.select("file", "line", text.alias("raw"))
+    rows = _whole_files(lines)
+    schema = rows.drop("head").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        like = None
+        for batch, plain, ended in _walked(batches, True):
+            if batch is not None:
+                batch = batch.select([0, 1, 2])
+                like = batch.schema
+                yield batch.filter(pa.array(plain, pa.bool_()))
+            if ended:
+                columns = zip(*[(file, line, _resealed(scope)) for file, line, scope, _ in ended])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, like.types)], schema=like)
+
+    ship(lines.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 def finalized(lines: DataFrame) -> DataFrame:
@@ -129,18 +231,24 @@ def claims(lines: DataFrame) -> DataFrame:
     verdict is hashing.verdict of the hash that a header carries against the one that its
     session, or an envelope's file, has.
     """
-    pin = _text_udf(lines, _pinned_texts)
-    rows = grouped_lines(lines.select("file", "line", "raw")).withColumn("is_header", F.coalesce(F.col("type") == "session", F.lit(False)))
-    text = F.coalesce(pin(_only(F.col("is_header") | F.col("is_envelope"), F.col("raw"))), F.col("raw"))
-    canon = durable(hashing.with_canonical(rows.withColumn("text", text), "text").select("file", "line", "raw", "value", "group_idx", "is_header", "is_envelope", "canon"))
-    sessions = hashing.content_hash(canon.filter("group_idx > 0 and canon is not null"), ["file", "group_idx"])
-    # An envelope covers the headers as they stand.
-    whole = canon.join(canon.filter("is_envelope").select("file"), "file", "left_semi").select("file", "line", F.when(F.col("is_header"), F.col("raw")).alias("own"), F.col("canon").alias("before"))
-    files = hashing.content_hash(hashing.with_canonical(whole, "own").withColumn("canon", F.coalesce("canon", "before")), ["file"]).withColumn("group_idx", F.lit(0).cast("long"))
-    get = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", F.try_variant_get("value", path, "string"))
-    heads = canon.filter("is_header or is_envelope").select("file", F.when(F.col("is_envelope"), 0).otherwise(F.col("group_idx")).cast("long").alias("group_idx"), get("$.session_uid").alias("session_uid"), get("$.content_hash").alias("claim"))
-    both = sessions.select("file", F.col("group_idx").cast("long").alias("group_idx"), "content_hash").unionByName(files.select("file", "group_idx", "content_hash"))
-    out = heads.join(both, ["file", "group_idx"]).withColumnRenamed("content_hash", "actual")
+    rows = _whole_files(lines)
+    schema = T.StructType([rows.schema["file"], *T.StructType.fromDDL("group_idx long, session_uid string, claim string, actual string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        for batch, _, ended in _walked(batches, False):
+            kind = kind if batch is None else batch.schema.types[0]
+            out = []
+            for file, _, scope, digest in ended:
+                value = json.loads(scope.raw)
+                texts = [value.get(k) for k in ("session_uid", "content_hash")]
+                if digest is not None:
+                    out.append((file, scope.group, *[x if isinstance(x, str) else None for x in texts], digest))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [kind, pa.int64(), *[pa.string()] * 3])], schema.names)
+
+    ship(lines.sparkSession)
+    out = rows.mapInArrow(run, schema)
     return out.withColumn("verdict", hashing.verdict(F.col("claim"), F.col("actual")))
 
 

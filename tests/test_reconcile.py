@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,28 @@ def test_faulty_entries_are_compared(spark):
     df = lambda texts: spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
     got = compare.compare_entries(df(['{"a":1}', "{no", None]), df(["{no json", '{"a": 1}']), ["i"])
     assert sorted((r["side"], r["i"], r["verdict"]) for r in got.collect()) == [("new", 0, "preserved"), ("new", 1, "preserved"), ("old", 0, "preserved"), ("old", 1, "preserved"), ("old", 2, "regression")]
+
+
+def test_lines_of_a_file_over_several_batches(spark):
+    """A walk goes on over batches; escapes, long numbers, faulty and null lines, and a null file are as when each line is read by itself."""
+    odd = ['{"b":1.0,"a":12345678901234567890}', ' {"b" : "\\u00e9", "a":-0.0}', '{"\\ud83d\\ude00":1,"ﬃ":2}', "{no", None, '"session"', '{"type":"\\u0073ession","id":"x"}', '{"type":"trail"}']
+    sessions = {"a": [{"type": "trail", "id": "t"}, entry(0), header("u"), *map(entry, range(1, 8)), header("v"), entry(9)], "b": [entry(1), header("w"), entry(2)], None: [header("n"), entry(3)]}
+    rows = [(name, i + 1, json.dumps(r)) for name, records in sessions.items() for i, r in enumerate(records)] + [("a", 100 + i, x) for i, x in enumerate(odd)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        got = []
+        for size in (1, 2, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            out = reconcile.stamp(spark.createDataFrame(rows, "file string, line int, raw string")).orderBy("file", "line").collect()
+            got.append([tuple(r) for r in out])
+            checked = reconcile.claims(spark.createDataFrame(out, "file string, line int, raw string")).collect()
+            assert sorted((r["file"] or "", r["group_idx"], r["verdict"]) for r in checked) == [("", 1, "match"), ("a", 0, "match"), ("a", 1, "match"), ("a", 2, "match"), ("a", 3, "match"), ("b", 1, "match")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    lines = [r[2] for r in got[0] if r[0] == "a"]
+    canon = [hashing.canonical_texts(pd.Series([x], dtype=object))[0] for x in odd]
+    tail = [json.loads(x) for x in lines[10:12]]
+    want = [hashing.canonical_json(tail[0] | {"content_hash": "<pending>"}), hashing.canonical_json(tail[1]), *[c for c in canon[:6] if c is not None]]
+    assert tail[0]["content_hash"] == hashlib.sha256(("\n".join(want) + "\n").encode()).hexdigest()
+    assert [x for x, old in zip(lines[12:], odd) if x != old] == [lines[18]] and json.loads(lines[18])["type"] == "session"
