@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomline.session import durable, stored
+from loomline.session import durable, ship, stored
 
 
 def duplicate_ids(records: DataFrame, scope: list[str], line: str = "line") -> DataFrame:
@@ -178,6 +181,53 @@ def diverging(forest: Forest, pairs: DataFrame) -> DataFrame:
     return stored(rows.withColumn("down", F.when(F.col("child").isNotNull(), F.col("_d1") - level)).select(*pairs.columns, "child", "down"))
 
 
+#: Nodes up to which a scope travels as one row and its paths are walked; larger ones are joined with doubled jumps.
+SMALL = 512
+
+
+def _upwards(leaf, parents: dict) -> list:
+    """A node's path, itself first; it ends before it repeats a node, and is empty where the leaf is no node."""
+    path, seen = [], set()
+    while leaf is not None and leaf in parents and leaf not in seen:
+        path.append(leaf)
+        seen.add(leaf)
+        leaf = parents[leaf]
+    return path
+
+
+def _root_entry(pair: tuple, parents: dict, entries: dict) -> str | None:
+    up, other = (_upwards(leaf, parents) for leaf in pair)
+    same = 0
+    while same < min(len(up), len(other)) and up[-1 - same] == other[-1 - same]:
+        same += 1
+    below = up[:len(up) - same][::-1] if same else []
+    return next((entries[x] for x in [*below, *up] if entries[x] is not None), None)
+
+
+def _walked(nodes: DataFrame, asked: DataFrame, scope: list[str], kind: T.DataType, answer: Callable) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """`asked` in small scopes with `_found`, what answer(row of asked, parents, entries) gives; nodes and asked of the others, None if there are none.
+
+    nodes(scope, id, parent_id, entry). One shuffle brings the nodes of a scope into one row, and another what is asked of it.
+    """
+    keys = [c for c in asked.columns if c not in scope]
+    many = durable(nodes.groupBy(*scope).agg(F.count("*").alias("_n")).filter(F.col("_n") > SMALL).select(*scope))
+    large = None
+    if not many.isEmpty():
+        large = tuple(df.join(_large(many), scope, "left_semi") for df in (nodes, asked))
+        nodes, asked = (df.join(_large(many), scope, "left_anti") for df in (nodes, asked))
+    of = nodes.groupBy(*scope).agg(F.collect_list(F.struct("id", "parent_id", "entry")).alias("_of"))
+    rows = asked.groupBy(*scope).agg(F.collect_list(F.struct(*keys)).alias("_asked")).join(_large(of), scope, "left")
+
+    def found(ids, ups, entries, *questions) -> list:
+        parents, entries = dict(zip(ids or [], ups or [])), dict(zip(ids or [], entries or []))
+        return [answer(q, parents, entries) for q in zip(*questions)]
+
+    ship(nodes.sparkSession)
+    told = F.udf(found, T.ArrayType(kind), useArrow=True)(*[F.col("_of")[c] for c in ("id", "parent_id", "entry")], *[F.col("_asked")[c] for c in keys])
+    rows = rows.withColumn("_found", told).select(*scope, F.explode(F.arrays_zip("_asked", "_found")).alias("_r"))
+    return rows.select(*[F.col(c) if c in scope else F.col(f"_r._asked.{c}").alias(c) for c in asked.columns], F.col("_r._found").alias("_found")), large
+
+
 def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
     """`pairs(scope, abandoned, active)` with `root`, the entry that an abandoned branch starts with.
 
@@ -185,8 +235,16 @@ def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFr
     is the entry of the first node with one on the abandoned path below where it leaves the
     active path. Where there is no such node, no common root, no active leaf, or where the
     abandoned leaf is on the active path, it is the entry of the nearest node upwards from the
-    leaf, itself included, and without any the leaf's id.
+    leaf, itself included, and without any the leaf's id. Small scopes are walked one by one.
     """
+    nodes = nodes.select(*scope, "id", "parent_id", F.col("entry").cast("string").alias("entry"))
+    few, large = _walked(nodes, pairs, scope, T.StringType(), _root_entry)
+    out = few.select(*pairs.columns, F.coalesce("_found", F.col("abandoned").cast("string")).alias("root"))
+    return out if large is None else out.unionByName(_joined_roots(*large, scope))
+
+
+def _joined_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFrame:
+    """branch_roots by doubled jumps."""
     forest = Forest(nodes.select(*scope, "id", "parent_id", "entry"), scope)
     own = forest.nodes
     # The nearest proper ancestor with an entry, and how far it is: found within 2^k steps, or the node that far up.
@@ -219,9 +277,17 @@ def branch_roots(nodes: DataFrame, pairs: DataFrame, scope: list[str]) -> DataFr
 def active_paths(nodes: DataFrame, leaves: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, leaf, id, up): all nodes on the path of each leaf, and how many steps up they are.
 
-    Marks are pushed along jumps of 2^k steps, from the longest down, so a path of n nodes takes
-    log n joins. leaves(scope, leaf); leaves that are no node have no path.
+    leaves(scope, leaf); leaves that are no node have no path. Small scopes are walked one by one.
     """
+    nodes = nodes.select(*scope, "id", "parent_id", F.lit(None).cast("string").alias("entry"))
+    leaves = leaves.select(*scope, "leaf")
+    few, large = _walked(nodes, leaves, scope, T.ArrayType(nodes.schema["id"].dataType), lambda row, parents, _: _upwards(row[0], parents))
+    out = few.select(*scope, "leaf", F.posexplode("_found").alias("up", "id")).select(*scope, "leaf", "id", F.col("up").cast("long").alias("up"))
+    return out if large is None else out.unionByName(_joined_paths(*large, scope))
+
+
+def _joined_paths(nodes: DataFrame, leaves: DataFrame, scope: list[str]) -> DataFrame:
+    """active_paths by doubled jumps: marks are pushed along jumps of 2^k steps, from the longest down, so a path of n nodes takes log n joins."""
     forest = Forest(nodes.select(*scope, "id", "parent_id"), scope)
     marks = forest.joined(leaves.select(*scope, "leaf"), "leaf", forest.depth, depth="_left").filter("_left is not null").select(*scope, "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"), "_left")
     for k in reversed(range(len(forest.jumps))):

@@ -69,3 +69,18 @@ def test_no_table_of_a_forest_goes_through_the_driver(spark):
     rows.collect()
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert all(r["id"] in (1, 2) for r in rows.collect())
+
+
+def test_small_scopes_need_no_forest(spark, monkeypatch):
+    """Scopes of up to SMALL nodes are walked; of the same rows larger ones give the same by jumps."""
+    rng = random.Random(9)
+    nodes = [(s, i, rng.choice([i - 1, i - 2, None, rng.randint(0, n)]), f"e{i}" if i % 3 else None) for s, n in enumerate([1, 3, 12, 12]) for i in range(n)]
+    df = spark.createDataFrame(nodes, "s int, id long, parent_id long, entry string")
+    asked = df.select("s", F.col("id").alias("abandoned"), F.lit(0).cast("long").alias("active")).unionByName(spark.createDataFrame([(9, 1, 1), (None, 2, 1)], "s int, abandoned long, active long"))
+    leaves = df.select("s", F.col("id").alias("leaf"))
+    both = lambda: [sorted(map(str, map(tuple, f.collect()))) for f in (graph.branch_roots(df, asked, ["s"]), graph.active_paths(df, leaves, ["s"]))]
+    monkeypatch.setattr(graph, "SMALL", 3)
+    mixed = both()
+    monkeypatch.setattr(graph, "SMALL", 512)
+    monkeypatch.setattr(graph, "Forest", None)
+    assert both() == mixed
