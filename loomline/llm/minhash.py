@@ -1,7 +1,9 @@
 """Near-dedup of the pipeline: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity SimHash fingerprints lie about ten of 64 bits apart, too far for balls.
-So texts meet where a band of their MinHash signatures is equal: of pairs at the threshold
+First the balls of simhash.py bring together SimHash fingerprints, here of the five-word
+shingles, within three bits, and what meets is compared exactly. At that similarity most
+fingerprints lie about ten of 64 bits apart, too far for balls of a size that can be sent.
+So what the balls leave meets where a band of their MinHash signatures is equal: of pairs at the threshold
 (1 - 0.8^6)^30, one in ten thousand, do not meet. Who meets is compared by the exact
 Jaccard similarity of the shingle sets of the whole texts.
 
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomline.llm import simhash
 from loomline.llm.common import by_value, connected_components, durable, mapped, numbered_columns, slices
 
 SHINGLE = 5
@@ -82,16 +85,21 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    return simhash.majority(hashes[at:at + AT_ONCE] for at in range(0, len(hashes), AT_ONCE))
+
+
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, node, n, bits, keys) of docs(doc_id, digest, text)."""
+    """(doc_id, digest, node, n, fp, bits, keys) of docs(doc_id, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 2)):
             sets = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             lists = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (parity_sketch, band_keys)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *lists], ["doc_id", "digest", "node", "n", "bits", "keys"])
+            longs = [pa.array(map(f, sets), pa.int64()) for f in (_node, len, _fingerprint)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *longs, *lists], ["doc_id", "digest", "node", "n", "fp", "bits", "keys"])
 
-    out = mapped(docs, run, "doc_id long, digest string, node long, n long, bits array<long>, keys array<long>")
+    out = mapped(docs, run, "doc_id long, digest string, node long, n long, fp long, bits array<long>, keys array<long>")
     return out.withColumn("bits", F.struct(*[F.col("bits")[i].alias(f"b{i}") for i in range(4)]))
 
 
@@ -123,12 +131,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return durable(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"))
 
 
-def _rooted(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, root) of the nodes of buckets(key, node, n, bits) that are linked; None without links."""
-    links, roots, k, last = None, None, 0, False
+def _ball_pairs(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes that SimHash balls bring together and whose sketches allow the similarity.
+
+    sketches(node, n, fp, bits): one row a node. Nodes of one fingerprint are paired with the
+    first of them, and first nodes along the stars that link fingerprints.
+    """
+    first = durable(sketches.groupBy("fp").agg(F.min_by(F.struct("node", "n", "bits"), "node").alias("c"), F.count("*").alias("g")))
+    star = simhash.links(first.select("fp"))
+    one, two = (first.select(F.col("fp").alias(k), F.col("c").alias(f"c{k}")) for k in "ab")
+    apart = star.join(one, "a").join(two, "b").select("ca", "cb")
+    same = sketches.join(first.filter("g > 1"), "fp").filter("node <> c.node").select(F.struct("node", "n", "bits").alias("ca"), F.col("c").alias("cb"))
+    near = _may_be_near((F.col("ca.n"), F.col("ca.bits")), (F.col("cb.n"), F.col("cb.bits")), similarity)
+    return apart.unionByName(same).filter(near).select(F.least("ca.node", "cb.node").alias("a"), F.greatest("ca.node", "cb.node").alias("b")).distinct()
+
+
+def _rooted(buckets: DataFrame, sets: DataFrame, similarity: float, links: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of the nodes that are linked by `links(a, b)` or in buckets(key, node, n, bits); None without links."""
+    k, last = 0, False
+    roots = None if links is None else durable(connected_components(links))
     size = buckets.groupBy("key").agg(F.count("*").alias("g"))
     weight = buckets.join(size, "key").groupBy("node").agg(F.sum("g").alias("weight"))
     placed = buckets.join(weight, "node").withColumn("root", F.col("node"))
+    if roots is not None:
+        placed = placed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     while True:
         order = F.struct("weight", "node") if k == 0 else F.struct(F.xxhash64(F.lit(k), "node"), "node")
         many = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("node", "n", "bits", "root"), order).alias("c"))
@@ -170,9 +196,13 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
     # Most texts share no bucket: sketches go with the others only.
     buckets = durable(members.join(shared, "key").join(rows.select("node", "bits").dropDuplicates(["node"]), "node"))
-    picked = rows.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest"))
+    pairs = durable(_ball_pairs(rows.select("node", "n", "fp", "bits").dropDuplicates(["node"]), similarity))
+    asked = buckets.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    picked = rows.join(asked, "node").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = hashed.select("digest", text.alias("text")).join(picked, "digest").dropDuplicates(["node"]).select("node", "text")
-    roots = _rooted(buckets, durable(_sets(texts, shingle)), similarity)
+    sets = durable(_sets(texts, shingle))
+    met = _verified(pairs, sets, similarity)
+    roots = _rooted(buckets, sets, similarity, None if met.isEmpty() else met)
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest")
     stay = rows.groupBy("node").agg(F.min(first).alias("low"))
     if roots is not None:

@@ -24,7 +24,7 @@ which grow with the number of fingerprints, don't bring full balls with them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -55,12 +55,16 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *(e + 1 for e in ends)]
     k = min(SHINGLE, len(words))
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     n = len(words) - k + 1
-    for at in range(0, n, AT_ONCE):
-        part = zip(starts[at:min(n, at + AT_ONCE)], ends[at + k - 1:])
-        h = np.array([digest(joined[a:b], SEED) for a, b in part], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at:min(n, at + AT_ONCE)], ends[at + k - 1:])], np.uint64) for at in range(0, n, AT_ONCE))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits, signed: a bit is set if over half of all the hashes have it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in parts:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view(np.int64)[0])
 

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
+
 from loomline.llm import minhash
 
 
@@ -65,3 +67,18 @@ def test_sketches_lose_no_similar_pair():
         a, b = (np.concatenate([both, rng.integers(0, 1 << 63, rng.integers(0, 60), np.uint64)]) for _ in range(2))
         bits = [np.array(minhash.parity_sketch(x)).view(np.uint64) for x in (a, b)]
         assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(a) + len(b) - 2 * len(both)
+
+
+def test_balls_of_fingerprints_bring_texts_together(spark, monkeypatch):
+    """Texts whose fingerprints lie within three bits are linked by the balls alone, if their sets are similar."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(400))]
+    bits = [minhash._fingerprint(minhash.shingles(t)) for t in texts]
+    assert ((bits[0] ^ bits[1]) & (1 << 64) - 1).bit_count() <= 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "_sketched", _unbanded(minhash._sketched))
+    assert sorted(r["doc_id"] for r in minhash.near_texts(df).collect()) == [0, 2]
+
+
+def _unbanded(sketched):
+    return lambda docs, shingle: sketched(docs, shingle).withColumn("keys", F.array().cast("array<long>"))
