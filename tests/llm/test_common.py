@@ -31,3 +31,26 @@ def test_names(spark):
     assert free_name(df, "a") == "a__" and free_name(df, "b") == "b"
     plain, at = numbered_columns(df)
     assert plain.columns == ["c0", "c1"] and at == {"A": "c0", "a_": "c1"}
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from loomline.session import durable
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def blocks():
+        found = disk.getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), blocks()
+    rows = durable(spark.range(10_000).groupBy((F.col("id") % 1_000).alias("k")).count())
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not blocks() - before
+    assert rows.agg(F.sum("count")).first()[0] == 10_000 and spark.conf.get(key) == setting
