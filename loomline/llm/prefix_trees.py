@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import durable, grouped, mapped, slices
-from loomline.llm.sampling import LAST_ID, SPANS, Words, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, twins, with_spans
+from loomline.llm.sampling import LAST_ID, SPANS, Words, apart, chosen, contexts, entries, extended, grouped_by_gram, keyed, located, merged, most_of_one, twins, with_spans
 
 #: Runs in a group.
 GROUP_ROWS = 5_000
@@ -116,16 +116,17 @@ def repeated_spans(docs: DataFrame, unit: Words = Words(), group_rows: int = GRO
     hits = durable(located(rows, grams.select("gram", (F.col("n") > most_of_one(unit, group_rows)).alias("heavy"))))
     hits = durable(hits.join(known, "key", "left_anti"))
     total = hits.agg(F.sum(F.size("at"))).first()[0] or 0
-    parts, spans = [contexts(docs, chosen(hits, False), unit)], [whole]
-    heavy = chosen(hits, True)
+
+    def searched(part: DataFrame) -> DataFrame:
+        light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "ctx")
+        return grouped(light.groupBy("group"), lambda t: subtrees(t, unit), SPANS, docs.sparkSession)
+
+    found, heavy = apart(searched(contexts(docs, chosen(hits, False), unit)), contexts(docs, chosen(hits, True), unit))
+    spans = [whole, found]
     if not heavy.isEmpty():
         # Of equal contexts those of the smallest document stand for all, the others are repeats.
-        found, more = extended(contexts(docs, heavy, unit), unit, group_rows, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
-        spans += found
-        parts += more
-    for part in parts:
-        light = grouped_by_gram(part, group_rows, total).select("group", "did", "h", "start", "ctx")
-        spans.append(grouped(light.groupBy("group"), lambda t: subtrees(t, unit), SPANS, docs.sparkSession))
+        known, more = extended(heavy, unit, group_rows, F.min("did"), F.col("did") > F.col("best"), F.col("did") == F.col("best"))
+        spans += [*known, *map(searched, more)]
     return functools.reduce(DataFrame.unionByName, spans)
 
 
