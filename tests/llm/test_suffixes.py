@@ -87,3 +87,17 @@ def test_spans_come_from_the_family(spark, monkeypatch):
     assert suffix_levels.dedup(df, unit=unit).filter(F.size("spans") > 0).count() == 8
     monkeypatch.setattr(suffix_levels.Family, "add", lambda self, batch: batch.select("gram", "key", "start").limit(0))
     assert suffix_levels.dedup(df, unit=unit).filter(F.size("spans") > 0).count() == 0
+
+
+def test_texts_move_once_for_contexts_of_light_and_heavy_prefixes(spark, monkeypatch):
+    """What goes on to longer prefixes is a checkpoint, no second join with the texts."""
+    rng = random.Random(8)
+    w = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    rows = [(i, f"{w(5)} one two three four five {w(5)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module, unit in ((prefix_trees, sampling.Words(5, (2, 3, 5), 3)), (suffix_levels, sampling.Bytes(20, (8, 12, 20), 32, 1))):
+        plans, real = [], module.extended
+        monkeypatch.setattr(module, "extended", lambda rows, *a, real=real, plans=plans: plans.append(rows._jdf.queryExecution().toString()) or real(rows, *a))
+        out = {r["did"]: [tuple(s) for s in r["spans"]] for r in module.dedup(df, unit=unit, group_rows=10).collect()}
+        assert len(plans) == 1 and "Join" not in plans[0]
+        assert all(out[i] for i, _ in rows if i)
