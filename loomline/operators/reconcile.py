@@ -11,9 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import cached_property, reduce
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -28,15 +27,6 @@ from loomline.session import durable, ship
 _PINNED = f'{{"content_hash":"{hashing.PENDING}"'
 
 
-class Reconciled(NamedTuple):
-    """records(session, ord, raw), groups(session, session_uid, segments, events, events_deduped, content_hash), warnings(session_uid, source, code), envelopes(file, raw)."""
-
-    records: DataFrame
-    groups: DataFrame
-    warnings: DataFrame
-    envelopes: DataFrame
-
-
 def _pinned(text: str) -> str:
     """A JSON object with a pending content hash as its first field."""
     value = json.loads(text)
@@ -45,38 +35,26 @@ def _pinned(text: str) -> str:
     return pinned.encode("utf-8", "backslashreplace").decode()
 
 
-def _merged_texts(first: pd.Series, last: pd.Series) -> pd.Series:
+def _merged_header(first: str, last: str) -> str:
     """The header of a merged session: the last segment's without `segment`, the first one's time and stable fields.
 
     A session whose stream is still open carries no hash, others get a pending one.
     """
-
-    def one(a, b):
-        a, b = json.loads(a), json.loads(b)
-        b.pop("segment", None)
-        b.pop("content_hash", None)
-        if isinstance(a.get("ts"), str):
-            b["ts"] = a["ts"]
-        b |= {k: a[k] for k in segments.STABLE_FIELDS if k in a}
-        stream = b.get("stream")
-        still_open = isinstance(stream, dict) and stream.get("state") == "open"
-        return json.dumps(b if still_open else {"content_hash": hashing.PENDING} | b, ensure_ascii=False, separators=(",", ":"))
-
-    return pd.Series([one(a, b) for a, b in zip(first, last)])
-
-
-def _text_udf(df: DataFrame, f):
-    ship(df.sparkSession)
-    return F.pandas_udf(f, T.StringType())
-
-
-def _only(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
-def _sealed(raw: Column, digest: Column) -> Column:
+    a, b = json.loads(first), json.loads(last)
+    b.pop("segment", None)
+    b.pop("content_hash", None)
+    if isinstance(a.get("ts"), str):
+        b["ts"] = a["ts"]
+    b |= {k: a[k] for k in segments.STABLE_FIELDS if k in a}
+    stream = b.get("stream")
+    still_open = isinstance(stream, dict) and stream.get("state") == "open"
+    text = json.dumps(b if still_open else {"content_hash": hashing.PENDING} | b, ensure_ascii=False, separators=(",", ":"))
+    return text.encode("utf-8", "backslashreplace").decode()
+
+
+def _sealed(raw: str, digest: str) -> str:
     """A pinned header with its hash in place."""
-    return F.concat(F.lit('{"content_hash":"'), digest, F.lit('"'), F.substring(raw, len(_PINNED) + 1, 1 << 30))
+    return f'{{"content_hash":"{digest}"{raw[len(_PINNED):]}'
 
 
 def grouped_lines(lines: DataFrame) -> DataFrame:
@@ -88,13 +66,18 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
             .withColumn("group_idx", F.sum((F.coalesce(F.col("type"), F.lit("")) == "session").cast("int")).over(place.rowsBetween(W.unboundedPreceding, 0))))
 
 
+def _maybe_head() -> Column:
+    """The value of a line that can hold the type of a header or an envelope as a JSON string, else null."""
+    raw = F.col("raw")
+    return F.when(raw.contains('"session"') | raw.contains('"trail"') | raw.contains("\\u"), F.try_parse_json("raw"))
+
+
 def _whole_files(lines: DataFrame) -> DataFrame:
     """(file, line, raw, head) with the lines of a file together and in order; head: session or trail, else null.
 
     Only a line that can hold the word as a JSON string is parsed for its type.
     """
-    may = F.col("raw").contains('"session"') | F.col("raw").contains('"trail"') | F.col("raw").contains("\\u")
-    kind = F.try_variant_get(F.when(may, F.try_parse_json("raw")), "$.type", "string")
+    kind = F.try_variant_get(_maybe_head(), "$.type", "string")
     rows = lines.select("file", "line", "raw").repartition("file").sortWithinPartitions("file", "line", "raw")
     return rows.withColumn("head", F.when(kind.isin("session", "trail"), kind))
 
@@ -187,7 +170,7 @@ def _canonical(texts: list[str | None]) -> list[str]:
 def _resealed(scope: _Scope) -> str:
     """The header of a scope with its hash in place; as it was, if no line of the scope has a canonical form."""
     digest = scope.digest()
-    return scope.raw if digest is None else f'{{"content_hash":"{digest}"{scope.pinned[len(_PINNED):]}'
+    return scope.raw if digest is None else _sealed(scope.pinned, digest)
 
 
 def stamp(lines: DataFrame) -> DataFrame:
@@ -252,17 +235,207 @@ def claims(lines: DataFrame) -> DataFrame:
     return out.withColumn("verdict", hashing.verdict(F.col("claim"), F.col("actual")))
 
 
-def _headers(rows: DataFrame) -> DataFrame:
-    """(source, session_uid, own_seq, seq, prev_content_hash, has_prev, content_hash, raw, and the stable fields) of each source."""
-    get = lambda path, kind="string": F.try_variant_get("value", path, kind)
-    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", get(path))
+def _text(value: str, path: str) -> Column:
+    """The string at a path of a variant; null for what is no string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def _sourced(lines: DataFrame) -> DataFrame:
+    """(file, line, raw, head, value, several, first, source, session, session_uid, own_seq, seq) of all lines.
+
+    A file with several sessions is a source for each; any other file is one source.
+    session is null before the first of several headers and in a file without one. One shuffle brings a file's lines together; only headers and envelopes have a
+    value.
+    """
     number = F.schema_of_variant(F.try_variant_get("value", "$.segment.seq", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    kind = F.try_variant_get("value", "$.type", "string")
+    file = W.partitionBy("file")
+    upto = file.orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    rows = lines.select("file", "line", "raw").withColumn("value", _maybe_head()).withColumn("head", F.when(kind.isin("session", "trail"), kind))
+    rows = rows.withColumn("value", F.when(F.col("head").isNotNull(), F.col("value")))
+    own = F.when(F.col("head") == "session", F.struct(F.lit(True).alias("any"), _text("value", "$.session_uid").alias("session_uid"), F.when(number, F.try_variant_get("value", "$.segment.seq", "double")).alias("own_seq")))
+    rows = rows.withColumn("own", own)
+    rows = rows.withColumn("group_idx", F.count("own").over(upto)).withColumn("first", F.row_number().over(file.orderBy("line")) == 1).withColumn("before", F.last("own", ignorenulls=True).over(upto))
+    rows = rows.withColumn("several", F.count("own").over(file) > 1).withColumn("only", F.max("own").over(file))
+    rows = rows.withColumn("source", F.when(F.col("several"), F.concat("file", F.lit("#session-"), F.col("group_idx") - 1)).otherwise(F.col("file").cast("string"))).withColumn("own", F.when(F.col("several"), F.col("before")).otherwise(F.col("only")))
+    session = F.when(F.col("own.any"), F.when(F.col("own.session_uid").isNull(), F.concat(F.lit("source:"), "source")).otherwise(F.concat(F.lit("uid:"), "own.session_uid")))
+    return rows.select("file", "line", "raw", "head", "value", "several", "first", "source", session.alias("session"), "own.session_uid", "own.own_seq", F.coalesce("own.own_seq", F.lit(1.0)).alias("seq"))
+
+
+class _Session:
+    """What a session comes to as its lines pass; of a merged one the hash, unless its stream is open.
+
+    Known before the lines are the session's headers, in order of their segments.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.heads, self.begun = name, [], False
+        self.asked, self.events, self.ord, self.seen, self.sha, self.header = 0, 0, 0, set(), None, None
+
+    def begin(self) -> None:
+        self.begun, self.merged = True, len(self.heads) > 1
+        self.last = self.heads[-1][0]
+        if self.merged:
+            self.ord = 1  # the header's is 0, and it comes when its hash is known
+            self.header = _merged_header(self.heads[0][2], self.heads[-1][2])
+            self.sha = hashlib.sha256() if self.header.startswith(_PINNED) else None
+            self.add([hashing.canonical_text(self.header)])
+
+    def add(self, canon: list[str]) -> None:
+        if canon and self.sha is not None:
+            self.sha.update(("\n".join(canon) + "\n").encode("utf-8", "backslashreplace"))
+
+    def merge(self, sources: list[str], texts: list[str | None]) -> list[str | None]:
+        """The entries that stay: of one id the first, and no marker of a killed process that a further segment followed; the rest by their hash.
+
+        What has no canonical form has no id and is no marker.
+        """
+        kept, canon = [], []
+        for source, text in zip(sources, texts):
+            value, plain = hashing.with_value(text)
+            known = None
+            if plain is not None:
+                if isinstance(value, dict):
+                    if value.get("type") == "session_terminated" and source != self.last:
+                        payload = value.get("payload")
+                        if isinstance(payload, dict) and payload.get("reason") == "process_terminated":
+                            continue
+                    known = value.get("id")
+            self.asked += 1
+            if isinstance(known, str):
+                if known in self.seen:
+                    continue
+                self.seen.add(known)
+            kept.append(text)
+            if plain is not None:
+                canon.append(plain)
+        self.events += len(kept)
+        self.add(canon)
+        return kept
+
+    def end(self) -> tuple[str | None, str | None]:
+        """Its content hash, and the header of a merged session."""
+        if not self.merged:
+            claim = json.loads(self.heads[0][2]).get("content_hash")
+            return claim if isinstance(claim, str) else None, None
+        digest = None if self.sha is None else self.sha.hexdigest()
+        return digest, self.header if digest is None else _sealed(self.header, digest)
+
+
+def _reconciled(batches: Iterator[pa.RecordBatch], records: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of `Reconciled.records`, or else of its groups, from the batches of `_by_session`.
+
+    Held are the ids and headers of one session, never its entries.
+    """
+    now, out = None, []
+
+    def end() -> None:
+        if now is None:
+            return
+        if not now.begun:
+            now.begin()
+        digest, header = now.end()
+        if not records:
+            out.append((now.name, now.heads[0][1], [h[0] for h in now.heads], now.events, now.asked - now.events, digest))
+        elif now.merged:
+            out.append((now.name, 0, header))
+
+    types = [pa.string(), pa.int32(), pa.string()] if records else [pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
+    names = ["session", "ord", "raw"] if records else ["session", "session_uid", "segments", "events", "events_deduped", "content_hash"]
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    for batch in batches:
+        session, early, n = batch["session"], batch["early"], batch.num_rows
+        differs = lambda c: pc.not_equal(c.slice(1), c.slice(0, max(n - 1, 0)))
+        cuts = [0, *(i + 1 for i in pc.indices_nonzero(pc.or_(differs(session), differs(early))).to_pylist())][:n]
+        for at, until in zip(cuts, [*cuts[1:], n]):
+            name = session[at].as_py()
+            if now is None or name != now.name:
+                end()
+                now = _Session(name)
+            part = batch.slice(at, until - at)
+            if early[at].as_py():
+                now.heads += zip(*(part[c].to_pylist() for c in ("source", "session_uid", "raw")))
+                continue
+            if not now.begun:
+                now.begin()
+            kept = part["raw"].to_pylist()
+            if now.merged:
+                part = part if not records else part.filter(part["entry"])
+                kept = now.merge(part["source"].to_pylist(), part["raw"].to_pylist())
+            else:
+                now.asked += pc.sum(part["entry"]).as_py()
+                now.events = now.asked
+            if records:
+                out.extend((now.name, now.ord + k, text) for k, text in enumerate(kept))
+                now.ord += len(kept)
+        if out:
+            yield made()
+            out.clear()
+    end()
+    if out:
+        yield made()
+
+
+def _by_session(rows: DataFrame, records: bool) -> DataFrame:
+    """(session, source, session_uid, raw, early, entry): the lines of each session together, one shuffle, first its headers and then all lines, in order of seq, source and line.
+
+    Not `records`: only what is counted or hashed.
+    """
+    is_head, entry = F.coalesce(F.col("head") == "session", F.lit(False)), F.col("head").isNull()
+    rows = rows.filter("session is not null")
+    if records:
+        rows = rows.withColumn("early", F.explode(F.when(is_head, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    else:
+        rows = rows.filter(is_head | entry).withColumn("early", is_head)
+    rows = rows.select("session", "seq", "source", "line", "early", entry.alias("entry"), "raw", F.when(F.col("early"), F.col("session_uid")).alias("session_uid"))
+    return rows.repartition("session").sortWithinPartitions("session", F.col("early").desc(), "seq", "source", "line").select("session", "source", "session_uid", "raw", "early", "entry")
+
+
+class Reconciled:
+    """Sessions of lines, in four tables; each is a plan of its own, and what nobody reads is never run.
+
+    records(session, ord, raw), groups(session, session_uid, segments, events, events_deduped,
+    content_hash), warnings(session_uid, source, code), envelopes(file, raw).
+    """
+
+    def __init__(self, lines: DataFrame):
+        self.rows = _sourced(lines)
+
+    @cached_property
+    def envelopes(self) -> DataFrame:
+        return self.rows.filter("several and first and head = 'trail'").select("file", "raw")
+
+    @cached_property
+    def records(self) -> DataFrame:
+        ship(self.rows.sparkSession)
+        return _by_session(self.rows, True).mapInArrow(lambda batches: _reconciled(batches, True), "session string, ord int, raw string")
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        ship(self.rows.sparkSession)
+        return _by_session(self.rows, False).mapInArrow(lambda batches: _reconciled(batches, False), "session string, session_uid string, segments array<string>, events long, events_deduped long, content_hash string")
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        heads = durable(_headers(self.rows).withColumn("members", F.count("*").over(W.partitionBy("session"))))
+        merged = heads.filter("members > 1")
+        lost = self.rows.filter("session is null and not several").select("source").distinct()
+        say = lambda df, code: df.select(F.col("session_uid").cast("string").alias("session_uid"), "source", F.lit(code).alias("code") if isinstance(code, str) else code)
+        stable = tuple(f"h_{f}" for f in segments.STABLE_FIELDS)
+        return reduce(DataFrame.unionByName, [
+            say(lost.withColumn("session_uid", F.lit(None)), "missing_session_header"),
+            say(heads.filter("session_uid is null and own_seq >= 2"), "missing_session_uid"),
+            say(segments.seq_warnings(merged.select("session_uid", F.col("seq").cast("long").alias("seq"), "source")), F.col("code")),
+            say(segments.chain_warnings(merged.select("session_uid", "seq", "source", "content_hash", "prev_content_hash", "has_prev")), F.col("code")),
+            say(segments.stable_field_warnings(merged.select("session_uid", "seq", "source", *stable), stable), "stable_field_divergence")])
+
+
+def _headers(rows: DataFrame) -> DataFrame:
+    """(source, session, session_uid, own_seq, seq, prev_content_hash, has_prev, content_hash, and the stable fields) of each source."""
     prev = F.schema_of_variant(F.try_variant_get("value", "$.segment.prev_content_hash", "variant"))
-    first = rows.filter(F.col("type") == "session").withColumn("nth", F.row_number().over(W.partitionBy("source").orderBy("line"))).filter("nth = 1")
-    return first.select(
-        "source", text("$.session_uid").alias("session_uid"), F.when(number, get("$.segment.seq", "double")).alias("own_seq"), text("$.segment.prev_content_hash").alias("prev_content_hash"),
-        F.coalesce(prev.isin("STRING", "VOID"), F.lit(False)).alias("has_prev"), text("$.content_hash").alias("content_hash"), "raw",
-        *[F.to_json(F.try_variant_get("value", f"$.{f}", "variant")).alias(f"h_{f}") for f in segments.STABLE_FIELDS]).withColumn("seq", F.coalesce("own_seq", F.lit(1.0)))
+    return rows.filter("head = 'session'").select(
+        "source", "session", "session_uid", "own_seq", "seq", _text("value", "$.segment.prev_content_hash").alias("prev_content_hash"), F.coalesce(prev.isin("STRING", "VOID"), F.lit(False)).alias("has_prev"),
+        _text("value", "$.content_hash").alias("content_hash"), *[F.to_json(F.try_variant_get("value", f"$.{f}", "variant")).alias(f"h_{f}") for f in segments.STABLE_FIELDS])
 
 
 def reconcile(lines: DataFrame) -> Reconciled:
@@ -275,51 +448,4 @@ def reconcile(lines: DataFrame) -> Reconciled:
     only from the last segment, one header, stamped anew unless its stream is open.
     Files without a header are left out with a warning.
     """
-    rows = grouped_lines(lines.select("file", "line", "raw"))
-    several = F.max("group_idx").over(W.partitionBy("file")) > 1
-    rows = durable(rows.withColumn("several", several).withColumn("source", F.when(F.col("several"), F.concat("file", F.lit("#session-"), F.col("group_idx") - 1)).otherwise(F.col("file").cast("string"))))
-    envelopes = rows.filter("several and is_envelope").select("file", "raw")
-    # Lines before the first of several headers belong to no session.
-    rows = rows.filter("not several or group_idx > 0")
-    heads = durable(_headers(rows))
-    own = F.when(F.col("session_uid").isNull(), F.concat(F.lit("source:"), "source")).otherwise(F.concat(F.lit("uid:"), "session_uid"))
-    heads = heads.withColumn("session", own).withColumn("members", F.count("*").over(W.partitionBy("session")))
-    heads = durable(segments.with_last(heads, "session"))
-    merged = heads.filter("members > 1")
-    lost = rows.select("source").distinct().join(heads.select("source"), "source", "left_anti")
-    say = lambda df, code: df.select(F.col("session_uid").cast("string").alias("session_uid"), "source", F.lit(code).alias("code") if isinstance(code, str) else code)
-    warnings = [
-        say(lost.withColumn("session_uid", F.lit(None)), "missing_session_header"),
-        say(heads.filter("session_uid is null and own_seq >= 2"), "missing_session_uid"),
-        say(segments.seq_warnings(merged.select("session_uid", F.col("seq").cast("long").alias("seq"), "source")), F.col("code")),
-        say(segments.chain_warnings(merged.select("session_uid", "seq", "source", "content_hash", "prev_content_hash", "has_prev")), F.col("code")),
-        say(segments.stable_field_warnings(merged.select("session_uid", "seq", "source", *[F.col(f"h_{f}").alias(f"f_{f}") for f in segments.STABLE_FIELDS]), tuple(f"f_{f}" for f in segments.STABLE_FIELDS)), "stable_field_divergence"),
-    ]
-    of = heads.select("source", "session", "session_uid", "seq", "members", "is_last")
-    passed = rows.join(of.filter("members = 1"), "source")
-    alone = passed.withColumn("ord", F.row_number().over(W.partitionBy("session").orderBy("line")) - 1).select("session", "ord", "raw")
-    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get("value", path, "variant")) == "STRING", F.try_variant_get("value", path, "string"))
-    entries = rows.filter("coalesce(type, '') not in ('trail', 'session')").join(of.filter("members > 1"), "source").select(
-        "session_uid", "session", "seq", "source", "is_last", "line", text("$.id").alias("id"), "type", text("$.payload.reason").alias("reason"), "raw")
-    kept = durable(segments.merge_events(entries))
-    ends = merged.groupBy("session").agg(F.min_by("raw", F.struct("seq", "source")).alias("first"), F.max_by("raw", F.struct("seq", "source")).alias("last"))
-    header = durable(ends.withColumn("raw", _text_udf(lines, _merged_texts)("first", "last")).select("session", F.lit(0).alias("ord"), "raw"))
-    stamped = header.filter(F.col("raw").startswith(_PINNED))
-    bodies = kept.join(stamped.select("session"), "session", "left_semi").select("session", "ord", "raw").unionByName(stamped)
-    digests = hashing.content_hash(hashing.with_canonical(bodies, "raw").filter("canon is not null"), ["session"], order="ord")
-    header = header.join(digests, "session", "left").withColumn("raw", F.when(F.col("content_hash").isNotNull(), _sealed(F.col("raw"), F.col("content_hash"))).otherwise(F.col("raw")))
-    header = durable(header)
-    records = alone.unionByName(kept.select("session", "ord", "raw")).unionByName(header.select("session", "ord", "raw"))
-    # Markers that leave are not counted as repeats.
-    asked = entries.filter(f"not ({segments.OVERTAKEN})").groupBy("session").agg(F.count("*").alias("asked"))
-    n = kept.groupBy("session").agg(F.count("*").alias("events"))
-    single = passed.filter("coalesce(type, '') not in ('trail', 'session')").groupBy("session").agg(F.count("*").alias("events"))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"])
-    groups = heads.groupBy("session", "session_uid").agg(members.alias("segments"), F.max(F.when(F.col("members") == 1, F.col("content_hash"))).alias("own_hash"))
-    groups = groups.join(n.unionByName(single), "session", "left").join(asked, "session", "left").join(header.select("session", "content_hash"), "session", "left")
-    groups = groups.select("session", "session_uid", "segments", F.coalesce("events", F.lit(0)).alias("events"),
-                           F.coalesce(F.col("asked") - F.coalesce("events", F.lit(0)), F.lit(0)).alias("events_deduped"), F.coalesce("content_hash", "own_hash").alias("content_hash"))
-    out = warnings[0]
-    for w in warnings[1:]:
-        out = out.unionByName(w)
-    return Reconciled(records, groups, out, envelopes)
+    return Reconciled(lines)

@@ -79,6 +79,52 @@ def test_last_segment_without_entries(spark):
     assert [r["type"] for r in merged] == ["session", "user_message", "user_message"] and groups["uid:u"]["content_hash"] == digest(merged, 0)
 
 
+def test_sessions_cut_by_batches_and_plan(spark):
+    """Random segments against plain Python, in batches of three lines; a table that is asked for is one plan of two shuffles by key, and nothing runs before."""
+    rng = random.Random(6)
+    dead = entry(9, "session_terminated", reason="process_terminated")
+    files = {}
+    for i in range(60):
+        body = [rng.choice([entry(rng.randint(0, 6)), entry(rng.randint(0, 6), "session_terminated", reason="x"), dead, {"type": "user_message", "id": 5}]) for _ in range(rng.randint(0, 9))]
+        files[f"f{i:02d}"] = [*([{"type": "trail", "id": "t"}] if i % 9 == 0 else []), *([entry(8)] if i % 7 == 0 else []), header(rng.choice([None, "u", "v", "w", f"x{i}"]), rng.choice([None, 1, 2, 2.5, 3]), n=i, **({"stream": {"state": "open"}} if i % 11 == 0 else {})), *body]
+    sessions = {}
+    for name, records in files.items():
+        head = next(r for r in records if r["type"] == "session")
+        sessions.setdefault("uid:" + head["session_uid"] if "session_uid" in head else f"source:{name}", []).append((head.get("segment", {}).get("seq", 1.0), name, head, records))
+    want, texts = {}, {}
+    for key, parts in sessions.items():
+        parts.sort(key=lambda p: p[:2])
+        entries = [(r, p is parts[-1]) for p in parts for r in p[3] if r["type"] not in ("session", "trail")]
+        if len(parts) == 1:
+            want[key], texts[key] = (1, len(entries), 0, None), parts[0][3]
+            continue
+        asked = [r for r, last in entries if last or r != dead]
+        kept = [r for i, r in enumerate(asked) if not isinstance(r["id"], str) or r["id"] not in [x["id"] for x in asked[:i]]]
+        first, last = parts[0][2], parts[-1][2]
+        merged = {k: v for k, v in last.items() if k != "segment"} | {k: first[k] for k in ("ts", "id", "type", "schema_version", "session_uid")}
+        sealed = None if "stream" in merged else digest([merged, *kept], 0)
+        want[key], texts[key] = (len(parts), len(kept), len(asked) - len(kept), sealed), [merged | ({"content_hash": sealed} if sealed else {}), *kept]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        lines = frame(spark, files).repartition(3)
+        spark.sparkContext.setJobGroup("reconcile", "")
+        out = reconcile.reconcile(lines)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (out.groups, out.records)]
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("reconcile")) == [] and [p.count("Exchange hashpartitioning") for p in plans] == [2, 2]
+        groups = {r["session"]: (len(r["segments"]), r["events"], r["events_deduped"], r["content_hash"]) for r in out.groups.collect()}
+        got = {}
+        for r in sorted(out.records.collect()):
+            got.setdefault(r["session"], []).append((r["ord"], json.loads(r["raw"])))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert groups == want and len(want["uid:u"]) == 4 and {k: [r for _, r in v] for k, v in got.items()} == texts
+    assert all([o for o, _ in v] == list(range(len(v))) for v in got.values())
+
+
 def test_stamp(spark):
     files = {"a": [{"type": "trail", "id": "01ARZ3NDEKTSV4RRFFQ69G0001", "ts": "2024-01-01T00:00:00.000Z"}, header(fork_from={"content_hash": "<pending>"}), entry(1), header(), entry(2), entry(3)], "b": [header(content_hash="old"), entry(1)]}
     got = {}
