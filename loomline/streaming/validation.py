@@ -16,8 +16,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,7 +28,10 @@ from loomline.sources.jsonl import parsed
 
 DIAGNOSTICS = "file string, line int, path string, severity string, code string, message string, final boolean"
 #: What the state remembers of a file besides its tables; JSON in one value, so that a field more needs no new schema.
-START = {"first": None, "grp": 0, "valid": False, "opened": False, "ended": False, "claim": None, "latest": None, "revision": None, "headers": 0, "envelopes": 0, "listed": None, "sealed": None, "bad_first": None, "fault": False, "seen": 0, "quiet": False}
+START = {"first": None, "grp": 0, "valid": False, "opened": False, "ended": False, "claim": None, "latest": None, "revision": None, "headers": 0, "envelopes": 0, "listed": None, "sealed": None, "bad_first": None, "fault": False, "seen": 0, "quiet": False, "far": False, "near": {}}
+#: Characters of JSON up to which the tables of a file stay in the value that is read and written once a batch.
+NEAR = 1 << 15
+_DIAGNOSTIC = Row("file", "line", "path", "severity", "code", "message", "final")
 _HEX = frozenset("0123456789abcdef")
 
 
@@ -84,6 +86,58 @@ def leaf_secrets(value, root: str) -> Iterator[tuple[str, str]]:
             stack += [(x, f"{path}/{str(k).replace('~', '~0').replace('/', '~1')}") for k, x in (at.items() if isinstance(at, dict) else enumerate(at))]
 
 
+class _List:
+    """A list state, or a list in memory while its file is small."""
+
+    def __init__(self, state):
+        self.state, self.near = state, None
+
+    def load(self, near: list | None) -> None:
+        self.near = None if near is None else list(map(tuple, near))
+
+    def get(self) -> Iterator[tuple]:
+        return self.state.get() if self.near is None else iter(self.near)
+
+    def appendValue(self, row: tuple) -> None:
+        self.state.appendValue(row) if self.near is None else self.near.append(row)
+
+    def clear(self) -> None:
+        if self.near is None:
+            self.state.clear()
+        else:
+            self.near.clear()
+
+    def move(self) -> None:
+        if self.near:
+            self.state.appendList(self.near)
+
+
+class _Map(_List):
+    """A map state with keys of one field, or a dict in memory while its file is small."""
+
+    def load(self, near: list | None) -> None:
+        self.near = None if near is None else {k: tuple(v) for k, v in near}
+
+    def containsKey(self, key: tuple) -> bool:
+        return self.state.containsKey(key) if self.near is None else key[0] in self.near
+
+    def getValue(self, key: tuple) -> tuple:
+        return self.state.getValue(key) if self.near is None else self.near[key[0]]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        if self.near is None:
+            self.state.updateValue(key, value)
+        else:
+            self.near[key[0]] = value
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        return self.state.iterator() if self.near is None else (((k,), v) for k, v in self.near.items())
+
+    def move(self) -> None:
+        for k, v in self.near.items():
+            self.state.updateValue((k,), v)
+
+
 class _Table:
     """A map state that is asked once a key and batch."""
 
@@ -106,70 +160,93 @@ class _Table:
 
 
 class FileChecks(StatefulProcessor):
-    """The state of one file; rows are its lines, in any order within a batch, batches in order."""
+    """The state of one file; rows are its lines, in any order within a batch, batches in order.
 
-    def __init__(self, profile: str, idle_ms: int | None):
-        self.profile, self.idle_ms = profile, idle_ms
+    What a small file has come to is one value, read and written once a batch. A file that
+    outgrows it goes to tables, which are asked by key; a file that ends in the batch it
+    began in is never written.
+    """
+
+    def __init__(self, profile: str, idle_ms: int | None, near: int = NEAR):
+        self.profile, self.idle_ms, self.near = profile, idle_ms, near
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.at = handle.getValueState("at", "value string")
         # First line in the file; the last session in which it is an event's id, and its first line there; first line as an event of a session of a known version.
-        self.ids = handle.getMapState("ids", "id string", "first int, grp int, line int, event int")
-        self.parents = handle.getMapState("parents", "id string", "parent string, line int")
-        self.waiting = handle.getMapState("waiting", "line int", "parent string")
-        self.tools = handle.getListState("tools", "line int, kind string, id string, for_id string, call_id string")
-        self.declared = handle.getListState("declared", "id string")
-        self.orphans = handle.getListState("orphans", "line int")
-        self.heads = handle.getListState("heads", "line int, id string, agent string, content_hash string, forked_from string, forked_hash string, valid boolean")
-        self.wrong = handle.getListState("wrong", "line int, actual string")
+        self.ids = _Map(handle.getMapState("ids", "id string", "first int, grp int, line int, event int"))
+        self.parents = _Map(handle.getMapState("parents", "id string", "parent string, line int"))
+        self.waiting = _Map(handle.getMapState("waiting", "line int", "parent string"))
+        self.tools = _List(handle.getListState("tools", "line int, kind string, id string, for_id string, call_id string"))
+        self.declared = _List(handle.getListState("declared", "id string"))
+        self.orphans = _List(handle.getListState("orphans", "line int"))
+        self.heads = _List(handle.getListState("heads", "line int, id string, agent string, content_hash string, forked_from string, forked_hash string, valid boolean"))
+        self.wrong = _List(handle.getListState("wrong", "line int, actual string"))
         # Canonical lines, only while a header or an envelope claims a hash of them.
-        self.group_text = handle.getListState("group_text", "text string")
-        self.file_text = handle.getListState("file_text", "text string")
+        self.group_text = _List(handle.getListState("group_text", "text string"))
+        self.file_text = _List(handle.getListState("file_text", "text string"))
+        self.tables = {name: x for name, x in vars(self).items() if isinstance(x, _List)}
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = START | json.loads(self.at.get()[0]) if self.at.exists() else dict(START)
+    def _load(self, kept: tuple | None) -> dict:
+        """Where the file stands; states written before there was a near value have tables only."""
+        at = json.loads(json.dumps(START)) if kept is None else START | {"far": True} | json.loads(kept[0])
+        near = at.pop("near")
+        for name, table in self.tables.items():
+            table.load(None if at["far"] else near.get(name, []))
+        return at
+
+    def _save(self, at: dict) -> None:
+        """Keep what `_load` reads; a file whose tables have grown moves them out of the value, for good."""
+        near = {}
+        if not at["far"]:
+            near = {name: list(t.near.items()) if isinstance(t, _Map) else t.near for name, t in self.tables.items() if t.near}
+        text = json.dumps(at | {"near": near})
+        if len(text) > self.near and not at["far"]:
+            for table in self.tables.values():
+                table.move()
+                table.load(None)
+            at["far"] = True
+            text = json.dumps(at | {"near": {}})
+        self.at.update((text,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at = self._load(self.at.get())
         out: list[tuple] = []
-        ids = _Table(self.ids)
-        frame = pd.concat(list(rows))
-        for r in frame.sort_values("line", kind="stable", na_position="last").itertuples(index=False):
-            if pd.isna(r.line):
+        ids, new = _Table(self.ids), True
+        for r in sorted(rows, key=lambda r: (r.line is None, r.line or 0)):
+            if r.line is None:
                 ids.save()
                 out += [(*d, True) for d in (*self._end_of_session(at), *self._end_of_file(at))]
                 self._forget(every=True)
-                at, ids = dict(START), _Table(self.ids)
-            elif not at["fault"]:
-                out += [(*d, True) for d in self._line(r, at, ids)]
+                self.at.clear()
+                at, ids, new = self._load(None), _Table(self.ids), True
+            else:
+                new = False
+                if not at["fault"]:
+                    out += [(*d, True) for d in self._line(r, at, ids)]
         ids.save()
-        if at == START:
-            self.at.clear()
-        else:
+        if not new:
             at["seen"], at["quiet"] = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0, False
-            self.at.update((json.dumps(at),))
+            self._save(at)
             if self.idle_ms:
                 self.handle.registerTimer(at["seen"] + self.idle_ms)
-        yield self._frame(key, out)
+        for d in out:
+            yield _DIAGNOSTIC(key[0], *d)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.at.exists():
-            at = START | json.loads(self.at.get()[0])
+            at = self._load(self.at.get())
             # Timers of earlier batches run out too; only the one after the last line counts.
             if not at["quiet"] and expiredTimerInfo.getExpiryTimeInMs() >= at["seen"] + self.idle_ms:
-                out = [(*d, False) for d in (*self._end_of_session(at, keep=True), *self._end_of_file(at))]
-                self.at.update((json.dumps(at | {"quiet": True}),))
-        yield self._frame(key, out)
-
-    @staticmethod
-    def _frame(key, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], *d) for d in out], columns=["file", "line", "path", "severity", "code", "message", "final"])
-        return frame.astype({"line": "int32", "final": "bool"})
+                for d in (*self._end_of_session(at, keep=True), *self._end_of_file(at)):
+                    yield _DIAGNOSTIC(key[0], *d, False)
+                self._save(at | {"quiet": True})
 
     def _line(self, r, at: dict, ids: _Table) -> Iterator[tuple]:
-        line = int(r.line)
+        line = r.line
         if r.code is not None:
             at["fault"] = True
             yield line, "", "error", "parse", r.code
@@ -215,7 +292,7 @@ class FileChecks(StatefulProcessor):
                 self.file_text.appendValue((pinned if r.type == "trail" and line == 1 else canonical_json(value),))
 
     def _header(self, r, at: dict) -> Iterator[tuple]:
-        line, version = int(r.line), r.schema_version
+        line, version = r.line, r.schema_version
         patch = version is not None and version.startswith("0.1.") and version[4:].isascii() and version[4:].isdigit()
         valid = version == rules.SCHEMA_VERSION or self.profile == "reader-tolerant" and patch
         if not at["headers"]:
@@ -246,7 +323,7 @@ class FileChecks(StatefulProcessor):
 
     def _event(self, r, at: dict, ids: _Table, known) -> Iterator[tuple]:
         """A line of a session that is no header; `known` is where its id was seen before."""
-        line, grp = int(r.line), at["grp"]
+        line, grp = r.line, at["grp"]
         inside = at["valid"] and r.type != "trail"
         here = known and known[1] == grp
         if inside:
@@ -336,13 +413,14 @@ class FileChecks(StatefulProcessor):
             state.clear()
 
 
-def validated(lines: DataFrame, profile: str = "strict", idle_ms: int | None = None) -> DataFrame:
+def validated(lines: DataFrame, profile: str = "strict", idle_ms: int | None = None, near: int = NEAR) -> DataFrame:
     """(file, line, path, severity, code, message, final) of a stream (file, line, raw), raw text or bytes.
 
     A row with a null line ends its file; its state goes then. The final diagnostics of a
     file that has ended are those of `rules.validate` on its lines, however they were cut into
     batches; a file's lines come in order from batch to batch. A file from which nothing came
     for `idle_ms` is told what its end would show, with `final` false, once for each silence.
+    The state of a file of up to `near` characters is one value, above it tables.
     Needs the RocksDB state store, which is set here.
     """
     if profile not in rules.PROFILES:
@@ -355,4 +433,4 @@ def validated(lines: DataFrame, profile: str = "strict", idle_ms: int | None = N
     facts = rows.select(
         "file", "line", F.when(F.col("line").isNotNull(), F.col("code")).alias("code"), F.to_json("found").alias("found"), "type", "id", "parent_id", "has_parent", "ts", "schema_version", "content_hash", "stream_state", "call_id", "for_id",
         "revision", "final_message_id", "agent", "forked_from", "forked_hash", "envelope_ref", F.to_json(listed).alias("sessions"), F.to_json(rules.field("$.payload.open_call_ids", "array<string>")).alias("open_call_ids"), F.to_json("value").alias("text"), F.coalesce(suspect(F.to_json(rules.source_raw()), CREDENTIALS), F.lit(False)).alias("leaky"))
-    return facts.groupBy("file").transformWithStateInPandas(FileChecks(profile, idle_ms), DIAGNOSTICS, "Append", "ProcessingTime" if idle_ms else "None")
+    return facts.groupBy("file").transformWithState(FileChecks(profile, idle_ms, near), DIAGNOSTICS, "Append", "ProcessingTime" if idle_ms else "None")

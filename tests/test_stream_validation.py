@@ -74,6 +74,64 @@ def test_files_cut_anywhere_and_restarted(spark, tmp_path, profile, seed):
     assert ([d for d in got if d not in want], [d for d in want if d not in got]) == ([], []) and got == want and len(want) > 30
 
 
+def test_states_that_outgrow_their_value(spark, tmp_path):
+    """Files whose tables leave the value at different lines, from batch to batch and over a restart."""
+    rows = some_files(spark)
+    want = sorted(map(tuple, rules.validate(jsonl.strict(spark.createDataFrame(rows, "file string, line int, raw string").withColumn("raw", F.encode("raw", "UTF-8")))).collect()))
+    folder, checkpoint = tmp_path / "in", str(tmp_path / "cp")
+    folder.mkdir()
+    ends = [(name, None, None) for name in sorted({r[0] for r in rows})]
+    for k, part in enumerate(([r for r in rows if r[1] <= 3], [r for r in rows if 3 < r[1] <= 6], [r for r in rows if r[1] > 6] + ends)):
+        (folder / f"{k}.json").write_text("".join(json.dumps(dict(zip(("file", "line", "raw"), r))) + "\n" for r in part))
+        lines = spark.readStream.schema("file string, line int, raw string").json(str(folder))
+        validation.validated(lines, near=700).writeStream.format("parquet").option("path", f"{checkpoint}-out").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(300)
+    assert sorted(map(tuple, spark.read.parquet(f"{checkpoint}-out").filter("final").drop("final").collect())) == want
+
+
+class _State:
+    """A state of one key in memory that counts how often it is asked."""
+
+    calls = 0
+
+    def __init__(self, value=False):
+        self.rows, self.value = None, value
+
+    def __getattr__(self, name):
+        _State.calls += 1
+        rows = self.rows
+        if name in ("clear", "update"):
+            return lambda *new: setattr(self, "rows", new[0] if new else None)
+        if name in ("appendValue", "appendList"):
+            return lambda new: setattr(self, "rows", (rows or []) + ([new] if name == "appendValue" else list(new)))
+        if name == "updateValue":
+            return lambda k, v: setattr(self, "rows", (rows or {}) | {k: v})
+        return {"exists": lambda: rows is not None, "get": lambda: rows if self.value else iter(rows or []), "containsKey": lambda k: k in (rows or {}), "getValue": lambda k: rows[k], "iterator": lambda: iter((rows or {}).items())}[name]
+
+
+class _Handle:
+    getMapState = getListState = lambda self, *_: _State()
+    getValueState = lambda self, *_: _State(True)
+
+
+@pytest.mark.parametrize("near", [0, 900, validation.NEAR])
+def test_a_small_file_asks_its_state_twice_a_batch(near):
+    facts = ["line", "code", "found", "type", "id", "parent_id", "has_parent", "ts", "schema_version", "content_hash", "stream_state", "call_id", "for_id", "revision", "final_message_id", "agent", "forked_from", "forked_hash", "envelope_ref", "sessions", "open_call_ids", "text", "leaky"]
+    plain = dict.fromkeys(facts) | {"found": "[]", "has_parent": False, "leaky": False}
+    row = lambda **some: validation.Row(*facts)(*(plain | some).values())
+    lines = [row(line=1, type="session", id="h", schema_version=rules.SCHEMA_VERSION)] + [row(line=n, type="tool_call", id=f"i{n - n % 5}", parent_id=f"i{n + 1}") for n in range(2, 41)]
+    batches = [lines[:4], lines[4:20], lines[20:], [row()]]
+    checks = validation.FileChecks("strict", None)
+    checks.near = near
+    checks.init(_Handle())
+    _State.calls = 0
+    out = [d for rows in batches for d in checks.handleInputRows(("f",), iter(rows), None)]
+    out = [(d["line"], d["code"]) for d in out]
+    codes = {c: [line for line, code in out if code == c] for c in {c for _, c in out}}
+    assert codes["duplicate_id"] == [n for n in range(3, 41) if n % 5]
+    assert sorted(codes["unknown_parent_id"]) == [n for n in range(2, 41) if (n + 1) % 5] and checks.at.rows is None and all(t.state.rows in (None, [], {}) for t in checks.tables.values())
+    assert near < validation.NEAR or _State.calls <= 2 * len(batches)
+
+
 def test_silent_files_are_told_once_and_go_on(spark, tmp_path):
     folder, checkpoint = tmp_path / "in", str(tmp_path / "cp")
     folder.mkdir()
